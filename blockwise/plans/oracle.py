@@ -31,3 +31,80 @@ SELECT xs.split, xs.block_id, x_md5, y_md5
 FROM xs JOIN ys USING (split, block_id) JOIN nb USING (split)
 WHERE xs.block_id < nb.nb
 """
+
+SQL["head_docs"] = "WITH " + CORPUS + """,
+r AS (SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS doc_rank
+      FROM corpus)
+SELECT split, doc_id, doc_rank FROM r
+WHERE doc_rank < CASE WHEN split = 'train' THEN 200000 ELSE 20000 END
+"""
+
+VOCAB = TOKENS + """,
+vc AS (SELECT tok, count(*) AS count FROM flat WHERE tok <> '<eos>' GROUP BY tok),
+v AS (SELECT tok, count, row_number() OVER (ORDER BY count DESC, tok) - 1 AS id FROM vc)"""
+
+SQL["vocab"] = "WITH " + VOCAB + "\nSELECT tok, count, id FROM v"
+
+SQL["encode_decode"] = "WITH " + VOCAB + """,
+ve AS (SELECT tok, id FROM v UNION ALL SELECT '<eos>', (SELECT count(*) FROM v)),
+enc AS (SELECT f.doc_id, f.i, f.tok, ve.id FROM flat f LEFT JOIN ve USING (tok)),
+dec AS (SELECT e.doc_id, e.i, e.tok AS orig, d.tok AS back, e.id
+        FROM enc e LEFT JOIN ve d ON d.id = e.id)
+SELECT doc_id, count(*) AS n_tokens,
+       md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY i)) AS ids_md5,
+       bool_and(coalesce(orig = back, false)) AS roundtrip
+FROM dec GROUP BY doc_id
+"""
+
+# With byte-level ranks the ids are the UTF-8 bytes; their sum is computed
+# from code points (1-4 byte forms), plus the end id 256.
+SQL["bpe_tokens"] = """
+WITH cps AS (SELECT doc_id, coalesce(text, '') AS t,
+                    list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)) AS cp
+             FROM documents)
+SELECT doc_id, octet_length(encode(t)) + 1 AS n_ids,
+       CAST(coalesce(list_sum(list_transform(cp, lambda c:
+         CASE WHEN c < 128 THEN c
+              WHEN c < 2048 THEN (192 + (c >> 6)) + (128 + (c & 63))
+              WHEN c < 65536 THEN (224 + (c >> 12)) + (128 + ((c >> 6) & 63)) + (128 + (c & 63))
+              ELSE (240 + (c >> 18)) + (128 + ((c >> 12) & 63)) + (128 + ((c >> 6) & 63))
+                   + (128 + (c & 63)) END)), 0) + 256 AS BIGINT) AS id_sum
+FROM cps
+"""
+
+REPORT = TOKENS + """,
+rep AS (SELECT split, count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens,
+               greatest(count(*) // 256 - 1, 0) AS n_blocks FROM pos GROUP BY split)"""
+
+SQL["corpus_report"] = "WITH " + REPORT + """
+SELECT split, n_docs, n_tokens, n_blocks, n_blocks // 16 AS n_batches FROM rep
+"""
+
+BLOCKS = REPORT + """,
+tb AS (SELECT split, unnest(range(n_blocks)) AS block_id FROM rep WHERE n_blocks > 0)"""
+
+SQL["shuffled_batches"] = "WITH " + BLOCKS + """,
+e AS (SELECT block_id, unnest([0, 1]) AS epoch FROM tb WHERE split = 'train'),
+r AS (SELECT epoch, block_id, row_number() OVER (PARTITION BY epoch ORDER BY
+        md5('42:' || epoch || ':' || block_id), block_id) - 1 AS rnk,
+        count(*) OVER (PARTITION BY epoch) AS n FROM e)
+SELECT epoch, rnk // 16 AS batch_id, rnk % 16 AS slot, block_id FROM r
+WHERE rnk // 16 < n // 16
+"""
+
+SQL["step_schedule"] = "WITH " + BLOCKS + """,
+nb AS (SELECT count(*) // 16 AS nb FROM tb WHERE split = 'train'),
+e AS (SELECT block_id, unnest(range(CAST(ceil(1500 / nb) AS BIGINT))) AS epoch
+      FROM tb, nb WHERE split = 'train'),
+r AS (SELECT epoch, block_id, row_number() OVER (PARTITION BY epoch ORDER BY
+        md5('42:' || epoch || ':' || block_id), block_id) - 1 AS rnk FROM e),
+st AS (SELECT s AS step, s // nb AS epoch, s % nb AS batch_id FROM range(1500) t(s), nb)
+SELECT st.step, CAST(st.epoch AS INTEGER) AS epoch, st.batch_id, r.rnk % 16 AS slot, r.block_id
+FROM st JOIN r ON r.epoch = st.epoch AND r.rnk // 16 = st.batch_id
+"""
+
+SQL["eval_batches"] = "WITH " + BLOCKS + """,
+vb AS (SELECT block_id, count(*) OVER () AS n FROM tb WHERE split = 'validation')
+SELECT block_id // 16 AS batch_id, block_id % 16 AS slot, block_id FROM vb
+WHERE block_id // 16 < least(50, n // 16)
+"""

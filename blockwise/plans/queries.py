@@ -39,3 +39,95 @@ def packed_blocks(spark, sf_dir):
     b = blocks(spark, sf_dir)
     return b.select("split", "block_id", _md5_join("x").alias("x_md5"),
                     _md5_join("y").alias("y_md5"))
+
+
+@query
+def head_docs(spark, sf_dir):
+    """Head caps in source order: train keeps the first 200000 documents,
+    validation the first min(20000, 200000)."""
+    c = V.corpus(spark, sf_dir).select("split", "doc_id")
+    tr = C.head_docs(c.filter(F.col("split") == "train"), 200_000, partition_cols=["split"])
+    va = C.head_docs(c.filter(F.col("split") == "validation"), C.validation_cap(200_000),
+                     partition_cols=["split"])
+    return tr.unionByName(va).select("split", "doc_id", "doc_rank")
+
+
+def word_vocab(spark, sf_dir):
+    return C.build_vocab(V.tokens(spark, sf_dir))
+
+
+@query
+def vocab(spark, sf_dir):
+    """Word vocabulary over the whole corpus: ids by count desc, token asc."""
+    return word_vocab(spark, sf_dir)
+
+
+@query
+def encode_decode(spark, sf_dir):
+    """Encode every document to ids (end marker = vocabulary size), decode
+    back, and check the round trip."""
+    t = V.tokens(spark, sf_dir).select("doc_id", "toks")
+    v = word_vocab(spark, sf_dir).select("tok", "id")
+    ve = v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
+        F.lit(C.EOS_TOKEN).alias("tok"), "id"))
+    enc = C.encode_ids(t, ve)
+    dec = C.decode_ids(enc, ve, out="dec")
+    j = t.join(enc, "doc_id").join(dec, "doc_id")
+    return j.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.md5(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))))
+                    .alias("ids_md5"),
+                    (F.col("dec") == F.col("toks")).alias("roundtrip"))
+
+
+@query
+def bpe_tokens(spark, sf_dir):
+    """Byte-level BPE ids of every whole document (end id appended), after
+    the end-of-text guard."""
+    from blockwise.operators.bpe import END_OF_TEXT, bpe_encode
+    d = C.check_special(V.table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        [END_OF_TEXT], mode="error")
+    ids = d.select("doc_id", bpe_encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                      F.aggregate("ids", F.lit(0).cast("long"),
+                                  lambda a, x: a + x.cast("long")).alias("id_sum"))
+
+
+def report(spark, sf_dir):
+    return C.corpus_report(packed_docs(spark, sf_dir), V.SEQ_LEN, V.BATCH)
+
+
+@query
+def corpus_report(spark, sf_dir):
+    """Documents, tokens, blocks (L=256) and batches (B=16) per split."""
+    return report(spark, sf_dir)
+
+
+# ------------------------------------------------------------- batching
+def _train_block_ids(spark, sf_dir):
+    from blockwise.operators.batching import block_ids
+    return block_ids(report(spark, sf_dir)).filter(F.col("split") == "train")
+
+
+@query
+def shuffled_batches(spark, sf_dir):
+    """Two epochs of seeded shuffles of the train blocks into batches of 16."""
+    from blockwise.operators import batching as Bt
+    r = Bt.shuffle_blocks(_train_block_ids(spark, sf_dir), V.SEED, epochs=2)
+    return Bt.assign_batches(r, V.BATCH).select("epoch", "batch_id", "slot", "block_id")
+
+
+@query
+def step_schedule(spark, sf_dir):
+    """The 1500-step schedule over shuffled train batches."""
+    from blockwise.operators import batching as Bt
+    s = Bt.schedule(_train_block_ids(spark, sf_dir), V.STEPS, V.BATCH, V.SEED)
+    return s.select("step", "epoch", "batch_id", "slot", "block_id")
+
+
+@query
+def eval_batches(spark, sf_dir):
+    """Validation batches in order, first min(50, n div 16)."""
+    from blockwise.operators import batching as Bt
+    from blockwise.operators.batching import block_ids
+    b = block_ids(report(spark, sf_dir)).filter(F.col("split") == "validation")
+    return Bt.eval_batches(b, V.BATCH, V.VAL_BATCHES).select("batch_id", "slot", "block_id")
