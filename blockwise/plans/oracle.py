@@ -108,3 +108,149 @@ vb AS (SELECT block_id, count(*) OVER () AS n FROM tb WHERE split = 'validation'
 SELECT block_id // 16 AS batch_id, block_id % 16 AS slot, block_id FROM vb
 WHERE block_id // 16 < least(50, n // 16)
 """
+
+# The 13 sweep run names by launch order (user_id % 13).
+SWEEP_LIST = ("['baseline_s10000', 'all_moe_e4_s10000', 'all_moe_e8_s10000', "
+              "'all_moe_e16_s10000', 'all_moe_e8_rj0.0_cf1.0_s10000', "
+              "'all_moe_e8_rj0.0_cf1.25_s10000', 'all_moe_e8_rj0.0_cf1.5_s10000', "
+              "'all_moe_e8_rj0.01_cf1.0_s10000', 'all_moe_e8_rj0.01_cf1.25_s10000', "
+              "'all_moe_e8_rj0.01_cf1.5_s10000', 'all_moe_e8_rj0.05_cf1.0_s10000', "
+              "'all_moe_e8_rj0.05_cf1.25_s10000', 'all_moe_e8_rj0.05_cf1.5_s10000']")
+
+
+def _metric_log(run_expr: str) -> str:
+    return f"""ev AS (SELECT event_id, ts, event_type, value, {run_expr} AS run FROM events),
+rl AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS step,
+              ts, event_type, value,
+              CASE WHEN event_type = 'error' THEN 'inf'::DOUBLE
+                   WHEN event_type = 'signup' THEN 'nan'::DOUBLE ELSE value END AS vp
+       FROM ev),
+mlog AS (SELECT run, step, ts, ln(1 + value) AS train_loss, value / 100e0 AS aux,
+                ln(vp) AS val_loss, vp AS val_ppl, value * 100e0 AS tokens_per_sec,
+                CASE WHEN event_type = 'view' THEN 'nan'::DOUBLE
+                     ELSE round(value * 8e0, 1) END AS gpu_mem_mb
+         FROM rl)"""
+
+
+RUN_LOG = _metric_log("'user_' || user_id") + """,
+run_log AS (SELECT * FROM mlog)"""
+
+GRID_LOG = _metric_log(f"({SWEEP_LIST})[user_id % 13 + 1]") + """,
+grid_log AS (SELECT run, step, ts, train_loss, aux,
+                    CASE WHEN step % 20 = 0 THEN val_loss END AS val_loss,
+                    CASE WHEN step % 20 = 0 THEN val_ppl END AS val_ppl,
+                    tokens_per_sec, gpu_mem_mb FROM mlog),
+gf AS (SELECT run, step, ts, train_loss, aux, tokens_per_sec, gpu_mem_mb,
+              coalesce(last_value(val_loss IGNORE NULLS) OVER w, 'nan'::DOUBLE) AS val_loss,
+              coalesce(last_value(val_ppl IGNORE NULLS) OVER w, 'nan'::DOUBLE) AS val_ppl
+       FROM grid_log
+       WINDOW w AS (PARTITION BY run ORDER BY step
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+SQL["ffill_eval"] = "WITH " + GRID_LOG + """
+SELECT run, step, round(val_loss, 6) AS val_loss, val_ppl FROM gf
+"""
+
+
+def _best(table: str, keep: str, missing_step: str) -> str:
+    return f"""b AS (SELECT run, min(val_ppl) FILTER (WHERE {keep}) AS bv FROM {table} GROUP BY run),
+bs AS (SELECT b.run, b.bv, min(t.step) FILTER (WHERE t.val_ppl = b.bv AND {keep.replace('val_ppl', 't.val_ppl')}) AS st
+       FROM b JOIN {table} t USING (run) GROUP BY b.run, b.bv)
+SELECT run, coalesce(bv, 'nan'::DOUBLE) AS best_val_ppl, {missing_step} AS best_step FROM bs"""
+
+
+SQL["best_step_finite"] = "WITH " + RUN_LOG + ",\n" + _best(
+    "run_log", "isfinite(val_ppl)", "coalesce(CAST(st AS DOUBLE), 'nan'::DOUBLE)")
+
+SQL["best_step_notna"] = "WITH " + RUN_LOG + ",\n" + _best(
+    "run_log", "NOT isnan(val_ppl)", "coalesce(st, -1)")
+
+
+def _summary(table: str) -> str:
+    return f"""summ AS (
+  SELECT run,
+         coalesce(arg_max(val_ppl, step) FILTER (WHERE isfinite(val_ppl)), 'nan'::DOUBLE) AS final_val_ppl,
+         coalesce(min(val_ppl) FILTER (WHERE isfinite(val_ppl)), 'nan'::DOUBLE) AS best_val_ppl,
+         arg_max(train_loss, step) AS last_train_loss,
+         coalesce(max(tokens_per_sec) FILTER (WHERE NOT isnan(tokens_per_sec)), 'nan'::DOUBLE) AS max_tok_s,
+         coalesce(max(gpu_mem_mb) FILTER (WHERE NOT isnan(gpu_mem_mb)), 'nan'::DOUBLE) AS peak_mem_mb
+  FROM {table} GROUP BY run),
+summ2 AS (
+  SELECT s.*, coalesce(CAST((SELECT min(t.step) FROM {table} t WHERE t.run = s.run
+                             AND t.val_ppl = s.best_val_ppl) AS DOUBLE), 'nan'::DOUBLE) AS best_step
+  FROM summ s)"""
+
+
+SQL["run_summary"] = "WITH " + RUN_LOG + ",\n" + _summary("run_log") + """
+SELECT run, final_val_ppl, best_val_ppl, best_step, round(last_train_loss, 6) AS last_train_loss,
+       max_tok_s, peak_mem_mb FROM summ2
+"""
+
+SQL["vs_baseline"] = "WITH " + GRID_LOG + ",\n" + _summary("gf") + """,
+base AS (SELECT arg_max(final_val_ppl, run) AS bp FROM summ WHERE run LIKE '%baseline%')
+SELECT run, final_val_ppl,
+       round(CASE WHEN isfinite(bp) THEN (bp - final_val_ppl) / bp * 100e0 END, 6)
+         AS ppl_improve_vs_base_pct
+FROM summ, base
+"""
+
+RUN_PATTERN = r"^(?:all_)?moe_e(\d+)_rj([\d\.]+)_cf([\d\.]+)_s(\d+)/?$"
+
+CELLS = GRID_LOG + f""",
+pr AS (SELECT DISTINCT run FROM gf),
+parsed AS (SELECT run, TRY_CAST(regexp_extract(run, '{RUN_PATTERN}', 1) AS INTEGER) AS e,
+                  TRY_CAST(regexp_extract(run, '{RUN_PATTERN}', 2) AS DOUBLE) AS rj,
+                  TRY_CAST(regexp_extract(run, '{RUN_PATTERN}', 3) AS DOUBLE) AS cf
+           FROM pr WHERE regexp_matches(run, '{RUN_PATTERN}')),
+cb AS (SELECT run, min(val_ppl) FILTER (WHERE NOT isnan(val_ppl)) AS bv FROM gf GROUP BY run),
+cells AS (SELECT p.run, p.rj, p.cf, coalesce(cb.bv, 'nan'::DOUBLE) AS best_ppl,
+                 coalesce((SELECT min(step) FROM gf WHERE gf.run = p.run AND gf.val_ppl = cb.bv), -1)
+                   AS best_step
+          FROM parsed p JOIN cb USING (run) WHERE p.e = 8)"""
+
+SQL["grid_cells"] = "WITH " + CELLS + "\nSELECT run, rj, cf, best_ppl, best_step FROM cells"
+
+SQL["grid_pivot"] = "WITH " + CELLS + """
+SELECT rj, max(best_ppl) FILTER (WHERE cf = 1.0e0) AS cf_1_0,
+       max(best_ppl) FILTER (WHERE cf = 1.25e0) AS cf_1_25,
+       max(best_ppl) FILTER (WHERE cf = 1.5e0) AS cf_1_5
+FROM cells GROUP BY rj
+"""
+
+SQL["grid_labels"] = "WITH " + CELLS + """
+SELECT rj, cf, printf('%.2f', best_ppl) AS label FROM cells WHERE isfinite(best_ppl)
+"""
+
+SQL["curves"] = "WITH " + GRID_LOG + """
+SELECT run, step, val_ppl FROM gf
+WHERE starts_with(run, 'all_moe_e8_rj') AND step % 20 = 0 AND NOT isnan(val_ppl)
+"""
+
+SWEEP_VALUES = """sw(run, kind, moe_num_experts, moe_router_jitter, moe_capacity_factor, steps, no_moe) AS (
+  VALUES ('baseline_s10000', 'baseline', 0, NULL::DOUBLE, NULL::DOUBLE, 10000, true),
+         ('all_moe_e4_s10000', 'experts', 4, NULL, NULL, 10000, false),
+         ('all_moe_e8_s10000', 'experts', 8, NULL, NULL, 10000, false),
+         ('all_moe_e16_s10000', 'experts', 16, NULL, NULL, 10000, false),
+         ('all_moe_e8_rj0.0_cf1.0_s10000', 'grid', 8, 0.0e0, 1.0e0, 10000, false),
+         ('all_moe_e8_rj0.0_cf1.25_s10000', 'grid', 8, 0.0e0, 1.25e0, 10000, false),
+         ('all_moe_e8_rj0.0_cf1.5_s10000', 'grid', 8, 0.0e0, 1.5e0, 10000, false),
+         ('all_moe_e8_rj0.01_cf1.0_s10000', 'grid', 8, 0.01e0, 1.0e0, 10000, false),
+         ('all_moe_e8_rj0.01_cf1.25_s10000', 'grid', 8, 0.01e0, 1.25e0, 10000, false),
+         ('all_moe_e8_rj0.01_cf1.5_s10000', 'grid', 8, 0.01e0, 1.5e0, 10000, false),
+         ('all_moe_e8_rj0.05_cf1.0_s10000', 'grid', 8, 0.05e0, 1.0e0, 10000, false),
+         ('all_moe_e8_rj0.05_cf1.25_s10000', 'grid', 8, 0.05e0, 1.25e0, 10000, false),
+         ('all_moe_e8_rj0.05_cf1.5_s10000', 'grid', 8, 0.05e0, 1.5e0, 10000, false))"""
+
+SQL["sweep"] = "WITH " + GRID_LOG + ",\n" + SWEEP_VALUES + """,
+g AS (SELECT run, count(*) AS n_rows, count(val_ppl) AS n_evals FROM grid_log GROUP BY run)
+SELECT sw.run, kind, moe_num_experts, moe_router_jitter, moe_capacity_factor, steps,
+       coalesce(n_rows, 0) AS n_rows, coalesce(n_evals, 0) AS n_evals
+FROM sw LEFT JOIN g USING (run)
+"""
+
+SQL["normalized_configs"] = "WITH " + GRID_LOG + ",\n" + SWEEP_VALUES + """
+SELECT run, NOT no_moe AS moe_enabled, CASE WHEN no_moe THEN 0 ELSE moe_num_experts END AS n_experts,
+       CASE WHEN no_moe THEN '' ELSE '0,1,2,3,4,5' END AS moe_layers, 2048 AS d_ff_eff,
+       moe_capacity_factor, coalesce(moe_router_jitter, 0.0e0) AS moe_router_jitter, steps
+FROM sw WHERE run IN (SELECT run FROM grid_log)
+"""

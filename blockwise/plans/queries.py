@@ -131,3 +131,112 @@ def eval_batches(spark, sf_dir):
     from blockwise.operators.batching import block_ids
     b = block_ids(report(spark, sf_dir)).filter(F.col("split") == "validation")
     return Bt.eval_batches(b, V.BATCH, V.VAL_BATCHES).select("batch_id", "slot", "block_id")
+
+
+# ------------------------------------------------------------ run logs
+def grid_filled(spark, sf_dir):
+    from blockwise.operators.runs import ffill_eval
+    return ffill_eval(V.grid_log(spark, sf_dir))
+
+
+@query
+def ffill_eval(spark, sf_dir):
+    """Forward-filled validation metrics of the 13 sweep runs."""
+    f = grid_filled(spark, sf_dir)
+    return f.select("run", "step", F.round("val_loss", 6).alias("val_loss"), "val_ppl")
+
+
+@query
+def best_step_finite(spark, sf_dir):
+    """Best finite validation ppl and its first step per run."""
+    from blockwise.operators.runs import best_step
+    return best_step(V.run_log(spark, sf_dir), mode="finite")
+
+
+@query
+def best_step_notna(spark, sf_dir):
+    """Best not-missing validation ppl (inf allowed) and step per run."""
+    from blockwise.operators.runs import best_step
+    return best_step(V.run_log(spark, sf_dir), mode="notna")
+
+
+@query
+def run_summary(spark, sf_dir):
+    """One summary row per run of the event log, in run order."""
+    from blockwise.operators.runs import summarize_runs
+    s = summarize_runs(V.run_log(spark, sf_dir))
+    return s.withColumn("last_train_loss", F.round("last_train_loss", 6)).orderBy("run")
+
+
+@query
+def vs_baseline(spark, sf_dir):
+    """Final ppl of each sweep run against the baseline run's final ppl."""
+    from blockwise.operators.runs import summarize_runs, vs_baseline as vb
+    s = vb(summarize_runs(grid_filled(spark, sf_dir)))
+    return s.select("run", "final_val_ppl",
+                    F.round("ppl_improve_vs_base_pct", 6).alias("ppl_improve_vs_base_pct"))
+
+
+def cells(spark, sf_dir):
+    from blockwise.operators.runs import grid_cells as gc
+    return gc(grid_filled(spark, sf_dir), experts=8)
+
+
+@query
+def grid_cells(spark, sf_dir):
+    """RJ x CF cells at E = 8: best ppl and step per sweep run."""
+    return cells(spark, sf_dir)
+
+
+@query
+def grid_pivot(spark, sf_dir):
+    """The RJ x CF grid of best ppl (duplicate cells fail)."""
+    from blockwise.operators.runs import grid_pivot as gp
+    return gp(cells(spark, sf_dir))
+
+
+@query
+def grid_labels(spark, sf_dir):
+    """Two-decimal labels of the finite grid cells."""
+    from blockwise.operators.runs import grid_labels as gl
+    return gl(cells(spark, sf_dir))
+
+
+@query
+def curves(spark, sf_dir):
+    """Validation curves of the RJ x CF runs at the evaluation steps."""
+    from blockwise.operators.runs import curves as cv
+    return cv(grid_filled(spark, sf_dir), prefix="all_moe_e8_rj", every=V.EVAL_EVERY)
+
+
+@query
+def sweep(spark, sf_dir):
+    """The 13-run study table with the rows and evaluations each run logged."""
+    from blockwise.operators.runs import sweep as sw
+    g = V.grid_log(spark, sf_dir).groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("val_ppl").alias("n_evals"))
+    return sw(spark, steps=V.SWEEP_STEPS).join(g, "run", "left").select(
+        "run", "kind", "moe_num_experts", "moe_router_jitter", "moe_capacity_factor", "steps",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("n_evals", F.lit(0)).alias("n_evals"))
+
+
+# The study's shared training settings.
+STUDY_SETTINGS = {"d_model": 512, "n_layer": 6, "n_head": 8, "seq_len": 256, "batch_size": 16,
+                  "bf16": True, "eval_every": 200, "val_batches": 50,
+                  "early_stop_patience": 5, "early_stop_min_delta": 0.1,
+                  "early_stop_warmup": 400, "seed": 42}
+
+
+@query
+def normalized_configs(spark, sf_dir):
+    """Effective layout of every run seen in the sweep logs: defaults, study
+    settings and per-run flags, then MoE layer / expert / d_ff rules."""
+    from blockwise.operators import runs as R
+    seen = V.grid_log(spark, sf_dir).select("run").distinct()
+    sw = R.sweep(spark, steps=V.SWEEP_STEPS).join(seen, "run", "left_semi").drop("launch", "kind")
+    cfg = R.normalize_configs(R.apply_overrides(R.config_defaults(sw), STUDY_SETTINGS))
+    return cfg.select("run", "moe_enabled", "n_experts",
+                      F.concat_ws(",", F.transform("moe_layer_list", lambda i: i.cast("string")))
+                      .alias("moe_layers"),
+                      "d_ff_eff", "moe_capacity_factor", "moe_router_jitter", "steps")
