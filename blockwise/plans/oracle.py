@@ -254,3 +254,59 @@ SELECT run, NOT no_moe AS moe_enabled, CASE WHEN no_moe THEN 0 ELSE moe_num_expe
        moe_capacity_factor, coalesce(moe_router_jitter, 0.0e0) AS moe_router_jitter, steps
 FROM sw WHERE run IN (SELECT run FROM grid_log)
 """
+
+FOLD = RUN_LOG + """,
+evs AS (SELECT run, step, ts, val_ppl AS v,
+              row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM run_log),
+fold AS (
+  SELECT run, i, step, (v + 0.1e0 < 'inf'::DOUBLE) AS improved,
+         CASE WHEN v + 0.1e0 < 'inf'::DOUBLE THEN v ELSE 'inf'::DOUBLE END AS best_val,
+         CAST(CASE WHEN v + 0.1e0 < 'inf'::DOUBLE THEN step ELSE -1 END AS BIGINT) AS best_step,
+         CAST(CASE WHEN v + 0.1e0 < 'inf'::DOUBLE THEN 0 ELSE 1 END AS BIGINT) AS no_improve
+  FROM evs WHERE i = 1
+  UNION ALL
+  SELECT e.run, e.i, e.step, (e.v + 0.1e0 < f.best_val),
+         CASE WHEN e.v + 0.1e0 < f.best_val THEN e.v ELSE f.best_val END,
+         CASE WHEN e.v + 0.1e0 < f.best_val THEN e.step ELSE f.best_step END,
+         CASE WHEN e.v + 0.1e0 < f.best_val THEN 0 ELSE f.no_improve + 1 END
+  FROM fold f JOIN evs e ON e.run = f.run AND e.i = f.i + 1),
+stops AS (
+  SELECT run, min(step) FILTER (WHERE NOT improved AND step >= 20 AND no_improve >= 5) AS stop_step,
+         max(step) AS last_step FROM fold GROUP BY run),
+es AS (
+  SELECT s.run, s.stop_step, f.best_val, f.best_step
+  FROM stops s JOIN fold f ON f.run = s.run AND f.step = coalesce(s.stop_step, s.last_step)),
+t0 AS (SELECT run, min(epoch_us(ts) / 1e6) AS t0 FROM run_log GROUP BY run),
+tstop AS (
+  SELECT r.run, min(r.step) FILTER (WHERE r.step % 5 = 0
+                                     AND (epoch_us(r.ts) / 1e6 - t0.t0) / 60e0 >= 30000)
+           AS time_stop_step
+  FROM run_log r JOIN t0 USING (run) GROUP BY r.run),
+ends AS (
+  SELECT s.run, least(coalesce(s.stop_step, 60), coalesce(t.time_stop_step, 60), 60, s.last_step)
+           AS end_step
+  FROM stops s JOIN tstop t USING (run))"""
+
+SQL["track_best"] = "WITH RECURSIVE " + FOLD + """
+SELECT run, step, improved, best_val, best_step, no_improve FROM fold
+"""
+
+SQL["early_stop"] = "WITH RECURSIVE " + FOLD + """
+SELECT run, stop_step, best_val, best_step FROM es
+"""
+
+SQL["time_stop"] = "WITH RECURSIVE " + FOLD + """
+SELECT run, time_stop_step FROM tstop
+"""
+
+SQL["truncate_runs"] = "WITH RECURSIVE " + FOLD + """
+SELECT r.run, r.step, r.val_ppl FROM run_log r JOIN ends USING (run) WHERE r.step <= ends.end_step
+"""
+
+SQL["pick_snapshot"] = "WITH RECURSIVE " + FOLD + """
+SELECT e.run, max(f.step) FILTER (WHERE f.improved) AS best_step, e.end_step AS last_step,
+       coalesce(max(f.step) FILTER (WHERE f.improved), e.end_step) AS snapshot_step,
+       e.end_step AS meta_step, CAST(floor(e.end_step / 10) AS BIGINT) AS n_saves
+FROM ends e JOIN fold f ON f.run = e.run AND f.step <= e.end_step
+GROUP BY e.run, e.end_step
+"""

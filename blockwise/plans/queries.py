@@ -240,3 +240,67 @@ def normalized_configs(spark, sf_dir):
                       F.concat_ws(",", F.transform("moe_layer_list", lambda i: i.cast("string")))
                       .alias("moe_layers"),
                       "d_ff_eff", "moe_capacity_factor", "moe_router_jitter", "steps")
+
+
+# ------------------------------------------------------------- stopping
+# Fixed values of the stopping queries. Patience and min delta are the
+# study's; warm-up, step budget, time limit and evaluation interval are
+# scaled to the event log (49-99 rows per run, about 30 days per run).
+PATIENCE, MIN_DELTA, WARMUP = 5, 0.1, 20
+RUN_STEPS, MAX_MINUTES, TIME_EVAL_EVERY, SAVE_EVERY = 60, 30000, 5, 10
+
+
+def _evals(spark, sf_dir):
+    return V.run_log(spark, sf_dir).select("run", "step", "ts", "val_ppl")
+
+
+@query
+def track_best(spark, sf_dir):
+    """Best tracking with hysteresis (min delta 0.1) over every evaluation."""
+    from blockwise.operators.stopping import track_best as tb
+    t = tb(_evals(spark, sf_dir), MIN_DELTA)
+    return t.select("run", "step", "improved", "best_val", "best_step", "no_improve")
+
+
+def _stops(spark, sf_dir):
+    from blockwise.operators.stopping import early_stop as es
+    return es(_evals(spark, sf_dir), PATIENCE, MIN_DELTA, WARMUP)
+
+
+@query
+def early_stop(spark, sf_dir):
+    """Plateau stop per run: patience 5, min delta 0.1, warm-up 20."""
+    return _stops(spark, sf_dir)
+
+
+def _times(spark, sf_dir):
+    from blockwise.operators.stopping import time_stop as ts
+    return ts(_evals(spark, sf_dir), MAX_MINUTES, TIME_EVAL_EVERY)
+
+
+@query
+def time_stop(spark, sf_dir):
+    """First evaluation (every 5th step) at or past 30000 minutes per run."""
+    return _times(spark, sf_dir)
+
+
+def _ends(spark, sf_dir):
+    from blockwise.operators.stopping import run_end
+    return run_end(_evals(spark, sf_dir), _stops(spark, sf_dir), _times(spark, sf_dir),
+                   RUN_STEPS)
+
+
+@query
+def truncate_runs(spark, sf_dir):
+    """Logs cut at the earliest of plateau stop, time stop and 60 steps."""
+    from blockwise.operators.stopping import truncate_runs as tr
+    return tr(_evals(spark, sf_dir), _ends(spark, sf_dir)).select("run", "step", "val_ppl")
+
+
+@query
+def pick_snapshot(spark, sf_dir):
+    """Snapshot per run: best step up to the end, else the end; saves
+    every 10 steps."""
+    from blockwise.operators.stopping import pick_snapshot as ps, track_best as tb
+    t = tb(_evals(spark, sf_dir), MIN_DELTA)
+    return ps(t, _ends(spark, sf_dir), SAVE_EVERY)
