@@ -1,6 +1,13 @@
 """Array algebra on small per-row vectors (logits, probabilities,
 embeddings). Everything is a higher-order function over the array; rows
-are never exploded per element."""
+are never exploded per element.
+
+Per-row scalars (max, sum, mean, variance, a hash uniform) are bound as
+lambda variables through ``aggregate``'s finish function. Written as plain
+sub-expressions inside a ``transform`` lambda they would be evaluated
+again for every element (Catalyst also folds separate columns back into
+the lambda), which made a 64-wide layer norm ~50x slower.
+"""
 
 from __future__ import annotations
 
@@ -27,19 +34,23 @@ def scale_array(a, s) -> Column:
     return F.transform(_c(a), lambda v: v * s)
 
 
+def _fold_max(l: Column, finish):
+    return F.aggregate(l, F.lit(float("-inf")), lambda a, x: F.greatest(a, x), finish)
+
+
 def softmax(logits) -> Column:
-    """Numerically stable softmax over an array of logits."""
+    """Numerically stable softmax over an array of logits (one pass for
+    the max, one for the sum, one for the division)."""
     l = _c(logits)
-    m = F.array_max(l)
-    e = F.transform(l, lambda x: F.exp(x - m))
-    s = array_sum(e)
-    return F.transform(e, lambda x: x / s)
+    return _fold_max(l, lambda m: F.aggregate(
+        l, F.lit(0.0), lambda a, x: a + F.exp(x - m),
+        lambda s: F.transform(l, lambda x: F.exp(x - m) / s)))
 
 
 def logsumexp(logits) -> Column:
     l = _c(logits)
-    m = F.array_max(l)
-    return m + F.log(array_sum(F.transform(l, lambda x: F.exp(x - m))))
+    return _fold_max(l, lambda m: m + F.log(F.aggregate(
+        l, F.lit(0.0), lambda a, x: a + F.exp(x - m))))
 
 
 def top1(probs) -> Column:
@@ -65,13 +76,19 @@ def temper(logits, t: float) -> Column:
 
 
 def layer_norm(v, eps: float = 1e-5, gain=None, bias=None) -> Column:
-    """(v - mean) / sqrt(var + eps), population variance, then gain and bias
-    (arrays of the same length, or None for 1 and 0)."""
+    """(v - mean) / sqrt(var + eps), population variance computed in two
+    passes, then gain and bias (arrays of the same length, or None for 1
+    and 0)."""
     v = F.transform(_c(v), lambda x: x.cast("double"))
     n = F.size(v).cast("double")
-    mean = array_sum(v) / n
-    var = array_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / n
-    y = F.transform(v, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    e = F.lit(float(eps))
+
+    def normed(s):
+        return F.aggregate(
+            v, F.lit(0.0), lambda a, x: a + (x - s / n) * (x - s / n),
+            lambda q: F.transform(v, lambda x: (x - s / n) / F.sqrt(q / n + e)))
+
+    y = F.aggregate(v, F.lit(0.0), lambda a, x: a + x, normed)
     if gain is not None:
         y = F.zip_with(y, _c(gain), lambda a, g: a * g)
     if bias is not None:
@@ -83,13 +100,15 @@ def draw(probs, u) -> Column:
     """Categorical draw: the first 0-based index whose running sum exceeds
     ``u`` in [0, 1); the last index if rounding leaves none."""
     p = _c(probs)
-    u = _c(u)
     init = F.struct(F.lit(0.0).alias("acc"), F.lit(-1).alias("pick"), F.lit(0).alias("i"))
 
-    def step(s, x):
-        acc = s["acc"] + x
-        pick = F.when((s["pick"] < 0) & (acc > u), s["i"]).otherwise(s["pick"])
-        return F.struct(acc.alias("acc"), pick.alias("pick"), (s["i"] + 1).alias("i"))
+    def walk(uu):
+        def step(s, x):
+            acc = s["acc"] + x
+            pick = F.when((s["pick"] < 0) & (acc > uu), s["i"]).otherwise(s["pick"])
+            return F.struct(acc.alias("acc"), pick.alias("pick"), (s["i"] + 1).alias("i"))
+        return F.aggregate(p, init, step, lambda r: r["pick"])
 
-    res = F.aggregate(p, init, step)
-    return F.when(res["pick"] < 0, F.size(p) - 1).otherwise(res["pick"]).cast("int")
+    # bind u once per row as a lambda variable
+    pick = F.aggregate(F.array(_c(u).cast("double")), F.lit(-1), lambda a, uu: walk(uu))
+    return F.when(pick < 0, F.size(p) - 1).otherwise(pick).cast("int")

@@ -310,3 +310,149 @@ SELECT e.run, max(f.step) FILTER (WHERE f.improved) AS best_step, e.end_step AS
 FROM ends e JOIN fold f ON f.run = e.run AND f.step <= e.end_step
 GROUP BY e.run, e.end_step
 """
+
+ROUTE = """vectors AS (SELECT vec_id, vec_id // 100 AS batch, CAST(embedding AS DOUBLE[]) AS vec, label
+            FROM embeddings),
+rtr AS (SELECT label AS expert, i, round(avg(CAST(x AS DOUBLE)), 6) AS w
+        FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+              FROM embeddings) GROUP BY label, i),
+rw AS (SELECT expert, list(w ORDER BY i) AS w FROM rtr GROUP BY expert),
+ne AS (SELECT count(*) AS e FROM rw),
+lg0 AS (SELECT v.vec_id, v.batch, v.label, r.expert, list_dot_product(v.vec, r.w) AS logit
+        FROM vectors v CROSS JOIN rw r),
+lg AS (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM lg0),
+pr AS (SELECT *, exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY vec_id) AS p,
+              mx + ln(sum(exp(logit - mx)) OVER (PARTITION BY vec_id)) AS lse FROM lg),
+top AS (SELECT vec_id, batch, label, expert AS top1, p AS top1_prob FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, expert) AS rk FROM pr)
+        WHERE rk = 1),
+stats AS (SELECT pr.batch, pr.expert, avg(pr.p) AS importance,
+                 avg(CASE WHEN t.top1 = pr.expert THEN 1.0e0 ELSE 0.0e0 END) AS load
+          FROM pr JOIN top t USING (vec_id) GROUP BY pr.batch, pr.expert),
+aux AS (SELECT batch, (SELECT e FROM ne) * sum(importance * load) AS aux FROM stats GROUP BY batch),
+ce AS (SELECT vec_id, batch, lse - logit AS ce FROM pr WHERE expert = label),
+capped AS (SELECT t.*, row_number() OVER (PARTITION BY batch, top1 ORDER BY vec_id)
+                   <= ceil(1.0e0 * count(*) OVER (PARTITION BY batch) / (SELECT e FROM ne)) AS kept
+           FROM top t)"""
+
+SQL["route_top1"] = "WITH " + ROUTE + """
+SELECT vec_id, batch, CAST(top1 AS INTEGER) AS top1, round(top1_prob, 6) AS top1_prob FROM top
+"""
+
+SQL["router_stats"] = "WITH " + ROUTE + """
+SELECT batch, CAST(expert AS INTEGER) AS expert, round(importance, 6) AS importance,
+       round(load, 6) AS load FROM stats
+"""
+
+SQL["aux_loss"] = "WITH " + ROUTE + "\nSELECT batch, round(aux, 6) AS aux FROM aux"
+
+SQL["total_loss"] = "WITH " + ROUTE + """,
+cb AS (SELECT batch, avg(ce) AS ce FROM ce GROUP BY batch)
+SELECT batch, round(ce, 6) AS ce, round(aux, 6) AS aux, round(ce + 0.01e0 * aux, 6) AS total
+FROM cb JOIN aux USING (batch)
+"""
+
+JITTERED = ROUTE.split(",\nlg AS")[0] + """,
+hu AS (SELECT *, (CAST(('0x' || substr(md5('42:' || vec_id || ':' || expert || ':a'), 1, 8)) AS BIGINT)
+                  + 0.5e0) / 4294967296e0 AS u1,
+                 (CAST(('0x' || substr(md5('42:' || vec_id || ':' || expert || ':b'), 1, 8)) AS BIGINT)
+                  + 0.5e0) / 4294967296e0 AS u2 FROM lg0),
+jl AS (SELECT vec_id, batch, expert,
+              logit + 0.05e0 * (sqrt(-2e0 * ln(u1)) * cos(2 * pi() * u2)) AS logit FROM hu),
+jm AS (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM jl),
+jp AS (SELECT *, exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY vec_id) AS p FROM jm)"""
+
+SQL["router_jitter"] = "WITH " + JITTERED + """
+SELECT vec_id, batch, CAST(expert AS INTEGER) AS top1, round(p, 6) AS top1_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, expert) AS rk FROM jp)
+WHERE rk = 1
+"""
+
+SQL["capacity_dispatch"] = "WITH " + ROUTE + """
+SELECT vec_id, batch, CAST(top1 AS INTEGER) AS expert, kept FROM capped
+"""
+
+SQL["dispatch_report"] = "WITH " + ROUTE + """
+SELECT CASE grouping(batch, top1) WHEN 0 THEN 'batch_expert' WHEN 2 THEN 'expert' ELSE 'all' END
+         AS level,
+       coalesce(batch, -1) AS batch, CAST(coalesce(top1, -1) AS INTEGER) AS expert,
+       count(*) AS routed,
+       CAST(sum(CAST(kept AS INTEGER)) AS BIGINT) AS kept,
+       CAST(count(*) - sum(CAST(kept AS INTEGER)) AS BIGINT) AS dropped,
+       round((count(*) - sum(CAST(kept AS INTEGER))) / count(*), 6) AS drop_rate
+FROM capped GROUP BY GROUPING SETS ((batch, top1), (top1), ())
+"""
+
+SQL["layer_norm"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT vec_id, x, list_sum(x) / len(x) AS m FROM v),
+s2 AS (SELECT vec_id, x, m, list_sum(list_transform(x, lambda a: (a - m) * (a - m))) / len(x) AS var FROM s),
+y AS (SELECT vec_id, list_transform(x, lambda a: (a - m) / sqrt(var + 1e-5)) AS y FROM s2)
+SELECT vec_id, round(list_min(y), 6) AS y_min, round(list_max(y), 6) AS y_max,
+       round(list_sum(list_transform(y, lambda a: abs(a))), 6) AS y_l1 FROM y
+"""
+
+SQL["embed_tokens"] = "WITH " + VOCAB + """,
+ve AS (SELECT tok, id FROM v UNION ALL SELECT '<eos>', (SELECT count(*) FROM v)),
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+t AS (SELECT p.split, p.doc_id, p.p AS gpos, ve.id % 500 AS emb_id, p.p % 64 AS pos
+      FROM pos p JOIN ve USING (tok))
+SELECT t.split, t.doc_id, t.gpos, t.emb_id, t.pos,
+       round(list_sum(list_transform(list_zip(e.vec, q.vec), lambda z: z[1] + z[2])), 6) AS emb_sum
+FROM t JOIN emb e ON e.vec_id = t.emb_id JOIN emb q ON q.vec_id = t.pos
+"""
+
+SQL["token_ce"] = "WITH " + ROUTE + "\nSELECT vec_id, batch, round(ce, 6) AS ce FROM ce"
+
+SQL["eval_loss"] = "WITH " + ROUTE + """,
+pb AS (SELECT batch, avg(ce) AS m, count(*) AS n FROM ce GROUP BY batch),
+fb AS (SELECT * FROM pb WHERE n = 100 AND batch < 50),
+agg AS (SELECT avg(m) AS l, count(*) AS nb FROM fb)
+SELECT round(coalesce(l, 'nan'::DOUBLE), 6) AS val_loss,
+       round(CASE WHEN nb = 0 THEN 'nan'::DOUBLE
+                  WHEN isfinite(l) AND l < 20 THEN exp(l) ELSE 'inf'::DOUBLE END, 3) AS val_ppl,
+       nb AS n_batches FROM agg
+"""
+
+PAIRS = CORPUS + """,
+wt AS (SELECT doc_id, split, lang, source, regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+') AS t
+       FROM corpus),
+wf AS (SELECT doc_id, split, lang, source, generate_subscripts(t, 1) AS i, unnest(t) AS tok FROM wt),
+pairs AS (SELECT * FROM (SELECT doc_id, split, lang, source, tok,
+                                lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM wf)
+          WHERE nxt IS NOT NULL),
+bg AS (SELECT tok, nxt, count(*) AS count FROM pairs WHERE split = 'train' GROUP BY tok, nxt),
+uni AS (SELECT tok, sum(count) AS ct FROM bg GROUP BY tok),
+nv AS (SELECT count(*) AS nv FROM uni),
+nll AS (SELECT p.doc_id, p.lang, p.source,
+               -ln((coalesce(b.count, 0) + 1.0e0) / (coalesce(u.ct, 0) + 1.0e0 * (SELECT nv FROM nv))) AS nll
+        FROM pairs p LEFT JOIN bg b ON b.tok = p.tok AND b.nxt = p.nxt
+        LEFT JOIN uni u ON u.tok = p.tok WHERE p.split = 'validation')"""
+
+SQL["bigram_fit"] = "WITH " + PAIRS + "\nSELECT tok, nxt, count FROM bg"
+
+PPL = "CASE WHEN isfinite(avg(nll)) AND avg(nll) < 20 THEN exp(avg(nll)) ELSE 'inf'::DOUBLE END"
+
+SQL["heldout_ppl"] = "WITH " + PAIRS + f"""
+SELECT doc_id, count(*) AS n_pairs, round(avg(nll), 6) AS loss, round({PPL}, 3) AS ppl
+FROM nll GROUP BY doc_id
+"""
+
+SQL["heldout_slices"] = "WITH " + PAIRS + f"""
+SELECT lang, source, count(*) AS n_pairs, round(avg(nll), 6) AS loss, round({PPL}, 3) AS ppl
+FROM nll GROUP BY GROUPING SETS ((lang), (source), ())
+"""
+
+SQL["temperature_draw"] = "WITH " + ROUTE.split(",\nlg AS")[0] + """,
+tl AS (SELECT vec_id, expert, logit / 0.8e0 AS l FROM lg0),
+tm AS (SELECT *, max(l) OVER (PARTITION BY vec_id) AS mx FROM tl),
+tp AS (SELECT *, exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY vec_id) AS p FROM tm),
+tc AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY expert
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+              CAST(('0x' || substr(md5('42:' || vec_id), 1, 8)) AS BIGINT) / 4294967296e0 AS u
+       FROM tp),
+pick AS (SELECT vec_id, coalesce(min(expert) FILTER (WHERE cum > u), max(expert)) AS d
+         FROM tc GROUP BY vec_id)
+SELECT k.vec_id, CAST(k.d AS INTEGER) AS draw, round(tp.p, 6) AS p_draw
+FROM pick k JOIN tp ON tp.vec_id = k.vec_id AND tp.expert = k.d
+"""

@@ -304,3 +304,222 @@ def pick_snapshot(spark, sf_dir):
     from blockwise.operators.stopping import pick_snapshot as ps, track_best as tb
     t = tb(_evals(spark, sf_dir), MIN_DELTA)
     return ps(t, _ends(spark, sf_dir), SAVE_EVERY)
+
+
+# -------------------------------------------------------------- routing
+JITTER, CAPACITY, TEMPERATURE = 0.05, 1.0, 0.8
+
+
+def routed(spark, sf_dir, jitter: float = 0.0):
+    from blockwise.operators import routing as R
+    lg = R.router_logits(V.vectors(spark, sf_dir), V.router(spark, sf_dir))
+    return R.route(R.add_jitter(lg, jitter, V.SEED))
+
+
+def n_experts(spark, sf_dir) -> int:
+    return V.router(spark, sf_dir).count()                       # a count
+
+
+@query
+def route_top1(spark, sf_dir):
+    """Top-1 expert and its probability for every vector."""
+    r = routed(spark, sf_dir)
+    return r.select("vec_id", "batch", "top1", F.round("top1_prob", 6).alias("top1_prob"))
+
+
+def _stats(spark, sf_dir):
+    from blockwise.operators.routing import router_stats as rs
+    return rs(routed(spark, sf_dir), n_experts(spark, sf_dir))
+
+
+@query
+def router_stats(spark, sf_dir):
+    """Importance and load per batch and expert."""
+    s = _stats(spark, sf_dir)
+    return s.select("batch", "expert", F.round("importance", 6).alias("importance"),
+                    F.round("load", 6).alias("load"))
+
+
+def _aux(spark, sf_dir):
+    from blockwise.operators.routing import aux_loss as al
+    return al(_stats(spark, sf_dir), n_experts(spark, sf_dir))
+
+
+@query
+def aux_loss(spark, sf_dir):
+    """Balance loss per batch (1.0 when balanced)."""
+    return _aux(spark, sf_dir).select("batch", F.round("aux", 6).alias("aux"))
+
+
+def _ce(spark, sf_dir):
+    from blockwise.operators.scoring import token_ce as tc
+    return tc(routed(spark, sf_dir).withColumn("target", F.col("label")))
+
+
+@query
+def total_loss(spark, sf_dir):
+    """Per batch: mean cross-entropy (target = label), balance loss and
+    ce + 0.01 * aux."""
+    from blockwise.operators.routing import total_loss as tl
+    ce = _ce(spark, sf_dir).groupBy("batch").agg(F.avg("ce").alias("ce"))
+    t = tl(ce, _aux(spark, sf_dir))
+    return t.select("batch", *[F.round(c, 6).alias(c) for c in ("ce", "aux", "total")])
+
+
+@query
+def router_jitter(spark, sf_dir):
+    """Routing with jitter 0.05 (hash-seeded normals, seed 42)."""
+    r = routed(spark, sf_dir, JITTER)
+    return r.select("vec_id", "batch", "top1", F.round("top1_prob", 6).alias("top1_prob"))
+
+
+def _capped(spark, sf_dir):
+    from blockwise.operators.routing import apply_capacity
+    return apply_capacity(routed(spark, sf_dir), CAPACITY, n_experts(spark, sf_dir))
+
+
+@query
+def capacity_dispatch(spark, sf_dir):
+    """Capacity cap ceil(1.0 * rows / E) per batch and expert, in vec_id order."""
+    c = _capped(spark, sf_dir)
+    return c.select("vec_id", "batch", F.col("top1").alias("expert"), "kept")
+
+
+@query
+def dispatch_report(spark, sf_dir):
+    """Routed / kept / dropped / drop rate per batch and expert, per expert
+    and overall."""
+    from blockwise.operators.routing import dispatch_report as dr
+    d = dr(_capped(spark, sf_dir))
+    return d.withColumn("drop_rate", F.round("drop_rate", 6))
+
+
+def _scored(spark, sf_dir):
+    from blockwise.operators.scoring import init_expert_weights, score_experts
+    c = _capped(spark, sf_dir).filter("kept")
+    w = init_expert_weights(n_experts(spark, sf_dir), 64, 256, V.SEED)
+    return score_experts(c, w)
+
+
+@query
+def expert_scores(spark, sf_dir):
+    """Gated expert feed-forward outputs of the kept rows (d_ff 256)."""
+    from blockwise.functions.arrays import array_sum
+    s = _scored(spark, sf_dir)
+    return s.select("vec_id", F.col("top1").alias("expert"),
+                    F.round(array_sum("y"), 6).alias("y_sum"))
+
+
+@query
+def moe_combine(spark, sf_dir):
+    """Residual combine: x + gated expert output; dropped rows pass unchanged."""
+    from blockwise.functions.arrays import array_sum
+    from blockwise.operators.routing import combine
+    x = _capped(spark, sf_dir).select("vec_id", "vec", "kept")
+    out = combine(x, _scored(spark, sf_dir))
+    return out.select("vec_id", "kept", F.round(array_sum("out"), 6).alias("out_sum"))
+
+
+@query
+def layer_norm(spark, sf_dir):
+    """Row-vector layer norm of every embedding (eps 1e-5, gain 1, bias 0)."""
+    from blockwise.functions.arrays import array_sum, layer_norm as ln
+    e = V.vectors(spark, sf_dir).withColumn("y", ln("vec"))
+    return e.select("vec_id", F.round(F.array_min("y"), 6).alias("y_min"),
+                    F.round(F.array_max("y"), 6).alias("y_max"),
+                    F.round(array_sum(F.transform("y", lambda v: F.abs(v))), 6).alias("y_l1"))
+
+
+EMB_SEQ = 64
+
+
+@query
+def embed_tokens(spark, sf_dir):
+    """Every corpus token as token vector + position vector: token id %
+    500 selects the embedding row, the position inside its block of 64
+    selects a positional row (embeddings with vec_id < 64)."""
+    from blockwise.functions.arrays import array_sum
+    from blockwise.operators import corpus as Cc
+    from blockwise.operators.routing import embed_tokens as et
+    d = Cc.token_offsets(V.tokens(spark, sf_dir))
+    v = word_vocab(spark, sf_dir).select("tok", "id")
+    ve = v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
+        F.lit(Cc.EOS_TOKEN).alias("tok"), "id"))
+    t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
+          .join(ve, "tok")
+          .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "id"))
+    t = t.withColumn("emb_id", F.col("id") % 500).withColumn("pos", F.col("gpos") % EMB_SEQ)
+    vec = V.vectors(spark, sf_dir)
+    emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
+    pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
+                                                      F.col("vec").alias("pvec"))
+    x = et(t, emb, pos, EMB_SEQ)
+    return x.select("split", "doc_id", "gpos", "emb_id", "pos",
+                    F.round(array_sum("x"), 6).alias("emb_sum"))
+
+
+# ------------------------------------------------------------ scoring
+@query
+def token_ce(spark, sf_dir):
+    """Cross-entropy of router logits against the label, per vector."""
+    return _ce(spark, sf_dir).select("vec_id", "batch", F.round("ce", 6).alias("ce"))
+
+
+@query
+def eval_loss(spark, sf_dir):
+    """Mean of full-batch mean cross-entropies over the first 50 batches,
+    and its guarded perplexity."""
+    from blockwise.operators.scoring import eval_loss as el
+    e = el(_ce(spark, sf_dir), V.VEC_BATCH, V.VAL_BATCHES)
+    return e.select(F.round("val_loss", 6).alias("val_loss"),
+                    F.round("val_ppl", 3).alias("val_ppl"), "n_batches")
+
+
+def _bigrams(spark, sf_dir):
+    from blockwise.operators.scoring import fit_bigrams
+    return fit_bigrams(V.tokens(spark, sf_dir, eos=False).filter(F.col("split") == "train"))
+
+
+@query
+def bigram_fit(spark, sf_dir):
+    """Bigram counts over the train documents (no end markers)."""
+    return _bigrams(spark, sf_dir)
+
+
+def _nll(spark, sf_dir):
+    from blockwise.operators.scoring import score_heldout
+    val = V.tokens(spark, sf_dir, eos=False).filter(F.col("split") == "validation")
+    return score_heldout(val, _bigrams(spark, sf_dir), 1.0, keep=("doc_id", "lang", "source"))
+
+
+@query
+def heldout_ppl(spark, sf_dir):
+    """Add-one smoothed bigram loss and perplexity per validation document."""
+    from blockwise.operators.scoring import heldout_loss
+    h = heldout_loss(_nll(spark, sf_dir), ["doc_id"])
+    return h.select("doc_id", "n_pairs", F.round("loss", 6).alias("loss"),
+                    F.round("ppl", 3).alias("ppl"))
+
+
+@query
+def heldout_slices(spark, sf_dir):
+    """The same loss by language, by source and overall (grouping sets)."""
+    from blockwise.functions.numeric import perplexity
+    n = _nll(spark, sf_dir)
+    g = n.groupingSets([["lang"], ["source"], []], "lang", "source").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("nll").alias("loss"))
+    return g.select("lang", "source", "n_pairs", F.round("loss", 6).alias("loss"),
+                    F.round(perplexity("loss"), 3).alias("ppl"))
+
+
+@query
+def temperature_draw(spark, sf_dir):
+    """Seeded draw of an expert per vector from softmax(logits / 0.8); the
+    context is cut to the last 64 dimensions first (seq_len 64)."""
+    from blockwise.functions.numeric import last_n
+    from blockwise.operators import routing as R
+    from blockwise.operators.scoring import temperature_draw as td
+    v = V.vectors(spark, sf_dir).withColumn("vec", last_n("vec", EMB_SEQ))
+    lg = R.router_logits(v, V.router(spark, sf_dir))
+    d = td(lg, TEMPERATURE, V.SEED)
+    return d.select("vec_id", "draw", F.round("p_draw", 6).alias("p_draw"))
