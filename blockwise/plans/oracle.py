@@ -456,3 +456,8 @@ pick AS (SELECT vec_id, coalesce(min(expert) FILTER (WHERE cum > u), max(expert)
 SELECT k.vec_id, CAST(k.d AS INTEGER) AS draw, round(tp.p, 6) AS p_draw
 FROM pick k JOIN tp ON tp.vec_id = k.vec_id AND tp.expert = k.d
 """
+
+# The streaming monitor must agree with the batch fold on the runs that stop.
+SQL["live_early_stop"] = "WITH RECURSIVE " + FOLD + """
+SELECT run, stop_step, best_val, best_step FROM es WHERE stop_step IS NOT NULL
+"""

@@ -523,3 +523,25 @@ def temperature_draw(spark, sf_dir):
     lg = R.router_logits(v, V.router(spark, sf_dir))
     d = td(lg, TEMPERATURE, V.SEED)
     return d.select("vec_id", "draw", F.round("p_draw", 6).alias("p_draw"))
+
+
+# ------------------------------------------------------------ streaming
+@query
+def live_early_stop(spark, sf_dir):
+    """The event run log written as parts in step order, replayed through
+    the streaming plateau monitor (availableNow); its 'stop' events."""
+    from blockwise.session import scratch_path
+    from blockwise.streaming import metrics as S
+    base = scratch_path(spark, "live-early-stop")
+    log = V.run_log(spark, sf_dir).select("run", "step", "val_ppl")
+    edges = [0, 25, 50, 75, None]                   # step chunks, written in order
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = log.filter(log.step > lo) if hi is None else log.filter(
+            (log.step > lo) & (log.step <= hi))
+        part.write.mode("append").parquet(f"{base}/parts")
+    ev = S.stream_early_stop(S.stream_metrics(spark, f"{base}/parts", files_per_batch=8),
+                             PATIENCE, MIN_DELTA, WARMUP)
+    S.run_to_end(ev, f"{base}/events", f"{base}/checkpoint")
+    e = spark.read.schema(S.EVENT_SCHEMA).parquet(f"{base}/events")
+    return e.filter(F.col("event") == "stop").select(
+        "run", F.col("step").alias("stop_step"), F.col("best_val"), "best_step")
