@@ -538,7 +538,9 @@ def live_early_stop(spark, sf_dir):
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = log.filter(log.step > lo) if hi is None else log.filter(
             (log.step > lo) & (log.step <= hi))
-        part.write.mode("append").parquet(f"{base}/parts")
+        # one file holds all of a run's rows of the chunk, so files of one
+        # chunk may be read in any order; chunks are written in step order
+        part.repartition("run").write.mode("append").parquet(f"{base}/parts")
     ev = S.stream_early_stop(S.stream_metrics(spark, f"{base}/parts", files_per_batch=8),
                              PATIENCE, MIN_DELTA, WARMUP)
     S.run_to_end(ev, f"{base}/events", f"{base}/checkpoint")

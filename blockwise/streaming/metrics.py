@@ -1,7 +1,9 @@
 """Incremental metric ingest (H1) and a live plateau monitor (H2).
 
-Producers write *new* files (parts) per chunk of steps; the file source
-only sees whole new files, never a growing one. The monitor keeps one small
+Producers write *new* files (parts) per chunk of steps, chunks in step
+order, with all of a run's rows of a chunk in one file (e.g.
+``repartition('run')`` before the write); the file source only sees whole
+new files, never a growing one. The monitor keeps one small
 state per run with ``applyInPandasWithState``: (best, best_step,
 no_improve, stop_step, last_step, late). Inside a micro-batch a run's rows
 are sorted by step; rows at or below the last seen step are late and only
