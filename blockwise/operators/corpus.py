@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from blockwise.operators.prefix import two_level_prefix_sum, two_level_rank
+from blockwise.session import cut
 
 # The word encoder's token pattern (maximal runs of anything
 # but space, tab, CR, LF) and its end-of-document marker.
@@ -65,6 +66,7 @@ def build_vocab(tokens: DataFrame, tok_col: str = "toks", min_count: int = 1,
     counts = t.groupBy("tok").agg(F.count(F.lit(1)).alias("count"))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
+    counts = cut(counts)                  # read twice by the rank; one row per type
     bucket = F.struct((-F.col("count")).alias("c"), F.substring("tok", 1, 2).alias("p"))
     ranked = two_level_rank(counts, [F.col("count").desc(), F.col("tok").asc()], bucket, out="id")
     return ranked.select("tok", "count", "id")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from blockwise.functions.arrays import cross_entropy, draw, softmax, temper
 from blockwise.functions.hashing import hash_uniform
 from blockwise.functions.numeric import NAN, perplexity
+from blockwise.session import cut
 
 
 def token_ce(df: DataFrame, logits: str = "logits", target: str = "target",
@@ -60,6 +61,7 @@ def score_heldout(tokens: DataFrame, bigrams: DataFrame, smoothing: float = 1.0,
     p = (c(tok, nxt) + k) / (c(tok) + k * V), V = distinct first tokens
     of the fitted pairs. Returns (keep..., tok, nxt, nll); aggregate with
     :func:`heldout_loss`. Both joins are equi-joins; AQE splits hot tokens."""
+    bigrams = cut(bigrams)                # read three times below
     uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
     V = uni.agg(F.count(F.lit(1)).alias("_V"))
     p = bigram_pairs(tokens, tok_col, keep)

@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from blockwise.functions.numeric import INF, not_missing
-from blockwise.operators.prefix import two_level_ffill, two_level_prev_min, two_level_rank
 from blockwise.operators.runs import STEP_BUCKET, step_bucket
+from blockwise.session import cut
+
+_B = "_bkt"
 
 
 def _accept_chain(delta: float):
@@ -58,41 +60,62 @@ def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
     """Per evaluation row: ``improved``, ``best_val`` (+inf before any),
     ``best_step`` (-1 before any), ``eval_idx`` (0-based) and
     ``no_improve`` after the row (G14). ``evals`` holds only evaluation
-    rows (run, step, value)."""
-    b = step_bucket(bucket_width)
-    d = two_level_prev_min(evals, value, "step", b, ["run"], out="_pm")
-    cand = not_missing(value) & (F.col(value) < F.col("_pm"))
+    rows (run, step, value, ...).
+
+    Work: the input is cut once; one two-level pass gives the earlier-rows
+    minimum and the evaluation index; that result is cut (it feeds both the
+    candidate walk and the final pass); the accepted rows are few, so their
+    per-bucket carry is computed from them alone."""
+    part = ["run", _B]
+    v = F.col(value)
+    base = cut(evals).withColumn(_B, step_bucket(bucket_width))
+    ok = F.when(not_missing(value), v)
+    summ = base.groupBy(*part).agg(F.min(ok).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("run").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summ.select(*part, F.min("_m").over(wb).alias("_cm"),
+                          F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_cn"))
+    w_in = Window.partitionBy(*part).orderBy("step")
+    w_ex = w_in.rowsBetween(Window.unboundedPreceding, -1)
+    d = (base.join(carried, part)
+             .withColumn("_pm", F.coalesce(F.least(F.col("_cm"), F.min(ok).over(w_ex)),
+                                           F.lit(INF)))
+             .withColumn("eval_idx", (F.col("_cn") + F.row_number().over(w_in) - 1).cast("long"))
+             .withColumn("_cand", not_missing(value) & (v < F.col("_pm")))
+             .drop("_cm", "_cn", "_pm"))
+    d = cut(d)
+    cand = d.filter("_cand").select("run", "step", _B, "eval_idx", v.cast("double").alias("_v"))
     if min_delta == 0:
-        d = d.withColumn("improved", cand)
+        acc = cand
     else:
-        c = d.filter(cand).select("run", "step", F.col(value).cast("double").alias("v"))
-        acc = c.groupBy("run").applyInPandas(_accept_chain(float(min_delta)),
-                                             "run string, step long, accepted boolean")
-        d = (d.join(acc, ["run", "step"], "left")
-              .withColumn("improved", F.coalesce(F.col("accepted"), F.lit(False)))
-              .drop("accepted"))
-    d = two_level_rank(d.drop("_pm"), [F.col("step")], b, ["run"], out="eval_idx")
-    d = (d.withColumn("_as", F.when(F.col("improved"), F.col("step")))
-          .withColumn("_av", F.when(F.col("improved"), F.col(value)))
-          .withColumn("_ai", F.when(F.col("improved"), F.col("eval_idx"))))
-    d = two_level_ffill(d, ["_as", "_av", "_ai"], "step", b, ["run"])
-    return (d.withColumn("best_val", F.coalesce(F.col("_av"), F.lit(INF)))
-             .withColumn("best_step", F.coalesce(F.col("_as"), F.lit(-1)).cast("long"))
-             .withColumn("no_improve", F.when(F.col("_ai").isNull(), F.col("eval_idx") + 1)
-                         .otherwise(F.col("eval_idx") - F.col("_ai")).cast("long"))
-             .drop("_as", "_av", "_ai"))
-
-
-def early_stop(evals: DataFrame, patience: int, min_delta: float, warmup: int,
-               value: str = "val_ppl") -> DataFrame:
-    """Plateau stop per run (G15): the first evaluation with step >= warmup
-    and no_improve >= patience (non-improvements during warm-up count; inf
-    and NaN never improve). (run, stop_step NULL if none, best_val,
-    best_step) with the best state at the stop, or at the last evaluation."""
-    t = track_best(evals, min_delta, value)
+        chain = cand.select("run", "step", F.col("_v").alias("v")).groupBy("run").applyInPandas(
+            _accept_chain(float(min_delta)), "run string, step long, accepted boolean")
+        acc = cand.join(chain.filter("accepted"), ["run", "step"]).drop("accepted")
+    # last accepted (step, value, index) of each earlier bucket, from the few accepted rows
+    last = acc.groupBy(*part).agg(F.max_by(F.struct("step", "_v", "eval_idx"), "step")
+                                  .alias("_l"))
+    lw = Window.partitionBy("run").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = summ.select(*part).join(last, part, "left")       # every bucket, small
+    carry = buckets.select(*part, F.last("_l", ignorenulls=True).over(lw).alias("_c"))
+    marks = acc.select("run", "step", F.lit(True).alias("improved"))
+    w_f = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    r = (d.drop("_cand").join(marks, ["run", "step"], "left")
+          .withColumn("improved", F.coalesce(F.col("improved"), F.lit(False)))
+          .join(carry, part, "left"))
+    cur = F.when(F.col("improved"), F.struct(F.col("step"), v.cast("double").alias("_v"),
+                                             F.col("eval_idx")))
+    r = r.withColumn("_a", F.coalesce(F.last(cur, ignorenulls=True).over(w_f), F.col("_c")))
+    return (r.withColumn("best_val", F.coalesce(F.col("_a._v"), F.lit(INF)))
+             .withColumn("best_step", F.coalesce(F.col("_a.step"), F.lit(-1)).cast("long"))
+             .withColumn("no_improve", F.when(F.col("_a").isNull(), F.col("eval_idx") + 1)
+                         .otherwise(F.col("eval_idx") - F.col("_a.eval_idx")).cast("long"))
+             .drop("_a", "_c", _B))
+
+
+def stops_from(tracked: DataFrame, patience: int, warmup: int) -> DataFrame:
+    """Plateau stop per run from :func:`track_best` rows (see early_stop)."""
     stop = (~F.col("improved")) & (F.col("step") >= warmup) & (F.col("no_improve") >= patience)
     st = F.struct("best_val", "best_step")
-    g = t.groupBy("run").agg(
+    g = tracked.groupBy("run").agg(
         F.min(F.when(stop, F.col("step"))).alias("stop_step"),
         F.min_by(st, F.when(stop, F.col("step"))).alias("_at_stop"),
         F.max_by(st, F.col("step")).alias("_at_end"))
@@ -101,6 +124,15 @@ def early_stop(evals: DataFrame, patience: int, min_delta: float, warmup: int,
                     s["best_step"].alias("best_step"))
 
 
+def early_stop(evals: DataFrame, patience: int, min_delta: float, warmup: int,
+               value: str = "val_ppl") -> DataFrame:
+    """Plateau stop per run (G15): the first evaluation with step >= warmup
+    and no_improve >= patience (non-improvements during warm-up count; inf
+    and NaN never improve). (run, stop_step NULL if none, best_val,
+    best_step) with the best state at the stop, or at the last evaluation."""
+    return stops_from(track_best(evals, min_delta, value), patience, warmup)
+
+
 def time_stop(log: DataFrame, max_minutes: float | None, eval_every: int,
               ts_col: str = "ts") -> DataFrame:
     """Time stop per run (G16): the first evaluation step (step % k == 0)

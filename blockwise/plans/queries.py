@@ -262,9 +262,15 @@ def track_best(spark, sf_dir):
     return t.select("run", "step", "improved", "best_val", "best_step", "no_improve")
 
 
-def _stops(spark, sf_dir):
-    from blockwise.operators.stopping import early_stop as es
-    return es(_evals(spark, sf_dir), PATIENCE, MIN_DELTA, WARMUP)
+def _tracked(spark, sf_dir):
+    from blockwise.operators.stopping import track_best as tb
+    return tb(_evals(spark, sf_dir), MIN_DELTA)
+
+
+def _stops(spark, sf_dir, tracked=None):
+    from blockwise.operators.stopping import stops_from
+    return stops_from(tracked if tracked is not None else _tracked(spark, sf_dir),
+                      PATIENCE, WARMUP)
 
 
 @query
@@ -284,9 +290,9 @@ def time_stop(spark, sf_dir):
     return _times(spark, sf_dir)
 
 
-def _ends(spark, sf_dir):
+def _ends(spark, sf_dir, tracked=None):
     from blockwise.operators.stopping import run_end
-    return run_end(_evals(spark, sf_dir), _stops(spark, sf_dir), _times(spark, sf_dir),
+    return run_end(_evals(spark, sf_dir), _stops(spark, sf_dir, tracked), _times(spark, sf_dir),
                    RUN_STEPS)
 
 
@@ -301,9 +307,9 @@ def truncate_runs(spark, sf_dir):
 def pick_snapshot(spark, sf_dir):
     """Snapshot per run: best step up to the end, else the end; saves
     every 10 steps."""
-    from blockwise.operators.stopping import pick_snapshot as ps, track_best as tb
-    t = tb(_evals(spark, sf_dir), MIN_DELTA)
-    return ps(t, _ends(spark, sf_dir), SAVE_EVERY)
+    from blockwise.operators.stopping import pick_snapshot as ps
+    t = _tracked(spark, sf_dir)
+    return ps(t, _ends(spark, sf_dir, t), SAVE_EVERY)
 
 
 # -------------------------------------------------------------- routing

@@ -47,14 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     When unset, as in local tests, a private folder is created and set, so
     later calls in the same session agree.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
         d = tempfile.mkdtemp(prefix="blockwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def cut(df):
+    """Cut lineage where an intermediate is read more than once: a reliable
+    checkpoint into the shared folder (written once, survives executor
+    loss, keeps its partitioning)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
