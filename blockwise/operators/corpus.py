@@ -24,13 +24,20 @@ DOC_BUCKET = 1 << 14     # documents per bucket of the two-level prefix sums
 
 
 def tokenize_words(df: DataFrame, text_col: str = "text", out: str = "toks",
-                   eos: str | None = EOS_TOKEN) -> DataFrame:
+                   eos: str | None = EOS_TOKEN, count_col: str | None = "n") -> DataFrame:
     """Word encoder (B1): whitespace-split tokens; with ``eos`` one end
-    marker is appended after every document, empty ones included (B5)."""
-    toks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN), 0)
+    marker is appended after every document, empty ones included (B5).
+    ``count_col`` also gets the token count from a counting regex over the
+    same pattern, so passes that need only counts (offsets, totals) never
+    build the token arrays."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    toks = F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
+    n = F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
     if eos is not None:
         toks = F.concat(toks, F.array(F.lit(eos)))
-    return df.withColumn(out, toks)
+        n = n + 1
+    out_df = df.withColumn(out, toks)
+    return out_df.withColumn(count_col, n) if count_col else out_df
 
 
 def check_special(df: DataFrame, markers: Sequence[str], text_col: str = "text",
@@ -112,12 +119,14 @@ def validation_cap(max_samples: int | None) -> int:
 def token_offsets(df: DataFrame, tok_col: str = "toks", order_col: str = "doc_id",
                   partition_cols: Sequence[str] = ("split",),
                   bucket_width: int = DOC_BUCKET) -> DataFrame:
-    """Add ``n`` (tokens) and ``start`` (global offset of the document's
-    first token in its split's stream) via a two-level prefix sum (C1)."""
-    d = df.withColumn("n", F.size(tok_col).cast("long"))
+    """Add ``start`` (global offset of the document's first token in its
+    split's stream, two-level prefix sum, C1) and ``total`` (tokens in the
+    split, taken from the small bucket table). Uses the ``n`` column when
+    present (see :func:`tokenize_words`), else ``size(tok_col)``."""
+    d = df if "n" in df.columns else df.withColumn("n", F.size(tok_col).cast("long"))
     return two_level_prefix_sum(d, "n", [F.col(order_col)],
                                 F.floor(F.col(order_col) / F.lit(bucket_width)),
-                                partition_cols, out="start")
+                                partition_cols, out="start", total="total")
 
 
 def n_blocks(n_tokens, seq_len: int):
@@ -131,7 +140,7 @@ def n_blocks(n_tokens, seq_len: int):
 def pack_blocks(docs: DataFrame, seq_len: int, tok_col: str = "toks",
                 partition_cols: Sequence[str] = ("split",)) -> DataFrame:
     """Fixed-length shifted blocks (C2, C3, C4) from documents carrying
-    ``start`` and ``n`` (see :func:`token_offsets`).
+    ``start``, ``n`` and ``total`` (see :func:`token_offsets`).
 
     Block b holds stream positions [bL, bL+L]: x = first L, y = last L.
     Blocks lying inside one document are cut in place (no shuffle); only
@@ -141,9 +150,7 @@ def pack_blocks(docs: DataFrame, seq_len: int, tok_col: str = "toks",
     """
     L = int(seq_len)
     part = list(partition_cols)
-    totals = docs.groupBy(*part).agg(F.sum("n").alias("_N"))
-    d = docs.join(totals, on=part) if part else docs.crossJoin(totals)
-    d = d.withColumn("_nb", n_blocks(F.col("_N"), L))
+    d = docs.withColumn("_nb", n_blocks(F.col("total"), L))
     start, n = F.col("start"), F.col("n")
     lo_b = F.greatest(F.lit(0), ((start - 1) / F.lit(L)).cast("long"))
     lo_b = F.when(start == 0, F.lit(0)).otherwise(lo_b)

@@ -52,14 +52,19 @@ def two_level_rank(df: DataFrame, order_cols: Sequence, bucket: Column,
 
 
 def two_level_prefix_sum(df: DataFrame, value: str, order_cols: Sequence, bucket: Column,
-                         partition_cols: Sequence[str] = (), out: str = "start") -> DataFrame:
+                         partition_cols: Sequence[str] = (), out: str = "start",
+                         total: str | None = None) -> DataFrame:
     """Add ``out``: exclusive running sum of ``value`` in order within
-    ``partition_cols`` (the first row gets 0)."""
+    ``partition_cols`` (the first row gets 0); with ``total`` also the sum
+    over the whole partition, from the bucket table."""
     part = _parts(partition_cols)
     d = df.withColumn(_B, bucket)
-    sums = d.groupBy(*part, _B).agg(F.sum(value).alias("_s"))
-    offs = sums.select(*part, _B, F.coalesce(F.sum("_s").over(_bucket_window(part)),
-                                             F.lit(0)).alias("_off"))
+    sums = d.select(*part, _B, value).groupBy(*part, _B).agg(F.sum(value).alias("_s"))
+    cols = [*part, _B, F.coalesce(F.sum("_s").over(_bucket_window(part)), F.lit(0)).alias("_off")]
+    if total:
+        whole = Window.partitionBy(*part) if part else Window.partitionBy()
+        cols.append(F.sum("_s").over(whole).cast("long").alias(total))
+    offs = sums.select(*cols)
     inner = (Window.partitionBy(*part, _B).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
     return (d.join(offs, on=[*part, _B])

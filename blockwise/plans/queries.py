@@ -93,7 +93,8 @@ def bpe_tokens(spark, sf_dir):
 
 
 def report(spark, sf_dir):
-    return C.corpus_report(packed_docs(spark, sf_dir), V.SEQ_LEN, V.BATCH)
+    # counts only: the token arrays are pruned from this plan
+    return C.corpus_report(V.tokens(spark, sf_dir), V.SEQ_LEN, V.BATCH)
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blockwise.functions.numeric import INF, NAN
 from blockwise.operators.corpus import tokenize_words
 from blockwise.operators.prefix import two_level_rank
+from blockwise.sources.corpus import spread
 
 # Fixed values of the study layout.
 SEQ_LEN = 256          # block length L
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with split = 'validation' when doc_id % 10 = 0, else 'train'."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     split = F.when(F.col("doc_id") % 10 == 0, F.lit("validation")).otherwise(F.lit("train"))
     return d.select("doc_id", split.alias("split"), "text", "lang", "source")
 

@@ -60,11 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Cut lineage where an intermediate is read more than once: a reliable
-    checkpoint into the shared folder (written once, survives executor
-    loss, keeps its partitioning)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage where an intermediate is read more than once: the frame
+    is written once as a parquet table in the shared folder and read back
+    (one computation, survives executor loss; ``Dataset.checkpoint`` would
+    compute an unpersisted plan twice)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

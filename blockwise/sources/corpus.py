@@ -13,3 +13,15 @@ def read_corpus(spark: SparkSession, path: str, split: str | None = None,
     if split is not None:
         df = df.filter(F.col("split") == F.lit(split))
     return df.select(*columns)
+
+
+def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Hash-repartition by ``key`` only when the scan yields fewer
+    partitions than ``factor`` x the default parallelism (e.g. one large
+    row group holding a whole table). A large input already has enough
+    splits and is left alone, so no extra shuffle happens at scale."""
+    spark = df.sparkSession
+    want = factor * spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
