@@ -20,7 +20,7 @@ from blockwise.session import cut
 WORD_PATTERN = r"[^ \t\r\n]+"
 EOS_TOKEN = "<eos>"
 
-DOC_BUCKET = 1 << 14     # documents per bucket of the two-level prefix sums
+DOC_BUCKET = 1 << 10     # documents per bucket of the two-level prefix sums
 
 
 def tokenize_words(df: DataFrame, text_col: str = "text", out: str = "toks",
@@ -79,22 +79,49 @@ def build_vocab(tokens: DataFrame, tok_col: str = "toks", min_count: int = 1,
     return ranked.select("tok", "count", "id")
 
 
+HOT_TOKENS = 1 << 16      # most frequent vocabulary rows joined by broadcast
+
+
+def _hot_cold_join(rows: DataFrame, vocab: DataFrame, key: str, hot: int,
+                   always_hot: Sequence[str]) -> DataFrame:
+    """Left join of token rows to the vocabulary on ``key`` ('tok' or
+    'id') that is safe for hot keys: ids are frequency ranks, so the rows
+    with id < ``hot`` (plus ``always_hot`` tokens such as the end marker)
+    are the heavy hitters. They are broadcast (at most hot + len(always_hot)
+    rows); the remaining rows, none of which can be hot, go through a
+    shuffle join."""
+    other = "id" if key == "tok" else "tok"
+    v = vocab.select("tok", "id")
+    is_hot = F.col("id") < F.lit(hot)
+    if always_hot:
+        is_hot = is_hot | F.col("tok").isin(list(always_hot))
+    hot_v = v.filter(is_hot)
+    cold_v = v.filter(~is_hot)
+    j = rows.join(F.broadcast(hot_v.withColumnRenamed(other, "_h")), key, "left")
+    done = j.filter(F.col("_h").isNotNull()).withColumnRenamed("_h", other)
+    rest = j.filter(F.col("_h").isNull()).drop("_h").join(cold_v, key, "left")
+    return done.unionByName(rest)
+
+
 def encode_ids(tokens: DataFrame, vocab: DataFrame, key: str = "doc_id", tok_col: str = "toks",
-               out: str = "ids", unknown: int = -1) -> DataFrame:
+               out: str = "ids", unknown: int = -1, hot: int = HOT_TOKENS,
+               always_hot: Sequence[str] = (EOS_TOKEN,)) -> DataFrame:
     """Map each document's token array to ids through an equi-join with the
-    vocabulary (B3). Hot tokens are handled by AQE skew-join splitting."""
+    vocabulary (B3); hot tokens are broadcast (see ``_hot_cold_join``),
+    then each document's ids are regrouped in position order."""
     ex = tokens.select(key, F.posexplode(tok_col).alias("pos", "tok"))
-    j = ex.join(vocab.select("tok", "id"), on="tok", how="left")
+    j = _hot_cold_join(ex, vocab, "tok", hot, always_hot)
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         "pos", F.coalesce(F.col("id"), F.lit(unknown)).alias("id")))).alias("_p"))
     return g.select(key, F.transform("_p", lambda s: s["id"]).alias(out))
 
 
 def decode_ids(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", ids_col: str = "ids",
-               out: str = "toks") -> DataFrame:
-    """Map id arrays back to token arrays (join on id, regroup by key)."""
+               out: str = "toks", hot: int = HOT_TOKENS,
+               always_hot: Sequence[str] = (EOS_TOKEN,)) -> DataFrame:
+    """Map id arrays back to token arrays (hot/cold join on id, regroup)."""
     ex = ids.select(key, F.posexplode(ids_col).alias("pos", "id"))
-    j = ex.join(vocab.select("tok", "id"), on="id", how="left")
+    j = _hot_cold_join(ex, vocab, "id", hot, always_hot)
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_p"))
     return g.select(key, F.transform("_p", lambda s: s["tok"]).alias(out))
 

@@ -146,12 +146,18 @@ def combine(x: DataFrame, y: DataFrame, key: str = "vec_id", vec: str = "vec",
 
 
 def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len: int,
-                 id_col: str = "emb_id", pos_col: str = "pos", out: str = "x") -> DataFrame:
-    """Token vector + position vector (D1, D2). ``emb`` (emb_id, vec) is
-    equi-joined (AQE splits hot tokens); ``pos_emb`` (pos, pvec) has at most
-    ``seq_len`` rows and is broadcast. Positions >= seq_len fail the job."""
+                 id_col: str = "emb_id", pos_col: str = "pos", out: str = "x",
+                 emb_rows_bound: int | None = None) -> DataFrame:
+    """Token vector + position vector (D1, D2). ``pos_emb`` (pos, pvec) has
+    at most ``seq_len`` rows and is broadcast; positions >= seq_len fail the
+    job. ``emb`` (emb_id, vec) is broadcast when the caller bounds its rows
+    (``emb_rows_bound``, checked at run time), else shuffle-joined."""
     t = tokens.withColumn(pos_col, F.when(F.col(pos_col) < seq_len, F.col(pos_col)).otherwise(
         F.raise_error(F.lit("position beyond seq_len")).cast("long")))
-    j = t.join(emb.select(F.col(id_col), F.col("vec").alias("_tv")), id_col)
+    e = emb.select(F.col(id_col), F.col("vec").alias("_tv"))
+    if emb_rows_bound is not None:
+        e = F.broadcast(e.filter(F.when(F.col(id_col) < emb_rows_bound, F.lit(True)).otherwise(
+            F.raise_error(F.lit("embedding table exceeds its bound")).cast("boolean"))))
+    j = t.join(e, id_col)
     j = j.join(F.broadcast(pos_emb.select(pos_col, F.col("pvec").alias("_pv"))), pos_col)
     return j.withColumn(out, add_arrays("_tv", "_pv")).drop("_tv", "_pv")

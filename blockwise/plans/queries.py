@@ -453,14 +453,14 @@ def embed_tokens(spark, sf_dir):
     ve = v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
         F.lit(Cc.EOS_TOKEN).alias("tok"), "id"))
     t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
-          .join(ve, "tok")
-          .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "id"))
+          .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
+    t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
     t = t.withColumn("emb_id", F.col("id") % 500).withColumn("pos", F.col("gpos") % EMB_SEQ)
     vec = V.vectors(spark, sf_dir)
-    emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
+    emb = vec.filter(F.col("vec_id") < 500).select(F.col("vec_id").alias("emb_id"), "vec")
     pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
                                                       F.col("vec").alias("pvec"))
-    x = et(t, emb, pos, EMB_SEQ)
+    x = et(t, emb, pos, EMB_SEQ, emb_rows_bound=500)
     return x.select("split", "doc_id", "gpos", "emb_id", "pos",
                     F.round(array_sum("x"), 6).alias("emb_sum"))
 
