@@ -23,13 +23,14 @@ def shuffle_blocks(blocks: DataFrame, seed: int, epochs: int | None = None,
     unless ``epochs`` is given, an ``epoch`` column; with ``epochs`` each
     block is repeated for epochs 0..epochs-1. Adds ``rank`` (0-based
     position in the epoch), ordered by (md5 key, block_id); two-level rank
-    bucketed by the key's first three hex digits."""
+    bucketed by the key's first five hex digits (at most 2**20 buckets per
+    epoch, so a bucket stays small at any corpus size)."""
     part = list(partition_cols)
     b = blocks
     if epochs is not None:
         b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     b = b.withColumn("_key", shuffle_key(seed, F.col("epoch"), F.col("block_id")))
-    r = two_level_rank(b, [F.col("_key"), F.col("block_id")], F.substring("_key", 1, 3),
+    r = two_level_rank(b, [F.col("_key"), F.col("block_id")], F.substring("_key", 1, 5),
                        [*part, "epoch"], out="rank")
     return r.drop("_key")
 
@@ -88,9 +89,17 @@ def eval_batches(blocks: DataFrame, batch_size: int, max_batches: int,
                   .filter(F.col("batch_id") < lim).drop("_n"))
 
 
-def block_ids(report: DataFrame, partition_cols: Sequence[str] = ("split",)) -> DataFrame:
-    """Block ids 0..n_blocks-1 per split from a corpus report (no token data)."""
+def block_ids(docs: DataFrame, seq_len: int,
+              partition_cols: Sequence[str] = ("split",)) -> DataFrame:
+    """Block ids 0..n_blocks-1 per split without the token data: each
+    document (with ``start``, ``n``, ``total`` from ``token_offsets``)
+    emits the blocks whose first position falls inside it, so the ids are
+    generated in parallel across documents, never from one row."""
+    from blockwise.operators.corpus import n_blocks
+    L = int(seq_len)
     part = list(partition_cols)
-    return (report.filter(F.col("n_blocks") > 0)
-                  .select(*part, F.explode(F.sequence(F.lit(0).cast("long"),
-                                                      F.col("n_blocks") - 1)).alias("block_id")))
+    start, n = F.col("start"), F.col("n")
+    first = ((start + L - 1) / F.lit(L)).cast("long")              # ceil(start / L)
+    last = F.least(((start + n - 1) / F.lit(L)).cast("long"), n_blocks(F.col("total"), L) - 1)
+    return (docs.filter((n > 0) & (last >= first))
+                .select(*part, F.explode(F.sequence(first, last)).alias("block_id")))

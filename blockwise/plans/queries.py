@@ -104,9 +104,14 @@ def corpus_report(spark, sf_dir):
 
 
 # ------------------------------------------------------------- batching
-def _train_block_ids(spark, sf_dir):
+def _block_ids(spark, sf_dir, split):
     from blockwise.operators.batching import block_ids
-    return block_ids(report(spark, sf_dir)).filter(F.col("split") == "train")
+    d = C.token_offsets(V.tokens(spark, sf_dir).drop("toks"))      # counts only
+    return block_ids(d, V.SEQ_LEN).filter(F.col("split") == split)
+
+
+def _train_block_ids(spark, sf_dir):
+    return _block_ids(spark, sf_dir, "train")
 
 
 @query
@@ -129,8 +134,7 @@ def step_schedule(spark, sf_dir):
 def eval_batches(spark, sf_dir):
     """Validation batches in order, first min(50, n div 16)."""
     from blockwise.operators import batching as Bt
-    from blockwise.operators.batching import block_ids
-    b = block_ids(report(spark, sf_dir)).filter(F.col("split") == "validation")
+    b = _block_ids(spark, sf_dir, "validation")
     return Bt.eval_batches(b, V.BATCH, V.VAL_BATCHES).select("batch_id", "slot", "block_id")
 
 

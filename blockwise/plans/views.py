@@ -44,7 +44,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("run", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
     ranked = two_level_rank(ev, [F.col("ts"), F.col("event_id")],
-                            F.date_trunc("day", F.col("ts")), ["run"], out="_r")
+                            F.date_trunc("hour", F.col("ts")), ["run"], out="_r")
     return _metrics(ranked.withColumn("step", F.col("_r") + 1).drop("_r"))
 
 
@@ -80,7 +80,7 @@ def grid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in sweep_names()])
     ev = ev.withColumn("run", F.element_at(names, (F.col("user_id") % 13).cast("int") + 1))
     ranked = two_level_rank(ev, [F.col("ts"), F.col("event_id")],
-                            F.date_trunc("day", F.col("ts")), ["run"], out="_r")
+                            F.date_trunc("hour", F.col("ts")), ["run"], out="_r")
     m = _metrics(ranked.withColumn("step", F.col("_r") + 1).drop("_r"))
     is_eval = (F.col("step") % EVAL_EVERY) == 0
     return (m.withColumn("val_loss", F.when(is_eval, F.col("val_loss")))
