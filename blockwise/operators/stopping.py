@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from blockwise.functions.numeric import INF, not_missing
+from blockwise.operators.prefix import two_level_rank
 from blockwise.operators.runs import STEP_BUCKET, step_bucket
 from blockwise.session import cut
 
@@ -55,8 +56,61 @@ def _accept_chain(delta: float):
     return fold
 
 
+CHAIN_GROUP_MAX = 1 << 18     # candidates of one run walked inside one task
+_END = 1 << 62                # "no successor"
+
+
+def _walk_distributed(cand: DataFrame, delta: float, max_n: int) -> DataFrame:
+    """Exact accepted chain for runs with many candidates, as equi-joins.
+
+    Candidates of a run are strictly decreasing in step order, so the
+    successor of candidate i (the first later j with v_j + delta < v_i) is
+    found by binary lifting over index offsets (K+1 joins on (run, idx));
+    jump tables J_k = next^(2^k) come from K self-joins, and the path from
+    the first candidate (always accepted) is expanded with P := P u J_k(P)
+    for k = 0..K. Every join key is unique, so no task holds a whole run;
+    each round is cut so plans stay small. Returns (run, step)."""
+    K = max(1, int(max_n).bit_length())
+    c = two_level_rank(cand.select("run", "step", "v"), [F.col("step")],
+                       F.floor(F.col("step") / F.lit(STEP_BUCKET)), ["run"], out="idx")
+    c = cut(c.withColumn("w", F.col("v") + F.lit(float(delta))))
+    tbl = c.select("run", F.col("idx").alias("_t"), F.col("w").alias("_w"))
+    q = c.select("run", "idx", "v", F.col("idx").alias("p"))
+    for k in reversed(range(K + 1)):            # p = last index with w_p >= v_i
+        j = q.withColumn("_t", F.col("p") + F.lit(1 << k)).join(tbl, ["run", "_t"], "left")
+        q = cut(j.select("run", "idx", "v", F.when(F.col("_w").isNotNull() & (F.col("_w") >= F.col("v")),
+                                                   F.col("_t")).otherwise(F.col("p")).alias("p")))
+    jumps = [cut(q.select("run", "idx", (F.col("p") + 1).alias("j")))]
+    for _ in range(K):
+        a = jumps[-1]
+        b = a.select("run", F.col("idx").alias("j"), F.col("j").alias("_j2"))
+        jumps.append(cut(a.join(b, ["run", "j"], "left").select(
+            "run", "idx", F.coalesce(F.col("_j2"), F.lit(_END)).alias("j"))))
+    path = cut(c.filter(F.col("idx") == 0).select("run", "idx"))
+    for jk in jumps:
+        nxt = path.join(jk, ["run", "idx"]).select("run", F.col("j").alias("idx"))
+        path = cut(path.unionByName(nxt.filter(F.col("idx") < _END)))
+    return c.join(path, ["run", "idx"], "left_semi").select("run", "step")
+
+
+def _accepted(cand: DataFrame, min_delta: float, group_max: int) -> DataFrame:
+    """(run, step) of the accepted candidates: runs with at most
+    ``group_max`` candidates are walked in one task (a binary search per
+    accepted value); larger runs take the distributed walk."""
+    sizes = cut(cand.groupBy("run").agg(F.count(F.lit(1)).alias("_nc")))
+    big_n = sizes.agg(F.max(F.when(F.col("_nc") > group_max, F.col("_nc")))).collect()[0][0]
+    small = cand.join(sizes.filter(F.col("_nc") <= group_max), "run", "left_semi")
+    chain = small.select("run", "step", "v").groupBy("run").applyInPandas(
+        _accept_chain(float(min_delta)), "run string, step long, accepted boolean")
+    out = chain.filter("accepted").select("run", "step")
+    if big_n:                                   # a count: the largest group
+        big = cand.join(sizes.filter(F.col("_nc") > group_max), "run", "left_semi")
+        out = out.unionByName(_walk_distributed(big, min_delta, big_n))
+    return out
+
+
 def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
-               bucket_width: int = STEP_BUCKET) -> DataFrame:
+               bucket_width: int = STEP_BUCKET, group_max: int = CHAIN_GROUP_MAX) -> DataFrame:
     """Per evaluation row: ``improved``, ``best_val`` (+inf before any),
     ``best_step`` (-1 before any), ``eval_idx`` (0-based) and
     ``no_improve`` after the row (G14). ``evals`` holds only evaluation
@@ -87,9 +141,9 @@ def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
     if min_delta == 0:
         acc = cand
     else:
-        chain = cand.select("run", "step", F.col("_v").alias("v")).groupBy("run").applyInPandas(
-            _accept_chain(float(min_delta)), "run string, step long, accepted boolean")
-        acc = cand.join(chain.filter("accepted"), ["run", "step"]).drop("accepted")
+        steps = _accepted(cand.select("run", "step", F.col("_v").alias("v")), min_delta,
+                          group_max)
+        acc = cand.join(steps, ["run", "step"], "left_semi")
     # last accepted (step, value, index) of each earlier bucket, from the few accepted rows
     last = acc.groupBy(*part).agg(F.max_by(F.struct("step", "_v", "eval_idx"), "step")
                                   .alias("_l"))

@@ -82,3 +82,22 @@ def test_end_truncate_snapshot(spark):
     assert (snap["a"].best_step, snap["a"].snapshot_step, snap["a"].meta_step) == (3, 3, 6)
     assert snap["a"].n_saves == 3
     assert (snap["b"].best_step, snap["b"].snapshot_step) == (1, 1)
+
+
+@pytest.mark.parametrize("delta", [0.1, 1.0])
+def test_distributed_walk_matches_fold(spark, delta):
+    """Force every run through the join-based walk (group_max=0)."""
+    rng = random.Random(11)
+    rows = []
+    for k, kind in enumerate(["random", "decreasing", "plateau", "random"]):
+        vals = series(kind, 40 + 7 * k, rng)
+        if kind == "decreasing":
+            vals = [v - 0.3 * math.floor(i / 5) for i, v in enumerate(vals)]
+        rows += [(f"r{k}", i + 1, v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "run string, step long, val_ppl double")
+    got = {(r.run, r.step): r for r in St.track_best(df, delta, bucket_width=8, group_max=0).collect()}
+    for run in {r[0] for r in rows}:
+        want, _ = fold([(s, v) for r0, s, v in rows if r0 == run], delta, 4, 10)
+        for s, imp, best, bstep, no in want:
+            g = got[(run, s)]
+            assert (g.improved, g.best_val, g.best_step, g.no_improve) == (imp, best, bstep, no)
