@@ -84,8 +84,9 @@ def bpe_tokens(spark, sf_dir):
     """Byte-level BPE ids of every whole document (end id appended), after
     the end-of-text guard."""
     from blockwise.operators.bpe import END_OF_TEXT, bpe_encode
-    d = C.check_special(V.table(spark, sf_dir, "documents").select("doc_id", "text"),
-                        [END_OF_TEXT], mode="error")
+    from blockwise.sources.corpus import spread
+    docs = spread(V.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = C.check_special(docs, [END_OF_TEXT], mode="error")
     ids = d.select("doc_id", bpe_encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
                       F.aggregate("ids", F.lit(0).cast("long"),
