@@ -194,10 +194,11 @@ def time_stop(log: DataFrame, max_minutes: float | None, eval_every: int,
     clock is looked at only at evaluations. (run, time_stop_step)."""
     if max_minutes is None or not eval_every:
         return log.select("run").distinct().withColumn("time_stop_step", F.lit(None).cast("long"))
-    secs = F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(1e6)
-    t0 = log.groupBy("run").agg(F.min(secs).alias("_t0"))
+    t0 = log.groupBy("run").agg(F.min(ts_col).alias("_t0"))
     j = log.join(t0, "run")
-    hit = ((F.col("step") % eval_every) == 0) & ((secs - F.col("_t0")) / 60.0 >= max_minutes)
+    # microseconds between two timestamps: exact, no time-zone conversion
+    secs = F.expr(f"timestampdiff(MICROSECOND, _t0, {ts_col})") / F.lit(1e6)
+    hit = ((F.col("step") % eval_every) == 0) & (secs / 60.0 >= max_minutes)
     return j.groupBy("run").agg(F.min(F.when(hit, F.col("step"))).alias("time_stop_step"))
 
 

@@ -276,10 +276,10 @@ stops AS (
 es AS (
   SELECT s.run, s.stop_step, f.best_val, f.best_step
   FROM stops s JOIN fold f ON f.run = s.run AND f.step = coalesce(s.stop_step, s.last_step)),
-t0 AS (SELECT run, min(epoch_us(ts) / 1e6) AS t0 FROM run_log GROUP BY run),
+t0 AS (SELECT run, min(epoch_us(ts)) AS t0 FROM run_log GROUP BY run),
 tstop AS (
   SELECT r.run, min(r.step) FILTER (WHERE r.step % 5 = 0
-                                     AND (epoch_us(r.ts) / 1e6 - t0.t0) / 60e0 >= 30000)
+                                     AND (epoch_us(r.ts) - t0.t0) / 1e6 / 60e0 >= 30000)
            AS time_stop_step
   FROM run_log r JOIN t0 USING (run) GROUP BY r.run),
 ends AS (
