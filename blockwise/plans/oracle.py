@@ -461,3 +461,26 @@ FROM pick k JOIN tp ON tp.vec_id = k.vec_id AND tp.expert = k.d
 SQL["live_early_stop"] = "WITH RECURSIVE " + FOLD + """
 SELECT run, stop_step, best_val, best_step FROM es WHERE stop_step IS NOT NULL
 """
+
+SQL["run_throughput"] = "WITH " + RUN_LOG + """,
+t0 AS (SELECT run, min(epoch_us(ts)) AS t0 FROM run_log GROUP BY run),
+e AS (SELECT r.*, (epoch_us(r.ts) - t0.t0) / 1e6 AS el FROM run_log r JOIN t0 USING (run))
+SELECT run, step, round(el, 6) AS elapsed,
+       round(CAST(step * 16 * 256 AS DOUBLE) / greatest(1e-6, el), 4) AS tok_per_sec,
+       coalesce(CASE WHEN NOT isnan(gpu_mem_mb) THEN gpu_mem_mb * 1048576e0 END / 1048576e0, 0e0)
+         AS mem_mb
+FROM e
+"""
+
+# The sweep logs as written to CSV (6/6/6/6/2/1 decimals), then summarised.
+SQL["study_summary"] = "WITH " + GRID_LOG + """,
+csv AS (SELECT run, step, round(train_loss, 6) AS train_loss, round(val_ppl, 6) AS val_ppl,
+               round(tokens_per_sec, 2) AS tokens_per_sec, round(gpu_mem_mb, 1) AS gpu_mem_mb
+        FROM gf),
+""" + _summary("csv") + """,
+base AS (SELECT arg_max(final_val_ppl, run) AS bp FROM summ WHERE run LIKE '%baseline%')
+SELECT run, final_val_ppl, best_val_ppl, best_step, last_train_loss, max_tok_s, peak_mem_mb,
+       round(CASE WHEN isfinite(bp) THEN (bp - final_val_ppl) / bp * 100e0 END, 6)
+         AS ppl_improve_vs_base_pct
+FROM summ2, base
+"""

@@ -227,6 +227,39 @@ def sweep(spark, sf_dir):
         F.coalesce("n_evals", F.lit(0)).alias("n_evals"))
 
 
+@query
+def run_throughput(spark, sf_dir):
+    """Cumulative tokens per second of every logged step (16 x 256 tokens
+    per step over the seconds since the run's first row, at least 1e-6) and
+    the device memory column read as bytes and reported in MB."""
+    from blockwise.functions.numeric import bytes_to_mb, throughput
+    log = V.run_log(spark, sf_dir)
+    t0 = log.groupBy("run").agg(F.min("ts").alias("_t0"))
+    el = F.expr("timestampdiff(MICROSECOND, _t0, ts)") / F.lit(1e6)
+    j = log.join(t0, "run").withColumn("elapsed", el)
+    return j.select("run", "step", F.round("elapsed", 6).alias("elapsed"),
+                    F.round(throughput(F.col("step"), F.lit(V.BATCH), F.lit(V.SEQ_LEN),
+                                       F.col("elapsed")), 4).alias("tok_per_sec"),
+                    bytes_to_mb(F.when(~F.isnan("gpu_mem_mb"), F.col("gpu_mem_mb") * 1048576.0))
+                    .alias("mem_mb"))
+
+
+@query
+def study_summary(spark, sf_dir):
+    """The sweep logs written as CSV run folders (fixed header and
+    decimals) in the shared folder, then re-summarised from the files:
+    inventory, one scan of all logs, summary with baseline comparison."""
+    from blockwise.session import scratch_path
+    from blockwise.sources.runs import write_metrics
+    from blockwise.sources.study import summarize_root
+    root = scratch_path(spark, "study")
+    write_metrics(grid_filled(spark, sf_dir), root)
+    s = summarize_root(spark, root)["summary"]
+    return s.select("run", "final_val_ppl", "best_val_ppl", "best_step", "last_train_loss",
+                    "max_tok_s", "peak_mem_mb",
+                    F.round("ppl_improve_vs_base_pct", 6).alias("ppl_improve_vs_base_pct"))
+
+
 # The study's shared training settings.
 STUDY_SETTINGS = {"d_model": 512, "n_layer": 6, "n_head": 8, "seq_len": 256, "batch_size": 16,
                   "bf16": True, "eval_every": 200, "val_batches": 50,
@@ -408,8 +441,10 @@ def dispatch_report(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     from blockwise.operators.scoring import init_expert_weights, score_experts
-    c = _capped(spark, sf_dir).filter("kept")
-    w = init_expert_weights(n_experts(spark, sf_dir), 64, 256, V.SEED)
+    from blockwise.operators.routing import dispatch
+    E = n_experts(spark, sf_dir)
+    c = dispatch(_capped(spark, sf_dir).filter("kept"), 2 * E, salt_buckets=2)
+    w = init_expert_weights(E, 64, 256, V.SEED)
     return score_experts(c, w)
 
 

@@ -76,14 +76,19 @@ def _fs(spark: SparkSession, root: str):
 
 def run_inventory(spark: SparkSession, root: str) -> DataFrame:
     """One row per run directory directly under ``root`` (A5), with or
-    without a log; only names are listed (one level, driver side)."""
+    without a log; only names are listed (one level, driver side). Report
+    folders (``*.csv``) and hidden folders are skipped, so re-summarising a
+    root is idempotent (A10)."""
     fs, p = _fs(spark, root)
     names = []
     if fs.exists(p):
         for st in fs.listStatus(p):
-            if st.isDirectory():
-                n = st.getPath().getName()
-                names.append(n[4:] if n.startswith("run=") else n)
+            n = st.getPath().getName()
+            # report folders written by Spark (summary.csv/, router_grid_e8.csv/)
+            # and hidden or bookkeeping folders are not runs
+            if not st.isDirectory() or n.endswith(".csv") or n[:1] in "._":
+                continue
+            names.append(n[4:] if n.startswith("run=") else n)
     schema = T.StructType([T.StructField("run", T.StringType())])
     return spark.createDataFrame([(n,) for n in sorted(set(names))], schema)
 

@@ -143,3 +143,24 @@ def test_configs_and_meta(spark, tmpdir_path):
     assert {r.run: r.best_step for r in S.read_best_steps(spark, tmpdir_path).collect()}["a"] == 200
     with pytest.raises(ValueError):
         R.apply_overrides(c, {"log_csv": False})
+
+
+def test_resummarise_is_idempotent_and_joins_meta(spark, tmpdir_path):
+    from blockwise.operators import runs as R
+    study(tmpdir_path)
+    first = {r.run for r in summarize_root(spark, tmpdir_path)["summary"].collect()}
+    second = {r.run for r in summarize_root(spark, tmpdir_path)["summary"].collect()}
+    assert first == second and "summary.csv" not in second        # report folders are not runs
+    cfg = spark.createDataFrame([("baseline_b_s100", 4), ("ghost", 2)], "run string, n_layer int")
+    best = spark.createDataFrame([("baseline_b_s100", 1)], "run string, best_step long")
+    j = {r.run: r for r in R.join_run_meta(cfg, summarize_root(spark, tmpdir_path, write=False)
+                                           ["summary"], best).collect()}
+    assert j["baseline_b_s100"].saved_best_step == 1 and j["baseline_b_s100"].n_layer == 4
+    assert j["ghost"].final_val_ppl is None and j["no_log"].n_layer is None
+
+
+def test_eval_points(spark):
+    from blockwise.operators.runs import eval_points
+    df = spark.range(1, 41).withColumnRenamed("id", "step")
+    assert [r.step for r in eval_points(df, 20).collect()] == [20, 40]
+    assert eval_points(df, 0).count() == 0
