@@ -93,7 +93,13 @@ def run_inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in sorted(set(names))], schema)
 
 
-def read_runs(spark: SparkSession, root: str, pattern: str = "*/*.csv") -> DataFrame:
+# A run's log as a training run writes it, or as write_metrics writes it
+# (Spark partition folders). Report folders (summary.csv/, router_grid_*.csv/)
+# hold part files too, so a plain "*/*.csv" would read them as logs.
+LOG_GLOB = "{*/metrics.csv,run=*/*.csv}"
+
+
+def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB) -> DataFrame:
     """All metric logs under ``root`` in one scan (A4), tagged with the run.
     Numbers are coerced (B10): 'nan'/'inf' parse, unparsable text becomes
     NaN. Zero-byte and header-only files give no rows (see run_inventory).
