@@ -17,6 +17,8 @@ from blockwise.functions.arrays import add_arrays, dot, softmax, top1, top1_prob
 from blockwise.functions.hashing import gaussian
 
 MAX_EXPERTS = 4096        # bound on the broadcast router table
+HOT_EMB_ROWS = 1 << 12    # embedding rows broadcast for the most frequent tokens
+MAX_BROADCAST_BYTES = 64 << 20   # a measured vector table up to this is broadcast whole
 
 
 def experts_row(router: DataFrame) -> DataFrame:
@@ -145,19 +147,34 @@ def combine(x: DataFrame, y: DataFrame, key: str = "vec_id", vec: str = "vec",
     return j.withColumn(out, add_arrays(vec, F.coalesce(F.col("_y"), zeros))).drop("_y")
 
 
+def table_bytes(df: DataFrame, vec: str = "vec") -> int:
+    """Measured size of a vector table, rows x widest vector x 8 bytes
+    (one aggregate; a count)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).collect()[0]
+    return int(r["n"] or 0) * int(r["w"] or 0) * 8
+
+
 def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len: int,
                  id_col: str = "emb_id", pos_col: str = "pos", out: str = "x",
-                 emb_rows_bound: int | None = None) -> DataFrame:
+                 hot_rows: int = HOT_EMB_ROWS,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Token vector + position vector (D1, D2). ``pos_emb`` (pos, pvec) has
     at most ``seq_len`` rows and is broadcast; positions >= seq_len fail the
-    job. ``emb`` (emb_id, vec) is broadcast when the caller bounds its rows
-    (``emb_rows_bound``, checked at run time), else shuffle-joined."""
+    job. ``emb`` (emb_id, vec) grows with the vocabulary: its size is
+    measured first and, within ``max_broadcast_bytes``, it is broadcast
+    whole (one pass over the tokens). Beyond that it is never broadcast
+    whole: ids are frequency ranks, so the rows with ``emb_id < hot_rows``
+    serve the heavy-hitter tokens and are broadcast (a bounded slice); the
+    other rows, none of which can be hot, are joined with a shuffle."""
     t = tokens.withColumn(pos_col, F.when(F.col(pos_col) < seq_len, F.col(pos_col)).otherwise(
         F.raise_error(F.lit("position beyond seq_len")).cast("long")))
     e = emb.select(F.col(id_col), F.col("vec").alias("_tv"))
-    if emb_rows_bound is not None:
-        e = F.broadcast(e.filter(F.when(F.col(id_col) < emb_rows_bound, F.lit(True)).otherwise(
-            F.raise_error(F.lit("embedding table exceeds its bound")).cast("boolean"))))
-    j = t.join(e, id_col)
+    if table_bytes(emb) <= max_broadcast_bytes:
+        j = t.join(F.broadcast(e), id_col)
+    else:
+        is_hot = F.col(id_col) < F.lit(hot_rows)
+        hot = t.filter(is_hot).join(F.broadcast(e.filter(is_hot)), id_col)
+        cold = t.filter(~is_hot).join(e.filter(~is_hot), id_col)
+        j = hot.unionByName(cold)
     j = j.join(F.broadcast(pos_emb.select(pos_col, F.col("pvec").alias("_pv"))), pos_col)
     return j.withColumn(out, add_arrays("_tv", "_pv")).drop("_tv", "_pv")

@@ -395,7 +395,8 @@ SELECT vec_id, round(list_min(y), 6) AS y_min, round(list_max(y), 6) AS y_max,
 SQL["embed_tokens"] = "WITH " + VOCAB + """,
 ve AS (SELECT tok, id FROM v UNION ALL SELECT '<eos>', (SELECT count(*) FROM v)),
 emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
-t AS (SELECT p.split, p.doc_id, p.p AS gpos, ve.id % 500 AS emb_id, p.p % 64 AS pos
+t AS (SELECT p.split, p.doc_id, p.p AS gpos, ve.id % (SELECT count(*) FROM embeddings) AS emb_id,
+             p.p % 64 AS pos
       FROM pos p JOIN ve USING (tok))
 SELECT t.split, t.doc_id, t.gpos, t.emb_id, t.pos,
        round(list_sum(list_transform(list_zip(e.vec, q.vec), lambda z: z[1] + z[2])), 6) AS emb_sum

@@ -482,9 +482,10 @@ EMB_SEQ = 64
 
 @query
 def embed_tokens(spark, sf_dir):
-    """Every corpus token as token vector + position vector: token id %
-    500 selects the embedding row, the position inside its block of 64
-    selects a positional row (embeddings with vec_id < 64)."""
+    """Every corpus token as token vector + position vector: the whole
+    embeddings table is the token table (row = vocabulary id modulo its row
+    count), the position inside a block of 64 selects a positional row
+    (embeddings with vec_id < 64, a seq_len-row table)."""
     from blockwise.functions.arrays import array_sum
     from blockwise.operators import corpus as Cc
     from blockwise.operators.routing import embed_tokens as et
@@ -495,12 +496,15 @@ def embed_tokens(spark, sf_dir):
     t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
           .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
     t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
-    t = t.withColumn("emb_id", F.col("id") % 500).withColumn("pos", F.col("gpos") % EMB_SEQ)
     vec = V.vectors(spark, sf_dir)
-    emb = vec.filter(F.col("vec_id") < 500).select(F.col("vec_id").alias("emb_id"), "vec")
+    n_emb = vec.agg(F.count(F.lit(1)).alias("_ne"))                  # one row
+    t = (t.crossJoin(F.broadcast(n_emb))
+          .withColumn("emb_id", F.col("id") % F.col("_ne")).drop("_ne")
+          .withColumn("pos", F.col("gpos") % EMB_SEQ))
+    emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
     pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
                                                       F.col("vec").alias("pvec"))
-    x = et(t, emb, pos, EMB_SEQ, emb_rows_bound=500)
+    x = et(t, emb, pos, EMB_SEQ)
     return x.select("split", "doc_id", "gpos", "emb_id", "pos",
                     F.round(array_sum("x"), 6).alias("emb_sum"))
 

@@ -53,8 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        # a core setting: it cannot be set on a running session, so the
+        # private folder is registered on the context only
         d = tempfile.mkdtemp(prefix="blockwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

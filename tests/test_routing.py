@@ -98,3 +98,16 @@ def test_eval_loss_empty_and_guard(spark):
     big = spark.createDataFrame([(0, 30.0)] * 4, "batch long, ce double")
     r = Sc.eval_loss(big, 4, 10).collect()[0]
     assert r.val_loss == 30.0 and r.val_ppl == float("inf")
+
+
+def test_embed_tokens_hot_cold_equals_whole_broadcast(spark):
+    from blockwise.operators.routing import embed_tokens
+    emb = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "emb_id long, vec array<double>")
+    pos = spark.createDataFrame([(p, [0.5, float(p)]) for p in range(4)], "pos long, pvec array<double>")
+    toks = spark.createDataFrame([(g, g * 7 % 10, g % 4) for g in range(50)],
+                                 "gpos long, emb_id long, pos long")
+    whole = {r.gpos: r.x for r in embed_tokens(toks, emb, pos, 4).collect()}
+    split = {r.gpos: r.x for r in embed_tokens(toks, emb, pos, 4, hot_rows=3,
+                                                max_broadcast_bytes=0).collect()}
+    assert whole == split and len(whole) == 50
+    assert whole[3] == [1.5, 4.0]          # emb row 1 + position 3
