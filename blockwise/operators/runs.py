@@ -117,15 +117,22 @@ def cf_column(cf: float) -> str:
     return "cf_" + repr(float(cf)).replace(".", "_")
 
 
-def grid_pivot(cells: DataFrame) -> DataFrame:
+def cf_values(cells: DataFrame) -> list:
+    """The grid's CF axis, ascending (pivot values; one per column)."""
+    return sorted(r[0] for r in cells.select("cf").distinct().collect())
+
+
+def grid_pivot(cells: DataFrame, values: list | None = None) -> DataFrame:
     """RJ x CF table of best ppl, both axes ascending (G11). Two runs in one
-    cell fail the job (pivoting would merge them silently)."""
+    cell fail the job (pivoting would merge them silently). ``values`` is
+    the CF axis when the caller already has it (see :func:`cf_values`)."""
     one = (cells.groupBy("rj", "cf")
                 .agg(F.count(F.lit(1)).alias("_n"), F.first("best_ppl").alias("best_ppl"))
                 .withColumn("best_ppl", F.when(F.col("_n") > 1, F.raise_error(F.concat(
                     F.lit("duplicate grid cell rj="), F.col("rj").cast("string"),
                     F.lit(" cf="), F.col("cf").cast("string")))).otherwise(F.col("best_ppl"))))
-    values = sorted(r[0] for r in cells.select("cf").distinct().collect())   # pivot values
+    if values is None:
+        values = cf_values(cells)
     p = one.groupBy("rj").pivot("cf", values).agg(F.first("best_ppl"))
     return p.select("rj", *[F.col(f"`{c}`").alias(cf_column(c)) for c in p.columns[1:]]
                     ).orderBy("rj")

@@ -7,19 +7,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockwise.operators import runs as R
+from blockwise.session import cut
 from blockwise.sources.runs import read_runs, run_inventory, write_grid, write_summary
 
 
 def summarize_root(spark: SparkSession, root: str, experts: int = 8,
                    prefix: str | None = None, write: bool = True) -> dict[str, DataFrame]:
+    """The summary (with baseline) and the grid cells are one row per run:
+    each is computed once from the log scan, kept in the shared folder and
+    read by every report built on it (CSV sinks, pivot, labels)."""
     logs = read_runs(spark, root)
     inv = run_inventory(spark, root)
-    summary = R.vs_baseline(R.summarize_runs(logs, inv)).orderBy("run")
-    cells = R.grid_cells(logs, experts)
+    summary = cut(R.vs_baseline(R.summarize_runs(logs, inv))).orderBy("run")
+    cells = cut(R.grid_cells(logs, experts))
     out = {"summary": summary, "cells": cells, "curves": R.curves(logs, prefix),
            "labels": R.grid_labels(cells)}
-    if cells.limit(1).count():            # an empty grid has nothing to pivot
-        out["grid"] = R.grid_pivot(cells)
+    values = R.cf_values(cells)
+    if values:                            # an empty grid has nothing to pivot
+        out["grid"] = R.grid_pivot(cells, values)
     if write:
         write_summary(summary, root)
         if "grid" in out:
