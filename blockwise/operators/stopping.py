@@ -141,8 +141,9 @@ def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
     if min_delta == 0:
         acc = cand
     else:
-        steps = _accepted(cand.select("run", "step", F.col("_v").alias("v")), min_delta,
-                          group_max)
+        # the accepted rows are few and feed two branches below: kept once
+        steps = cut(_accepted(cand.select("run", "step", F.col("_v").alias("v")), min_delta,
+                              group_max))
         acc = cand.join(steps, ["run", "step"], "left_semi")
     # last accepted (step, value, index) of each earlier bucket, from the few accepted rows
     last = acc.groupBy(*part).agg(F.max_by(F.struct("step", "_v", "eval_idx"), "step")
