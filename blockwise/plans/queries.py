@@ -66,11 +66,14 @@ def vocab(spark, sf_dir):
 def encode_decode(spark, sf_dir):
     """Encode every document to ids (end marker = vocabulary size), decode
     back, and check the round trip."""
+    from blockwise.session import cut
     t = V.tokens(spark, sf_dir).select("doc_id", "toks")
     v = word_vocab(spark, sf_dir).select("tok", "id")
-    ve = v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
-        F.lit(C.EOS_TOKEN).alias("tok"), "id"))
-    enc = C.encode_ids(t, ve)
+    # the vocabulary feeds four join branches and the ids two consumers:
+    # each is written once instead of re-tokenising the corpus per branch
+    ve = cut(v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
+        F.lit(C.EOS_TOKEN).alias("tok"), "id")))
+    enc = cut(C.encode_ids(t, ve))
     dec = C.decode_ids(enc, ve, out="dec")
     j = t.join(enc, "doc_id").join(dec, "doc_id")
     return j.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
