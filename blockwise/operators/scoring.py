@@ -4,6 +4,7 @@ joins, temperature draws, and the expert feed-forward scorer."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -94,15 +95,22 @@ def temperature_draw(df: DataFrame, t: float, seed: int, key: str = "vec_id",
 
 # ------------------------------------------------------- expert scorer
 def init_expert_weights(n_experts: int, d_model: int, d_ff: int, seed: int) -> dict:
-    """Seeded weights per expert: w1 [C, F], b1 [F], w2 [F, C], b2 [C]
-    (uniform in +-1/sqrt(fan_in), as a linear layer's default)."""
-    rng = np.random.default_rng(seed)
-    out = {}
-    for e in range(n_experts):
-        a1, a2 = 1.0 / np.sqrt(d_model), 1.0 / np.sqrt(d_ff)
-        out[e] = (rng.uniform(-a1, a1, (d_model, d_ff)), rng.uniform(-a1, a1, d_ff),
-                  rng.uniform(-a2, a2, (d_ff, d_model)), rng.uniform(-a2, a2, d_model))
-    return out
+    """Seeded weights per expert: w1 [C, F], b1 [F], w2 [F, C], b2 [C],
+    uniform in +-1/sqrt(fan_in) as a linear layer's default. Each entry is
+    a hash uniform (as :func:`blockwise.functions.hashing.hash_uniform`) of
+    'seed:name:expert:index...', so any engine with md5 can rebuild the
+    same weights; they are a model constant of E x C x F entries."""
+    def table(name: str, e: int, shape: tuple, bound: float) -> np.ndarray:
+        u = np.fromiter(
+            (int(hashlib.md5(f"{seed}:{name}:{e}:{':'.join(map(str, ix))}".encode())
+                 .hexdigest()[:8], 16) for ix in np.ndindex(*shape)),
+            dtype="float64", count=int(np.prod(shape))) / 4294967296.0
+        return ((2.0 * u - 1.0) * bound).reshape(shape)
+
+    a1, a2 = 1.0 / np.sqrt(d_model), 1.0 / np.sqrt(d_ff)
+    return {e: (table("w1", e, (d_model, d_ff), a1), table("b1", e, (d_ff,), a1),
+                table("w2", e, (d_ff, d_model), a2), table("b2", e, (d_model,), a2))
+            for e in range(n_experts)}
 
 
 def expert_ffn(x: np.ndarray, w) -> np.ndarray:

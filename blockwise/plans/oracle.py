@@ -403,6 +403,49 @@ SELECT t.split, t.doc_id, t.gpos, t.emb_id, t.pos,
 FROM t JOIN emb e ON e.vec_id = t.emb_id JOIN emb q ON q.vec_id = t.pos
 """
 
+def _hash_w(name: str, idx: str, bound: str) -> str:
+    """Expert weight entry by the hash rule of init_expert_weights."""
+    return (f"(2 * CAST(('0x' || substr(md5('42:{name}:' || ex.expert || ':' || {idx}), 1, 8))"
+            f" AS BIGINT) / 4294967296e0 - 1) * {bound}")
+
+
+# Expert feed-forward w2 . silu(w1 . x + b1) + b2 (d_model 64, d_ff 256),
+# gated by the top-1 probability, for the kept rows; weights rebuilt here.
+EXPERT_FFN = ROUTE + f""",
+kx AS (SELECT c.vec_id, c.top1 AS expert, c.top1_prob AS g, v.vec
+       FROM capped c JOIN vectors v USING (vec_id) WHERE c.kept),
+xi AS (SELECT vec_id, expert, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM kx),
+ex AS (SELECT DISTINCT expert FROM kx),
+w1 AS (SELECT ex.expert, a.i, b.j, {_hash_w("w1", "a.i || ':' || b.j", "(1 / sqrt(64))")} AS w
+       FROM ex CROSS JOIN range(64) AS a(i) CROSS JOIN range(256) AS b(j)),
+b1 AS (SELECT ex.expert, b.j, {_hash_w("b1", "b.j", "(1 / sqrt(64))")} AS w
+       FROM ex CROSS JOIN range(256) AS b(j)),
+w2 AS (SELECT ex.expert, b.j, a.k, {_hash_w("w2", "b.j || ':' || a.k", "(1 / sqrt(256))")} AS w
+       FROM ex CROSS JOIN range(256) AS b(j) CROSS JOIN range(64) AS a(k)),
+b2 AS (SELECT ex.expert, a.k, {_hash_w("b2", "a.k", "(1 / sqrt(256))")} AS w
+       FROM ex CROSS JOIN range(64) AS a(k)),
+h AS (SELECT xi.vec_id, xi.expert, w1.j, sum(xi.x * w1.w) AS z
+      FROM xi JOIN w1 ON w1.expert = xi.expert AND w1.i = xi.i GROUP BY xi.vec_id, xi.expert, w1.j),
+hs AS (SELECT h.vec_id, h.expert, h.j, (h.z + b1.w) / (1 + exp(-(h.z + b1.w))) AS s
+       FROM h JOIN b1 ON b1.expert = h.expert AND b1.j = h.j),
+yo AS (SELECT hs.vec_id, hs.expert, w2.k, sum(hs.s * w2.w) AS z
+       FROM hs JOIN w2 ON w2.expert = hs.expert AND w2.j = hs.j GROUP BY hs.vec_id, hs.expert, w2.k),
+yg AS (SELECT yo.vec_id, yo.expert, yo.k, (yo.z + b2.w) * kx.g AS y
+       FROM yo JOIN b2 ON b2.expert = yo.expert AND b2.k = yo.k JOIN kx ON kx.vec_id = yo.vec_id)"""
+
+SQL["expert_scores"] = "WITH " + EXPERT_FFN + """
+SELECT vec_id, CAST(expert AS INTEGER) AS expert, round(sum(y), 6) AS y_sum
+FROM yg GROUP BY vec_id, expert
+"""
+
+SQL["moe_combine"] = "WITH " + EXPERT_FFN + """,
+xa AS (SELECT vec_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM vectors)
+SELECT c.vec_id, c.kept, round(sum(xa.x + coalesce(yg.y, 0)), 6) AS out_sum
+FROM capped c JOIN xa USING (vec_id) LEFT JOIN yg ON yg.vec_id = xa.vec_id AND yg.k = xa.i
+GROUP BY c.vec_id, c.kept
+"""
+
+
 SQL["token_ce"] = "WITH " + ROUTE + "\nSELECT vec_id, batch, round(ce, 6) AS ce FROM ce"
 
 SQL["eval_loss"] = "WITH " + ROUTE + """,
