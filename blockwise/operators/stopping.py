@@ -110,19 +110,21 @@ def _accepted(cand: DataFrame, min_delta: float, group_max: int) -> DataFrame:
 
 
 def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
-               bucket_width: int = STEP_BUCKET, group_max: int = CHAIN_GROUP_MAX) -> DataFrame:
+               bucket_width: int = STEP_BUCKET, group_max: int = CHAIN_GROUP_MAX,
+               input_is_cut: bool = False) -> DataFrame:
     """Per evaluation row: ``improved``, ``best_val`` (+inf before any),
     ``best_step`` (-1 before any), ``eval_idx`` (0-based) and
     ``no_improve`` after the row (G14). ``evals`` holds only evaluation
     rows (run, step, value, ...).
 
-    Work: the input is cut once; one two-level pass gives the earlier-rows
+    Work: the input is cut once (unless the caller already did,
+    ``input_is_cut``); one two-level pass gives the earlier-rows
     minimum and the evaluation index; that result is cut (it feeds both the
     candidate walk and the final pass); the accepted rows are few, so their
     per-bucket carry is computed from them alone."""
     part = ["run", _B]
     v = F.col(value)
-    base = cut(evals).withColumn(_B, step_bucket(bucket_width))
+    base = (evals if input_is_cut else cut(evals)).withColumn(_B, step_bucket(bucket_width))
     ok = F.when(not_missing(value), v)
     summ = base.groupBy(*part).agg(F.min(ok).alias("_m"), F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy("run").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)

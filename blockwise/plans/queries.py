@@ -293,56 +293,57 @@ RUN_STEPS, MAX_MINUTES, TIME_EVAL_EVERY, SAVE_EVERY = 60, 30000, 5, 10
 
 
 def _evals(spark, sf_dir):
-    return V.run_log(spark, sf_dir).select("run", "step", "ts", "val_ppl")
+    """The evaluation log, ranked once and written once: every stopping
+    query reads it several times (best tracking, time stop, run end, cut)."""
+    from blockwise.session import cut
+    return cut(V.run_log(spark, sf_dir).select("run", "step", "ts", "val_ppl"))
+
+
+def _tracked(evals):
+    from blockwise.operators.stopping import track_best as tb
+    return tb(evals, MIN_DELTA, input_is_cut=True)
 
 
 @query
 def track_best(spark, sf_dir):
     """Best tracking with hysteresis (min delta 0.1) over every evaluation."""
-    from blockwise.operators.stopping import track_best as tb
-    t = tb(_evals(spark, sf_dir), MIN_DELTA)
+    t = _tracked(_evals(spark, sf_dir))
     return t.select("run", "step", "improved", "best_val", "best_step", "no_improve")
 
 
-def _tracked(spark, sf_dir):
-    from blockwise.operators.stopping import track_best as tb
-    return tb(_evals(spark, sf_dir), MIN_DELTA)
-
-
-def _stops(spark, sf_dir, tracked=None):
+def _stops(tracked):
     from blockwise.operators.stopping import stops_from
-    return stops_from(tracked if tracked is not None else _tracked(spark, sf_dir),
-                      PATIENCE, WARMUP)
+    return stops_from(tracked, PATIENCE, WARMUP)
 
 
 @query
 def early_stop(spark, sf_dir):
     """Plateau stop per run: patience 5, min delta 0.1, warm-up 20."""
-    return _stops(spark, sf_dir)
+    return _stops(_tracked(_evals(spark, sf_dir)))
 
 
-def _times(spark, sf_dir):
+def _times(evals):
     from blockwise.operators.stopping import time_stop as ts
-    return ts(_evals(spark, sf_dir), MAX_MINUTES, TIME_EVAL_EVERY)
+    return ts(evals, MAX_MINUTES, TIME_EVAL_EVERY)
 
 
 @query
 def time_stop(spark, sf_dir):
     """First evaluation (every 5th step) at or past 30000 minutes per run."""
-    return _times(spark, sf_dir)
+    return _times(V.run_log(spark, sf_dir).select("run", "step", "ts", "val_ppl"))
 
 
-def _ends(spark, sf_dir, tracked=None):
+def _ends(evals, tracked):
     from blockwise.operators.stopping import run_end
-    return run_end(_evals(spark, sf_dir), _stops(spark, sf_dir, tracked), _times(spark, sf_dir),
-                   RUN_STEPS)
+    return run_end(evals, _stops(tracked), _times(evals), RUN_STEPS)
 
 
 @query
 def truncate_runs(spark, sf_dir):
     """Logs cut at the earliest of plateau stop, time stop and 60 steps."""
     from blockwise.operators.stopping import truncate_runs as tr
-    return tr(_evals(spark, sf_dir), _ends(spark, sf_dir)).select("run", "step", "val_ppl")
+    ev = _evals(spark, sf_dir)
+    return tr(ev, _ends(ev, _tracked(ev))).select("run", "step", "val_ppl")
 
 
 @query
@@ -350,8 +351,9 @@ def pick_snapshot(spark, sf_dir):
     """Snapshot per run: best step up to the end, else the end; saves
     every 10 steps."""
     from blockwise.operators.stopping import pick_snapshot as ps
-    t = _tracked(spark, sf_dir)
-    return ps(t, _ends(spark, sf_dir, t), SAVE_EVERY)
+    ev = _evals(spark, sf_dir)
+    t = _tracked(ev)
+    return ps(t, _ends(ev, t), SAVE_EVERY)
 
 
 # -------------------------------------------------------------- routing
