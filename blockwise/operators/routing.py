@@ -32,7 +32,9 @@ def experts_row(router: DataFrame) -> DataFrame:
 def router_logits(df: DataFrame, router: DataFrame, vec: str = "vec",
                   out: str = "logits") -> DataFrame:
     """Logits x.w_e + b_e for every expert (E1), in expert order."""
-    j = df.crossJoin(F.broadcast(experts_row(router)))        # one bounded row
+    # the bounded router row as a scalar subquery: evaluated once, shipped
+    # with the tasks like a broadcast, no join
+    j = df.withColumn("_experts", experts_row(router).select("_experts").scalar())
     lg = F.transform("_experts", lambda e: dot(F.col(vec), e["w"]) + e["b"])
     return j.withColumn(out, lg).drop("_experts")
 
