@@ -587,8 +587,10 @@ def live_early_stop(spark, sf_dir):
     the streaming plateau monitor (availableNow); its 'stop' events."""
     from blockwise.session import scratch_path
     from blockwise.streaming import metrics as S
+    from blockwise.session import cut
     base = scratch_path(spark, "live-early-stop")
-    log = V.run_log(spark, sf_dir).select("run", "step", "val_ppl")
+    # ranked once; the chunks below are step ranges of it
+    log = cut(V.run_log(spark, sf_dir).select("run", "step", "val_ppl"))
     edges = [0, 25, 50, 75, None]                   # step chunks, written in order
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = log.filter(log.step > lo) if hi is None else log.filter(
