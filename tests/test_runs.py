@@ -164,3 +164,26 @@ def test_eval_points(spark):
     df = spark.range(1, 41).withColumnRenamed("id", "step")
     assert [r.step for r in eval_points(df, 20).collect()] == [20, 40]
     assert eval_points(df, 0).count() == 0
+
+
+def test_hot_run_log_is_written_by_many_tasks(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    n = 3 * 4096 + 5                       # three step buckets and a bit
+    log = spark.range(1, n + 1).select(
+        F.lit("hot").alias("run"), F.col("id").alias("step"),
+        (F.col("id") / 1000.0).alias("train_loss"), F.lit(0.0).alias("aux"),
+        F.lit(1.0).alias("val_loss"), F.lit(2.0).alias("val_ppl"),
+        F.lit(10.0).alias("tokens_per_sec"), F.lit(1.0).alias("gpu_mem_mb"))
+    out = os.path.join(tmpdir_path, "logs")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")           # tiny data: AQE would merge every task
+    try:
+        S.write_metrics(log, out)
+    finally:
+        spark.conf.set(key, before)
+    files = [f for f in os.listdir(os.path.join(out, "run=hot")) if f.endswith(".csv")]
+    assert len(files) > 1                  # not one task for the whole run
+    back = S.read_runs(spark, out)
+    assert back.count() == n and back.select(F.countDistinct("step")).first()[0] == n
+    assert {r.run for r in back.select("run").distinct().collect()} == {"hot"}
