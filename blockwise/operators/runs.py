@@ -93,8 +93,8 @@ def vs_baseline(summary: DataFrame, marker: str = "baseline") -> DataFrame:
     used. The column is NULL when there is no baseline or its final ppl is
     not finite (the schema stays the same)."""
     base = (summary.filter(F.col("run").contains(marker))
-                   .agg(F.max_by("final_val_ppl", "run")).scalar())     # a scalar subquery
-    j = summary.withColumn("_base", base)
+                   .agg(F.max_by("final_val_ppl", "run")).first()[0])   # one value
+    j = summary.withColumn("_base", F.lit(base).cast("double"))
     imp = F.when(is_finite("_base"),
                  (F.col("_base") - F.col("final_val_ppl")) / F.col("_base") * F.lit(100.0))
     return j.withColumn("ppl_improve_vs_base_pct", imp).drop("_base")

@@ -64,11 +64,11 @@ def score_heldout(tokens: DataFrame, bigrams: DataFrame, smoothing: float = 1.0,
     :func:`heldout_loss`. Both joins are equi-joins; AQE splits hot tokens."""
     bigrams = cut(bigrams)                # read three times below
     uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
-    V = uni.agg(F.count(F.lit(1))).scalar()                   # a scalar subquery
+    V = uni.count()                                         # a count
     p = bigram_pairs(tokens, tok_col, keep)
     j = (p.join(bigrams.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left")
           .join(uni, "tok", "left")
-          .withColumn("_V", V))
+          .withColumn("_V", F.lit(V)))
     k = F.lit(float(smoothing))
     prob = (F.coalesce(F.col("_cb"), F.lit(0)) + k) / (F.coalesce(F.col("_ct"), F.lit(0))
                                                          + k * F.col("_V"))

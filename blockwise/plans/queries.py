@@ -502,8 +502,8 @@ def embed_tokens(spark, sf_dir):
           .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
     t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
     vec = V.vectors(spark, sf_dir)
-    n_emb = vec.agg(F.count(F.lit(1))).scalar()                  # a scalar subquery
-    t = (t.withColumn("emb_id", F.col("id") % n_emb)
+    n_emb = vec.count()                                           # a count
+    t = (t.withColumn("emb_id", F.col("id") % F.lit(n_emb))
           .withColumn("pos", F.col("gpos") % EMB_SEQ))
     emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
     pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
