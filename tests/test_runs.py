@@ -187,3 +187,16 @@ def test_hot_run_log_is_written_by_many_tasks(spark, tmpdir_path):
     back = S.read_runs(spark, out)
     assert back.count() == n and back.select(F.countDistinct("step")).first()[0] == n
     assert {r.run for r in back.select("run").distinct().collect()} == {"hot"}
+
+
+def test_vs_baseline_without_usable_baseline(spark):
+    from blockwise.operators.runs import vs_baseline
+    schema = "run string, final_val_ppl double"
+    none = vs_baseline(spark.createDataFrame([("a", 10.0), ("b", 5.0)], schema))
+    assert [r.ppl_improve_vs_base_pct for r in none.collect()] == [None, None]
+    inf = vs_baseline(spark.createDataFrame([("baseline_x", float("inf")), ("b", 5.0)], schema))
+    assert {r.run: r.ppl_improve_vs_base_pct for r in inf.collect()} == {"baseline_x": None,
+                                                                       "b": None}
+    last = vs_baseline(spark.createDataFrame(
+        [("baseline_a", 10.0), ("baseline_b", 20.0), ("m", 5.0)], schema))   # last by name
+    assert {r.run: r.ppl_improve_vs_base_pct for r in last.collect()}["m"] == 75.0
