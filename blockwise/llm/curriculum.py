@@ -71,7 +71,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
     return d.select("source", "n", "source_size", "k", target.alias("target"))
 
 
-def _placed(docs: DataFrame, id_col, source, text, keep, weights, share, max_passes, schedules, seed):
+def _placed(docs: DataFrame, id_col, source, text, keep, weights, share, max_passes, schedules, seed, whole):
     row = [F.struct(*docs.columns).alias("_row")] if keep else []
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     base = docs.select(
@@ -95,31 +95,35 @@ def _placed(docs: DataFrame, id_col, source, text, keep, weights, share, max_pas
     d = d.join(sums, ["src", "none", "b"])
     inner = (Window.partitionBy("src", "none", "b").orderBy("u", "h", "doc_id", "size")
              .rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("mid", F.col("off") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2.0)
-    n_passes, positions = F.lit(0), []
+    d = d.withColumn("start", F.col("off") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    taken, positions, goal = F.lit(0), [], F.col("target")
     for p in range(max_passes):
-        at = F.col("mid") + p * F.col("source_size")
-        took = at <= F.col("target")
-        n_passes = n_passes + took.cast("long")
-        f = F.when(F.col("target") > 0, F.least(F.lit(1.0), at / F.col("target"))).otherwise(F.lit(0.5))
+        start = F.col("start") + p * F.col("source_size")
+        if whole:
+            words = F.when(start + F.col("size") / 2.0 <= goal, F.col("size"))
+        else:
+            words = F.when(start <= goal, F.least(F.col("size"), F.floor(goal) - start))
+        f = F.when(goal > 0, F.least(F.lit(1.0), (start + words / 2.0) / goal)).otherwise(F.lit(0.5))
         when = _invert(f, schedules[0])
         for k in range(1, len(weights)):
             when = F.when(F.col("k") == k, _invert(f, schedules[k % len(schedules)])).otherwise(when)
+        took = words.isNotNull() & ((words > 0) | (F.col("size") == 0))
+        taken = taken + F.when(took, words).otherwise(F.lit(0))
         positions.append(F.when(took, when))
     return d.withColumn("positions", F.array_compact(F.array(*positions))).withColumn(
-        "taken", n_passes * F.col("size"))
+        "taken", taken.cast("long"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
              weights=WEIGHTS, share: float = SHARE, max_passes: int = MAX_PASSES, schedules=SCHEDULES,
-             seed: int = 42) -> DataFrame:
+             seed: int = 42, whole: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, positions): one row per row
-    of ``docs``, range-sorted by first position (untaken ones last). A
-    document is taken in a pass when the middle of its stretch lies within
-    the target, so a source misses its target by half a document at most.
-    Null texts have size 0; the null source is a source; repeated rows are
+    of ``docs``, range-sorted by first position (untaken ones last). The
+    document in which a source reaches its target is taken up to there; with
+    ``whole`` it is taken if the middle of its stretch lies within the
+    target, so a source misses its target by half a document at most. Null texts have size 0; the null source is a source; repeated rows are
     rows of their own; extra columns are not read."""
-    d = _placed(docs, id_col, source, text, False, weights, share, max_passes, schedules, seed)
+    d = _placed(docs, id_col, source, text, False, weights, share, max_passes, schedules, seed, whole)
     d = d.select("doc_id", "size", "source_size", "target", "taken", "positions")
     first = F.get("positions", F.lit(0)).asc_nulls_last()
     return d.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
@@ -129,8 +133,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source: str = "source", tex
             weights=WEIGHTS, share: float = SHARE, max_passes: int = MAX_PASSES, schedules=SCHEDULES,
             seed: int = 42) -> DataFrame:
     """The training sequence: the rows of ``docs`` (all columns), once per
-    pass that takes them, range-sorted by training position."""
-    d = _placed(docs, id_col, source, text, True, weights, share, max_passes, schedules, seed)
+    pass that takes them (whole documents only), range-sorted by training
+    position."""
+    d = _placed(docs, id_col, source, text, True, weights, share, max_passes, schedules, seed, True)
     d = d.select("_row", "h", F.explode("positions").alias("position"))
     d = d.repartitionByRange("position", "h").sortWithinPartitions("position", "h")
     return d.select("_row.*")

@@ -59,9 +59,10 @@ def read_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     for line in text.split(b"\n"):
         n = len(line.split())
         if n:
-            again = line in seen
+            key = line if len(line) < 64 else hashlib.blake2b(line, digest_size=32).digest()
+            again = key in seen
             dup += again
-            seen.add(line if len(line) < 64 else hashlib.blake2b(line, digest_size=16).digest())
+            seen.add(key)
             rows.append(line_features(line, n, again))
             counts.append(n)
     return np.array(rows, np.float64).reshape(-1, FEATURES), np.array(counts, np.int64), dup

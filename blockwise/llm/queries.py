@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockwise.llm import curriculum, decontam, kdshard, quality, simhash
+from blockwise.llm import curriculum, decontam, kdshard, langid, quality, repeats, simhash, toxicity
 from blockwise.llm.common import table
 
 
+def op1_rindex_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_curriculum_mix(spark, sf_dir):
     d = curriculum.mix_plan(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken",
@@ -15,11 +19,19 @@ def op2_curriculum_mix(spark, sf_dir):
                     F.get("positions", F.lit(1)).alias("second_position"))
 
 
+def op3_language_profiles(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     d = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.drop("doc")
 
 
+def op5_toxicity_gbt(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_kd_sharding(spark, sf_dir):
     return kdshard.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -34,6 +46,7 @@ def op10_quality_crf(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_curriculum_mix, op4_decontamination, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf)}
+    op1_rindex_dedup, op2_curriculum_mix, op3_language_profiles, op4_decontamination,
+    op5_toxicity_gbt, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf)}
 
 SQL: dict[str, str] = {}
