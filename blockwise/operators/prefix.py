@@ -23,8 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockwise.functions.numeric import INF, not_missing
+from blockwise.session import cut
 
 _B = "_bkt"
+_R = "_rng"
 
 
 def _parts(partition_cols: Sequence[str]) -> list[str]:
@@ -108,3 +110,33 @@ def two_level_prev_min(df: DataFrame, value: str, order_col: str, bucket: Column
     res = d.join(carried, on=[*part, _B]).withColumn(
         out, F.coalesce(F.least(F.col("_cm"), F.min(v).over(inner)), F.lit(INF)))
     return res.drop(_B, "_cm")
+
+
+def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
+    """``df`` dealt into ranges of the order, written once, with the range
+    number in ``_rng``. Ranges are cut by a sample of the keys, so their sizes
+    follow the rows whatever the keys look like (sparse, dense, one hot key);
+    the written table keeps the cut points, so retries agree."""
+    return cut(df.repartitionByRange(*order_cols).withColumn(_R, F.spark_partition_id()))
+
+
+def ranged_rank(df: DataFrame, order_cols: Sequence, partition_cols: Sequence[str] = (),
+                out: str = "rank") -> DataFrame:
+    """Add ``out``: 0-based position of each row in ``order_cols`` order within
+    ``partition_cols`` (null is a key like any other). Rows are counted per
+    key and range; a key has as many counts as ranges it reaches, so a key
+    with any share of the rows is ranked by many tasks and only its counts
+    meet in one."""
+    part = _parts(partition_cols)
+    d = ranged(df, [*part, *order_cols])
+    counts = d.groupBy(*part, _R).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*part) if part else Window).orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*[F.col(c).alias(f"_k_{c}") for c in part], F.col(_R).alias("_k_rng"),
+                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    same = F.col(_R) == F.col("_k_rng")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    inner = Window.partitionBy(*part, _R).orderBy(*order_cols)
+    return (d.join(offs, same)
+             .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long"))
+             .drop(_R, "_off", "_k_rng", *[f"_k_{c}" for c in part]))
