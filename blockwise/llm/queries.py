@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockwise.llm import curriculum, decontam, kdshard, langid, quality, repeats, simhash, toxicity
+from blockwise.llm import curriculum, decontam, kdshard, langid, lines, perspectives, quality, repeats, simhash, toxicity
 from blockwise.llm.common import table
 
 
@@ -32,6 +32,16 @@ def op5_toxicity_gbt(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_perspective_rotation(spark, sf_dir):
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_line_edit_join(spark, sf_dir):
+    d = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_linked", "n_links", F.size("dropped").cast("long").alias("n_dropped"),
+                    F.array_join("dropped", ",").alias("dropped"))
+
+
 def op8_kd_sharding(spark, sf_dir):
     return kdshard.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,6 +57,6 @@ def op10_quality_crf(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_rindex_dedup, op2_curriculum_mix, op3_language_profiles, op4_decontamination,
-    op5_toxicity_gbt, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf)}
+    op5_toxicity_gbt, op6_perspective_rotation, op7_line_edit_join, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_perspective_rotation": perspectives.SQL}
