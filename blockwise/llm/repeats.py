@@ -19,8 +19,11 @@ else in the corpus is removed.
   neighbours extend to the left with the same byte. Windows whose matching
   statistic reaches ``length`` are marked.
 * An anchor with more than ``HOT`` classes (a passage in ever new
-  surroundings) would not fit a shard: its windows are grouped by two hashes
-  instead, which is exact too and pre-aggregates.
+  surroundings) would not fit a shard. Its windows are dealt by their offset
+  from the anchor into runs of ``RUN`` offsets; the bytes common to a run are
+  a finer anchor, under which most classes fall together again. What still
+  has too many classes there is grouped window by window by two hashes,
+  which is exact too and pre-aggregates.
 * Marks go back to all copies by joins on (anchor, class), and to the texts.
 """
 
@@ -39,7 +42,9 @@ from blockwise.llm.common import cut, utf8
 LENGTH = 200
 GRAM = 32
 HOT = 1024                  # classes of one anchor that a shard may hold
+RUN = 16                    # window offsets that share a finer anchor
 SHARD_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18       # texts that are sorted together (whole anchors)
 SLICE = 1 << 19             # bytes that are hashed at a time
 
 _U = np.uint64
@@ -66,8 +71,8 @@ def _gram_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def _anchors(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
-    """Segments of the buffer: (first start, last start, anchor hash, class
-    hash). Windows start at first[k]..last[k] for each stretch k."""
+    """Segments of the buffer: (first start, last start, anchor start, anchor
+    hash, class hash). Windows start at first[k]..last[k] for each stretch k."""
     big = 1 << ((length - 1).bit_length() - 1)       # largest power of two below length
     g, wide = _gram_hashes(b, (gram, big))
     width = length - gram + 1
@@ -98,7 +103,7 @@ def _anchors(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gr
     for _ in range(-(-(2 * length - gram) // big)):
         hop = np.minimum(hop + big, tail)
         c = _mix((c ^ (c >> _U(32))) + wide[hop], 0xD6E8FEB86659FD93)
-    return s, e, g[where[s]], c
+    return s, e, where[s], g[where[s]], c
 
 
 def _emit_anchors(length: int, gram: int):
@@ -123,14 +128,14 @@ def _emit_anchors(length: int, gram: int):
     def rows(group):
         lens = np.array([len(x[2]) for x in group])
         begin = np.cumsum(lens) - lens
-        s, e, a, c = _anchors(np.frombuffer(b"".join(x[2] for x in group), np.uint8),
+        s, e, w, a, c = _anchors(np.frombuffer(b"".join(x[2] for x in group), np.uint8),
                               begin, begin + lens - length, length, gram)
         k = np.searchsorted(begin, s, side="right") - 1
         d = np.array([x[0] for x in group], np.int64)[k]
         at = s - begin[k] + np.array([x[1] for x in group], np.int64)[k]
         return pa.RecordBatch.from_arrays(
             [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d),
-             pa.array((at << 16) | (e - s))], ["a", "c", "d", "p"])
+             pa.array((at << 24) | ((w - s) << 12) | (e - s))], ["a", "c", "d", "p"])
 
     return emit
 
@@ -252,24 +257,25 @@ def _extract(length: int):
         for batch in batches:
             for z, want in zip(batch.column(0), batch.column(1)):
                 t, want = _unpack(z.as_py()), want.as_py()
-                segs = [t[w["p"] >> 16:(w["p"] >> 16) + (w["p"] & 0xFFFF) + length] for w in want]
+                segs = [t[w["p"] >> 24:(w["p"] >> 24) + (w["p"] & 0xFFF) + length] for w in want]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["a"] for w in want], pa.int64()), pa.array([w["c"] for w in want], pa.int64()),
                      pa.array([w["n"] for w in want], pa.int64()), pa.array([w["hot"] for w in want], pa.bool_()),
-                     pa.array(segs, pa.binary())], ["a", "c", "n", "hot", "seg"])
+                     pa.array([(w["p"] >> 12) & 0xFFF for w in want], pa.int32()),
+                     pa.array(segs, pa.binary())], ["a", "c", "n", "hot", "off", "seg"])
 
     return extract
 
 
-def _index_shard(length: int, shard_bytes: int):
+def _index_shard(length: int):
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["a", "c"]).sort_values(["a", "c"], ignore_index=True)
         a, n = pdf["a"].to_numpy(), pdf["n"].to_numpy()
         segs = [bytes(x) for x in pdf["seg"]]
         out, lo, size = [], 0, 0
-        for hi in range(1, len(segs) + 1):      # whole anchor groups, about shard_bytes at a time
+        for hi in range(1, len(segs) + 1):      # whole anchor groups
             size += len(segs[hi - 1]) + 1
-            if hi == len(segs) or (size >= shard_bytes and a[hi] != a[hi - 1]):
+            if hi == len(segs) or (size >= INDEX_BYTES and a[hi] != a[hi - 1]):
                 out += mark_segments(segs[lo:hi], n[lo:hi], length)
                 lo, size = hi, 0
         mark = np.array(out, np.int64).reshape(-1, 2)
@@ -279,45 +285,80 @@ def _index_shard(length: int, shard_bytes: int):
     return index
 
 
-def _window_counts(segs: DataFrame, length: int) -> DataFrame:
-    """The exact way for anchors with very many classes: windows grouped by
-    two hashes, summed over the copies of their classes."""
+def _shard_marks(segs: DataFrame, size: int, length: int, shard_bytes: int) -> DataFrame:
+    """(a, c, lo, hi) of the marked stretches of (a, c, n, seg) by index
+    shards; ``size``: bytes of all texts."""
+    shards = max(1, -(-int(size) // shard_bytes))
+    return (segs.select("a", "c", "n", "seg").groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"))
+            .applyInPandas(_index_shard(length), "a long, c long, lo long, hi long"))
+
+
+def _window_marks(segs: DataFrame, length: int) -> DataFrame:
+    """The same, window by window."""
     part = F.transform(F.sequence(F.lit(1), F.octet_length("seg") - length + 1),
                        lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("seg", i, length)).alias("h1"),
                                           F.xxhash64(F.lit("2"), F.substring("seg", i, length)).alias("h2")))
-    w = segs.dropDuplicates(["a", "c"]).select("a", "c", "n", F.explode(part).alias("w")).select("a", "c", "n", "w.*")
-    often = w.groupBy("a", "h1", "h2").agg(F.sum("n").alias("k")).filter("k > 1").select("a", "h1", "h2")
+    w = segs.select("a", "c", "n", F.explode(part).alias("w")).select("a", "c", "n", "w.*")
+    often = cut(w.groupBy("a", "h1", "h2").agg(F.sum("n").alias("k")).filter("k > 1").select("a", "h1", "h2"))
     return (w.join(often, ["a", "h1", "h2"]).groupBy("a", "c")
             .agg((F.min("i") - 1).cast("long").alias("lo"), (F.max("i") - 1 + length).cast("long").alias("hi")))
 
 
+def _many_classes(classes: DataFrame, hot: int) -> DataFrame:
+    """Anchors with more than ``hot`` classes (counted to 2 %)."""
+    return (classes.groupBy("a").agg(F.approx_count_distinct("c", 0.02).alias("m"))
+            .filter(F.col("m") > hot).select("a", F.lit(True).alias("hot")))
+
+
+def _hot_marks(segs: DataFrame, length: int, hot: int, shard_bytes: int) -> DataFrame:
+    """The same for hot anchors, by finer anchors."""
+    segs = segs.dropDuplicates(["a", "c"])
+    low, high = F.col("off") - F.octet_length("seg") + length, F.col("off")       # offsets of its windows
+    runs = segs.select("a", "c", "n", "off", "seg", low.alias("low"), F.explode(F.sequence(
+        F.floor(low / RUN).cast("int"), F.floor(high / RUN).cast("int"))).alias("k"))
+    first = F.col("off") - F.least("off", F.col("k") * RUN + RUN - 1)             # its windows of run k
+    last = F.col("off") - F.greatest("low", F.col("k") * RUN)
+    core = F.substring("seg", F.col("off") - F.col("k") * RUN + 1, F.lit(length - RUN + 1))
+    part = F.substring("seg", first + 1, last - first + length)
+    runs = cut(runs.select("a", "c", "n", first.alias("first"), part.alias("seg"),
+                           F.xxhash64("a", "k", core).alias("a2"), F.xxhash64(part).alias("c2")))
+    finer = runs.select(F.col("a2").alias("a"), F.col("c2").alias("c"), "n", "seg").groupBy("a", "c").agg(
+        F.sum("n").alias("n"), F.min("seg").alias("seg"))
+    finer = cut(finer.join(_many_classes(finer, hot), "a", "left"))
+    size = finer.agg(F.sum(F.octet_length("seg"))).first()[0] or 0
+    marks = cut(_shard_marks(finer.filter("hot is null"), size, length, shard_bytes).union(
+        _window_marks(finer.filter("hot"), length)).select(
+            F.col("a").alias("a2"), F.col("c").alias("c2"), "lo", "hi"))
+    return (runs.select("a", "c", "first", "a2", "c2").join(marks, ["a2", "c2"]).groupBy("a", "c")
+            .agg(F.min(F.col("first") + F.col("lo")).alias("lo"), F.max(F.col("first") + F.col("hi")).alias("hi")))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
                    gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(d, spans): for each text with repeats the sorted covered stretches
     (lo, hi) in bytes, which may overlap; d is the hash of id and text."""
-    if length < 2 * gram:
-        raise ValueError("length must be at least twice the gram")
+    if not 2 * max(gram, RUN) <= length < 2048:
+        raise ValueError("length must be at least twice the gram and less than 2048")
     texts = _texts(docs, id_col, text)
     anchors = texts.select("d", "b").mapInArrow(_emit_anchors(length, gram), "a long, c long, d long, p long")
-    again = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a")
+    again = cut(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"))
     found = cut(anchors.join(again, "a"))
     classes = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "p")).alias("at"))
-    wide = (found.groupBy("a").agg(F.approx_count_distinct("c", 0.02).alias("m"))
-            .filter(F.col("m") > hot).select("a", F.lit(True).alias("hot")))
-    classes = cut(classes.join(wide, "a", "left").select(
-        "a", "c", "n", "at.d", "at.p", F.coalesce("hot", F.lit(False)).alias("hot")))
+    per = found.groupBy("a").agg((F.approx_count_distinct("c", 0.02) > hot).alias("hot"),
+                                 (F.min("c") == F.max("c")).alias("lone"))
+    every = cut(classes.join(per, "a").select("a", "c", "n", "at.d", "at.p", "hot", "lone"))
+    classes = every.filter(~F.col("lone"))
     wanted = classes.groupBy("d").agg(F.collect_list(F.struct("a", "c", "n", "p", "hot")).alias("want"))
     packed = texts.select("d", "b").mapInArrow(_compressed, "d long, z binary")
     segs = packed.join(wanted, "d").select("z", "want").mapInArrow(
-        _extract(length), "a long, c long, n long, hot boolean, seg binary")
-    size = classes.agg(F.sum((F.col("p").bitwiseAND(F.lit(0xFFFF))) + length)).first()[0] or 0
-    shards = max(1, -(-int(size) // shard_bytes))
+        _extract(length), "a long, c long, n long, hot boolean, off int, seg binary")
+    size = classes.agg(F.sum(F.col("p").bitwiseAND(F.lit(0xFFF)) + length)).first()[0] or 0
     segs = cut(segs)
-    marks = (segs.filter(~F.col("hot")).select("a", "c", "n", "seg")
-             .groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"))
-             .applyInPandas(_index_shard(length, shard_bytes), "a long, c long, lo long, hi long"))
-    marks = cut(marks.union(_window_counts(segs.filter("hot"), length)))
-    start = F.shiftright("p", 16)
+    marks = _shard_marks(segs.filter(~F.col("hot")), size, length, shard_bytes)
+    marks = marks.union(_hot_marks(segs.filter("hot"), length, hot, shard_bytes))
+    alone = F.col("p").bitwiseAND(F.lit(0xFFF)) + length
+    marks = cut(marks.union(every.filter("lone").select("a", "c", F.lit(0).cast("long"), alone.cast("long"))))
+    start = F.shiftright("p", 24)
     return (found.join(marks, ["a", "c"]).select("d", (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
             .groupBy("d").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")))
 
