@@ -27,7 +27,7 @@ MAX_PASSES = 2       # a source gives at most this multiple of its words
 # (time, weight) knots, one schedule for each of WEIGHTS: the heavy sources
 # fade, the light ones grow
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-BUCKET_ROWS = 20000
+BUCKET_ROWS = 4096
 
 
 def _invert(share: Column, knots) -> Column:

@@ -29,7 +29,7 @@ from blockwise.llm.common import cut, utf8
 SHARDS = 16
 HEAVY = 64
 DIMS = ("d_size", "d_lang", "d_source", "d_id")
-BUCKET_ROWS = 20000
+BUCKET_ROWS = 4096
 _STEPS = (46, 30, 14, 0)       # right shifts of the 62-bit key, 16 (last: 14) bits a step
 
 
