@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blockwise.operators.prefix import two_level_prefix_sum, two_level_rank
+from blockwise.operators.prefix import ranged_rank, two_level_prefix_sum, two_level_rank
 from blockwise.session import cut
 
 # The word encoder's token pattern (maximal runs of anything
@@ -66,7 +66,7 @@ def build_vocab(tokens: DataFrame, tok_col: str = "toks", min_count: int = 1,
                 exclude: Sequence[str] = (EOS_TOKEN,)) -> DataFrame:
     """Vocabulary (B2): (tok, count, id), ids dense from 0 by count desc,
     then token ascending (byte order). Counting uses partial aggregation;
-    the rank is two-level, bucketed by (count, first two characters)."""
+    ids are ranks over ranges of that order."""
     t = tokens.select(F.explode(tok_col).alias("tok"))
     if exclude:
         t = t.filter(~F.col("tok").isin(list(exclude)))
@@ -74,8 +74,7 @@ def build_vocab(tokens: DataFrame, tok_col: str = "toks", min_count: int = 1,
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
     counts = cut(counts)                  # read twice by the rank; one row per type
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("tok", 1, 2).alias("p"))
-    ranked = two_level_rank(counts, [F.col("count").desc(), F.col("tok").asc()], bucket, out="id")
+    ranked = ranged_rank(counts, [F.col("count").desc(), F.col("tok").asc()], out="id")
     return ranked.select("tok", "count", "id")
 
 

@@ -7,14 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockwise.functions.numeric import INF, NAN
 from blockwise.operators.corpus import tokenize_words
-from blockwise.operators.prefix import two_level_rank
+from blockwise.operators.prefix import ranged_rank
 from blockwise.sources.corpus import spread
 
-# Log rows of a run are ranked in buckets of one minute of ts: a run holding a
-# third of a very large log still splits into small window groups, and the
-# bucket table (runs x minutes) stays small.
-TS_BUCKET = "minute"
-
 # Fixed values of the study layout.
 SEQ_LEN = 256          # block length L
 BATCH = 16             # blocks per batch B
@@ -48,8 +43,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_id), error -> inf ppl, signup -> NaN ppl."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("run", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
-    ranked = two_level_rank(ev, [F.col("ts"), F.col("event_id")],
-                            F.date_trunc(TS_BUCKET, F.col("ts")), ["run"], out="_r")
+    ranked = ranged_rank(ev, ["ts", "event_id"], ["run"], out="_r")
     return _metrics(ranked.withColumn("step", F.col("_r") + 1).drop("_r"))
 
 
@@ -84,8 +78,7 @@ def grid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     names = F.array(*[F.lit(n) for n in sweep_names()])
     ev = ev.withColumn("run", F.element_at(names, (F.col("user_id") % 13).cast("int") + 1))
-    ranked = two_level_rank(ev, [F.col("ts"), F.col("event_id")],
-                            F.date_trunc(TS_BUCKET, F.col("ts")), ["run"], out="_r")
+    ranked = ranged_rank(ev, ["ts", "event_id"], ["run"], out="_r")
     m = _metrics(ranked.withColumn("step", F.col("_r") + 1).drop("_r"))
     is_eval = (F.col("step") % EVAL_EVERY) == 0
     return (m.withColumn("val_loss", F.when(is_eval, F.col("val_loss")))

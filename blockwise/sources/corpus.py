@@ -16,18 +16,14 @@ def read_corpus(spark: SparkSession, path: str, split: str | None = None,
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` (into ``spark.sql.shuffle.partitions``)
-    only when the scan yields fewer partitions than that and than the
-    default parallelism (e.g. one large row group holding a whole table). A
-    large input already has enough splits and is left alone, so no extra
-    shuffle happens at scale. Using the session's partition count keeps
-    every hash partitioning of a plan the same size."""
+    """Deal the rows out (into ``spark.sql.shuffle.partitions``) only when
+    the scan yields fewer partitions than that and than the default
+    parallelism (e.g. one large row group holding a whole table). A large
+    input already has enough splits and is left alone, so no extra shuffle
+    happens at scale. The key is hashed and salted, so the result reports no
+    partitioning by ``key`` and no session setting is touched."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df.rdd.getNumPartitions() >= max(n, spark.sparkContext.defaultParallelism):
         return df
-    # Spark 4.1 zips union children that report this hash partitioning even
-    # when adaptive execution gave them different partition counts ("Can't
-    # zip RDDs with unequal numbers of partitions"); plain unions avoid it.
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return df.repartition(key)
+    return df.repartition(n, F.xxhash64(F.lit("spread"), F.col(key)))

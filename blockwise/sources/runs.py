@@ -8,6 +8,8 @@ back the same way.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blockwise.functions.numeric import INF, NAN, to_double
@@ -74,19 +76,22 @@ def _fs(spark: SparkSession, root: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+REPORT = re.compile(r"summary\.csv|router_grid_e\d+\.csv")
+
+
 def run_inventory(spark: SparkSession, root: str) -> DataFrame:
     """One row per run directory directly under ``root`` (A5), with or
     without a log; only names are listed (one level, driver side). Report
-    folders (``*.csv``) and hidden folders are skipped, so re-summarising a
-    root is idempotent (A10)."""
+    folders (by their full names) and dot folders are skipped, so
+    re-summarising a root is idempotent (A10)."""
     fs, p = _fs(spark, root)
     names = []
     if fs.exists(p):
         for st in fs.listStatus(p):
             n = st.getPath().getName()
-            # report folders written by Spark (summary.csv/, router_grid_e8.csv/)
-            # and hidden or bookkeeping folders are not runs
-            if not st.isDirectory() or n.endswith(".csv") or n[:1] in "._":
+            # report folders (summary.csv/, router_grid_e8.csv/) and dot
+            # folders are not runs; any other name is
+            if not st.isDirectory() or n[:1] == "." or REPORT.fullmatch(n):
                 continue
             names.append(n[4:] if n.startswith("run=") else n)
     schema = T.StructType([T.StructField("run", T.StringType())])
@@ -115,7 +120,7 @@ def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB) -> DataFr
 
 def _fmt(c: str, d: int) -> F.Column:
     x = F.col(c)
-    return (F.when(F.isnan(x), F.lit("nan"))
+    return (F.when(x.isNull() | F.isnan(x), F.lit("nan"))
              .when(x == F.lit(INF), F.lit("inf"))
              .when(x == F.lit(-INF), F.lit("-inf"))
              .otherwise(F.format_string(f"%.{d}f", x)))

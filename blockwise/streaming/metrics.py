@@ -17,9 +17,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from blockwise.functions.numeric import NAN, to_double
+from blockwise.sources.runs import _TEXT_SCHEMA, LOG_GLOB, _run_from_path
+
 LOG_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("step", T.LongType()),
     T.StructField("val_ppl", T.DoubleType()),
@@ -41,13 +44,19 @@ STATE_SCHEMA = T.StructType([
 def stream_metrics(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType = LOG_SCHEMA, files_per_batch: int | None = None
                    ) -> DataFrame:
-    """Streaming scan of metric parts under ``path`` (H1)."""
-    r = spark.readStream.schema(schema).format(fmt)
-    if fmt == "csv":
-        r = r.option("header", True)
+    """Streaming scan of metric parts under ``path`` (H1). ``csv`` reads the
+    logs that the sink writes: all columns as text, the run from the path,
+    then the columns of ``schema`` by name."""
+    r = spark.readStream.schema(_TEXT_SCHEMA if fmt == "csv" else schema).format(fmt)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.load(path)
+    if fmt != "csv":
+        return r.load(path)
+    raw = (r.option("header", True).option("enforceSchema", False).load(f"{path.rstrip('/')}/{LOG_GLOB}")
+            .withColumn("run", _run_from_path(F.col("_metadata.file_path"))))
+    cols = {"run": F.col("run"), "step": F.col("step").try_cast("long")}
+    return raw.select(*[cols.get(f.name, F.coalesce(to_double(f.name), F.lit(NAN))).alias(f.name)
+                        for f in schema.fields])
 
 
 def plateau_step(patience: int, min_delta: float, warmup: int):
