@@ -151,15 +151,15 @@ def distance(a, b):
     return p[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_links(spark, edits):
+@pytest.mark.parametrize("edits,hot", [(1, 16), (2, 16), (1, 1), (2, 1)])
+def test_line_links(spark, edits, hot):
     rnd = random.Random(3)
     pool = {"".join(rnd.choice("aé ") for _ in range(rnd.randint(3, 9))) + "b" for _ in range(80)}
     pool = sorted(pool)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(pool)] + [(500, None), (501, "")], "doc_id long, text string")
     name = {r[0]: r[1] for r in df.filter("text <> ''").select("text", F.xxhash64("text")).collect()}
     want = {tuple(sorted((name[a], name[b]))) for i, a in enumerate(pool) for b in pool[:i] if distance(a, b) <= edits}
-    got = [tuple(r) for r in lines.line_links(df, edits=edits, min_chars=4).collect()]
+    got = [tuple(r) for r in lines.line_links(df, edits=edits, min_chars=4, hot=hot).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
