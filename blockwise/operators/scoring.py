@@ -57,14 +57,19 @@ def fit_bigrams(tokens: DataFrame, tok_col: str = "toks") -> DataFrame:
 
 
 def score_heldout(tokens: DataFrame, bigrams: DataFrame, smoothing: float = 1.0,
-                  tok_col: str = "toks", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+                  tok_col: str = "toks", keep: Sequence[str] = ("doc_id",),
+                  n_vocab: int | None = None) -> DataFrame:
     """Per held-out pair (F5): add-k smoothed -ln p(nxt | tok) with
-    p = (c(tok, nxt) + k) / (c(tok) + k * V), V = distinct first tokens
-    of the fitted pairs. Returns (keep..., tok, nxt, nll); aggregate with
-    :func:`heldout_loss`. Both joins are equi-joins; AQE splits hot tokens."""
+    p = (c(tok, nxt) + k) / (c(tok) + k * V), V = ``n_vocab``, the number of
+    tokens that may follow, so p(. | tok) sums to 1 over the vocabulary (by
+    default the distinct tokens of the fitted pairs, on either side). Returns
+    (keep..., tok, nxt, nll); aggregate with :func:`heldout_loss`. Both joins
+    are equi-joins; AQE splits hot tokens."""
     bigrams = cut(bigrams)                # read three times below
     uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
-    V = uni.count()                                         # a count
+    V = n_vocab
+    if V is None:
+        V = bigrams.select("tok").union(bigrams.select("nxt")).distinct().count()       # a count
     p = bigram_pairs(tokens, tok_col, keep)
     j = (p.join(bigrams.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left")
           .join(uni, "tok", "left")

@@ -255,6 +255,26 @@ SELECT run, NOT no_moe AS moe_enabled, CASE WHEN no_moe THEN 0 ELSE moe_num_expe
 FROM sw WHERE run IN (SELECT run FROM grid_log)
 """
 
+SQL["run_meta"] = "WITH " + GRID_LOG + ",\n" + SWEEP_VALUES + ",\n" + _summary("gf") + """,
+nb AS (SELECT run, min(val_ppl) FILTER (WHERE NOT isnan(val_ppl)) AS bv FROM gf GROUP BY run),
+nbs AS (SELECT run, coalesce((SELECT min(step) FROM gf WHERE gf.run = nb.run AND gf.val_ppl = nb.bv), -1)
+               AS saved_best_step FROM nb)
+SELECT sw.run, moe_num_experts, coalesce(moe_router_jitter, 0.0e0) AS moe_router_jitter, moe_capacity_factor,
+       steps, 512 AS d_model, 200 AS eval_every, final_val_ppl, best_val_ppl, saved_best_step
+FROM sw LEFT JOIN summ USING (run) LEFT JOIN nbs USING (run)
+"""
+
+SQL["mixed_logs"] = "WITH " + GRID_LOG + """,
+csv AS (SELECT run, step, round(train_loss, 6) AS train_loss, round(val_ppl, 6) AS val_ppl,
+               CASE WHEN starts_with(run, 'all_moe_e') THEN 'nan'::DOUBLE ELSE round(tokens_per_sec, 2) END
+                 AS tokens_per_sec,
+               CASE WHEN starts_with(run, 'all_moe_e') THEN 'nan'::DOUBLE ELSE round(gpu_mem_mb, 1) END
+                 AS gpu_mem_mb
+        FROM gf),
+""" + _summary("csv") + """
+SELECT run, final_val_ppl, best_val_ppl, best_step, last_train_loss, max_tok_s, peak_mem_mb FROM summ2
+"""
+
 FOLD = RUN_LOG + """,
 evs AS (SELECT run, step, ts, val_ppl AS v,
               row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM run_log),
@@ -467,7 +487,7 @@ pairs AS (SELECT * FROM (SELECT doc_id, split, lang, source, tok,
           WHERE nxt IS NOT NULL),
 bg AS (SELECT tok, nxt, count(*) AS count FROM pairs WHERE split = 'train' GROUP BY tok, nxt),
 uni AS (SELECT tok, sum(count) AS ct FROM bg GROUP BY tok),
-nv AS (SELECT count(*) AS nv FROM uni),
+nv AS (SELECT count(DISTINCT tok) AS nv FROM wf),
 nll AS (SELECT p.doc_id, p.lang, p.source,
                -ln((coalesce(b.count, 0) + 1.0e0) / (coalesce(u.ct, 0) + 1.0e0 * (SELECT nv FROM nv))) AS nll
         FROM pairs p LEFT JOIN bg b ON b.tok = p.tok AND b.nxt = p.nxt
@@ -511,7 +531,7 @@ t0 AS (SELECT run, min(epoch_us(ts)) AS t0 FROM run_log GROUP BY run),
 e AS (SELECT r.*, (epoch_us(r.ts) - t0.t0) / 1e6 AS el FROM run_log r JOIN t0 USING (run))
 SELECT run, step, round(el, 6) AS elapsed,
        round(CAST(step * 16 * 256 AS DOUBLE) / greatest(1e-6, el), 4) AS tok_per_sec,
-       coalesce(CASE WHEN NOT isnan(gpu_mem_mb) THEN gpu_mem_mb * 1048576e0 END / 1048576e0, 0e0)
+       coalesce(CASE WHEN NOT isnan(gpu_mem_mb) THEN gpu_mem_mb * 1000e0 END / 1048576e0, 0e0)
          AS mem_mb
 FROM e
 """

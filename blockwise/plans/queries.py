@@ -234,7 +234,7 @@ def sweep(spark, sf_dir):
 def run_throughput(spark, sf_dir):
     """Cumulative tokens per second of every logged step (16 x 256 tokens
     per step over the seconds since the run's first row, at least 1e-6) and
-    the device memory column read as bytes and reported in MB."""
+    the device memory column read as thousands of bytes and reported in MB."""
     from blockwise.functions.numeric import bytes_to_mb, throughput
     log = V.run_log(spark, sf_dir)
     t0 = log.groupBy("run").agg(F.min("ts").alias("_t0"))
@@ -243,7 +243,7 @@ def run_throughput(spark, sf_dir):
     return j.select("run", "step", F.round("elapsed", 6).alias("elapsed"),
                     F.round(throughput(F.col("step"), F.lit(V.BATCH), F.lit(V.SEQ_LEN),
                                        F.col("elapsed")), 4).alias("tok_per_sec"),
-                    bytes_to_mb(F.when(~F.isnan("gpu_mem_mb"), F.col("gpu_mem_mb") * 1048576.0))
+                    bytes_to_mb(F.when(~F.isnan("gpu_mem_mb"), F.col("gpu_mem_mb") * 1000.0))
                     .alias("mem_mb"))
 
 
@@ -263,6 +263,24 @@ def study_summary(spark, sf_dir):
                     F.round("ppl_improve_vs_base_pct", 6).alias("ppl_improve_vs_base_pct"))
 
 
+@query
+def mixed_logs(spark, sf_dir):
+    """The sweep logs written as two studies, the all-expert runs with only
+    step, train_loss and val_ppl (in another order), then read by each file's
+    own header and summarised; a column that a log lacks is NaN."""
+    from blockwise.operators.runs import summarize_runs
+    from blockwise.session import cut, scratch_path
+    from blockwise.sources.runs import format_metrics, read_runs, write_metrics
+    old, new = scratch_path(spark, "old-logs"), scratch_path(spark, "new-logs")
+    log = cut(grid_filled(spark, sf_dir))
+    is_old = F.col("run").startswith("all_moe_e")
+    few = format_metrics(log.filter(is_old)).select("run", "val_ppl", "step", "train_loss")
+    few.write.mode("overwrite").partitionBy("run").option("header", True).csv(old)
+    write_metrics(log.filter(~is_old), new)
+    s = summarize_runs(read_runs(spark, old).unionByName(read_runs(spark, new)))
+    return s
+
+
 # The study's shared training settings.
 STUDY_SETTINGS = {"d_model": 512, "n_layer": 6, "n_head": 8, "seq_len": 256, "batch_size": 16,
                   "bf16": True, "eval_every": 200, "val_batches": 50,
@@ -284,6 +302,24 @@ def normalized_configs(spark, sf_dir):
                       "d_ff_eff", "moe_capacity_factor", "moe_router_jitter", "steps")
 
 
+@query
+def run_meta(spark, sf_dir):
+    """Config, log summary and saved best step of every run: configs and
+    best steps written as run folders, read back and joined by run."""
+    from blockwise.operators import runs as R
+    from blockwise.session import cut, scratch_path
+    from blockwise.sources import runs as S
+    log = cut(grid_filled(spark, sf_dir))
+    at = scratch_path(spark, "run-meta")
+    cfg = R.apply_overrides(R.config_defaults(R.sweep(spark, steps=V.SWEEP_STEPS)), STUDY_SETTINGS)
+    S.write_run_configs(cfg, f"{at}/configs")
+    S.write_best_steps(R.best_step(log, mode="notna"), f"{at}/best")
+    j = R.join_run_meta(S.read_run_configs(spark, f"{at}/configs"), R.summarize_runs(log),
+                        S.read_best_steps(spark, f"{at}/best"))
+    return j.select("run", "moe_num_experts", "moe_router_jitter", "moe_capacity_factor", "steps", "d_model",
+                    "eval_every", "final_val_ppl", "best_val_ppl", "saved_best_step")
+
+
 # ------------------------------------------------------------- stopping
 # Fixed values of the stopping queries. Patience and min delta are the
 # study's; warm-up, step budget, time limit and evaluation interval are
@@ -543,8 +579,10 @@ def bigram_fit(spark, sf_dir):
 
 def _nll(spark, sf_dir):
     from blockwise.operators.scoring import score_heldout
-    val = V.tokens(spark, sf_dir, eos=False).filter(F.col("split") == "validation")
-    return score_heldout(val, _bigrams(spark, sf_dir), 1.0, keep=("doc_id", "lang", "source"))
+    toks = V.tokens(spark, sf_dir, eos=False)
+    n_vocab = toks.select(F.explode("toks")).distinct().count()         # the corpus vocabulary's size
+    return score_heldout(toks.filter(F.col("split") == "validation"), _bigrams(spark, sf_dir), 1.0,
+                         keep=("doc_id", "lang", "source"), n_vocab=n_vocab)
 
 
 @query

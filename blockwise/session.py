@@ -3,8 +3,8 @@
 ``get_spark`` is for tests, benchmarks and the command line; library code
 never creates a session. ``shared_dir`` returns the cluster-wide folder used
 for lineage cuts and streaming parts: it is whatever ``spark.checkpoint.dir``
-names. Only when that setting is unset (local tests) is a private folder
-created and registered.
+names. Only when that setting is unset on a local master (tests) is a private
+folder created and registered; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         # a core setting: it cannot be set on a running session, so the
         # private folder is registered on the context only
         d = tempfile.mkdtemp(prefix="blockwise-ckpt-")

@@ -9,6 +9,7 @@ back the same way.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,6 +21,7 @@ METRIC_COLUMNS = ["step", "train_loss", "aux", "val_loss", "val_ppl", "tokens_pe
 METRIC_DECIMALS = {"train_loss": 6, "aux": 6, "val_loss": 6, "val_ppl": 6,
                    "tokens_per_sec": 2, "gpu_mem_mb": 1}
 
+# the text of a log that has the fixed header (streams read these)
 _TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in METRIC_COLUMNS])
 
 # The 33 run-config fields with their defaults, in order.
@@ -51,6 +53,7 @@ _CONFIG_TYPES = {
 }
 CONFIG_SCHEMA = T.StructType([T.StructField(k, _CONFIG_TYPES[k]) for k in CONFIG_DEFAULTS])
 
+# The architecture fields of the metadata document, in order.
 _ARCH_FIELDS = ["d_model", "n_layer", "n_head", "seq_len", "d_ff", "moe_layer_index",
                 "moe_layers", "moe_all_layers", "moe_num_experts", "moe_capacity_factor",
                 "moe_router_jitter", "pdrop"]
@@ -65,9 +68,14 @@ META_SCHEMA = T.StructType([
 _RUN_FROM_PATH = r"([^/]+)/[^/]+$"
 
 
+def _unquoted(c) -> F.Column:
+    return F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+
+
 def _run_from_path(path_col) -> F.Column:
-    d = F.regexp_extract(path_col, _RUN_FROM_PATH, 1)
-    return F.regexp_replace(d, r"^run=", "")
+    """File paths are URIs, and Spark quotes names of partition folders."""
+    d = _unquoted(F.regexp_extract(path_col, _RUN_FROM_PATH, 1))
+    return F.when(d.startswith("run="), _unquoted(F.substring(d, 5, 1 << 30))).otherwise(d)
 
 
 def _fs(spark: SparkSession, root: str):
@@ -93,7 +101,7 @@ def run_inventory(spark: SparkSession, root: str) -> DataFrame:
             # folders are not runs; any other name is
             if not st.isDirectory() or n[:1] == "." or REPORT.fullmatch(n):
                 continue
-            names.append(n[4:] if n.startswith("run=") else n)
+            names.append(unquote(n[4:]) if n.startswith("run=") else n)
     schema = T.StructType([T.StructField("run", T.StringType())])
     return spark.createDataFrame([(n,) for n in sorted(set(names))], schema)
 
@@ -105,14 +113,23 @@ LOG_GLOB = "{*/metrics.csv,run=*/*.csv}"
 
 
 def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB) -> DataFrame:
-    """All metric logs under ``root`` in one scan (A4), tagged with the run.
-    Numbers are coerced (B10): 'nan'/'inf' parse, unparsable text becomes
-    NaN. Zero-byte and header-only files give no rows (see run_inventory).
-    A file whose header is not the fixed one fails the scan."""
-    raw = (spark.read.schema(_TEXT_SCHEMA).option("header", True)
-           .option("enforceSchema", False).option("mode", "FAILFAST")
-           .csv(f"{root.rstrip('/')}/{pattern}")
-           .withColumn("run", _run_from_path(F.col("_metadata.file_path"))))
+    """All metric logs under ``root`` in one table (A4), tagged with the run.
+    Columns are taken by each file's own header: a column that a log lacks is
+    NaN (a lacking step is NULL), one that is not a metric is not read. The
+    header of a file is the line that names metric columns (a data line holds
+    numbers only). Numbers are coerced (B10): 'nan'/'inf' parse, unparsable
+    text becomes NaN. Zero-byte and header-only files give no rows (see
+    run_inventory)."""
+    lines = spark.read.text(f"{root.rstrip('/')}/{pattern}").select(
+        F.col("_metadata.file_path").alias("path"),
+        F.transform(F.split(F.regexp_replace("value", "[\"\\r]", ""), ","), lambda x: F.trim(x)).alias("cells"))
+    is_header = F.arrays_overlap("cells", F.array(*[F.lit(c) for c in METRIC_COLUMNS]))
+    # one row per file
+    headers = lines.filter(is_header).groupBy("path").agg(F.min("cells").alias("names"))
+    data = lines.filter(~is_header & (F.col("cells") != F.array(F.lit("")))).join(headers, "path")
+    cell = lambda c: F.get("cells", F.array_position("names", c).cast("int") - 1)
+    raw = data.select(_run_from_path(F.col("path")).alias("run"), *[
+        F.when(F.array_contains("names", c), cell(c)).alias(c) for c in METRIC_COLUMNS])
     cols = [F.col("step").try_cast("long").alias("step")]
     cols += [F.coalesce(to_double(c), F.lit(NAN)).alias(c) for c in METRIC_COLUMNS[1:]]
     return raw.select("run", *cols)
@@ -147,22 +164,25 @@ def write_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def read_run_configs(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/*/config.json`` (multi-line JSON) with the run name (A7)."""
+    """``<root>/*/config.json`` (multi-line JSON) with the run name (A7), or
+    what :func:`write_run_configs` wrote under ``root``."""
     return (spark.read.schema(CONFIG_SCHEMA).option("multiLine", True)
-            .json(f"{root.rstrip('/')}/*/config.json")
+            .json(f"{root.rstrip('/')}/{{*/config.json,run=*/*.txt}}")
             .withColumn("run", _run_from_path(F.col("_metadata.file_path"))))
 
 
 def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/*/meta.json``: enc_name, nested arch, step (A7)."""
+    """``<root>/*/meta.json``: enc_name, nested arch, step (A7), or what
+    :func:`write_run_meta` wrote under ``root``."""
     return (spark.read.schema(META_SCHEMA).option("multiLine", True)
-            .json(f"{root.rstrip('/')}/*/meta.json")
+            .json(f"{root.rstrip('/')}/{{*/meta.json,run=*/*.txt}}")
             .withColumn("run", _run_from_path(F.col("_metadata.file_path"))))
 
 
 def read_best_steps(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/*/best_step.txt``: one integer per run."""
-    return (spark.read.text(f"{root.rstrip('/')}/*/best_step.txt")
+    """``<root>/*/best_step.txt``: one integer per run, or what
+    :func:`write_best_steps` wrote under ``root``."""
+    return (spark.read.text(f"{root.rstrip('/')}/{{*/best_step.txt,run=*/*.txt}}")
             .select(_run_from_path(F.col("_metadata.file_path")).alias("run"),
                     F.trim("value").try_cast("long").alias("best_step")))
 
@@ -176,9 +196,25 @@ def meta_json(configs: DataFrame, enc_col: str = "vocab_name", step_col: str = "
 
 
 def write_run_meta(configs: DataFrame, path: str, step_col: str = "step") -> None:
-    """Metadata sink (A7): one JSON document per line, partitioned by run."""
-    (meta_json(configs, step_col=step_col).select("run", F.col("json").alias("value"))
-        .write.mode("overwrite").partitionBy("run").text(path))
+    """Metadata sink (A7): one JSON document per run under a folder of its own."""
+    _write_per_run(meta_json(configs, step_col=step_col).select("run", F.col("json").alias("value")), path)
+
+
+def write_run_configs(configs: DataFrame, path: str) -> None:
+    """Config sink (A7): the 33 fields of each run as one JSON document; a
+    NULL field is left out and reads back as NULL."""
+    fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONFIG_SCHEMA.fields])
+    _write_per_run(configs.select("run", F.to_json(fields).alias("value")), path)
+
+
+def write_best_steps(best: DataFrame, path: str, col: str = "best_step") -> None:
+    """Best-step sink (A7): one integer per run."""
+    _write_per_run(best.select("run", F.col(col).cast("long").cast("string").alias("value")), path)
+
+
+def _write_per_run(rows: DataFrame, path: str) -> None:
+    """(run, value), one row per run, as one text file per run."""
+    rows.repartition("run").write.mode("overwrite").partitionBy("run").text(path)
 
 
 def write_summary(summary: DataFrame, root: str) -> str:

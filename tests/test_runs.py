@@ -5,6 +5,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockwise.sources import runs as S
 from blockwise.sources.study import summarize_root
@@ -200,3 +201,47 @@ def test_vs_baseline_without_usable_baseline(spark):
     last = vs_baseline(spark.createDataFrame(
         [("baseline_a", 10.0), ("baseline_b", 20.0), ("m", 5.0)], schema))   # last by name
     assert {r.run: r.ppl_improve_vs_base_pct for r in last.collect()}["m"] == 75.0
+
+
+def test_logs_with_other_headers(spark, tmpdir_path):
+    for run, lines in {"new": ["step,train_loss,aux,val_loss,val_ppl,tokens_per_sec,gpu_mem_mb", "1,2.0,0.1,3.0,20.0,7.5,9.0"],
+                       "old": ["val_ppl,note,step", "15.5,x,2", "", "nan,y,3"],
+                       "bare": ["step,train_loss", "4,1.5"]}.items():
+        os.makedirs(f"{tmpdir_path}/{run}")
+        with open(f"{tmpdir_path}/{run}/metrics.csv", "w") as f:
+            f.write("\r\n".join(lines) + "\r\n")
+    from blockwise.operators.runs import curves
+    from blockwise.sources.runs import read_runs
+    logs = read_runs(spark, tmpdir_path)
+    got = {(r["run"], r["step"]): (r["train_loss"], r["val_ppl"], r["gpu_mem_mb"]) for r in logs.collect()}
+    assert set(got) == {("new", 1), ("old", 2), ("old", 3), ("bare", 4)}
+    assert got[("new", 1)] == (2.0, 20.0, 9.0)
+    assert got[("old", 2)][1] == 15.5 and all(math.isnan(got[("old", 2)][k]) for k in (0, 2))
+    assert got[("bare", 4)][0] == 1.5 and math.isnan(got[("bare", 4)][1])
+    assert [tuple(r) for r in curves(logs).collect()] == [("new", 1, 20.0), ("old", 2, 15.5)]
+
+
+def test_metadata_sinks_read_back(spark, tmpdir_path):
+    from blockwise.operators.runs import config_defaults
+    from blockwise.sources import runs as S
+    cfg = config_defaults(spark.createDataFrame([("a", 7, 100), ("b c:1+%", None, 200)], "run string, seed int, step long"))
+    S.write_run_configs(cfg, f"{tmpdir_path}/configs")
+    S.write_run_meta(cfg, f"{tmpdir_path}/meta")
+    S.write_best_steps(cfg.select("run", F.col("step").alias("best_step")), f"{tmpdir_path}/best")
+    names = ["run", *S.CONFIG_DEFAULTS]
+    back = {r["run"]: r for r in S.read_run_configs(spark, f"{tmpdir_path}/configs").select(*names).collect()}
+    assert back == {r["run"]: r for r in cfg.select(*names).collect()}
+    meta = {r["run"]: (r["enc_name"], r["arch"]["d_model"], r["step"]) for r in S.read_run_meta(spark, f"{tmpdir_path}/meta").collect()}
+    assert meta == {"a": ("gpt2", 512, 100), "b c:1+%": ("gpt2", 512, 200)}
+    assert {tuple(r) for r in S.read_best_steps(spark, f"{tmpdir_path}/best").collect()} == {("a", 100), ("b c:1+%", 200)}
+
+
+def test_smoothed_probabilities_sum_to_one(spark):
+    from blockwise.operators.scoring import fit_bigrams, score_heldout
+    train = spark.createDataFrame([(1, "a b a c b".split()), (2, "c a".split())], "doc_id long, toks array<string>")
+    words = "abcd"          # d follows nothing in training
+    held = spark.createDataFrame([(i * 10 + j, [x, y]) for i, x in enumerate(words) for j, y in enumerate(words)],
+                                 "doc_id long, toks array<string>")
+    got = score_heldout(held, fit_bigrams(train), 0.5, n_vocab=len(words)).collect()
+    for x in words:
+        assert abs(sum(math.exp(-r["nll"]) for r in got if r["tok"] == x) - 1) < 1e-9
