@@ -30,21 +30,32 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1
 BUCKET_ROWS = 4096
 
 
-def _invert(share: Column, knots) -> Column:
-    """Time at which the schedule's integral reaches ``share`` of its whole."""
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _pieces(knots) -> Column:
+    """A schedule as an array of linear pieces, its integral scaled to 1."""
     area = [0.0]
     for (x0, v0), (x1, v1) in zip(knots, knots[1:]):
         area.append(area[-1] + (x1 - x0) * (v0 + v1) / 2)
     if area[-1] <= 0:
         raise ValueError("a schedule needs a positive integral")
-    pieces = F.array(*[
+    return F.array(*[
         F.struct(F.lit(a / area[-1]).alias("a"), F.lit(x0).alias("x"), F.lit(x1).alias("end"),
                  F.lit(v0 / area[-1]).alias("v"), F.lit((v1 - v0) / (x1 - x0) / area[-1]).alias("s"))
         for a, (x0, v0), (x1, v1) in zip(area, knots, knots[1:])])
-    at = F.element_at(F.filter(pieces, lambda p: p["a"] <= share), -1)
-    rest = share - at["a"]
-    root = at["v"] + F.sqrt(F.greatest(F.lit(0.0), at["v"] * at["v"] + 2 * at["s"] * rest))
-    return F.least(at["end"], at["x"] + F.when(root > 0, 2 * rest / root).otherwise(F.lit(0.0)))
+
+
+def _invert(share: Column, pieces: Column) -> Column:
+    """Time at which the integral of ``pieces`` reaches ``share`` of its whole."""
+    def within(at: Column) -> Column:
+        rest = share - at["a"]
+        root = at["v"] + F.sqrt(F.greatest(F.lit(0.0), at["v"] * at["v"] + 2 * at["s"] * rest))
+        return F.least(at["end"], at["x"] + F.when(root > 0, 2 * rest / root).otherwise(F.lit(0.0)))
+
+    return _let(F.element_at(F.filter(pieces, lambda p: p["a"] <= share), -1), within)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -71,15 +82,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
     return d.select("source", "n", "source_size", "k", target.alias("target"))
 
 
-def _placed(docs: DataFrame, id_col, source, text, keep, weights, share, max_passes, schedules, seed, whole):
-    row = [F.struct(*docs.columns).alias("_row")] if keep else []
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    base = docs.select(
+def _sized(docs, id_col, source, text, seed, *more):
+    """The narrow columns that a plan needs, and ``more``."""
+    return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("src"),
-        F.col(source).isNull().alias("none"), h.alias("h"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row)
-    if not keep:
-        base = cut(base)        # small rows, read several times
+        F.col(source).isNull().alias("none"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.xxhash64(text).alias("tie"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
+
+
+def _placed(base, weights, share, max_passes, schedules, whole):
     sizes = (base.groupBy("src", "none").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
              .withColumn("source", F.when(~F.col("none"), F.col("src"))))
     goals = cut(source_targets(sizes.select("source", "n", "source_size"), weights, share, max_passes)
@@ -93,25 +105,28 @@ def _placed(docs: DataFrame, id_col, source, text, keep, weights, share, max_pas
     up = Window.partitionBy("src", "none").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "none", "b", F.coalesce(F.sum("s").over(up), F.lit(0)).alias("off"))
     d = d.join(sums, ["src", "none", "b"])
-    inner = (Window.partitionBy("src", "none", "b").orderBy("u", "h", "doc_id", "size")
+    inner = (Window.partitionBy("src", "none", "b").orderBy("u", "h", "doc_id", "size", "tie")
              .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("start", F.col("off") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    taken, positions, goal = F.lit(0), [], F.col("target")
-    for p in range(max_passes):
+    size, goal = F.col("size"), F.col("target")
+
+    def stretch(p: Column) -> Column:
         start = F.col("start") + p * F.col("source_size")
         if whole:
-            words = F.when(start + F.col("size") / 2.0 <= goal, F.col("size"))
+            words = F.when(start + size / 2.0 <= goal, size)
         else:
-            words = F.when(start <= goal, F.least(F.col("size"), F.floor(goal) - start))
+            words = F.when(start <= goal, F.least(size, F.floor(goal) - start))
         f = F.when(goal > 0, F.least(F.lit(1.0), (start + words / 2.0) / goal)).otherwise(F.lit(0.5))
-        when = _invert(f, schedules[0])
-        for k in range(1, len(weights)):
-            when = F.when(F.col("k") == k, _invert(f, schedules[k % len(schedules)])).otherwise(when)
-        took = words.isNotNull() & ((words > 0) | (F.col("size") == 0))
-        taken = taken + F.when(took, words).otherwise(F.lit(0))
-        positions.append(F.when(took, when))
-    return d.withColumn("positions", F.array_compact(F.array(*positions))).withColumn(
-        "taken", taken.cast("long"))
+        return F.struct(words.alias("words"), f.alias("f"))
+
+    passes = F.filter(F.transform(F.array(*[F.lit(p) for p in range(max_passes)]), stretch),
+                      lambda x: x["words"].isNotNull() & ((x["words"] > 0) | (size == 0)))
+    pieces = F.element_at(F.array(*[_pieces(schedules[k % len(schedules)]) for k in range(len(weights))]),
+                          (F.col("k") + 1).cast("int"))
+    d = d.withColumn("passes", passes)
+    return d.withColumns({
+        "taken": F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"]),
+        "positions": F.transform("passes", lambda x: _invert(x["f"], pieces))})
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
@@ -123,7 +138,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     ``whole`` it is taken if the middle of its stretch lies within the
     target, so a source misses its target by half a document at most. Null texts have size 0; the null source is a source; repeated rows are
     rows of their own; extra columns are not read."""
-    d = _placed(docs, id_col, source, text, False, weights, share, max_passes, schedules, seed, whole)
+    base = cut(_sized(docs, id_col, source, text, seed))        # small rows, read several times
+    d = _placed(base, weights, share, max_passes, schedules, whole)
     d = d.select("doc_id", "size", "source_size", "target", "taken", "positions")
     first = F.get("positions", F.lit(0)).asc_nulls_last()
     return d.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
@@ -134,8 +150,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source: str = "source", tex
             seed: int = 42) -> DataFrame:
     """The training sequence: the rows of ``docs`` (all columns), once per
     pass that takes them (whole documents only), range-sorted by training
-    position."""
-    d = _placed(docs, id_col, source, text, True, weights, share, max_passes, schedules, seed, True)
-    d = d.select("_row", "h", F.explode("positions").alias("position"))
-    d = d.repartitionByRange("position", "h").sortWithinPartitions("position", "h")
-    return d.select("_row.*")
+    position. The rows are written once with a number of their own; the plan
+    is made from narrow columns, so texts move in two shuffles only."""
+    rows = cut(_sized(docs, id_col, source, text, seed, F.struct(*docs.columns).alias("_row"),
+                      F.monotonically_increasing_id().alias("rid")))
+    d = _placed(rows.drop("_row"), weights, share, max_passes, schedules, True)
+    d = d.select("rid", "h", "tie", F.explode("positions").alias("position"))
+    d = rows.select("rid", "_row").join(d, "rid")
+    order = ["position", "h", "tie"]
+    return d.repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")
