@@ -15,7 +15,10 @@
 
 The vocabulary is looked up in tasks, so it is bounded: items are dealt by
 hash into blocks of about ``block_words`` words, and each block passes over
-the corpus by itself. Everything else is an equi-join.
+the corpus by itself. A block of at most twice that many words (counted) is
+also broadcast to the postings, so a frequent term or item is not gathered in
+one task; a larger one (a single huge item) is shuffled. Everything else is
+an equi-join.
 """
 
 from __future__ import annotations
@@ -120,14 +123,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = phrases = near = None
     for k in range(blocks):
         own = items.filter(F.pmod("item", F.lit(blocks)) == k)
-        r, p, m = _match_block(docs, own, id_col, text, window, near_terms, near_span)
+        small = blocks == 1 or own.count() <= 2 * block_words
+        r, p, m = _match_block(docs, own, id_col, text, window, near_terms, near_span,
+                               F.broadcast if small else lambda d: d)
         rows = r if rows is None else rows          # the same for every block
         phrases = p if phrases is None else phrases.unionByName(p)
         near = m if near is None else near.unionByName(m)
     return rows, phrases, near
 
 
-def _match_block(docs, items, id_col, text, window, near_terms, near_span):
+def _match_block(docs, items, id_col, text, window, near_terms, near_span, hint):
     spark = docs.sparkSession
     words = [bytes(r[0]) for r in items.select("word").distinct().collect()]   # one block's vocabulary
     vocab = {w: i for i, w in enumerate(sorted(words))}
@@ -151,12 +156,12 @@ def _match_block(docs, items, id_col, text, window, near_terms, near_span):
     post = index.filter("term >= 0").select("doc", "term", "pos")
 
     # offset-adjusted lists of the rarest words, then of the second rarest
-    cand = post.join(picks, "term").select(
+    cand = post.join(hint(picks), "term").select(
         "doc", "item", (F.col("pos") - F.col("ipos")).alias("diag"), F.col("term2").alias("term"),
         (F.col("pos") - F.col("ipos") + F.col("ipos2")).alias("pos")).distinct()
     left = cand.join(post, ["doc", "pos", "term"], "left_semi").select("doc", "item", "diag").distinct()
     # all other words of the item on the same diagonal
-    spots = left.join(seq.select("item", "item_id", "n", "ipos", "term"), "item").withColumn(
+    spots = left.join(hint(seq.select("item", "item_id", "n", "ipos", "term")), "item").withColumn(
         "pos", F.col("diag") + F.col("ipos"))
     found = spots.join(post, ["doc", "pos", "term"], "left_semi")
     run = Window.partitionBy("doc", "item", "diag").orderBy("ipos")
@@ -172,7 +177,7 @@ def _match_block(docs, items, id_col, text, window, near_terms, near_span):
     top = top.join(top.groupBy("item").agg(F.max("k").alias("need")), "item").filter("need > 1")
     top = top.join(seq.select("item", "item_id").distinct(), "item")
     span = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(-near_span, 0)
-    near = (post.join(top.select("item", "item_id", "term", "need"), "term").distinct()
+    near = (post.join(hint(top.select("item", "item_id", "term", "need")), "term").distinct()
             .withColumn("seen", F.size(F.collect_set("term").over(span)))
             .filter("seen = need").select("doc", "item_id", "pos"))
     return rows, phrases, near
