@@ -48,14 +48,14 @@ def _pieces(knots) -> Column:
         for a, (x0, v0), (x1, v1) in zip(area, knots, knots[1:])])
 
 
-def _invert(share: Column, pieces: Column) -> Column:
-    """Time at which the integral of ``pieces`` reaches ``share`` of its whole."""
+def _invert(share: Column, knots) -> Column:
+    """Time at which the schedule's integral reaches ``share`` of its whole."""
     def within(at: Column) -> Column:
         rest = share - at["a"]
         root = at["v"] + F.sqrt(F.greatest(F.lit(0.0), at["v"] * at["v"] + 2 * at["s"] * rest))
         return F.least(at["end"], at["x"] + F.when(root > 0, 2 * rest / root).otherwise(F.lit(0.0)))
 
-    return _let(F.element_at(F.filter(pieces, lambda p: p["a"] <= share), -1), within)
+    return _let(F.element_at(F.filter(_pieces(knots), lambda p: p["a"] <= share), -1), within)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -121,12 +121,17 @@ def _placed(base, weights, share, max_passes, schedules, whole):
 
     passes = F.filter(F.transform(F.array(*[F.lit(p) for p in range(max_passes)]), stretch),
                       lambda x: x["words"].isNotNull() & ((x["words"] > 0) | (size == 0)))
-    pieces = F.element_at(F.array(*[_pieces(schedules[k % len(schedules)]) for k in range(len(weights))]),
-                          (F.col("k") + 1).cast("int"))
+
+    def position(x: Column) -> Column:
+        when = _invert(x["f"], schedules[0])
+        for k in range(1, len(weights)):
+            when = F.when(F.col("k") == k, _invert(x["f"], schedules[k % len(schedules)])).otherwise(when)
+        return when
+
     d = d.withColumn("passes", passes)
     return d.withColumns({
         "taken": F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"]),
-        "positions": F.transform("passes", lambda x: _invert(x["f"], pieces))})
+        "positions": F.transform("passes", position)})
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
