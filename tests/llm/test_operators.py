@@ -163,6 +163,16 @@ def test_line_links(spark, edits, hot):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_line_links_default(spark):
+    """Without parameters, two edits link: two typos, a transposition, a changed two-digit number, two more letters."""
+    pool = [f"the committee met on day {x} of the long session" for x in ("number 17", "number 42", "nubmer 17", "numker 18", "numbers 177", "nom 99")]
+    df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
+    name = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    gap = {tuple(sorted((name[a], name[b]))): distance(a, b) for i, a in enumerate(pool) for b in pool[:i]}
+    got = [tuple(r) for r in lines.line_links(df).collect()]
+    assert sorted(got) == sorted(p for p, d in gap.items() if d <= 2) and sum(gap[p] == 2 for p in got) >= 3
+
+
 def test_line_dedup(spark):
     a, b = "a line that is long enough to count", "a line that is long enough to cound"
     data = [(1, f"{a}\nother words stand here\n\n{b}"), (2, f"{b}\n{a}"), (3, None), (4, ""), (2, f"{b}\n{a}")]
