@@ -8,6 +8,7 @@ blocks are assembled from the documents that overlap them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,7 +18,8 @@ from blockwise.session import cut
 
 # The word encoder's token pattern (maximal runs of anything
 # but space, tab, CR, LF) and its end-of-document marker.
-WORD_PATTERN = r"[^ \t\r\n]+"
+WORD_CHAR = r"[^ \t\r\n]"
+WORD_PATTERN = WORD_CHAR + "+"
 EOS_TOKEN = "<eos>"
 
 DOC_BUCKET = 1 << 10     # documents per bucket of the two-level prefix sums
@@ -41,23 +43,29 @@ def tokenize_words(df: DataFrame, text_col: str = "text", out: str = "toks",
 
 
 def check_special(df: DataFrame, markers: Sequence[str], text_col: str = "text",
-                  mode: str = "error") -> DataFrame:
+                  mode: str = "error", whole: bool = False) -> DataFrame:
     """Guard against texts holding an encoder's own special marker (B6).
+    With ``whole`` only a marker that is a word of its own counts, which is
+    what the word encoder would take for an appended one.
 
     ``error``: the returned frame fails at run time on the first such row
     (no extra job); ``drop``: such rows are removed; ``count``: one row with
     the number of offending documents per marker.
     """
+    def has(m):
+        found = F.col(text_col).contains(m)
+        return found & F.col(text_col).rlike(rf"(?<!{WORD_CHAR}){re.escape(m)}(?!{WORD_CHAR})") if whole else found
+
     hit = F.lit(False)
     for m in markers:
-        hit = hit | F.col(text_col).contains(m)
+        hit = hit | has(m)
     if mode == "error":
         return df.filter(F.when(hit, F.raise_error(
             F.lit("text contains an end-of-text marker of the encoder"))).otherwise(F.lit(True)))
     if mode == "drop":
         return df.filter(~hit)
     if mode == "count":
-        return df.agg(*[F.count(F.when(F.col(text_col).contains(m), 1)).alias(f"n_{i}")
+        return df.agg(*[F.count(F.when(has(m), 1)).alias(f"n_{i}")
                         for i, m in enumerate(markers)])
     raise ValueError(f"unknown mode {mode!r}")
 

@@ -167,16 +167,22 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     whole (one pass over the tokens). Beyond that it is never broadcast
     whole: ids are frequency ranks, so the rows with ``emb_id < hot_rows``
     serve the heavy-hitter tokens and are broadcast (a bounded slice); the
-    other rows, none of which can be hot, are joined with a shuffle."""
+    other rows, none of which can be hot, are joined with a shuffle. A
+    token whose id or position has no row fails the job."""
+    def found(row, what):
+        return F.when(F.col(row).isNotNull(), F.col(row)["vec"]).otherwise(
+            F.raise_error(F.lit(f"{what} without a vector")).cast("array<double>"))
+
     t = tokens.withColumn(pos_col, F.when(F.col(pos_col) < seq_len, F.col(pos_col)).otherwise(
         F.raise_error(F.lit("position beyond seq_len")).cast("long")))
-    e = emb.select(F.col(id_col), F.col("vec").alias("_tv"))
+    e = emb.select(F.col(id_col), F.struct("vec").alias("_tv"))
     if table_bytes(emb) <= max_broadcast_bytes:
-        j = t.join(F.broadcast(e), id_col)
+        j = t.join(F.broadcast(e), id_col, "left")
     else:
-        is_hot = F.col(id_col) < F.lit(hot_rows)
-        hot = t.filter(is_hot).join(F.broadcast(e.filter(is_hot)), id_col)
-        cold = t.filter(~is_hot).join(e.filter(~is_hot), id_col)
+        is_hot = F.coalesce(F.col(id_col) < F.lit(hot_rows), F.lit(False))
+        hot = t.filter(is_hot).join(F.broadcast(e.filter(is_hot)), id_col, "left")
+        cold = t.filter(~is_hot).join(e.filter(~is_hot), id_col, "left")
         j = hot.unionByName(cold)
-    j = j.join(F.broadcast(pos_emb.select(pos_col, F.col("pvec").alias("_pv"))), pos_col)
+    j = j.join(F.broadcast(pos_emb.select(pos_col, F.struct(F.col("pvec").alias("vec")).alias("_pv"))), pos_col, "left")
+    j = j.withColumns({"_tv": found("_tv", "token id"), "_pv": found("_pv", "position")})
     return j.withColumn(out, add_arrays("_tv", "_pv")).drop("_tv", "_pv")

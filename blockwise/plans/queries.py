@@ -53,7 +53,9 @@ def head_docs(spark, sf_dir):
 
 
 def word_vocab(spark, sf_dir):
-    return C.build_vocab(V.tokens(spark, sf_dir))
+    # a typed end marker would be taken for an appended one
+    docs = C.check_special(V.corpus(spark, sf_dir), [C.EOS_TOKEN], mode="error", whole=True)
+    return C.build_vocab(C.tokenize_words(docs))
 
 
 @query

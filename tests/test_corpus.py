@@ -96,3 +96,13 @@ def test_bpe_matches_tiktoken(spark):
     got = {r.doc_id: r.ids for r in d.select("doc_id", bpe_encode(F.col("text")).alias("ids")).collect()}
     for r in d.collect():
         assert got[r.doc_id] == enc.encode_ordinary(r.text or "") + [eos_id(spec)]
+
+
+def test_vocab_refuses_a_typed_end_marker(spark, tmpdir_path):
+    from blockwise.plans.queries import word_vocab
+    for name, text in (("typed", "a\t<eos> b"), ("inside", "a<eos> <eos>b")):
+        spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", "s")],
+                              "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/{name}/documents.parquet")
+    with pytest.raises(Exception, match="end-of-text marker"):
+        word_vocab(spark, f"{tmpdir_path}/typed").collect()
+    assert {r.tok for r in word_vocab(spark, f"{tmpdir_path}/inside").collect()} == {"a<eos>", "<eos>b"}

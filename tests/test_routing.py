@@ -111,3 +111,15 @@ def test_embed_tokens_hot_cold_equals_whole_broadcast(spark):
                                                 max_broadcast_bytes=0).collect()}
     assert whole == split and len(whole) == 50
     assert whole[3] == [1.5, 4.0]          # emb row 1 + position 3
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("emb_id,at", [(10, 0), (None, 0), (1, 3)])
+def test_embed_tokens_raises_on_a_miss(spark, emb_id, at, whole):
+    from blockwise.operators.routing import embed_tokens
+    emb = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "emb_id long, vec array<double>")
+    pos = spark.createDataFrame([(p, [0.5]) for p in range(3)], "pos long, pvec array<double>")
+    toks = spark.createDataFrame([(2, 1), (emb_id, at)], "emb_id long, pos long")
+    kw = {} if whole else {"hot_rows": 3, "max_broadcast_bytes": 0}
+    with pytest.raises(Exception, match="without a vector"):
+        embed_tokens(toks, emb, pos, 4, **kw).collect()
