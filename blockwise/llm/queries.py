@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockwise.llm import curriculum, decontam, kdshard, langid, lines, perspectives, quality, repeats, simhash, toxicity
+from blockwise.llm import (curriculum, decontam, kdshard, langid, lines, perspectives, quality, repeats, simhash,
+                           spelling, toxicity)
 from blockwise.llm.common import table
 
 
@@ -55,8 +56,13 @@ def op10_quality_crf(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_partenum(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rindex_dedup, op2_curriculum_mix, op3_language_profiles, op4_decontamination,
-    op5_toxicity_gbt, op6_perspective_rotation, op7_line_edit_join, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf)}
+    op5_toxicity_gbt, op6_perspective_rotation, op7_line_edit_join, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf,
+    op13_spelling_partenum)}
 
 SQL: dict[str, str] = {"op6_perspective_rotation": perspectives.SQL}
