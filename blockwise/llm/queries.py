@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockwise.llm import (curriculum, decontam, kdshard, langid, lines, perspectives, quality, repeats, simhash,
-                           spelling, toxicity)
+from blockwise.llm import (curriculum, decontam, kdshard, langid, lines, negatives, perspectives, quality, repeats,
+                           simhash, spelling, toxicity)
 from blockwise.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op10_quality_crf(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_rns_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
+
+
 def op13_spelling_partenum(spark, sf_dir):
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,6 @@ def op13_spelling_partenum(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_rindex_dedup, op2_curriculum_mix, op3_language_profiles, op4_decontamination,
     op5_toxicity_gbt, op6_perspective_rotation, op7_line_edit_join, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf,
-    op13_spelling_partenum)}
+    op11_rns_negatives, op13_spelling_partenum)}
 
-SQL: dict[str, str] = {"op6_perspective_rotation": perspectives.SQL}
+SQL: dict[str, str] = {"op6_perspective_rotation": perspectives.SQL, "op11_rns_negatives": negatives.SQL}
