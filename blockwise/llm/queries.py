@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockwise.llm import (curriculum, decontam, kdshard, langid, lines, negatives, perspectives, quality, repeats,
-                           simhash, spelling, toxicity)
+from blockwise.llm import (curriculum, decontam, kdshard, langid, lines, negatives, personal, perspectives,
+                           quality, repeats, simhash, spelling, toxicity)
 from blockwise.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_rns_negatives(spark, sf_dir):
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
 
 
+def op12_personal_candidates(spark, sf_dir):
+    return personal.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_partenum(spark, sf_dir):
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,6 @@ def op13_spelling_partenum(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_rindex_dedup, op2_curriculum_mix, op3_language_profiles, op4_decontamination,
     op5_toxicity_gbt, op6_perspective_rotation, op7_line_edit_join, op8_kd_sharding, op9_simhash_vptree, op10_quality_crf,
-    op11_rns_negatives, op13_spelling_partenum)}
+    op11_rns_negatives, op12_personal_candidates, op13_spelling_partenum)}
 
 SQL: dict[str, str] = {"op6_perspective_rotation": perspectives.SQL, "op11_rns_negatives": negatives.SQL}

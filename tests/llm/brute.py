@@ -117,3 +117,32 @@ def quality_base(t):
             seen.add(line)
     failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), failed)
+
+
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(number):
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+
+
+def personal_base(t):
+    """[(start, kind number, stop)] of the base patterns, in order."""
+    out = []
+    for k, (kind, pattern) in enumerate(_KINDS.items()):
+        for m in re.finditer(pattern, t or ""):
+            number = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                    "card": 12 <= len(number) <= 19 and luhn(number), "phone": 9 <= len(number) <= 15}[kind]
+            if fine:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def personal_digest(t):
+    found = personal_base(t)
+    counts = [sum(k == i for _, k, _ in found) for i in range(4)]
+    text = ",".join(f"{list(_KINDS)[k]}:{a}:{b}" for a, k, b in found)
+    return (*counts, hashlib.sha256(text.encode()).hexdigest(), text)
