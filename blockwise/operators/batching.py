@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from blockwise.operators.prefix import two_level_rank
+from blockwise.operators.prefix import ranged_rank
 
 
 def shuffle_key(seed: int, epoch, block_id) -> F.Column:
@@ -22,17 +22,13 @@ def shuffle_blocks(blocks: DataFrame, seed: int, epochs: int | None = None,
     """Per-epoch seeded permutation (C5). ``blocks`` has block ids and,
     unless ``epochs`` is given, an ``epoch`` column; with ``epochs`` each
     block is repeated for epochs 0..epochs-1. Adds ``rank`` (0-based
-    position in the epoch), ordered by (md5 key, block_id); two-level rank
-    bucketed by the key's first five hex digits (at most 2**20 buckets per
-    epoch, so a bucket stays small at any corpus size)."""
+    position in the epoch), ordered by (md5 key, block_id)."""
     part = list(partition_cols)
     b = blocks
     if epochs is not None:
         b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     b = b.withColumn("_key", shuffle_key(seed, F.col("epoch"), F.col("block_id")))
-    r = two_level_rank(b, [F.col("_key"), F.col("block_id")], F.substring("_key", 1, 5),
-                       [*part, "epoch"], out="rank")
-    return r.drop("_key")
+    return ranged_rank(b, ["_key", "block_id"], [*part, "epoch"]).drop("_key")
 
 
 def assign_batches(ranked: DataFrame, batch_size: int,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blockwise.operators.prefix import ranged_rank, two_level_prefix_sum, two_level_rank
+from blockwise.operators.prefix import SUM, ordered_scan, ranged_rank
 from blockwise.session import cut
 
 # The word encoder's token pattern (maximal runs of anything
@@ -22,7 +22,6 @@ WORD_CHAR = r"[^ \t\r\n]"
 WORD_PATTERN = WORD_CHAR + "+"
 EOS_TOKEN = "<eos>"
 
-DOC_BUCKET = 1 << 10     # documents per bucket of the two-level prefix sums
 
 
 def tokenize_words(df: DataFrame, text_col: str = "text", out: str = "toks",
@@ -134,14 +133,13 @@ def decode_ids(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", ids_col: s
 
 
 def head_docs(df: DataFrame, n: int | None, order_col: str = "doc_id",
-              partition_cols: Sequence[str] = (), bucket_width: int = DOC_BUCKET) -> DataFrame:
+              partition_cols: Sequence[str] = ()) -> DataFrame:
     """First ``min(n, count)`` documents in source order (A2); ``None`` keeps
-    all. The rank is two-level, so no single-partition limit is planned."""
+    all. The rank comes from sampled ranges of the order, so no
+    single-partition limit is planned and ids may be as sparse as they like."""
     if n is None:
         return df.withColumn("doc_rank", F.lit(None).cast("long"))
-    ranked = two_level_rank(df, [F.col(order_col)],
-                            F.floor(F.col(order_col) / F.lit(bucket_width)),
-                            partition_cols, out="doc_rank")
+    ranked = ranged_rank(df, [order_col], partition_cols, out="doc_rank")
     return ranked.filter(F.col("doc_rank") < F.lit(n))
 
 
@@ -151,16 +149,15 @@ def validation_cap(max_samples: int | None) -> int:
 
 
 def token_offsets(df: DataFrame, tok_col: str = "toks", order_col: str = "doc_id",
-                  partition_cols: Sequence[str] = ("split",),
-                  bucket_width: int = DOC_BUCKET) -> DataFrame:
+                  partition_cols: Sequence[str] = ("split",)) -> DataFrame:
     """Add ``start`` (global offset of the document's first token in its
-    split's stream, two-level prefix sum, C1) and ``total`` (tokens in the
-    split, taken from the small bucket table). Uses the ``n`` column when
+    split's stream, a running sum over sampled ranges, C1) and ``total``
+    (tokens in the split, from the ranges' sums). Uses the ``n`` column when
     present (see :func:`tokenize_words`), else ``size(tok_col)``."""
     d = df if "n" in df.columns else df.withColumn("n", F.size(tok_col).cast("long"))
-    return two_level_prefix_sum(d, "n", [F.col(order_col)],
-                                F.floor(F.col(order_col) / F.lit(bucket_width)),
-                                partition_cols, out="start", total="total")
+    d = ordered_scan(d, [order_col], {"start": (SUM, F.col("n"))}, partition_cols, inclusive=False,
+                     whole={"total": "start"})
+    return d.withColumns({"start": F.coalesce("start", F.lit(0)).cast("long"), "total": F.col("total").cast("long")})
 
 
 def n_blocks(n_tokens, seq_len: int):

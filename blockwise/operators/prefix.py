@@ -1,115 +1,61 @@
 """Ordered computations without a single-partition window.
 
 A plain ``OVER (ORDER BY x)`` (or ``PARTITION BY key`` on a hot key) puts
-every row of the order in one task. The helpers here split the order into
-deterministic buckets (a coarse key that is monotone in the order, e.g.
-``doc_id div K`` or ``step div K``):
-
-1. one small row per bucket (count / sum / min / last value), computed
-   with partial aggregation;
-2. an exclusive prefix over the bucket table, which is small by
-   construction (one row per bucket);
-3. a join back on the bucket (AQE turns it into a broadcast join when the
-   measured bucket table is small) and a window partitioned by the bucket.
-
-Buckets are pure functions of the row, so a recomputed task lands in the
-same bucket (unlike sampling-based range partitioning).
+every row of the order in one task. :func:`ordered_scan` computes a running
+value of any associative operator (sum, minimum, last value, ...) over any
+order:
+
+1. the rows are dealt into ranges of the order, cut by a sample of the keys,
+   and written once (:func:`ranged`), so ranges follow the rows whatever the
+   keys look like and retries agree;
+2. one small row per key and range (the operator's total), with partial
+   aggregation;
+3. an exclusive scan over the ranges' totals. A key reaches at most as many
+   ranges as there are; beyond ``fan`` of them the totals are scanned in the
+   same way, ``fan`` at a time, level by level, so no task sees more than
+   ``fan`` totals of a key;
+4. a join back on key and range, and a window partitioned by both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from blockwise.functions.numeric import INF, not_missing
 from blockwise.session import cut
 
-_B = "_bkt"
 _R = "_rng"
+FAN = 1024
 
 
-def _parts(partition_cols: Sequence[str]) -> list[str]:
-    return list(partition_cols or [])
-
-
-def _bucket_window(part: list[str]):
-    w = Window.partitionBy(*part) if part else Window
-    return w.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def two_level_rank(df: DataFrame, order_cols: Sequence, bucket: Column,
-                   partition_cols: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Add ``out``: 0-based position of each row in ``order_cols`` order
-    within ``partition_cols``. ``bucket`` must be non-decreasing in that order."""
-    part = _parts(partition_cols)
-    d = df.withColumn(_B, bucket)
-    counts = d.groupBy(*part, _B).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select(*part, _B, F.coalesce(F.sum("_n").over(_bucket_window(part)),
-                                               F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*part, _B).orderBy(*order_cols)
-    return (d.join(offs, on=[*part, _B])
-             .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long"))
-             .drop(_B, "_off"))
-
-
-def two_level_prefix_sum(df: DataFrame, value: str, order_cols: Sequence, bucket: Column,
-                         partition_cols: Sequence[str] = (), out: str = "start",
-                         total: str | None = None) -> DataFrame:
-    """Add ``out``: exclusive running sum of ``value`` in order within
-    ``partition_cols`` (the first row gets 0); with ``total`` also the sum
-    over the whole partition, from the bucket table."""
-    part = _parts(partition_cols)
-    d = df.withColumn(_B, bucket)
-    sums = d.select(*part, _B, value).groupBy(*part, _B).agg(F.sum(value).alias("_s"))
-    cols = [*part, _B, F.coalesce(F.sum("_s").over(_bucket_window(part)), F.lit(0)).alias("_off")]
-    if total:
-        whole = Window.partitionBy(*part) if part else Window.partitionBy()
-        cols.append(F.sum("_s").over(whole).cast("long").alias(total))
-    offs = sums.select(*cols)
-    inner = (Window.partitionBy(*part, _B).orderBy(*order_cols)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    return (d.join(offs, on=[*part, _B])
-             .withColumn(out, (F.col("_off") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
-                         .cast("long"))
-             .drop(_B, "_off"))
-
-
-def two_level_ffill(df: DataFrame, cols: Sequence[str], order_col: str, bucket: Column,
-                    partition_cols: Sequence[str] = (), suffix: str = "") -> DataFrame:
-    """Forward fill: each of ``cols`` becomes its last non-NULL value at or
-    before the row (NULL before the first). NaN counts as a value."""
-    part = _parts(partition_cols)
-    d = df.withColumn(_B, bucket)
-    o = F.col(order_col)
-    summ = d.groupBy(*part, _B).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(f"_l_{c}") for c in cols])
-    wb = _bucket_window(part)
-    carried = summ.select(*part, _B, *[F.last(f"_l_{c}", ignorenulls=True).over(wb).alias(f"_c_{c}")
-                                       for c in cols])
-    inner = (Window.partitionBy(*part, _B).orderBy(order_col)
-             .rowsBetween(Window.unboundedPreceding, 0))
-    out = d.join(carried, on=[*part, _B])
-    for c in cols:
-        out = out.withColumn(c + suffix, F.coalesce(F.last(c, ignorenulls=True).over(inner),
-                                                    F.col(f"_c_{c}")))
-    return out.drop(_B, *[f"_c_{c}" for c in cols])
-
-
-def two_level_prev_min(df: DataFrame, value: str, order_col: str, bucket: Column,
-                       partition_cols: Sequence[str] = (), out: str = "prev_min") -> DataFrame:
-    """Add ``out``: minimum of ``value`` over the earlier rows (exclusive),
-    NaN and NULL skipped, +inf when there is none."""
-    part = _parts(partition_cols)
-    d = df.withColumn(_B, bucket)
-    v = F.when(not_missing(value), F.col(value))
-    summ = d.groupBy(*part, _B).agg(F.min(v).alias("_m"))
-    carried = summ.select(*part, _B, F.min("_m").over(_bucket_window(part)).alias("_cm"))
-    inner = (Window.partitionBy(*part, _B).orderBy(order_col)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    res = d.join(carried, on=[*part, _B]).withColumn(
-        out, F.coalesce(F.least(F.col("_cm"), F.min(v).over(inner)), F.lit(INF)))
-    return res.drop(_B, "_cm")
+@dataclass(frozen=True)
+class Operator:
+    """An associative operator whose identity is null. ``total`` aggregates
+    the values of a group given their order, ``running`` the same over an
+    ordered window, ``join`` puts two results together, the earlier first."""
+    total: Callable[[Column, Column], Column]
+    running: Callable[[Column], Column]
+    join: Callable[[Column, Column], Column]
+
+
+SUM = Operator(lambda v, o: F.sum(v), F.sum, lambda a, b: F.coalesce(a + b, a, b))
+MIN = Operator(lambda v, o: F.min(v), F.min, F.least)
+LAST = Operator(lambda v, o: F.max_by(v, F.when(v.isNotNull(), o)), lambda v: F.last(v, ignorenulls=True),
+                lambda a, b: F.coalesce(b, a))
+
+
+def _rename(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in names})
+
+
+def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on ``names``, null equal to null; ``right`` gives its other columns."""
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return left.join(_rename(right, names, "_k_"), same).drop(*[f"_k_{c}" for c in names])
 
 
 def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
@@ -120,23 +66,61 @@ def ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
     return cut(df.repartitionByRange(*order_cols).withColumn(_R, F.spark_partition_id()))
 
 
+def n_ranges(df: DataFrame) -> int:
+    """The most ranges that :func:`ranged` makes in this session."""
+    conf = df.sparkSession.conf
+    first = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(conf.get("spark.sql.shuffle.partitions")), int(first or 0))
+
+
+def carried(totals: DataFrame, part: Sequence[str], ops: dict[str, Operator], ranges: int, fan: int = FAN) -> DataFrame:
+    """(*part, _rng, *ops): what the ranges before each one add up to (null
+    before the first), from (*part, _rng, *ops) of one row per key and range."""
+    part = list(part)
+    before = Window.orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges <= fan:
+        w = before.partitionBy(*part)
+        return totals.select(*part, _R, *[op.running(F.col(c)).over(w).alias(c) for c, op in ops.items()])
+    d = totals.withColumn("_up", F.floor(F.col(_R) / F.lit(fan)).cast("int"))
+    upper = d.groupBy(*part, F.col("_up").alias(_R + "u")).agg(
+        *[op.total(F.col(c), F.col(_R)).alias(c) for c, op in ops.items()]).withColumnRenamed(_R + "u", _R)
+    upper = carried(cut(upper), part, ops, -(-ranges // fan), fan).withColumnRenamed(_R, "_up")
+    w = before.partitionBy(*part, "_up")
+    inner = d.select(*part, "_up", _R, *[op.running(F.col(c)).over(w).alias(f"_i_{c}") for c, op in ops.items()])
+    j = _join_on(inner, upper, [*part, "_up"])
+    return j.select(*part, _R, *[op.join(F.col(c), F.col(f"_i_{c}")).alias(c) for c, op in ops.items()])
+
+
+def ordered_scan(df: DataFrame, order_cols: Sequence, values: dict[str, tuple[Operator, Column]],
+                 partition_cols: Sequence[str] = (), inclusive: bool = True, whole: dict[str, str] | None = None,
+                 fan: int = FAN) -> DataFrame:
+    """Add one column for each of ``values`` ({name: (operator, value)}): the
+    operator over the rows up to this one in ``order_cols`` within
+    ``partition_cols`` (``inclusive=False``: over the rows before it; null
+    where there are none). ``whole`` adds {name: column}, the operator over
+    the whole partition. Null keys are keys like any other; ties of the
+    order are broken arbitrarily but once and for all."""
+    part = list(partition_cols)
+    ops = {f"_s_{c}": op for c, (op, _) in values.items()}
+    d = ranged(df.withColumns({f"_v_{c}": v for c, (_, v) in values.items()}), [*part, *order_cols])
+    place = F.struct(*[F.col(c) for c in order_cols if isinstance(c, str)])
+    totals = d.groupBy(*part, _R).agg(*[op.total(F.col(f"_v_{c}"), place).alias(f"_s_{c}") for c, (op, _) in values.items()])
+    offsets = carried(totals, part, ops, n_ranges(df), fan)
+    if whole:
+        sums = totals.groupBy(*part).agg(*[values[c][0].total(F.col(f"_s_{c}"), F.col(_R)).alias(out) for out, c in whole.items()])
+        offsets = _join_on(offsets, sums, part)
+    j = _join_on(d, offsets, [*part, _R])
+    last = 0 if inclusive else -1
+    w = Window.partitionBy(*part, _R).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, last)
+    out = {c: op.join(F.col(f"_s_{c}"), op.running(F.col(f"_v_{c}")).over(w)) for c, (op, _) in values.items()}
+    return j.withColumns(out).drop(_R, *[f"_v_{c}" for c in values], *[f"_s_{c}" for c in values])
+
+
 def ranged_rank(df: DataFrame, order_cols: Sequence, partition_cols: Sequence[str] = (),
-                out: str = "rank") -> DataFrame:
+                out: str = "rank", fan: int = FAN) -> DataFrame:
     """Add ``out``: 0-based position of each row in ``order_cols`` order within
-    ``partition_cols`` (null is a key like any other). Rows are counted per
-    key and range; a key has as many counts as ranges it reaches, so a key
-    with any share of the rows is ranked by many tasks and only its counts
-    meet in one."""
-    part = _parts(partition_cols)
-    d = ranged(df, [*part, *order_cols])
-    counts = d.groupBy(*part, _R).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*part) if part else Window).orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*[F.col(c).alias(f"_k_{c}") for c in part], F.col(_R).alias("_k_rng"),
-                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    same = F.col(_R) == F.col("_k_rng")
-    for c in part:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    inner = Window.partitionBy(*part, _R).orderBy(*order_cols)
-    return (d.join(offs, same)
-             .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long"))
-             .drop(_R, "_off", "_k_rng", *[f"_k_{c}" for c in part]))
+    ``partition_cols`` (null is a key like any other). A key has as many
+    counts as ranges it reaches, so a key with any share of the rows is
+    ranked by many tasks."""
+    d = ordered_scan(df, order_cols, {out: (SUM, F.lit(1))}, partition_cols, fan=fan)
+    return d.withColumn(out, (F.col(out) - 1).cast("long"))

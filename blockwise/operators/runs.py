@@ -15,30 +15,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blockwise.functions.names import parse_run_name
 from blockwise.functions.numeric import NAN, INF, every_k, is_finite, nan_max, not_missing
-from blockwise.operators.prefix import two_level_ffill
+from blockwise.operators.prefix import LAST, ordered_scan
 from blockwise.sources.runs import CONFIG_DEFAULTS, CONFIG_SCHEMA
 
-STEP_BUCKET = 1 << 12     # steps per bucket of the two-level passes
-
-
-def step_bucket(width: int = STEP_BUCKET) -> F.Column:
-    return F.floor(F.col("step") / F.lit(width))
-
-
 def eval_points(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
     """Rows with ``step % k == 0`` (G2, G19); k = 0 keeps none."""
     return df.filter(every_k(step_col, k))
 
 
-def ffill_eval(df: DataFrame, cols: Sequence[str] = ("val_loss", "val_ppl"),
-               bucket_width: int = STEP_BUCKET) -> DataFrame:
+def ffill_eval(df: DataFrame, cols: Sequence[str] = ("val_loss", "val_ppl")) -> DataFrame:
     """Forward fill validation metrics between evaluations (G1): a
     non-evaluation step is NULL; it takes the last evaluated value (NaN
-    results are carried) and NaN before the first evaluation."""
-    f = two_level_ffill(df, list(cols), "step", step_bucket(bucket_width), ["run"])
-    for c in cols:
-        f = f.withColumn(c, F.coalesce(F.col(c), F.lit(NAN)))
-    return f
+    results are carried) and NaN before the first evaluation. A run's rows
+    are filled over sampled ranges of (run, step)."""
+    f = ordered_scan(df, ["step"], {f"_f_{c}": (LAST, F.col(c)) for c in cols}, ["run"])
+    return f.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.lit(NAN)) for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 
 def best_step(df: DataFrame, mode: str = "finite", col: str = "val_ppl") -> DataFrame:

@@ -4,168 +4,218 @@ and snapshot choice (G14-G19).
 The training loop's decision is an ordered fold per run: accept an
 evaluation when ``ppl + min_delta < best`` (best starts at +inf), else
 count a non-improvement; stop once ``step >= warmup`` and the count
-reaches ``patience``. It is computed without folding whole runs:
-
-* an accepted value is always a strict prefix minimum of the run (every
-  earlier value was accepted, hence >= best, or rejected, hence >= best -
-  delta > value), so only those *candidates* can matter. They come from a
-  two-level running minimum, in parallel over step buckets;
-* with ``min_delta == 0`` every candidate is accepted; otherwise the
-  candidates of a run (a decreasing sequence) are walked with a binary
-  search per accepted value in :func:`_accept_chain`;
-* best value, best step and the non-improvement count then follow from
-  two-level forward fills and ranks, and the stop step is one aggregate.
+reaches ``patience``. It is computed without folding whole runs. What a stretch of a run does to
+the best value is a map from the incoming best to the outgoing one: with
+w_i = v_i + min_delta, the incoming best meets the first candidate (strict
+prefix minimum of the stretch; nothing else can be accepted) whose w_i lies
+below it, and the chain of acceptances from there on is fixed. The map is a
+falling list of breakpoints with the state that each leads to, equal states
+merged, and two maps compose into one.
+
+* :func:`stretch_map` makes the map of each (run, range) of the log, which is
+  dealt into sampled ranges of (run, step), so a run with any share of the
+  rows is many ranges;
+* the maps are composed ``fan`` at a time, level by level, and the incoming
+  state of every range comes down the same levels;
+* one more pass over the ranges writes the state after every row.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from blockwise.functions.numeric import INF, not_missing
-from blockwise.operators.prefix import two_level_rank
-from blockwise.operators.runs import STEP_BUCKET, step_bucket
+from blockwise.functions.numeric import INF
+from blockwise.operators.prefix import _R, FAN, SUM, carried, n_ranges, ranged
 from blockwise.session import cut
 
-_B = "_bkt"
-
-
-def _accept_chain(delta: float):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        v = pdf["v"].to_numpy(dtype="float64")
-        acc = np.zeros(len(v), dtype=bool)
-        neg = -v                                  # increasing (candidates decrease)
-        best, i = INF, 0
-        while i < len(v):
-            # first candidate at or after i with value + delta < best
-            j = int(np.searchsorted(neg, -(best - delta), side="right")) if best < INF else i
-            j = max(j, i)
-            # settle on the exact test (monotone along the decreasing values)
-            while j > i and v[j - 1] + delta < best:
-                j -= 1
-            while j < len(v) and not (v[j] + delta < best):
-                j += 1
-            if j >= len(v):
-                break
-            acc[j] = True
-            best, i = v[j], j + 1
-        return pd.DataFrame({"run": pdf["run"].to_numpy(), "step": pdf["step"].to_numpy(),
-                             "accepted": acc})
-    return fold
-
-
-CHAIN_GROUP_MAX = 1 << 18     # candidates of one run walked inside one task
-_END = 1 << 62                # "no successor"
-
-
-def _walk_distributed(cand: DataFrame, delta: float, max_n: int) -> DataFrame:
-    """Exact accepted chain for runs with many candidates, as equi-joins.
-
-    Candidates of a run are strictly decreasing in step order, so the
-    successor of candidate i (the first later j with v_j + delta < v_i) is
-    found by binary lifting over index offsets (K+1 joins on (run, idx));
-    jump tables J_k = next^(2^k) come from K self-joins, and the path from
-    the first candidate (always accepted) is expanded with P := P u J_k(P)
-    for k = 0..K. Every join key is unique, so no task holds a whole run;
-    each round is cut so plans stay small. Returns (run, step)."""
-    K = max(1, int(max_n).bit_length())
-    c = two_level_rank(cand.select("run", "step", "v"), [F.col("step")],
-                       F.floor(F.col("step") / F.lit(STEP_BUCKET)), ["run"], out="idx")
-    c = cut(c.withColumn("w", F.col("v") + F.lit(float(delta))))
-    tbl = c.select("run", F.col("idx").alias("_t"), F.col("w").alias("_w"))
-    q = c.select("run", "idx", "v", F.col("idx").alias("p"))
-    for k in reversed(range(K + 1)):            # p = last index with w_p >= v_i
-        j = q.withColumn("_t", F.col("p") + F.lit(1 << k)).join(tbl, ["run", "_t"], "left")
-        q = cut(j.select("run", "idx", "v", F.when(F.col("_w").isNotNull() & (F.col("_w") >= F.col("v")),
-                                                   F.col("_t")).otherwise(F.col("p")).alias("p")))
-    jumps = [cut(q.select("run", "idx", (F.col("p") + 1).alias("j")))]
-    for _ in range(K):
-        a = jumps[-1]
-        b = a.select("run", F.col("idx").alias("j"), F.col("j").alias("_j2"))
-        jumps.append(cut(a.join(b, ["run", "j"], "left").select(
-            "run", "idx", F.coalesce(F.col("_j2"), F.lit(_END)).alias("j"))))
-    path = cut(c.filter(F.col("idx") == 0).select("run", "idx"))
-    for jk in jumps:
-        nxt = path.join(jk, ["run", "idx"]).select("run", F.col("j").alias("idx"))
-        path = cut(path.unionByName(nxt.filter(F.col("idx") < _END)))
-    return c.join(path, ["run", "idx"], "left_semi").select("run", "step")
-
-
-def _accepted(cand: DataFrame, min_delta: float, group_max: int) -> DataFrame:
-    """(run, step) of the accepted candidates: runs with at most
-    ``group_max`` candidates are walked in one task (a binary search per
-    accepted value); larger runs take the distributed walk."""
-    sizes = cut(cand.groupBy("run").agg(F.count(F.lit(1)).alias("_nc")))
-    big_n = sizes.agg(F.max(F.when(F.col("_nc") > group_max, F.col("_nc")))).collect()[0][0]
-    small = cand.join(sizes.filter(F.col("_nc") <= group_max), "run", "left_semi")
-    chain = small.select("run", "step", "v").groupBy("run").applyInPandas(
-        _accept_chain(float(min_delta)), "run string, step long, accepted boolean")
-    out = chain.filter("accepted").select("run", "step")
-    if big_n:                                   # a count: the largest group
-        big = cand.join(sizes.filter(F.col("_nc") > group_max), "run", "left_semi")
-        out = out.unionByName(_walk_distributed(big, min_delta, big_n))
-    return out
-
-
-def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
-               bucket_width: int = STEP_BUCKET, group_max: int = CHAIN_GROUP_MAX,
-               input_is_cut: bool = False) -> DataFrame:
-    """Per evaluation row: ``improved``, ``best_val`` (+inf before any),
-    ``best_step`` (-1 before any), ``eval_idx`` (0-based) and
-    ``no_improve`` after the row (G14). ``evals`` holds only evaluation
-    rows (run, step, value, ...).
-
-    Work: the input is cut once (unless the caller already did,
-    ``input_is_cut``); one two-level pass gives the earlier-rows
-    minimum and the evaluation index; that result is cut (it feeds both the
-    candidate walk and the final pass); the accepted rows are few, so their
-    per-bucket carry is computed from them alone."""
-    part = ["run", _B]
-    v = F.col(value)
-    base = (evals if input_is_cut else cut(evals)).withColumn(_B, step_bucket(bucket_width))
-    ok = F.when(not_missing(value), v)
-    summ = base.groupBy(*part).agg(F.min(ok).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("run").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summ.select(*part, F.min("_m").over(wb).alias("_cm"),
-                          F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_cn"))
-    w_in = Window.partitionBy(*part).orderBy("step")
-    w_ex = w_in.rowsBetween(Window.unboundedPreceding, -1)
-    d = (base.join(carried, part)
-             .withColumn("_pm", F.coalesce(F.least(F.col("_cm"), F.min(ok).over(w_ex)),
-                                           F.lit(INF)))
-             .withColumn("eval_idx", (F.col("_cn") + F.row_number().over(w_in) - 1).cast("long"))
-             .withColumn("_cand", not_missing(value) & (v < F.col("_pm")))
-             .drop("_cm", "_cn", "_pm"))
-    d = cut(d)
-    cand = d.filter("_cand").select("run", "step", _B, "eval_idx", v.cast("double").alias("_v"))
-    if min_delta == 0:
-        acc = cand
+MAP_FAN = 16            # maps composed in one task
+_MAP = "run {run}, _rng int, w array<double>, v array<double>, step array<long>, idx array<long>"
+_STATE = "run {run}, _rng int, v double, step long, idx long"
+_NONE = (INF, -1, -1)   # value, step and evaluation index of no best
+
+
+class StretchMap:
+    """Incoming best -> outgoing (value, step, index). ``w`` falls; an incoming
+    best b leads to the state at the number of w that are >= b, and stays
+    itself where there is none."""
+
+    def __init__(self, w, v, step, idx):
+        self.w, self.v, self.step, self.idx = (np.asarray(w, float), np.asarray(v, float), np.asarray(step, np.int64),
+                                               np.asarray(idx, np.int64))
+
+    def merged(self) -> StretchMap:
+        """Equal neighbouring states as one."""
+        last = np.append(self.idx[1:] != self.idx[:-1], True) if len(self.idx) else np.zeros(0, bool)
+        return StretchMap(self.w[last], self.v[last], self.step[last], self.idx[last])
+
+    def at(self, best):
+        """Place of each incoming best."""
+        return np.searchsorted(-self.w, -np.asarray(best, float), side="right")
+
+    def apply(self, state):
+        k = int(self.at(state[0]))
+        return state if k == len(self.w) else (float(self.v[k]), int(self.step[k]), int(self.idx[k]))
+
+    def then(self, later: StretchMap) -> StretchMap:
+        """This map followed by a later stretch's."""
+        k = later.at(self.v)
+        moved = k < len(later.w)
+        pick = np.minimum(k, max(0, len(later.w) - 1))
+        own = [np.where(moved, b[pick], a) if len(b) else a
+               for a, b in ((self.v, later.v), (self.step, later.step), (self.idx, later.idx))]
+        rest = later.w < self.w[-1] if len(self.w) else np.ones(len(later.w), bool)
+        return StretchMap(*[np.append(a, b[rest]) for a, b in
+                            zip((self.w, *own), (later.w, later.v, later.step, later.idx))]).merged()
+
+
+def candidates(value: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, w, next): the strict prefix minima of a stretch, their
+    breakpoints, and for each the first later one that it gives way to."""
+    v = np.where(np.isnan(value), INF, value)
+    low = np.minimum.accumulate(v) if len(v) else v
+    at = np.flatnonzero(v < np.append(INF, low[:-1])[:len(v)])
+    w = v[at] + delta
+    return at, w, np.searchsorted(-w, -v[at], side="right")
+
+
+def stretch_map(value: np.ndarray, step: np.ndarray, idx: np.ndarray, delta: float) -> StretchMap:
+    at, w, following = candidates(value, delta)
+    own = np.arange(len(at))
+    end = np.where(following < len(at), following, own)
+    while len(end) and (end[end] != end).any():      # doubled steps along the chains
+        end = end[end]
+    last = at[end] if len(at) else at
+    return StretchMap(w, value[last], step[last], idx[last]).merged()
+
+
+def _stretches(table: pa.Table):
+    """(run, first row, row after the last) of a table sorted by run."""
+    run = table.column("run").combine_chunks().dictionary_encode()
+    code = run.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else []
+    for a, b in zip(edge, np.append(edge[1:], len(code)) if len(code) else []):
+        yield table.column("run")[int(a)].as_py(), int(a), int(b)
+
+
+def _rows(table: pa.Table, schema: str, rows: list) -> pa.Table:
+    """Python tuples as a table with the columns of ``table``'s run and a schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [table.schema.field("run").type, *[{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(),
+             "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}[c.split()[1]]
+             for c in schema.split(", ")[1:]]]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def _maps(d: DataFrame, value: str, delta: float, kind: str) -> DataFrame:
+    """The map of each (run, range); ``idx`` counts evaluations within it."""
+    schema = _MAP.format(run=kind)
+
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("run", "ascending"), ("step", "ascending")])
+        v = table.column("_v").to_numpy().astype(float)
+        step, rng = table.column("step").to_numpy(), table.column(_R)[0].as_py() if len(table) else 0
+        out = []
+        for run, a, b in _stretches(table):
+            m = stretch_map(v[a:b], step[a:b], np.arange(b - a), delta)
+            out.append((run, rng, m.w, m.v, m.step, m.idx))
+        return _rows(table, schema, out)
+
+    v = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    return d.select("run", "step", v.alias("_v"), _R).groupBy(_R).applyInArrow(make, schema)
+
+
+def _read(table: pa.Table, i: int) -> StretchMap:
+    return StretchMap(*[table.column(c)[i].values.to_numpy() for c in ("w", "v", "step", "idx")])
+
+
+def _incoming(maps: DataFrame, ranges: int, fan: int, kind: str) -> DataFrame:
+    """(run, _rng, v, step, idx): the state that each range meets."""
+    state = _STATE.format(run=kind)
+    group = maps.withColumn("_up", F.floor(F.col(_R) / F.lit(fan)).cast("int"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("run", "ascending"), (_R, "ascending")])
+        out = []
+        for run, a, b in _stretches(table):
+            m = _read(table, a)
+            for i in range(a + 1, b):
+                m = m.then(_read(table, i))
+            out.append((run, table.column("_up")[a].as_py(), m.w, m.v, m.step, m.idx))
+        return _rows(table, _MAP.format(run=kind), out)
+
+    def walk(table: pa.Table, above: pa.Table) -> pa.Table:
+        table = table.sort_by([("run", "ascending"), (_R, "ascending")])
+        first = {r["run"]: (r["v"], r["step"], r["idx"]) for r in above.to_pylist()}
+        out = []
+        for run, a, b in _stretches(table):
+            now = first.get(run, _NONE)
+            for i in range(a, b):
+                out.append((run, table.column(_R)[i].as_py(), *now))
+                now = _read(table, i).apply(now)
+        return _rows(table, state, out)
+
+    if ranges <= fan:       # one group: nothing comes from above
+        above = maps.sparkSession.createDataFrame([], state)
     else:
-        # the accepted rows are few and feed two branches below: kept once
-        steps = cut(_accepted(cand.select("run", "step", F.col("_v").alias("v")), min_delta,
-                              group_max))
-        acc = cand.join(steps, ["run", "step"], "left_semi")
-    # last accepted (step, value, index) of each earlier bucket, from the few accepted rows
-    last = acc.groupBy(*part).agg(F.max_by(F.struct("step", "_v", "eval_idx"), "step")
-                                  .alias("_l"))
-    lw = Window.partitionBy("run").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = summ.select(*part).join(last, part, "left")       # every bucket, small
-    carry = buckets.select(*part, F.last("_l", ignorenulls=True).over(lw).alias("_c"))
-    marks = acc.select("run", "step", F.lit(True).alias("improved"))
-    w_f = w_in.rowsBetween(Window.unboundedPreceding, 0)
-    r = (d.drop("_cand").join(marks, ["run", "step"], "left")
-          .withColumn("improved", F.coalesce(F.col("improved"), F.lit(False)))
-          .join(carry, part, "left"))
-    cur = F.when(F.col("improved"), F.struct(F.col("step"), v.cast("double").alias("_v"),
-                                             F.col("eval_idx")))
-    r = r.withColumn("_a", F.coalesce(F.last(cur, ignorenulls=True).over(w_f), F.col("_c")))
-    return (r.withColumn("best_val", F.coalesce(F.col("_a._v"), F.lit(INF)))
-             .withColumn("best_step", F.coalesce(F.col("_a.step"), F.lit(-1)).cast("long"))
-             .withColumn("no_improve", F.when(F.col("_a").isNull(), F.col("eval_idx") + 1)
-                         .otherwise(F.col("eval_idx") - F.col("_a.eval_idx")).cast("long"))
-             .drop("_a", "_c", _B))
+        above = _incoming(cut(group.groupBy("_up").applyInArrow(fold, _MAP.format(run=kind))), -(-ranges // fan), fan, kind)
+    above = above.withColumnRenamed(_R, "_up")
+    return cut(group.groupBy("_up").cogroup(above.groupBy("_up")).applyInArrow(walk, state))
+
+
+def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl", fan: int = MAP_FAN) -> DataFrame:
+    """Per evaluation row: ``improved``, ``best_val`` (+inf before any),
+    ``best_step`` (-1 before any), ``eval_idx`` (0-based) and ``no_improve``
+    after the row (G14). ``evals`` holds only evaluation rows (run, step,
+    value, ...), a step of a run once. NaN, null and inf never improve. A
+    task holds one range of the log, or the maps of ``fan`` ranges; a map has
+    at most as many breakpoints as the range has candidates with different
+    outcomes."""
+    if min_delta < 0:
+        raise ValueError("min_delta is at least 0")
+    delta, kind = float(min_delta), dict(evals.dtypes)["run"]
+    d = ranged(evals, ["run", "step"])
+    n = d.groupBy("run", _R).agg(F.count(F.lit(1)).alias("n"))
+    before = carried(n, ["run"], {"n": SUM}, n_ranges(evals), FAN)
+    # evaluation indexes within a range become indexes of the run
+    maps = _maps(d, value, delta, kind)
+    offset = before.select(F.col("run").alias("_k"), F.col(_R).alias("_kr"), F.coalesce("n", F.lit(0)).alias("off"))
+    here = F.col("run").eqNullSafe(F.col("_k")) & (F.col(_R) == F.col("_kr"))
+    maps = cut(maps.join(offset, here).select(
+        "run", _R, "w", "v", "step", F.transform("idx", lambda i: i + F.col("off")).alias("idx"), "off"))
+    states = _incoming(maps.drop("off"), n_ranges(evals), fan, kind)
+    states = states.join(maps.select(F.col("run").alias("_k"), F.col(_R).alias("_kr"), "off"), here).drop("_k", "_kr")
+    added = T._parse_datatype_string("improved boolean, best_val double, best_step long, eval_idx long, no_improve long")
+    schema = T.StructType([f for f in d.schema.fields if f.name not in (_R, *added.names)] + added.fields)
+
+    def fill(table: pa.Table, states: pa.Table) -> pa.Table:
+        table = table.sort_by([("run", "ascending"), ("step", "ascending")])
+        first = {r["run"]: r for r in states.to_pylist()}
+        v = table.column(value).cast(pa.float64()).fill_null(float("nan")).to_numpy().astype(float)
+        step = table.column("step").to_numpy()
+        improved, best, at, idx, no = (np.zeros(len(v), t) for t in (bool, float, np.int64, np.int64, np.int64))
+        for run, a, b in _stretches(table):
+            s = first[run]
+            cand, w, following = candidates(v[a:b], delta)
+            taken, k = [], int(np.searchsorted(-w, -s["v"], side="right"))
+            while k < len(cand):
+                taken.append(k)
+                k = int(following[k])
+            rows = cand[taken]
+            improved[a + rows] = True
+            n = s["off"] + np.arange(b - a)
+            # the last accepted row up to each row, or what came in (place -1)
+            last = np.searchsorted(rows, np.arange(b - a), side="right") - 1
+            pick = lambda own, came: np.append(own, came)[last]
+            best[a:b], at[a:b], idx[a:b] = pick(v[a + rows], s["v"]), pick(step[a + rows], s["step"]), n
+            no[a:b] = n - pick(n[rows], s["idx"])
+        out = table.select([f.name for f in schema.fields[:-5]])
+        for name, column in zip(added.names, (improved, best, at, idx, no)):
+            out = out.append_column(name, pa.array(column))
+        return out
+
+    return d.groupBy(_R).cogroup(states.groupBy(_R)).applyInArrow(fill, schema)
 
 
 def stops_from(tracked: DataFrame, patience: int, warmup: int) -> DataFrame:

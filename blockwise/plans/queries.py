@@ -339,7 +339,7 @@ def _evals(spark, sf_dir):
 
 def _tracked(evals):
     from blockwise.operators.stopping import track_best as tb
-    return tb(evals, MIN_DELTA, input_is_cut=True)
+    return tb(evals, MIN_DELTA)
 
 
 @query

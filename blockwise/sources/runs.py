@@ -151,11 +151,10 @@ def format_metrics(df: DataFrame) -> DataFrame:
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Metric log sink (A6), one folder per run, overwrite. CSV keeps the
-    fixed header and decimals; parquet keeps the doubles. Rows are spread by
-    (run, step bucket), so a run holding most of the log is written by many
-    tasks, each file a sorted step range of one run."""
-    from blockwise.operators.runs import step_bucket
-    w = df.repartition(F.col("run"), step_bucket()).sortWithinPartitions("run", "step")
+    fixed header and decimals; parquet keeps the doubles. Rows are dealt
+    into sampled ranges of (run, step), so a run holding most of the log is
+    written by many tasks, each file a sorted step range of one run."""
+    w = df.repartitionByRange("run", "step").sortWithinPartitions("run", "step")
     if fmt == "csv":
         (format_metrics(w).write.mode("overwrite").partitionBy("run")
             .option("header", True).csv(path))

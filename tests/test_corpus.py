@@ -39,7 +39,7 @@ def test_pack_blocks_matches_plain_model(spark, L):
 def test_blocks_do_not_depend_on_partitioning(spark):
     t = V.tokens(spark, SF_SMALL)
     a = C.pack_blocks(C.token_offsets(t), 32).orderBy("split", "block_id").collect()
-    b = C.pack_blocks(C.token_offsets(t.repartition(5), bucket_width=7), 32) \
+    b = C.pack_blocks(C.token_offsets(t.repartition(5)), 32) \
         .orderBy("split", "block_id").collect()
     assert a == b
 
@@ -72,7 +72,7 @@ def test_vocab_and_round_trip(spark):
 
 def test_head_docs_binding_cap(spark):
     c = V.corpus(spark, SF_SMALL)
-    h = C.head_docs(c.filter("split = 'train'"), 17, bucket_width=8).select("doc_id")
+    h = C.head_docs(c.filter("split = 'train'"), 17).select("doc_id")
     want = [r.doc_id for r in c.filter("split = 'train'").orderBy("doc_id").limit(17).collect()]
     assert sorted(r.doc_id for r in h.collect()) == want
     assert C.validation_cap(None) == 20000 and C.validation_cap(300) == 300

@@ -4,7 +4,9 @@ on random, monotone and NaN/inf-laden series."""
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockwise.operators import stopping as St
 
@@ -43,7 +45,7 @@ def test_track_and_stop_match_fold(spark, delta):
         for i, v in enumerate(series(kind, 60 + k, rng)):
             rows.append((f"r{k}", i + 1, v))
     df = spark.createDataFrame(rows, "run string, step long, val_ppl double")
-    got = {(r.run, r.step): r for r in St.track_best(df, delta, bucket_width=16).collect()}
+    got = {(r.run, r.step): r for r in St.track_best(df, delta, fan=3).collect()}
     stops = {r.run: r for r in St.early_stop(df, 4, delta, 10).collect()}
     for run in {r[0] for r in rows}:
         vals = [(s, v) for r0, s, v in rows if r0 == run]
@@ -84,20 +86,62 @@ def test_end_truncate_snapshot(spark):
     assert (snap["b"].best_step, snap["b"].snapshot_step) == (1, 1)
 
 
-@pytest.mark.parametrize("delta", [0.1, 1.0])
-def test_distributed_walk_matches_fold(spark, delta):
-    """Force every run through the join-based walk (group_max=0)."""
+@pytest.mark.parametrize("delta", [0.0, 0.1, 1.0, 1000.0])
+def test_composed_maps_match_fold(spark, delta):
+    """Runs over many ranges, maps composed two at a time, a null run."""
     rng = random.Random(11)
     rows = []
-    for k, kind in enumerate(["random", "decreasing", "plateau", "random"]):
-        vals = series(kind, 40 + 7 * k, rng)
+    for k, kind in enumerate(["random", "decreasing", "plateau", "random", "allnan"]):
+        vals = series(kind, 400 + 7 * k, rng)
         if kind == "decreasing":
             vals = [v - 0.3 * math.floor(i / 5) for i, v in enumerate(vals)]
-        rows += [(f"r{k}", i + 1, v) for i, v in enumerate(vals)]
-    df = spark.createDataFrame(rows, "run string, step long, val_ppl double")
-    got = {(r.run, r.step): r for r in St.track_best(df, delta, bucket_width=8, group_max=0).collect()}
+        rows += [(f"r{k}" if k else None, 3 * i + 1, v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "run string, step long, val_ppl double").withColumn("improved", F.lit("x"))
+    got = {(r.run, r.step): r for r in St.track_best(df, delta, fan=2).collect()}
+    assert len(got) == len(rows)
     for run in {r[0] for r in rows}:
         want, _ = fold([(s, v) for r0, s, v in rows if r0 == run], delta, 4, 10)
-        for s, imp, best, bstep, no in want:
+        for n, (s, imp, best, bstep, no) in enumerate(want):
             g = got[(run, s)]
-            assert (g.improved, g.best_val, g.best_step, g.no_improve) == (imp, best, bstep, no)
+            assert (g.improved, g.best_val, g.best_step, g.no_improve, g.eval_idx) == (imp, best, bstep, no, n)
+    assert St.track_best(df.limit(0), delta).count() == 0
+    with pytest.raises(ValueError):
+        St.track_best(df, -0.1)
+
+
+@pytest.mark.parametrize("delta", [0.0, 0.0035, 5000.0])
+def test_million_decreasing_rows(spark, delta):
+    """Every row of one strictly decreasing run is a candidate."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("r").alias("run"), "id", F.col("id").alias("step"),
+                               (F.lit(2000.0) - F.col("id") * 0.001).alias("val_ppl"))
+    got = St.track_best(df, delta, fan=2).groupBy("improved").agg(
+        F.count("step").alias("n"), F.sum("step").alias("s"), F.sum("best_step").alias("b"), F.sum("no_improve").alias("no"))
+    best, at, counts = INF, -1, {}
+    for i in range(n):
+        v = 2000.0 - i * 0.001
+        imp = v + delta < best
+        if imp:
+            best, at = v, i
+        c = counts.setdefault(imp, [0, 0, 0, 0])
+        c[0] += 1
+        c[1] += i
+        c[2] += at
+        c[3] += i - at
+    assert {r.improved: [r.n, r.s, r.b, r.no] for r in got.collect()} == counts
+
+
+def test_stretch_maps_compose():
+    """The map of two stretches is the composition of theirs, at every incoming best."""
+    rng = random.Random(5)
+    for _ in range(200):
+        vals = np.array([rng.choice([rng.randint(0, 30), rng.randint(0, 30), NAN, INF]) for _ in range(rng.randint(0, 14))], float)
+        delta, cut, n = rng.choice([0, 1, 2.5, 40]), rng.randint(0, len(vals)), np.arange(len(vals))
+        whole = St.stretch_map(vals, n, n, delta)
+        both = St.stretch_map(vals[:cut], n[:cut], n[:cut], delta).then(St.stretch_map(vals[cut:], n[cut:], n[cut:], delta))
+        for b in [INF, *range(-3, 74)]:
+            state = (float(b), -1, -1)
+            for i, v in enumerate(vals):
+                if v + delta < state[0]:
+                    state = (float(v), i, i)
+            assert whole.apply((float(b), -1, -1)) == state == both.apply((float(b), -1, -1))
