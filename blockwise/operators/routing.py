@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from blockwise.functions.arrays import add_arrays, dot, softmax, top1, top1_prob
 from blockwise.functions.hashing import gaussian
+from blockwise.operators.prefix import ranged_rank
+from blockwise.session import cut
 
 MAX_EXPERTS = 4096        # bound on the broadcast router table
 HOT_EMB_ROWS = 1 << 12    # embedding rows broadcast for the most frequent tokens
+SLOT_ROWS = 1 << 16       # rows that one dispatch slot is meant to hold
 MAX_BROADCAST_BYTES = 64 << 20   # a measured vector table up to this is broadcast whole
 
 
@@ -92,13 +95,36 @@ def total_loss(ce: DataFrame, aux: DataFrame, by: Sequence[str] = ("batch",),
         "total", F.col("ce") + F.lit(weight) * F.col("aux"))
 
 
-def dispatch(df: DataFrame, n_partitions: int, salt_buckets: int = 1,
-             key: str = "vec_id", expert: str = "top1") -> DataFrame:
-    """Send rows to their expert (E9): hash-partition by (expert, salt),
-    salt = hash(key) mod ``salt_buckets``, so a hot expert spreads over
-    several tasks. Experts without rows simply have no partition."""
-    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, salt_buckets)))
-    return df.withColumn("_salt", salt).repartition(n_partitions, expert, "_salt").drop("_salt")
+def plan_dispatch(rows: DataFrame, target_rows: int = SLOT_ROWS, min_slots: int = 1, expert: str = "top1") -> DataFrame:
+    """(expert, salt, salts, slot): where the rows of each expert go, from
+    their measured counts (E9). An expert with more than ``target_rows`` rows
+    is split into so many salts that none has more; experts at or below it
+    are not salted. The units (expert, salt) are dealt out by falling size in
+    snake order to as many slots as ``target_rows`` needs (``min_slots`` at
+    least), so a slot holds at most the mean and one unit: twice
+    ``target_rows``, but for the spread of the salting hash. An expert
+    without rows has no unit. One row per unit: experts and slots, not rows."""
+    n = rows.groupBy(F.col(expert).alias("expert")).agg(F.count(F.lit(1)).alias("n"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(target_rows))).cast("int")
+    n = cut(n.withColumn("salts", salts).withColumn("size", F.ceil(F.col("n") / F.col("salts")).cast("long")))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    slots = max(1, min_slots, -(-total // target_rows))
+    units = n.select("expert", "salts", "size", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    units = ranged_rank(units, [F.col("size").desc(), F.col("expert"), F.col("salt")], out="place")
+    turn, at = F.floor(F.col("place") / F.lit(slots)), F.col("place") % slots
+    slot = F.when(turn % 2 == 0, at).otherwise(F.lit(slots - 1) - at).cast("int")
+    return cut(units.select("expert", "salt", "salts", slot.alias("slot")))
+
+
+def dispatch(df: DataFrame, plan: DataFrame, key: str = "vec_id", expert: str = "top1") -> DataFrame:
+    """Give every row the ``slot`` of its expert (E9): hot experts spread over
+    their salts by a hash of ``key``. The plan has one row per unit (experts
+    and slots), so the join moves no row unless the plan itself is large."""
+    first = plan.filter("salt = 0").select(F.col("expert").alias(expert), "salts")
+    salted = df.join(first, expert).withColumn(
+        "salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.col(key)), F.col("salts"))).otherwise(0).cast("int"))
+    where = plan.select(F.col("expert").alias(expert), "salt", "slot")
+    return salted.join(where, [expert, "salt"]).select(*df.columns, "slot")
 
 
 def apply_capacity(df: DataFrame, capacity_factor: float | None, n_experts: int,

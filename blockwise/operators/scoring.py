@@ -4,16 +4,16 @@ joins, temperature draws, and the expert feed-forward scorer."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from blockwise.functions.arrays import cross_entropy, draw, softmax, temper
 from blockwise.functions.hashing import hash_uniform
 from blockwise.functions.numeric import NAN, perplexity
+from blockwise.operators.routing import SLOT_ROWS, dispatch, plan_dispatch
 from blockwise.session import cut
 
 
@@ -99,55 +99,81 @@ def temperature_draw(df: DataFrame, t: float, seed: int, key: str = "vec_id",
 
 
 # ------------------------------------------------------- expert scorer
-def init_expert_weights(n_experts: int, d_model: int, d_ff: int, seed: int) -> dict:
-    """Seeded weights per expert: w1 [C, F], b1 [F], w2 [F, C], b2 [C],
-    uniform in +-1/sqrt(fan_in) as a linear layer's default. Each entry is
-    a hash uniform (as :func:`blockwise.functions.hashing.hash_uniform`) of
-    'seed:name:expert:index...', so any engine with md5 can rebuild the
-    same weights; they are a model constant of E x C x F entries."""
-    def table(name: str, e: int, shape: tuple, bound: float) -> np.ndarray:
-        u = np.fromiter(
-            (int(hashlib.md5(f"{seed}:{name}:{e}:{':'.join(map(str, ix))}".encode())
-                 .hexdigest()[:8], 16) for ix in np.ndindex(*shape)),
-            dtype="float64", count=int(np.prod(shape))) / 4294967296.0
-        return ((2.0 * u - 1.0) * bound).reshape(shape)
+FF_BLOCK = 64               # hidden units in one weight block
+SLOT_WEIGHT_BYTES = 256 << 20       # weights that one slot is meant to hold
 
+
+def expert_weights(experts: DataFrame, d_model: int, d_ff: int, seed: int, block: int = FF_BLOCK) -> DataFrame:
+    """Seeded weights as a table of blocks of hidden units: (expert, block, w1
+    [C x b], b1 [b], w2 [b x C], b2 [C]), matrices row by row, b2 in block 0
+    only. Entries are uniform in +-1/sqrt(fan_in) as a linear layer's
+    default, each the hash uniform of 'seed:name:expert:index...', so any
+    engine with md5 can rebuild them. ``experts`` has a column expert."""
+    def entry(name, bound, *index):
+        u = hash_uniform(F.lit(str(seed)), F.lit(name), F.col("expert"), *index)
+        return (F.lit(2.0) * u - F.lit(1.0)) * F.lit(float(bound))
+
+    def matrix(name, bound, rows, cols):
+        return F.flatten(F.transform(rows, lambda i: F.transform(cols, lambda j: entry(name, bound, i, j))))
+
+    lo, hi = F.col("block") * block, F.least((F.col("block") + 1) * block, F.lit(d_ff)) - 1
+    own, whole = F.sequence(lo, hi), F.sequence(F.lit(0), F.lit(d_model - 1))
     a1, a2 = 1.0 / np.sqrt(d_model), 1.0 / np.sqrt(d_ff)
-    return {e: (table("w1", e, (d_model, d_ff), a1), table("b1", e, (d_ff,), a1),
-                table("w2", e, (d_ff, d_model), a2), table("b2", e, (d_model,), a2))
-            for e in range(n_experts)}
+    d = experts.select(F.col("expert").cast("int").alias("expert")).distinct().withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(-(-d_ff // block) - 1))))
+    bias = F.transform(whole, lambda k: entry("b2", a2, k))
+    return d.select("expert", "block", matrix("w1", a1, whole, own).alias("w1"),
+                    F.transform(own, lambda j: entry("b1", a1, j)).alias("b1"), matrix("w2", a2, own, whole).alias("w2"),
+                    F.when(F.col("block") == 0, bias).otherwise(F.array().cast("array<double>")).alias("b2"))
 
 
-def expert_ffn(x: np.ndarray, w) -> np.ndarray:
-    """w2 . silu(w1 . x + b1) + b2 for a block of rows (evaluation mode)."""
-    w1, b1, w2, b2 = w
+def expert_block(x: np.ndarray, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """w2 . silu(w1 . x + b1) over one block of hidden units (evaluation mode);
+    the blocks of an expert add up."""
     h = x @ w1 + b1
     h = h / (1.0 + np.exp(-h))
-    return h @ w2 + b2
-
-
-def score_experts(df: DataFrame, weights: dict, key: str = "vec_id", vec: str = "vec",
-                  expert: str = "top1", gate: str = "top1_prob") -> DataFrame:
-    """Expert feed-forward and gate (E11, E12) on Arrow batches: within a
-    batch the rows of each expert go through one matrix product with that
-    expert's weights (shipped once with the task; their size is E x C x F,
-    a model constant). Returns (key, expert, y). Rows routed to an expert
-    without weights fail the task."""
-    ws = {int(e): tuple(np.asarray(a, dtype="float64") for a in w) for e, w in weights.items()}
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ys = np.empty(len(pdf), dtype=object)
-            ex = pdf[expert].to_numpy()
-            for e in np.unique(ex):
-                idx = np.nonzero(ex == e)[0]
-                x = np.stack(pdf[vec].iloc[idx].to_numpy()).astype("float64")
-                y = expert_ffn(x, ws[int(e)]) * pdf[gate].to_numpy()[idx, None]
-                for k, i in enumerate(idx):
-                    ys[i] = y[k]
-            yield pd.DataFrame({key: pdf[key].to_numpy(), expert: ex, "y": list(ys)})
-
-    schema = f"{key} long, {expert} int, y array<double>"
-    return df.select(key, expert, gate, vec).mapInPandas(run, schema)
+    return h @ w2
+
+
+def score_experts(df: DataFrame, weights: DataFrame, key: str = "vec_id", vec: str = "vec",
+                  expert: str = "top1", gate: str = "top1_prob", slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Expert feed-forward and gate (E11, E12). Rows and weight blocks (see
+    :func:`expert_weights`) meet in slots: the rows by the measured dispatch
+    plan, the blocks of an expert in every slot that has rows of it, so a hot
+    expert's blocks are replicated. A task holds one slot: about ``slot_rows``
+    rows and the blocks of its experts. Returns (key, expert, y). Rows routed
+    to an expert without weights fail the task."""
+    rows = cut(df.select(key, F.col(expert).cast("int").alias(expert), gate, vec))
+    weights = cut(weights)
+    size = weights.agg(F.sum(F.size("w1") + F.size("w2")).alias("n")).first()[0] or 0
+    plan = plan_dispatch(rows, slot_rows, -(-8 * size // SLOT_WEIGHT_BYTES), expert)
+    sent = dispatch(rows, plan, key, expert)
+    blocks = weights.join(plan.select("expert", "slot").distinct(), "expert")
+    kinds = dict(rows.dtypes)
+    schema = f"{key} {kinds[key]}, {expert} int, y array<double>"
+
+    def score(table: pa.Table, blocks: pa.Table) -> pa.Table:
+        names = [key, expert, "y"]
+        if not len(table):      # blocks without rows
+            return pa.table([table.column(key), pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64()))], names)
+        at: dict = {}
+        for i, e in enumerate(blocks.column("expert").to_pylist()):
+            at.setdefault(e, []).append(i)
+        ids, g = table.column(expert).to_numpy(), table.column(gate).to_numpy()
+        flat = table.column(vec).combine_chunks().flatten().to_numpy()
+        x = flat.reshape(len(ids), -1).astype("float64")
+        y = np.zeros_like(x)
+        for e in np.unique(ids):
+            if int(e) not in at:
+                raise ValueError(f"expert {e} has no weights")
+            own = np.flatnonzero(ids == e)
+            for i in at[int(e)]:
+                w1, b1, w2, b2 = (blocks.column(c)[i].values.to_numpy() for c in ("w1", "b1", "w2", "b2"))
+                y[own] += expert_block(x[own], w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), -1))
+                if len(b2):
+                    y[own] += b2
+        y *= g[:, None]
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * y.shape[1])
+        return pa.table([table.column(key), pa.array(ids, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names)
+
+    return sent.groupBy("slot").cogroup(blocks.groupBy("slot")).applyInArrow(score, schema)

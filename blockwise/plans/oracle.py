@@ -424,7 +424,7 @@ FROM t JOIN emb e ON e.vec_id = t.emb_id JOIN emb q ON q.vec_id = t.pos
 """
 
 def _hash_w(name: str, idx: str, bound: str) -> str:
-    """Expert weight entry by the hash rule of init_expert_weights."""
+    """Expert weight entry by the hash rule of expert_weights."""
     return (f"(2 * CAST(('0x' || substr(md5('42:{name}:' || ex.expert || ':' || {idx}), 1, 8))"
             f" AS BIGINT) / 4294967296e0 - 1) * {bound}")
 
@@ -454,13 +454,16 @@ yg AS (SELECT yo.vec_id, yo.expert, yo.k, (yo.z + b2.w) * kx.g AS y
        FROM yo JOIN b2 ON b2.expert = yo.expert AND b2.k = yo.k JOIN kx ON kx.vec_id = yo.vec_id)"""
 
 SQL["expert_scores"] = "WITH " + EXPERT_FFN + """
-SELECT vec_id, CAST(expert AS INTEGER) AS expert, round(sum(y), 6) AS y_sum
+SELECT vec_id, CAST(expert AS INTEGER) AS expert, round(sum(y), 6) AS y_sum,
+       md5(string_agg(CAST(CAST(round(y * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY k)) AS y_md5
 FROM yg GROUP BY vec_id, expert
 """
 
 SQL["moe_combine"] = "WITH " + EXPERT_FFN + """,
 xa AS (SELECT vec_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM vectors)
-SELECT c.vec_id, c.kept, round(sum(xa.x + coalesce(yg.y, 0)), 6) AS out_sum
+SELECT c.vec_id, c.kept, round(sum(xa.x + coalesce(yg.y, 0)), 6) AS out_sum,
+       md5(string_agg(CAST(CAST(round((xa.x + coalesce(yg.y, 0)) * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY xa.i))
+         AS out_md5
 FROM capped c JOIN xa USING (vec_id) LEFT JOIN yg ON yg.vec_id = xa.vec_id AND yg.k = xa.i
 GROUP BY c.vec_id, c.kept
 """

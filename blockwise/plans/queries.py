@@ -483,12 +483,14 @@ def dispatch_report(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    from blockwise.operators.scoring import init_expert_weights, score_experts
-    from blockwise.operators.routing import dispatch
-    E = n_experts(spark, sf_dir)
-    c = dispatch(_capped(spark, sf_dir).filter("kept"), 2 * E, salt_buckets=2)
-    w = init_expert_weights(E, 64, 256, V.SEED)
-    return score_experts(c, w)
+    from blockwise.operators.scoring import expert_weights, score_experts
+    w = expert_weights(V.router(spark, sf_dir), 64, 256, V.SEED)
+    return score_experts(_capped(spark, sf_dir).filter("kept"), w)
+
+
+def _digest(vec):
+    """md5 of the elements in order, in millionths."""
+    return F.md5(F.array_join(F.transform(vec, lambda v: F.round(v * 1e6).cast("bigint").cast("string")), ","))
 
 
 @query
@@ -496,8 +498,8 @@ def expert_scores(spark, sf_dir):
     """Gated expert feed-forward outputs of the kept rows (d_ff 256)."""
     from blockwise.functions.arrays import array_sum
     s = _scored(spark, sf_dir)
-    return s.select("vec_id", F.col("top1").alias("expert"),
-                    F.round(array_sum("y"), 6).alias("y_sum"))
+    return s.select("vec_id", F.col("top1").alias("expert"), F.round(array_sum("y"), 6).alias("y_sum"),
+                    _digest("y").alias("y_md5"))
 
 
 @query
@@ -507,7 +509,7 @@ def moe_combine(spark, sf_dir):
     from blockwise.operators.routing import combine
     x = _capped(spark, sf_dir).select("vec_id", "vec", "kept")
     out = combine(x, _scored(spark, sf_dir))
-    return out.select("vec_id", "kept", F.round(array_sum("out"), 6).alias("out_sum"))
+    return out.select("vec_id", "kept", F.round(array_sum("out"), 6).alias("out_sum"), _digest("out").alias("out_md5"))
 
 
 @query

@@ -54,14 +54,17 @@ def test_capacity_never_exceeds_cap(spark):
 def test_scorer_and_combine_match_numpy(spark):
     v = R.route(R.router_logits(V.vectors(spark, SF_MID), V.router(spark, SF_MID)))
     c = R.apply_capacity(v, 1.0, 10)
-    w = Sc.init_expert_weights(10, 64, 32, 5)
-    y = {r.vec_id: r for r in Sc.score_experts(c.filter("kept"), w).collect()}
+    w = Sc.expert_weights(spark.range(10).select(F.col("id").alias("expert")), 64, 32, 5, block=12)
+    whole = weights_by_expert(w)
+    y = {r.vec_id: r for r in Sc.score_experts(c.filter("kept"), w, slot_rows=17).collect()}
     out = {r.vec_id: r for r in R.combine(c.select("vec_id", "vec", "kept"),
                                           Sc.score_experts(c.filter("kept"), w)).collect()}
     for r in c.collect():
         x = np.array(r.vec)
         if r.kept:
-            want = Sc.expert_ffn(x[None, :], w[r.top1])[0] * r.top1_prob
+            w1, b1, w2, b2 = whole[r.top1]
+            h = x @ w1 + b1
+            want = ((h / (1 + np.exp(-h))) @ w2 + b2) * r.top1_prob
             assert np.allclose(y[r.vec_id].y, want, rtol=1e-12, atol=1e-12)
             assert np.allclose(out[r.vec_id].out, x + want)
         else:
@@ -69,6 +72,48 @@ def test_scorer_and_combine_match_numpy(spark):
             assert out[r.vec_id].out == list(x)
 
 
+def weights_by_expert(table):
+    """{expert: (w1, b1, w2, b2)} from the blocks, checked against the md5 rule."""
+    import hashlib
+    out = {}
+    for r in sorted(table.collect(), key=lambda r: (r.expert, r.block)):
+        n = len(r.b1)
+        parts = [np.reshape(r.w1, (-1, n)), np.array(r.b1), np.reshape(r.w2, (n, -1)), np.array(r.b2)]
+        if r.expert in out:
+            old = out[r.expert]
+            parts = [np.hstack([old[0], parts[0]]), np.append(old[1], parts[1]), np.vstack([old[2], parts[2]]), old[3]]
+        out[r.expert] = parts
+    u = int(hashlib.md5(b"5:w2:3:30:7").hexdigest()[:8], 16) / 2 ** 32
+    assert out[3][2][30, 7] == pytest.approx((2 * u - 1) / np.sqrt(out[3][2].shape[0]), rel=1e-14)
+    return out
+
+
+def test_dispatch_with_a_hot_expert(spark):
+    """One expert holds a third of the rows, one none, one a single row: every
+    slot is bounded, only the hot ones are salted, no row is lost."""
+    n, target = 30_000, 1000
+    e = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") == 1, 99).otherwise(1 + F.col("id") % 40).cast("int")
+    df = spark.range(n).select(F.col("id").alias("vec_id"), e.alias("top1"))
+    plan = R.plan_dispatch(df, target)
+    units = plan.collect()
+    count = {r.top1: r["count"] for r in df.groupBy("top1").count().collect()}
+    assert {r.expert: r.salts for r in units} == {k: -(-c // target) for k, c in count.items()}
+    assert len({(r.expert, r.salt) for r in units}) == len(units) == sum(-(-c // target) for c in count.values())
+    sent = R.dispatch(df, plan)
+    assert sent.count() == n and sent.select("vec_id").distinct().count() == n
+    per = [r["count"] for r in sent.groupBy("slot").count().collect()]
+    assert len(per) == n // target and max(per) <= 2.2 * target
+    assert R.plan_dispatch(df.limit(0), target).count() == 0
+
+
+def test_scorer_without_weights_fails(spark):
+    df = spark.createDataFrame([(1, 7, 1.0, [1.0, 2.0])], "vec_id long, top1 int, top1_prob double, vec array<double>")
+    w = Sc.expert_weights(spark.range(3).select(F.col("id").alias("expert")), 2, 4, 1)
+    with pytest.raises(Exception, match="no weights"):
+        Sc.score_experts(df, w).collect()
+    assert Sc.score_experts(df.limit(0), w).count() == 0
+
+
 def test_layer_norm_and_jitter(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "v array<double>")
     y = df.select(A.layer_norm("v").alias("y")).collect()[0].y
