@@ -16,6 +16,13 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+def numbered(docs: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """``columns`` of every row with a row number ``name``, written once: rows
+    are told apart whatever they hold (nulls, repeated rows), and every
+    reader sees the same numbers."""
+    return cut(docs.select(F.monotonically_increasing_id().alias(name), *columns))
+
+
 def hash_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null ids count as remainder 0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(0))

@@ -24,12 +24,13 @@ an equi-join.
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blockwise.llm.common import cut, utf8
+from blockwise.llm.common import cut, numbered, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -38,6 +39,7 @@ NEAR_SPAN = 26
 # 20 * n_hit >= n_words: one word in twenty
 HIT_SHARE = 20
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]")
 _BLANK = bytes(c if _WORD.match(bytes([c])) else 32 for c in range(256))
 
@@ -50,16 +52,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item, item_id, n, ipos, word): one row per word of each distinct item."""
-    @F.udf("array<binary>")
-    def split(b):
-        return words_of(bytes(b))
-
-    d = benchmark.select(F.col(item_id).cast("string").alias("item_id"), utf8(text).alias("b")).distinct()
-    d = d.select("item_id", F.xxhash64("item_id", "b").alias("item"), split("b").alias("w"))
+    d = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(text, F.lit("")).alias("t")).distinct()
+    words = F.regexp_extract_all(F.translate("t", string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
+    d = d.select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "t").alias("item"),
+                 F.transform(words, lambda w: w.cast("binary")).alias("w"))
     return d.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "word"))
 
 
-def _counts(docs: DataFrame, text: str, vocab) -> DataFrame:
+def _counts(docs: DataFrame, vocab) -> DataFrame:
     def count(batches):
         get, miss = vocab.value.get, len(vocab.value)
         total = np.zeros(miss + 1, np.int64)
@@ -71,13 +71,12 @@ def _counts(docs: DataFrame, text: str, vocab) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])],
                                          ["term", "n"])
 
-    return (docs.select(utf8(text).alias("b")).mapInArrow(count, "term int, n long")
+    return (docs.select("b").mapInArrow(count, "term int, n long")
             .groupBy("term").agg(F.sum("n").alias("df")))
 
 
-def _postings(docs: DataFrame, id_col: str, text: str, vocab, seeds: np.ndarray,
-              window: int) -> DataFrame:
-    """(doc_id, doc, term, pos): the index. Each row of the corpus also has a
+def _postings(docs: DataFrame, vocab, seeds: np.ndarray, window: int) -> DataFrame:
+    """(doc_id, doc, term, pos): the index of (doc_id, doc, b). Each row of the corpus also has a
     row with term -1 whose pos is its number of words."""
     def index(batches):
         get, miss = vocab.value.get, len(vocab.value)
@@ -103,20 +102,24 @@ def _postings(docs: DataFrame, id_col: str, text: str, vocab, seeds: np.ndarray,
                      pa.array(np.concatenate(term), pa.int32()), pa.array(np.concatenate(pos), pa.int64())],
                     ["doc_id", "doc", "term", "pos"])
 
-    kind = dict(docs.dtypes)[id_col]
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("doc"), utf8(text).alias("b"))
-    return d.mapInArrow(index, f"doc_id {kind}, doc long, term int, pos long")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "doc", "b").mapInArrow(index, f"doc_id {kind}, doc long, term int, pos long")
+
+
+def documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *more) -> DataFrame:
+    """(doc, doc_id, b, *more): the rows of the corpus, numbered by doc."""
+    return numbered(docs, "doc", F.col(id_col).alias("doc_id"), utf8(text).alias("b"), *more)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_id: str = "item_id",
-                 text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-                 near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN) -> tuple:
-    """(rows, phrases, near). rows: (doc_id, doc, n_words) for every row of
-    the corpus; doc identifies id and text, so repeated rows share it.
-    phrases: (doc, item_id, diag, start, stop), an exact run of test words at
-    document positions start..stop (both included). near: (doc, item_id,
-    pos), a proximity match ending at pos. Null texts have no words; items
-    without words match nothing; repeated items count once."""
+def find_matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
+                 window: int = WINDOW, block_words: int = BLOCK_WORDS, near_terms: int = NEAR_TERMS,
+                 near_span: int = NEAR_SPAN) -> tuple:
+    """(rows, phrases, near) of what :func:`documents` gives. rows: (doc_id,
+    doc, n_words) for every row of the corpus. phrases: (doc, item_id, diag,
+    start, stop), an exact run of test words at document positions
+    start..stop (both included). near: (doc, item_id, pos), a proximity match
+    ending at pos. Null texts have no words; items without words match
+    nothing; repeated items count once."""
     items = cut(_item_words(benchmark, item_id, text))
     total = items.count()
     blocks = max(1, -(-total // block_words))
@@ -124,7 +127,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         own = items.filter(F.pmod("item", F.lit(blocks)) == k)
         small = blocks == 1 or own.count() <= 2 * block_words
-        r, p, m = _match_block(docs, own, id_col, text, window, near_terms, near_span,
+        r, p, m = _match_block(docs, own, window, near_terms, near_span,
                                F.broadcast if small else lambda d: d)
         rows = r if rows is None else rows          # the same for every block
         phrases = p if phrases is None else phrases.unionByName(p)
@@ -132,14 +135,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows, phrases, near
 
 
-def _match_block(docs, items, id_col, text, window, near_terms, near_span, hint):
+def _match_block(docs, items, window, near_terms, near_span, hint):
     spark = docs.sparkSession
     words = [bytes(r[0]) for r in items.select("word").distinct().collect()]   # one block's vocabulary
     vocab = {w: i for i, w in enumerate(sorted(words))}
     ids = spark.createDataFrame([(w, i) for w, i in vocab.items()], "word binary, term int")
     seq = items.join(ids, "word").select("item", "item_id", "n", "ipos", "term")
     vocab = spark.sparkContext.broadcast(vocab)     # bounded by block_words
-    seq = cut(seq.join(_counts(docs, text, vocab), "term", "left").fillna(0, ["df"]))
+    seq = cut(seq.join(_counts(docs, vocab), "term", "left").fillna(0, ["df"]))
 
     # the rarest and second rarest position of each window, ties by position
     w = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, window - 1)
@@ -151,7 +154,7 @@ def _match_block(docs, items, id_col, text, window, near_terms, near_span, hint)
                              F.coalesce("b.term", "a.term").alias("term2"),
                              F.coalesce("b.ipos", "a.ipos").alias("ipos2"), F.col("a.df").alias("df")).distinct())
     seeds = np.array([r[0] for r in picks.select("term").distinct().collect()], np.int64)
-    index = cut(_postings(docs, id_col, text, vocab, seeds, window))
+    index = cut(_postings(docs, vocab, seeds, window))
     rows = index.filter("term = -1").select("doc_id", "doc", F.col("pos").alias("n_words"))
     post = index.filter("term >= 0").select("doc", "term", "pos")
 
@@ -183,13 +186,20 @@ def _match_block(docs, items, id_col, text, window, near_terms, near_span, hint)
     return rows, phrases, near
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
+                  **params) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near)
     for every row of ``docs``. A document word inside an exact window match
     is hit; contaminated when one word in twenty or more is. items_sha256 is
     over the matched item ids, sorted as strings and joined with commas;
     n_near counts items with a proximity match. A null item id is left out
-    of n_items and the list, but its windows hit. Empty tables give zeros."""
+    of n_items and the list, but its windows hit. Rows are told apart by a
+    written number, so null ids and texts and repeated rows keep their own
+    results. Empty tables give zeros."""
+    return _report(documents(docs, id_col, text), benchmark, text=text, **params).drop("doc")
+
+
+def _report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     rows, phrases, near = find_matches(docs, benchmark, **params)
     phrases = cut(phrases)
     hits = (phrases.select("doc", F.explode(F.sequence("start", "stop")).alias("p")).distinct()
@@ -210,6 +220,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
                         **params) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
-    bad = contamination(docs, benchmark, id_col=id_col, text=text, **params).filter("contaminated")
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(id_col, text).alias("_doc"))
-    return (d.join(bad.select(F.col("doc").alias("_doc")).distinct(), "_doc", "left_anti").select("_row.*"))
+    d = documents(docs, id_col, text, F.struct(*docs.columns).alias("row"))
+    bad = _report(d, benchmark, text=text, **params).filter("contaminated").select("doc")
+    return d.join(bad, "doc", "left_anti").select("row.*")

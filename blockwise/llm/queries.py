@@ -25,8 +25,7 @@ def op3_language_profiles(spark, sf_dir):
 
 
 def op4_decontamination(spark, sf_dir):
-    d = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return d.drop("doc")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_toxicity_gbt(spark, sf_dir):

@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from blockwise.llm.common import cut, utf8
+from blockwise.llm.common import cut, numbered, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -237,8 +237,8 @@ def mark_segments(texts: list[bytes], copies: np.ndarray, length: int) -> list[t
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, d, b): d names id and text."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("d"), utf8(text).alias("b"))
+    """(d, doc_id, b): the rows, numbered by d."""
+    return numbered(docs, "d", F.col(id_col).alias("doc_id"), utf8(text).alias("b"))
 
 
 def _compressed(batches):
@@ -333,13 +333,12 @@ def _hot_marks(segs: DataFrame, length: int, hot: int, shard_bytes: int) -> Data
             .agg(F.min(F.col("first") + F.col("lo")).alias("lo"), F.max(F.col("first") + F.col("hi")).alias("hi")))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(d, spans): for each text with repeats the sorted covered stretches
-    (lo, hi) in bytes, which may overlap; d is the hash of id and text."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
+                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(d, spans): for each text of (d, b) with repeats the sorted covered
+    stretches (lo, hi) in bytes, which may overlap. d is unique."""
     if not 2 * max(gram, RUN) <= length < 2048:
         raise ValueError("length must be at least twice the gram and less than 2048")
-    texts = _texts(docs, id_col, text)
     anchors = texts.select("d", "b").mapInArrow(_emit_anchors(length, gram), "a long, c long, d long, p long")
     again = cut(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"))
     found = cut(anchors.join(again, "a"))
@@ -369,9 +368,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     as empty; texts shorter than ``length`` keep everything; repeated rows
     are copies of each other and lose all that is long enough; extra columns
     are not read; an empty table gives an empty result."""
-    spans = repeated_spans(docs, id_col, text, **params)
+    texts = _texts(docs, id_col, text)
+    spans = repeated_spans(texts, **params)
     kind = dict(docs.dtypes)[id_col]
-    packed = _texts(docs, id_col, text).mapInArrow(_compressed, f"doc_id {kind}, d long, z binary")
+    packed = texts.select("doc_id", "d", "b").mapInArrow(_compressed, f"doc_id {kind}, d long, z binary")
 
     def strip(batches):
         for batch in batches:

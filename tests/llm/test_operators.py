@@ -108,7 +108,7 @@ def test_contamination(spark, docs, rows, block):
     items = [(1, " ".join(words[2:40])), (2, "a"), (10, None), (11, ""), (12, " ".join(words[5:18]).upper()),
              (1, " ".join(words[2:40])), (13, "nowhere to be found at all"), (14, "x x x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, block_words=block).drop("doc", "n_near").collect()
+    got = decontam.contamination(docs, bench, block_words=block).drop("n_near").collect()
     same(got, brute.contamination([(r[0], r[1]) for r in rows], items))
 
 
@@ -151,33 +151,83 @@ def distance(a, b):
     return p[-1]
 
 
+def named_lines(spark, pool):
+    df = spark.createDataFrame([(t,) for t in pool], "line string").select(F.xxhash64("line").alias("lid"), "line")
+    return df, {r["line"]: r["lid"] for r in df.collect()}
+
+
+def linked(pairs, names):
+    """Each name with the smallest one that pairs connect it to."""
+    root = {n: n for n in names}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {n: top(n) for n in names}
+
+
 @pytest.mark.parametrize("edits,hot", [(1, 16), (2, 16), (1, 1), (2, 1)])
 def test_line_links(spark, edits, hot):
     rnd = random.Random(3)
-    pool = {"".join(rnd.choice("aé ") for _ in range(rnd.randint(3, 9))) + "b" for _ in range(80)}
-    pool = sorted(pool)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(pool)] + [(500, None), (501, "")], "doc_id long, text string")
-    name = {r[0]: r[1] for r in df.filter("text <> ''").select("text", F.xxhash64("text")).collect()}
+    pool = sorted({"".join(rnd.choice("aé ") for _ in range(rnd.randint(3, 9))) + "b" for _ in range(80)})
+    df, name = named_lines(spark, pool)
     want = {tuple(sorted((name[a], name[b]))) for i, a in enumerate(pool) for b in pool[:i] if distance(a, b) <= edits}
-    got = [tuple(r) for r in lines.line_links(df, edits=edits, min_chars=4, hot=hot).collect()]
-    assert set(got) == want and len(got) == len(want)
+    got = [tuple(r) for r in lines.line_links(df.union(df), edits=edits, min_chars=4, hot=hot).collect()]
+    assert set(got) <= want and len(set(got)) == len(got)
+    assert linked(got, name.values()) == linked(want, name.values())
+    if hot > len(pool):
+        assert set(got) == want
 
 
 def test_line_links_default(spark):
     """Without parameters, two edits link: two typos, a transposition, a changed two-digit number, two more letters."""
     pool = [f"the committee met on day {x} of the long session" for x in ("number 17", "number 42", "nubmer 17", "numker 18", "numbers 177", "nom 99")]
-    df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
-    name = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    df, name = named_lines(spark, pool)
     gap = {tuple(sorted((name[a], name[b]))): distance(a, b) for i, a in enumerate(pool) for b in pool[:i]}
     got = [tuple(r) for r in lines.line_links(df).collect()]
     assert sorted(got) == sorted(p for p, d in gap.items() if d <= 2) and sum(gap[p] == 2 for p in got) >= 3
 
 
+def test_templated_lines_make_a_star(spark):
+    """80 lines that differ in two digits: one class, links in proportion to the lines."""
+    df, name = named_lines(spark, [f"every page of this site ends with the number {i:02d} and a very long common tail" for i in range(80)])
+    got = [tuple(r) for r in lines.line_links(df).collect()]
+    assert len(set(linked(got, name.values()).values())) == 1 and 79 <= len(got) <= lines.HOT * 80
+
+
+def test_long_and_short_lines(spark):
+    long = "".join(random.Random(1).choice("abcdefghij ") for _ in range(60_000))
+    df, name = named_lines(spark, [long, long[:30_000] + "x" + long[30_000:], long[:-1] + "yy", "abc", "abd", "abcde", "xyz"])
+    got = linked([tuple(r) for r in lines.line_links(df, min_chars=3).collect()], name.values())
+    assert len({got[name[x]] for x in name if len(x) > 9}) == 1 and len({got[name[x]] for x in ("abc", "abd", "abcde")}) == 1
+    assert got[name["xyz"]] == name["xyz"] or distance("xyz", "abc") <= 2
+
+
+def test_rows_are_told_apart_by_number(spark):
+    """A null id whose text is another row's id, a null text whose id is another row's text, string ids, repeated rows."""
+    t = "one line that is long enough to count here " * 6
+    rows = [(None, t), (t, None), ("b", t), ("b", t), (None, None), (None, None), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    same(repeats.remove_repeats(df).drop("kept").collect(), brute.repeats(rows))
+    items = [(1, t)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same(decontam.contamination(df, bench).drop("n_near").collect(), brute.contamination(rows, items))
+    assert sorted(map(str, (tuple(r) for r in decontam.keep_uncontaminated(df, bench).collect()))) == sorted(
+        str(r) for r in rows if not r[1])
+    got = sorted(((r["doc_id"] or "", r["n_lines"], tuple(r["dropped"])) for r in lines.dedup_lines(df).collect()))
+    assert got == sorted([("", 1, ()), (t, 0, ()), ("b", 1, (0,)), ("b", 1, (0,)), ("", 0, ()), ("", 0, ()), ("c", 0, ())])
+
+
 def test_line_dedup(spark):
     a, b = "a line that is long enough to count", "a line that is long enough to cound"
     data = [(1, f"{a}\nother words stand here\n\n{b}"), (2, f"{b}\n{a}"), (3, None), (4, ""), (2, f"{b}\n{a}")]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("lid", F.lit(1))
-    got = lines.dedup_lines(df).drop("d").collect()
+    got = lines.dedup_lines(df).collect()
     same([(*r[:4], tuple(r[4])) for r in got],
          [(1, 3, 2, 2, (3,)), (2, 2, 2, 2, (0, 1)), (2, 2, 2, 2, (0, 1)), (3, 0, 0, 0, ()), (4, 0, 0, 0, ())])
     kept = {r["doc_id"]: r["text"] for r in lines.drop_near_lines(df).collect()}
