@@ -12,9 +12,10 @@ of up to ``PART`` turns is one part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from blockwise.operators.prefix import ranged_rank
+from blockwise.llm.common import cut
+from blockwise.operators.prefix import SUM, ordered_scan, ranged_rank
 
 PART = 256
 # fixed values: control markers of the chat format
@@ -32,7 +33,8 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     Turns are ordered by (turn, role, text), nulls first; repeated turns are
     kept. A null text is empty; a null role speaks as the user ``unknown``
-    and has no perspective; a null conversation id is a conversation. A
+    and has no perspective; a null conversation id is a conversation; speakers
+    whose names differ in signs only are rendered under one name. A
     conversation without speakers has no rows. Control markers inside texts
     are broken up with a space; other columns are not read."""
     t = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
@@ -42,27 +44,37 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
                  F.replace(F.coalesce("raw", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
     who = (t.filter((F.col("role") != SYSTEM) & F.col("role").isNotNull())
            .select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct())
-    x = t.join(who, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    # speakers meet the parts of their conversation, then a part's turns: no key has more than a part
+    spots = t.select("conv_id", "part").distinct().join(who, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
+        "_conv", F.col("part").alias("_part"), "perspective")
+    x = t.join(spots, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))).drop("_conv", "_part")
     me = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
     name = F.coalesce(F.regexp_replace("role", "[^A-Za-z0-9_-]", "_"), F.lit("unknown"))
     head = F.when(F.col("role") == SYSTEM, F.lit(f"{OPEN}system\n")).when(me, F.lit(f"{OPEN}assistant\n")).otherwise(
         F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
     x = x.select("conv_id", "perspective", "part", "seq", me.alias("me"), head.alias("head"),
                  F.concat("body", F.lit(CLOSE)).alias("body"))
-    x = x.withColumn("n", F.char_length("head") + F.char_length("body") + 1)
     key = ["conv_id", "perspective", "part"]
-    before = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)) + F.char_length("head"))
-    span = F.when(F.col("me"), F.concat_ws(":", "at", F.col("at") + F.char_length("body")))
-    parts = x.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_turns"), F.sum("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct("seq", F.concat("head", "body", F.lit("\n")).alias("s"),
-                                             span.alias("m")))).alias("rows"))
-    up = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(
-        *key, "n_turns", F.coalesce(F.sum("n").over(up), F.lit(0)).cast("long").alias("char_start"),
-        F.array_join(F.transform("rows", lambda r: r["s"]), "").alias("text"),
-        F.array_join(F.transform("rows", lambda r: r["m"]), ",").alias("spans"))
+    row = F.struct("seq", "me", "head", "body", F.char_length("head").alias("h"), F.char_length("body").alias("b"))
+    parts = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def take(done, r):      # the part's turns in order: the place reached, and the trained stretches
+        at = done["at"] + r["h"]
+        return F.struct((at + r["b"] + 1).alias("at"), F.when(
+            r["me"], F.concat(done["spans"], F.array(F.concat_ws(":", at, at + r["b"])))).otherwise(done["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    parts = cut(parts.select(*key, "n_turns", F.aggregate("rows", start, take).alias("done"), F.array_join(
+        F.transform("rows", lambda r: F.concat(r["head"], r["body"], F.lit("\n"))), "").alias("text")))
+    # offsets of the parts from their lengths alone
+    narrow = parts.select(*key, F.col("done.at").cast("long").alias("n"))
+    offsets = ordered_scan(narrow, ["part"], {"char_start": (SUM, F.col("n"))}, ["conv_id", "perspective"], inclusive=False)
+    offsets = offsets.select(*[F.col(c).alias(f"_{c}") for c in key], "char_start")
+    same = (F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("perspective") == F.col("_perspective"))
+            & (F.col("part") == F.col("_part")))
+    return parts.join(offsets, same).select(
+        *key, "n_turns", F.coalesce("char_start", F.lit(0)).cast("long").alias("char_start"), "text",
+        F.array_join("done.spans", ",").alias("spans"))
 
 
 # rotate() in DuckDB over ``conversations``, for dialogues of one part

@@ -192,6 +192,7 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     got = d.join(F.broadcast(picked), "doc_id").select(
         "doc_id", "quality", sample(F.crc32(F.col("doc_id").cast("string")), "b").alias("x"))
+    got = got.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))       # one row for a picked id
     rows = sorted((r for r in got.collect() if r["x"]), key=lambda r: (str(r["doc_id"]), r["x"]))
     if {r["quality"] for r in rows} != {0, 1}:
         return LineCRF.default()

@@ -5,7 +5,7 @@ documents is far above that among the others. Features: lexicon densities
 (plain, weighted, after undoing obfuscation), hits near second-person words,
 capitals, punctuation and obfuscation rates. Boosted trees (MLlib) are
 fitted on most of the training rows and their margin is calibrated by
-isotonic regression on the rest.
+isotonic regression on the rest, which the lexicon has not seen either.
 
 The lexicon and the trees are fitted on a bounded sample: at most
 ``train_rows`` labelled documents of each label, the first by a hash of the
@@ -120,13 +120,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
            .groupBy("doc_id").agg(F.max("y").alias("y")))
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     picked = [lab.filter(f"y = {y}").orderBy(order, "doc_id").limit(train_rows) for y in (0, 1)]
-    sample = d.join(picked[0].union(picked[1]), "doc_id").select("doc_id", "b", "y")
-    sample = cut(sample)
+    # at most 2 * train_rows ids; one text for each, the first by a hash where an id has several
+    picked = F.broadcast(cut(picked[0].union(picked[1])))
+    sample = d.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("t"))
+    part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5))
+    sample = cut(sample.select("doc_id", F.col("t.b").alias("b"), "y", part.alias("part")))
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     base = seen.get(1, 0) / max(1, sum(seen.values()))
     if len(seen) < 2:
         return d.select("doc_id", "held_out", F.lit(float(base)).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.filter("part > 0"))
     undone = {}
     for w, v in sorted(lexicon.items()):
         undone.setdefault(plain(w), v)
@@ -136,11 +139,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return pd.Series([features(t, lexicon, undone) for t in b])
 
     vector = array_to_vector(dense.asNondeterministic()("b"))
-    # 80 % of each label fits the trees, the rest the calibration
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5))
+    # four parts of five fit the lexicon and the trees, the rest the calibration
     weight = F.when(F.col("y") == 1, F.lit(sum(seen.values()) / 2 / seen[1])).otherwise(
         F.lit(sum(seen.values()) / 2 / seen[0]))
-    train = cut(sample.select("y", part.alias("part"), weight.alias("weight"), vector.alias("features")))
+    train = cut(sample.select("y", "part", weight.alias("weight"), vector.alias("features")))
     gbt = GBTClassifier(labelCol="y", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth,
                         stepSize=0.2, minInstancesPerNode=5, seed=42).fit(train.filter("part > 0"))
 
