@@ -529,6 +529,12 @@ SQL["live_early_stop"] = "WITH RECURSIVE " + FOLD + """
 SELECT run, stop_step, best_val, best_step FROM es WHERE stop_step IS NOT NULL
 """
 
+SQL["live_run_end"] = "WITH RECURSIVE " + FOLD + """
+SELECT run, end_step FROM ends
+"""
+
+SQL["streamed_logs"] = SQL["mixed_logs"]
+
 SQL["run_throughput"] = "WITH " + RUN_LOG + """,
 t0 AS (SELECT run, min(epoch_us(ts)) AS t0 FROM run_log GROUP BY run),
 e AS (SELECT r.*, (epoch_us(r.ts) - t0.t0) / 1e6 AS el FROM run_log r JOIN t0 USING (run))

@@ -265,22 +265,28 @@ def study_summary(spark, sf_dir):
                     F.round("ppl_improve_vs_base_pct", 6).alias("ppl_improve_vs_base_pct"))
 
 
-@query
-def mixed_logs(spark, sf_dir):
+def _mixed_roots(spark, sf_dir):
     """The sweep logs written as two studies, the all-expert runs with only
-    step, train_loss and val_ppl (in another order), then read by each file's
-    own header and summarised; a column that a log lacks is NaN."""
-    from blockwise.operators.runs import summarize_runs
+    step, train_loss and val_ppl (in another order)."""
     from blockwise.session import cut, scratch_path
-    from blockwise.sources.runs import format_metrics, read_runs, write_metrics
+    from blockwise.sources.runs import format_metrics, write_metrics
     old, new = scratch_path(spark, "old-logs"), scratch_path(spark, "new-logs")
     log = cut(grid_filled(spark, sf_dir))
     is_old = F.col("run").startswith("all_moe_e")
     few = format_metrics(log.filter(is_old)).select("run", "val_ppl", "step", "train_loss")
     few.write.mode("overwrite").partitionBy("run").option("header", True).csv(old)
     write_metrics(log.filter(~is_old), new)
-    s = summarize_runs(read_runs(spark, old).unionByName(read_runs(spark, new)))
-    return s
+    return old, new
+
+
+@query
+def mixed_logs(spark, sf_dir):
+    """The sweep logs in two layouts, read by each file's own header and
+    summarised; a column that a log lacks is NaN."""
+    from blockwise.operators.runs import summarize_runs
+    from blockwise.sources.runs import read_runs
+    old, new = _mixed_roots(spark, sf_dir)
+    return summarize_runs(read_runs(spark, old).unionByName(read_runs(spark, new)))
 
 
 # The study's shared training settings.
@@ -623,26 +629,54 @@ def temperature_draw(spark, sf_dir):
 
 
 # ------------------------------------------------------------ streaming
+CHUNK_STEPS = 25        # steps of a run in one part of a replayed log
+
+
 @query
 def live_early_stop(spark, sf_dir):
     """The event run log written as parts in step order, replayed through
     the streaming plateau monitor (availableNow); its 'stop' events."""
-    from blockwise.session import scratch_path
+    from blockwise.session import cut, scratch_path
     from blockwise.streaming import metrics as S
-    from blockwise.session import cut
     base = scratch_path(spark, "live-early-stop")
-    # ranked once; the chunks below are step ranges of it
-    log = cut(V.run_log(spark, sf_dir).select("run", "step", "val_ppl"))
-    edges = [0, 25, 50, 75, None]                   # step chunks, written in order
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = log.filter(log.step > lo) if hi is None else log.filter(
-            (log.step > lo) & (log.step <= hi))
-        # one file holds all of a run's rows of the chunk, so files of one
-        # chunk may be read in any order; chunks are written in step order
-        part.repartition("run").write.mode("append").parquet(f"{base}/parts")
+    # ranked once; the chunks are step ranges of it
+    S.write_chunks(cut(V.run_log(spark, sf_dir).select("run", "step", "val_ppl")), f"{base}/parts", CHUNK_STEPS)
     ev = S.stream_early_stop(S.stream_metrics(spark, f"{base}/parts", files_per_batch=8),
                              PATIENCE, MIN_DELTA, WARMUP)
     S.run_to_end(ev, f"{base}/events", f"{base}/checkpoint")
     e = spark.read.schema(S.EVENT_SCHEMA).parquet(f"{base}/events")
     return e.filter(F.col("event") == "stop").select(
         "run", F.col("step").alias("stop_step"), F.col("best_val"), "best_step")
+
+
+@query
+def live_run_end(spark, sf_dir):
+    """The same log replayed through the live end monitor: the step at which
+    the plateau stop, the time stop or the step budget ends each run, else
+    its last step."""
+    from blockwise.session import cut, scratch_path
+    from blockwise.streaming import metrics as S
+    base = scratch_path(spark, "live-run-end")
+    log = cut(V.run_log(spark, sf_dir).select("run", "step", "ts", "val_ppl"))
+    S.write_chunks(log, f"{base}/parts", CHUNK_STEPS)
+    ends = S.stream_run_end(S.stream_metrics(spark, f"{base}/parts", schema=log.schema, files_per_batch=8),
+                            PATIENCE, MIN_DELTA, WARMUP, MAX_MINUTES, TIME_EVAL_EVERY, RUN_STEPS)
+    S.run_to_end(ends, f"{base}/ends", f"{base}/checkpoint")
+    e = spark.read.schema("run string, step long, reason string").parquet(f"{base}/ends")
+    last = log.groupBy("run").agg(F.max("step").alias("last"))
+    return last.join(e, "run", "left").select("run", F.coalesce("step", "last").alias("end_step"))
+
+
+@query
+def streamed_logs(spark, sf_dir):
+    """The sweep logs in two layouts (see mixed_logs) streamed as whole files
+    by their own headers into a live log, which is read back and summarised."""
+    from blockwise.operators.runs import summarize_runs
+    from blockwise.session import scratch_path
+    from blockwise.sources.runs import read_runs
+    from blockwise.streaming import metrics as S
+    live = scratch_path(spark, "live-log")
+    for name, root in zip(("old", "new"), _mixed_roots(spark, sf_dir)):
+        S.ingest_logs(S.stream_log_lines(spark, root), S.live_log(f"{live}/{name}"), f"{live}/checkpoint-{name}")
+    logs = [read_runs(spark, f"{live}/{name}", S.LIVE_GLOB) for name in ("old", "new")]
+    return summarize_runs(logs[0].unionByName(logs[1]))

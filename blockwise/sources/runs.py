@@ -120,8 +120,15 @@ def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB) -> DataFr
     numbers only). Numbers are coerced (B10): 'nan'/'inf' parse, unparsable
     text becomes NaN. Zero-byte and header-only files give no rows (see
     run_inventory)."""
-    lines = spark.read.text(f"{root.rstrip('/')}/{pattern}").select(
-        F.col("_metadata.file_path").alias("path"),
+    return parse_log_lines(spark.read.text(f"{root.rstrip('/')}/{pattern}"))
+
+
+def parse_log_lines(text: DataFrame) -> DataFrame:
+    """The metric rows of whole log files read as text lines (see
+    :func:`read_runs`); works on a table of files and on the new files of a
+    stream's batch."""
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path") if "path" not in text.columns else F.col("path"),
         F.transform(F.split(F.regexp_replace("value", "[\"\\r]", ""), ","), lambda x: F.trim(x)).alias("cells"))
     is_header = F.arrays_overlap("cells", F.array(*[F.lit(c) for c in METRIC_COLUMNS]))
     # one row per file

@@ -22,3 +22,56 @@ def test_live_monitor_equals_batch_fold_and_ignores_late_rows(spark, tmpdir_path
     assert stops == want
     bests = [r.step for r in got.filter("event = 'best' and run = 'a'").orderBy("step").collect()]
     assert bests == [1, 2]            # nothing is emitted after the stop at step 5
+
+
+def test_live_end_fires_the_time_stop_and_the_budget(spark, tmpdir_path):
+    """The first rule to fire ends a run; a run without one has no row; chunks bound a state step."""
+    import datetime as dt
+
+    from blockwise.operators import stopping as St
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("slow", s, t0 + dt.timedelta(minutes=7 * s), 100.0 - s) for s in range(1, 40)]
+    rows += [("long", s, t0 + dt.timedelta(seconds=s), 100.0 - s) for s in range(1, 80)]
+    rows += [("flat", s, t0 + dt.timedelta(seconds=s), 5.0) for s in range(1, 30)]
+    rows += [("short", s, t0 + dt.timedelta(seconds=s), 100.0 - s) for s in range(1, 9)]
+    log = spark.createDataFrame(rows, "run string, step long, ts timestamp, val_ppl double")
+    S.write_chunks(log, f"{tmpdir_path}/parts", 10)
+    ends = S.stream_run_end(S.stream_metrics(spark, f"{tmpdir_path}/parts", schema=log.schema, files_per_batch=2),
+                            4, 0.5, 6, 60, 4, 50)
+    S.run_to_end(ends, f"{tmpdir_path}/ends", f"{tmpdir_path}/ck")
+    got = {r.run: (r.step, r.reason) for r in spark.read.parquet(f"{tmpdir_path}/ends").collect()}
+    assert got == {"slow": (12, "time"), "long": (50, "budget"), "flat": (6, "plateau")}
+    batch = St.run_end(log, St.early_stop(log, 4, 0.5, 6), St.time_stop(log, 60, 4), 50)
+    assert {r.run: r.end_step for r in batch.collect()} == {**{k: v[0] for k, v in got.items()}, "short": 8}
+
+
+def test_live_log_survives_a_restart(spark, tmpdir_path):
+    """Logs of two layouts streamed; the sink dies before, and after, a batch is
+    written whole: nothing is lost, nothing doubled."""
+    import os
+
+    import pytest
+
+    from blockwise.sources.runs import read_runs
+    layouts = {"a": "step,val_ppl,train_loss\n1,5.5,2.0\n2,nan,1.5\n", "b": "val_ppl,step\n7.25,1\n\n6.0,2\n",
+               "c": "", "d": "step,train_loss\n", "e": "step,val_ppl,extra\n1,bad,9\n"}
+    for run, text in layouts.items():
+        os.makedirs(f"{tmpdir_path}/logs/{run}")
+        open(f"{tmpdir_path}/logs/{run}/metrics.csv", "w").write(text)
+    sink = S.live_log(f"{tmpdir_path}/live")
+    left = {"before": True, "after": True}
+
+    def failing(rows, batch_id):
+        for when in ("before", "after"):
+            if when == "after":
+                sink(rows, batch_id)
+            if batch_id == 1 and left.pop(when, False):
+                raise RuntimeError("lost driver")
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost driver"):
+            S.ingest_logs(S.stream_log_lines(spark, f"{tmpdir_path}/logs", files_per_batch=2), failing, f"{tmpdir_path}/ck")
+    S.ingest_logs(S.stream_log_lines(spark, f"{tmpdir_path}/logs", files_per_batch=2), failing, f"{tmpdir_path}/ck")
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    want = read_runs(spark, f"{tmpdir_path}/logs").collect()
+    assert key(read_runs(spark, f"{tmpdir_path}/live", S.LIVE_GLOB).collect()) == key(want) and len(want) == 5
