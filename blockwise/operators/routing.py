@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from blockwise.functions.arrays import add_arrays, dot, softmax, top1, top1_prob
 from blockwise.functions.hashing import gaussian
+from blockwise.operators.hotkeys import hot_cold_join
 from blockwise.operators.prefix import ranged_rank
 from blockwise.session import cut
 
 MAX_EXPERTS = 4096        # bound on the broadcast router table
-HOT_EMB_ROWS = 1 << 12    # embedding rows broadcast for the most frequent tokens
+HOT_EMB_ROWS = 1 << 12    # embedding rows broadcast for the most frequent ids
 SLOT_ROWS = 1 << 16       # rows that one dispatch slot is meant to hold
 MAX_BROADCAST_BYTES = 64 << 20   # a measured vector table up to this is broadcast whole
 
@@ -190,11 +191,11 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     at most ``seq_len`` rows and is broadcast; positions >= seq_len fail the
     job. ``emb`` (emb_id, vec) grows with the vocabulary: its size is
     measured first and, within ``max_broadcast_bytes``, it is broadcast
-    whole (one pass over the tokens). Beyond that it is never broadcast
-    whole: ids are frequency ranks, so the rows with ``emb_id < hot_rows``
-    serve the heavy-hitter tokens and are broadcast (a bounded slice); the
-    other rows, none of which can be hot, are joined with a shuffle. A
-    token whose id or position has no row fails the job."""
+    whole (one pass over the tokens). Beyond that a sketch of the tokens
+    names their ``hot_rows`` most frequent ids, the end marker's included,
+    whose rows are broadcast; the other tokens, none of which is hot, are
+    joined with a shuffle. A token whose id or position has no row fails
+    the job."""
     def found(row, what):
         return F.when(F.col(row).isNotNull(), F.col(row)["vec"]).otherwise(
             F.raise_error(F.lit(f"{what} without a vector")).cast("array<double>"))
@@ -205,10 +206,7 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     if table_bytes(emb) <= max_broadcast_bytes:
         j = t.join(F.broadcast(e), id_col, "left")
     else:
-        is_hot = F.coalesce(F.col(id_col) < F.lit(hot_rows), F.lit(False))
-        hot = t.filter(is_hot).join(F.broadcast(e.filter(is_hot)), id_col, "left")
-        cold = t.filter(~is_hot).join(e.filter(~is_hot), id_col, "left")
-        j = hot.unionByName(cold)
+        j = hot_cold_join(t, e, id_col, "_tv", hot_rows)
     j = j.join(F.broadcast(pos_emb.select(pos_col, F.struct(F.col("pvec").alias("vec")).alias("_pv"))), pos_col, "left")
     j = j.withColumns({"_tv": found("_tv", "token id"), "_pv": found("_pv", "position")})
     return j.withColumn(out, add_arrays("_tv", "_pv")).drop("_tv", "_pv")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from blockwise.functions.arrays import cross_entropy, draw, softmax, temper
 from blockwise.functions.hashing import hash_uniform
 from blockwise.functions.numeric import NAN, perplexity
+from blockwise.operators.hotkeys import keep_possible
 from blockwise.operators.routing import SLOT_ROWS, dispatch, plan_dispatch
 from blockwise.session import cut
 
@@ -64,14 +65,16 @@ def score_heldout(tokens: DataFrame, bigrams: DataFrame, smoothing: float = 1.0,
     tokens that may follow, so p(. | tok) sums to 1 over the vocabulary (by
     default the distinct tokens of the fitted pairs, on either side). Returns
     (keep..., tok, nxt, nll); aggregate with :func:`heldout_loss`. Both joins
-    are equi-joins; AQE splits hot tokens."""
+    are equi-joins; AQE splits hot tokens. A Bloom filter of the held-out
+    pairs keeps the pairs that nobody asks for out of the shuffle."""
     bigrams = cut(bigrams)                # read three times below
     uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
     V = n_vocab
     if V is None:
         V = bigrams.select("tok").union(bigrams.select("nxt")).distinct().count()       # a count
     p = bigram_pairs(tokens, tok_col, keep)
-    j = (p.join(bigrams.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left")
+    asked = keep_possible(bigrams, bigram_pairs(tokens, tok_col, ()), ["tok", "nxt"])
+    j = (p.join(asked.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left")
           .join(uni, "tok", "left")
           .withColumn("_V", F.lit(V)))
     k = F.lit(float(smoothing))
