@@ -23,6 +23,14 @@ def numbered(docs: DataFrame, name: str, *columns: Column) -> DataFrame:
     return cut(docs.select(F.monotonically_increasing_id().alias(name), *columns))
 
 
+def identity(id_col: str, text: str) -> Column:
+    """128 bits that tell rows apart by id and text, null unlike any value;
+    rows with equal id and text share it."""
+    own = F.col(id_col).cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.char_length(own).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(own, F.lit("")),
+                                  F.coalesce(F.concat(F.lit("t"), F.col(text)), F.lit("n")))))
+
+
 def hash_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null ids count as remainder 0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(0))

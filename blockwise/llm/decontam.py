@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blockwise.llm.common import cut, numbered, utf8
+from blockwise.llm.common import cut, identity, utf8
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -103,12 +103,12 @@ def _postings(docs: DataFrame, vocab, seeds: np.ndarray, window: int) -> DataFra
                     ["doc_id", "doc", "term", "pos"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "doc", "b").mapInArrow(index, f"doc_id {kind}, doc long, term int, pos long")
+    return docs.select("doc_id", "doc", "b").mapInArrow(index, f"doc_id {kind}, doc binary, term int, pos long")
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *more) -> DataFrame:
-    """(doc, doc_id, b, *more): the rows of the corpus, numbered by doc."""
-    return numbered(docs, "doc", F.col(id_col).alias("doc_id"), utf8(text).alias("b"), *more)
+def documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, doc_id, b): the rows of the corpus; doc names id and text."""
+    return docs.select(identity(id_col, text).alias("doc"), F.col(id_col).alias("doc_id"), utf8(text).alias("b"))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
@@ -193,9 +193,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     is hit; contaminated when one word in twenty or more is. items_sha256 is
     over the matched item ids, sorted as strings and joined with commas;
     n_near counts items with a proximity match. A null item id is left out
-    of n_items and the list, but its windows hit. Rows are told apart by a
-    written number, so null ids and texts and repeated rows keep their own
-    results. Empty tables give zeros."""
+    of n_items and the list, but its windows hit. Rows are told apart by 128
+    bits of id and text, a null unlike any value; repeated rows come back
+    repeated. Empty tables give zeros."""
     return _report(documents(docs, id_col, text), benchmark, text=text, **params).drop("doc")
 
 
@@ -220,6 +220,6 @@ def _report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
                         **params) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
-    d = documents(docs, id_col, text, F.struct(*docs.columns).alias("row"))
-    bad = _report(d, benchmark, text=text, **params).filter("contaminated").select("doc")
+    bad = _report(documents(docs, id_col, text), benchmark, text=text, **params).filter("contaminated").select("doc").distinct()
+    d = docs.select(F.struct(*docs.columns).alias("row"), identity(id_col, text).alias("doc"))
     return d.join(bad, "doc", "left_anti").select("row.*")

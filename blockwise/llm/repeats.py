@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from blockwise.llm.common import cut, numbered, utf8
+from blockwise.llm.common import cut, identity, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -109,7 +109,7 @@ def _anchors(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gr
 def _emit_anchors(length: int, gram: int):
     def emit(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0).to_pylist()
             group, size = [], 0
             for i, t in enumerate(batch.column(1)):
                 t = t.as_py()
@@ -131,10 +131,10 @@ def _emit_anchors(length: int, gram: int):
         s, e, w, a, c = _anchors(np.frombuffer(b"".join(x[2] for x in group), np.uint8),
                               begin, begin + lens - length, length, gram)
         k = np.searchsorted(begin, s, side="right") - 1
-        d = np.array([x[0] for x in group], np.int64)[k]
+        d = pa.array([x[0] for x in group], pa.binary()).take(pa.array(k))
         at = s - begin[k] + np.array([x[1] for x in group], np.int64)[k]
         return pa.RecordBatch.from_arrays(
-            [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d),
+            [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), d,
              pa.array((at << 24) | ((w - s) << 12) | (e - s))], ["a", "c", "d", "p"])
 
     return emit
@@ -237,8 +237,8 @@ def mark_segments(texts: list[bytes], copies: np.ndarray, length: int) -> list[t
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(d, doc_id, b): the rows, numbered by d."""
-    return numbered(docs, "d", F.col(id_col).alias("doc_id"), utf8(text).alias("b"))
+    """(d, doc_id, b): d names id and text."""
+    return docs.select(identity(id_col, text).alias("d"), F.col(id_col).alias("doc_id"), utf8(text).alias("b"))
 
 
 def _compressed(batches):
@@ -336,10 +336,11 @@ def _hot_marks(segs: DataFrame, length: int, hot: int, shard_bytes: int) -> Data
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(d, spans): for each text of (d, b) with repeats the sorted covered
-    stretches (lo, hi) in bytes, which may overlap. d is unique."""
+    stretches (lo, hi) in bytes, which may overlap. Rows of one d (bytes) have
+    one text, each a copy of the others."""
     if not 2 * max(gram, RUN) <= length < 2048:
         raise ValueError("length must be at least twice the gram and less than 2048")
-    anchors = texts.select("d", "b").mapInArrow(_emit_anchors(length, gram), "a long, c long, d long, p long")
+    anchors = texts.select("d", "b").mapInArrow(_emit_anchors(length, gram), "a long, c long, d binary, p long")
     again = cut(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"))
     found = cut(anchors.join(again, "a"))
     classes = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "p")).alias("at"))
@@ -348,7 +349,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     every = cut(classes.join(per, "a").select("a", "c", "n", "at.d", "at.p", "hot", "lone"))
     classes = every.filter(~F.col("lone"))
     wanted = classes.groupBy("d").agg(F.collect_list(F.struct("a", "c", "n", "p", "hot")).alias("want"))
-    packed = texts.select("d", "b").mapInArrow(_compressed, "d long, z binary")
+    packed = texts.select("d", "b").mapInArrow(_compressed, "d binary, z binary")
     segs = packed.join(wanted, "d").select("z", "want").mapInArrow(
         _extract(length), "a long, c long, n long, hot boolean, off int, seg binary")
     size = classes.agg(F.sum(F.col("p").bitwiseAND(F.lit(0xFFF)) + length)).first()[0] or 0
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = _texts(docs, id_col, text)
     spans = repeated_spans(texts, **params)
     kind = dict(docs.dtypes)[id_col]
-    packed = texts.select("doc_id", "d", "b").mapInArrow(_compressed, f"doc_id {kind}, d long, z binary")
+    packed = texts.select("doc_id", "d", "b").mapInArrow(_compressed, f"doc_id {kind}, d binary, z binary")
 
     def strip(batches):
         for batch in batches:
