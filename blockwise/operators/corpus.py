@@ -85,6 +85,13 @@ def build_vocab(tokens: DataFrame, tok_col: str = "toks", min_count: int = 1,
     return ranked.select("tok", "count", "id")
 
 
+def with_eos(vocab: DataFrame) -> DataFrame:
+    """(tok, id) of the vocabulary and the end marker, whose id is the
+    vocabulary's size (B4)."""
+    v = vocab.select("tok", "id")
+    return v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(F.lit(EOS_TOKEN).alias("tok"), "id"))
+
+
 HOT_TOKENS = 1 << 16      # most frequent vocabulary rows joined by broadcast
 
 

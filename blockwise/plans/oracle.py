@@ -529,6 +529,37 @@ SQL["live_early_stop"] = "WITH RECURSIVE " + FOLD + """
 SELECT run, stop_step, best_val, best_step FROM es WHERE stop_step IS NOT NULL
 """
 
+SQL["capped_eval_loss"] = SQL["eval_loss"].replace("batch < 50", "batch < 3")
+
+SQL["scaled_layer_norm"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT vec_id, x, list_sum(x) / len(x) AS m FROM v),
+s2 AS (SELECT vec_id, x, m, list_sum(list_transform(x, lambda a: (a - m) * (a - m))) / len(x) AS var FROM s),
+y AS (SELECT vec_id, list_transform(x, lambda a, i: (a - m) / sqrt(var + 1e-5) * (1 + (i - 1) / 64e0)
+                                                    + (i - 1) / 100e0) AS y FROM s2)
+SELECT vec_id, md5(array_to_string(list_transform(y, lambda a: CAST(round(a * 1e6) AS BIGINT)), ',')) AS y_md5 FROM y
+"""
+
+SQL["recent_tokens"] = "WITH " + TOKENS + """
+SELECT doc_id, least(len(t), 40) AS n_last,
+       md5(array_to_string(t[greatest(1, len(t) - 39):], ' ')) AS last_md5 FROM toks
+"""
+
+SQL["layered_loss"] = "WITH " + ROUTE + """,
+""" + JITTERED.split(ROUTE.split(",\nlg AS")[0] + ",\n")[1] + """,
+jt AS (SELECT vec_id, expert AS top1 FROM (
+         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, expert) AS rk FROM jp) WHERE rk = 1),
+js AS (SELECT jp.batch, jp.expert, avg(jp.p) AS importance,
+              avg(CASE WHEN jt.top1 = jp.expert THEN 1.0e0 ELSE 0.0e0 END) AS load
+       FROM jp JOIN jt USING (vec_id) GROUP BY jp.batch, jp.expert),
+layers AS (SELECT batch, aux FROM aux UNION ALL
+           SELECT batch, (SELECT e FROM ne) * sum(importance * load) FROM js GROUP BY batch),
+ab AS (SELECT batch, sum(aux) AS aux FROM layers GROUP BY batch),
+cb AS (SELECT batch, avg(ce) AS ce FROM ce GROUP BY batch)
+SELECT batch, round(ce, 6) AS ce, round(aux, 6) AS aux, round(ce + 0.01e0 * aux, 6) AS total
+FROM cb JOIN ab USING (batch)
+"""
+
 SQL["live_run_end"] = "WITH RECURSIVE " + FOLD + """
 SELECT run, end_step FROM ends
 """

@@ -70,11 +70,9 @@ def encode_decode(spark, sf_dir):
     back, and check the round trip."""
     from blockwise.session import cut
     t = V.tokens(spark, sf_dir).select("doc_id", "toks")
-    v = word_vocab(spark, sf_dir).select("tok", "id")
     # the vocabulary feeds four join branches and the ids two consumers:
     # each is written once instead of re-tokenising the corpus per branch
-    ve = cut(v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
-        F.lit(C.EOS_TOKEN).alias("tok"), "id")))
+    ve = cut(C.with_eos(word_vocab(spark, sf_dir)))
     enc = cut(C.encode_ids(t, ve))
     dec = C.decode_ids(enc, ve, out="dec")
     j = t.join(enc, "doc_id").join(dec, "doc_id")
@@ -531,6 +529,36 @@ def layer_norm(spark, sf_dir):
 EMB_SEQ = 64
 
 
+@query
+def scaled_layer_norm(spark, sf_dir):
+    """Layer norm of every embedding with gain 1 + i / 64 and bias i / 100."""
+    from blockwise.functions.arrays import layer_norm as ln
+    gain = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + i / 64)
+    bias = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i / 100)
+    e = V.vectors(spark, sf_dir).withColumn("y", ln("vec", gain=gain, bias=bias))
+    return e.select("vec_id", _digest("y").alias("y_md5"))
+
+
+@query
+def recent_tokens(spark, sf_dir):
+    """The last 40 tokens of every document (a context cut), fewer where it has fewer."""
+    from blockwise.functions.numeric import last_n
+    t = V.tokens(spark, sf_dir).withColumn("last", last_n("toks", 40))
+    return t.select("doc_id", F.size("last").cast("long").alias("n_last"), _md5_join("last").alias("last_md5"))
+
+
+@query
+def layered_loss(spark, sf_dir):
+    """Per batch: cross-entropy and the balance losses of two routed layers
+    (without and with jitter), summed with weight 0.01."""
+    from blockwise.operators.routing import aux_loss as al, router_stats as rs, total_loss as tl
+    E = n_experts(spark, sf_dir)
+    layers = [al(rs(routed(spark, sf_dir, j), E), E) for j in (0.0, JITTER)]
+    ce = _ce(spark, sf_dir).groupBy("batch").agg(F.avg("ce").alias("ce"))
+    t = tl(ce, layers[0].unionByName(layers[1]))
+    return t.select("batch", *[F.round(c, 6).alias(c) for c in ("ce", "aux", "total")])
+
+
 @query
 def embed_tokens(spark, sf_dir):
     """Every corpus token as token vector + position vector: the whole
@@ -541,9 +569,7 @@ def embed_tokens(spark, sf_dir):
     from blockwise.operators import corpus as Cc
     from blockwise.operators.routing import embed_tokens as et
     d = Cc.token_offsets(V.tokens(spark, sf_dir))
-    v = word_vocab(spark, sf_dir).select("tok", "id")
-    ve = v.unionByName(v.agg(F.count(F.lit(1)).alias("id")).select(
-        F.lit(Cc.EOS_TOKEN).alias("tok"), "id"))
+    ve = Cc.with_eos(word_vocab(spark, sf_dir))
     t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
           .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
     t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
@@ -576,6 +602,15 @@ def eval_loss(spark, sf_dir):
                     F.round("val_ppl", 3).alias("val_ppl"), "n_batches")
 
 
+@query
+def capped_eval_loss(spark, sf_dir):
+    """The same over the first 3 batches only: the cap binds."""
+    from blockwise.operators.scoring import eval_loss as el
+    e = el(_ce(spark, sf_dir), V.VEC_BATCH, 3)
+    return e.select(F.round("val_loss", 6).alias("val_loss"),
+                    F.round("val_ppl", 3).alias("val_ppl"), "n_batches")
+
+
 def _bigrams(spark, sf_dir):
     from blockwise.operators.scoring import fit_bigrams
     return fit_bigrams(V.tokens(spark, sf_dir, eos=False).filter(F.col("split") == "train"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockwise.functions.numeric import INF, NAN
-from blockwise.operators.corpus import tokenize_words
+from blockwise.operators.corpus import EOS_TOKEN, check_special, tokenize_words
 from blockwise.operators.prefix import ranged_rank
 from blockwise.sources.corpus import spread
 
@@ -35,7 +35,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str, eos: bool = True) -> DataFrame:
     """(doc_id, split, lang, source, toks) word tokens, '<eos>' appended."""
     c = corpus(spark, sf_dir).select("doc_id", "split", "lang", "source", "text")
-    return tokenize_words(c, eos="<eos>" if eos else None).drop("text")
+    if eos:     # a typed marker would pass for an appended one
+        c = check_special(c, [EOS_TOKEN], whole=True)
+    return tokenize_words(c, eos=EOS_TOKEN if eos else None).drop("text")
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

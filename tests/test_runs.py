@@ -245,3 +245,34 @@ def test_smoothed_probabilities_sum_to_one(spark):
     got = score_heldout(held, fit_bigrams(train), 0.5, n_vocab=len(words)).collect()
     for x in words:
         assert abs(sum(math.exp(-r["nll"]) for r in got if r["tok"] == x) - 1) < 1e-9
+
+
+def test_report_files_hold_the_reports(spark, tmpdir_path):
+    """summary.csv and the grid file read back equal what was written, in order, null cells empty."""
+    import csv
+    import glob
+
+    from blockwise.sources import runs as Rn
+    rows = [("b_s1", 2.5, 10), ("a_s1", float("nan"), None), ("c,\"q\"", float("inf"), 3)]
+    df = spark.createDataFrame(rows, "run string, best_val_ppl double, best_step long")
+    pivot = spark.createDataFrame([(0.2, 1.0, None), (0.0, 3.5, 4.25)], "rj double, cf_1_0 double, cf_1_25 double")
+
+    def read(folder):
+        [part] = glob.glob(f"{folder}/part-*.csv")
+        return list(csv.reader(open(part), escapechar="\\"))
+
+    got = read(Rn.write_summary(df, tmpdir_path))
+    assert got[0] == df.columns and [r[0] for r in got[1:]] == ["a_s1", "b_s1", "c,\"q\""]
+    assert [r[1] for r in got[1:]] == ["NaN", "2.5", "Infinity"] and [r[2] for r in got[1:]] == ["", "10", "3"]
+    grid = read(Rn.write_grid(pivot, tmpdir_path, 8))
+    assert grid == [["rj", "cf_1_0", "cf_1_25"], ["0.0", "3.5", "4.25"], ["0.2", "1.0", ""]]
+
+
+def test_packing_refuses_a_typed_marker(spark, tmpdir_path):
+    import pytest
+
+    from blockwise.plans import queries as Q
+    d = spark.createDataFrame([(0, "a b", "en", "s"), (1, "a <eos> b", "en", "s")], "doc_id long, text string, lang string, source string")
+    d.write.parquet(f"{tmpdir_path}/documents.parquet")
+    with pytest.raises(Exception, match="end-of-text marker"):
+        Q.QUERIES["packed_blocks"](spark, tmpdir_path).collect()
