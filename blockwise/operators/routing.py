@@ -28,7 +28,8 @@ MAX_BROADCAST_BYTES = 64 << 20   # a measured vector table up to this is broadca
 def experts_row(router: DataFrame) -> DataFrame:
     """The router as one row: ``_experts`` sorted by expert id. Fails at
     run time beyond MAX_EXPERTS rows, so the broadcast stays bounded."""
-    r = router.agg(F.array_sort(F.collect_list(F.struct("expert", "w", "b"))).alias("_experts"))
+    few = router.limit(MAX_EXPERTS + 1)     # a larger table is seen without being gathered
+    r = few.agg(F.array_sort(F.collect_list(F.struct("expert", "w", "b"))).alias("_experts"))
     return r.withColumn("_experts", F.when(F.size("_experts") <= MAX_EXPERTS, F.col("_experts"))
                         .otherwise(F.raise_error(F.lit("router table too large to broadcast"))))
 

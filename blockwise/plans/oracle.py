@@ -103,6 +103,12 @@ SELECT st.step, CAST(st.epoch AS INTEGER) AS epoch, st.batch_id, r.rnk % 16 AS s
 FROM st JOIN r ON r.epoch = st.epoch AND r.rnk // 16 = st.batch_id
 """
 
+SQL["stored_batches"] = "WITH packed AS (" + SQL["packed_blocks"] + """),
+pv AS (SELECT *, count(*) OVER () AS n FROM packed WHERE split = 'validation')
+SELECT block_id // 16 AS batch_id, block_id % 16 AS slot, block_id, x_md5, y_md5 FROM pv
+WHERE block_id // 16 < least(3, n // 16)
+"""
+
 SQL["eval_batches"] = "WITH " + BLOCKS + """,
 vb AS (SELECT block_id, count(*) OVER () AS n FROM tb WHERE split = 'validation')
 SELECT block_id // 16 AS batch_id, block_id % 16 AS slot, block_id FROM vb

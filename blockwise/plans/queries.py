@@ -142,6 +142,21 @@ def eval_batches(spark, sf_dir):
     return Bt.eval_batches(b, V.BATCH, V.VAL_BATCHES).select("batch_id", "slot", "block_id")
 
 
+@query
+def stored_batches(spark, sf_dir):
+    """The corpus stored by split and read back, its validation split packed
+    into a block store, and the first 3 evaluation batches read from it."""
+    from blockwise.session import scratch_path
+    from blockwise.sources import blocks as B
+    from blockwise.sources.corpus import read_corpus
+    base = scratch_path(spark, "store")
+    B.write_corpus(V.corpus(spark, sf_dir).select("split", "doc_id", "text"), f"{base}/corpus")
+    docs = C.tokenize_words(read_corpus(spark, f"{base}/corpus", "validation"))
+    B.write_blocks(C.pack_blocks(C.token_offsets(docs), V.SEQ_LEN), f"{base}/blocks")
+    b = B.stored_eval_batches(spark, f"{base}/blocks", "validation", V.BATCH, 3)
+    return b.select("batch_id", "slot", "block_id", _md5_join("x").alias("x_md5"), _md5_join("y").alias("y_md5"))
+
+
 # ------------------------------------------------------------ run logs
 def grid_filled(spark, sf_dir):
     from blockwise.operators.runs import ffill_eval

@@ -106,3 +106,22 @@ def test_vocab_refuses_a_typed_end_marker(spark, tmpdir_path):
     with pytest.raises(Exception, match="end-of-text marker"):
         word_vocab(spark, f"{tmpdir_path}/typed").collect()
     assert {r.tok for r in word_vocab(spark, f"{tmpdir_path}/inside").collect()} == {"a<eos>", "<eos>b"}
+
+
+def test_stored_blocks_prune_what_they_read(spark, tmpdir_path):
+    """A split is a partition filter and the batch cap reaches the scan; the batches equal the unstored ones."""
+    from blockwise.operators import batching as Bt
+    from blockwise.sources import blocks as B
+    from blockwise.sources.corpus import read_corpus
+    blocks = spark.range(100).select(F.when(F.col("id") < 70, "train").otherwise("validation").alias("split"),
+                                     F.when(F.col("id") < 70, F.col("id")).otherwise(F.col("id") - 70).alias("block_id"),
+                                     F.array("id").alias("x"), F.array(F.col("id") + 1).alias("y"))
+    B.write_blocks(blocks.repartition(7), tmpdir_path)
+    got = B.stored_eval_batches(spark, tmpdir_path, "validation", 8, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "LessThan(block_id,16)" in plan
+    want = Bt.eval_batches(blocks.filter("split = 'validation'"), 8, 2).select("batch_id", "slot", "block_id", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 16
+    assert B.stored_eval_batches(spark, tmpdir_path, "validation", 8, 99).count() == 24
+    plan = read_corpus(spark, tmpdir_path, "train", columns=("block_id",))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<block_id:bigint>" in plan and "PartitionFilters: [isnotnull(split" in plan
