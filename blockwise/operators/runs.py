@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from blockwise.functions.names import parse_run_name
 from blockwise.functions.numeric import NAN, INF, every_k, is_finite, nan_max, not_missing
 from blockwise.operators.prefix import LAST, ordered_scan
+from blockwise.session import cut
 from blockwise.sources.runs import CONFIG_DEFAULTS, CONFIG_SCHEMA
 
 def eval_points(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
@@ -61,9 +62,23 @@ def summarize_runs(log: DataFrame, inventory: DataFrame | None = None) -> DataFr
     final = last finite val_ppl by step; best / best_step as G3; last
     train_loss of the last row (no filter); max tokens/s and peak memory
     skipping NaN. Runs of ``inventory`` without rows get an all-NaN row."""
+    return summary_of(run_facts(log, inventory))
+
+
+def summary_of(facts: DataFrame) -> DataFrame:
+    """The summary's columns of :func:`run_facts`, NaN where there is nothing."""
+    return facts.select("run", *[F.coalesce(F.col(c), F.lit(NAN)).alias(c) for c in SUMMARY_COLUMNS[1:]])
+
+
+def run_facts(log: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """What every report on runs is made of, in one aggregation of the log:
+    the summary's columns (null where there is nothing), ``kept``: the best
+    (value, step) by the not-missing rule (G4), and ``rows``. Written once,
+    it serves the summary, the baseline comparison and the grid."""
     v, s = F.col("val_ppl"), F.col("step")
     fin = is_finite(v)
     g = log.groupBy("run").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(not_missing(v), F.struct(v.alias("v"), s.alias("s")))).alias("kept"),
         F.max_by(F.when(fin, v), F.when(fin, s)).alias("final_val_ppl"),
         F.min(F.when(fin, F.struct(v.alias("v"), s.alias("s")))).alias("_b"),
         F.max_by(F.col("train_loss"), s).alias("last_train_loss"),
@@ -71,18 +86,19 @@ def summarize_runs(log: DataFrame, inventory: DataFrame | None = None) -> DataFr
         nan_max("gpu_mem_mb").alias("peak_mem_mb"))
     g = g.select("run", "final_val_ppl", F.col("_b.v").alias("best_val_ppl"),
                  F.col("_b.s").cast("double").alias("best_step"),
-                 "last_train_loss", "max_tok_s", "peak_mem_mb")
+                 "last_train_loss", "max_tok_s", "peak_mem_mb", "kept", "rows")
     if inventory is not None:
         g = inventory.select("run").join(g, "run", "left")
-    return g.select("run", *[F.coalesce(F.col(c), F.lit(NAN)).alias(c)
-                             for c in SUMMARY_COLUMNS[1:]])
+    return g
 
 
 def vs_baseline(summary: DataFrame, marker: str = "baseline") -> DataFrame:
     """Improvement over the baseline (G9, D5): the baseline is the last run
     in name order whose name contains ``marker``; its **final** ppl is
     used. The column is NULL when there is no baseline or its final ppl is
-    not finite (the schema stays the same)."""
+    not finite (the schema stays the same). The summary, one row per run, is
+    written once, so its log is read once."""
+    summary = cut(summary)
     base = (summary.filter(F.col("run").contains(marker))
                    .agg(F.max_by("final_val_ppl", "run")).first()[0])   # one value
     j = summary.withColumn("_base", F.lit(base).cast("double"))
@@ -95,13 +111,15 @@ def grid_cells(log: DataFrame, experts: int = 8) -> DataFrame:
     """Sweep grid cells (G10, G22, B7, B8): runs named
     [all_]moe_e<E>_rj<RJ>_cf<CF>_s<S> with E = ``experts``; best ppl and
     step by the not-missing rule (G4). Runs without rows are absent."""
-    runs = (log.select("run").distinct()
-               .withColumn("_p", parse_run_name("run"))
-               .filter(F.col("_p.matched") & (F.col("_p.experts") == experts))
-               .select("run", F.col("_p.rj").alias("rj"), F.col("_p.cf").alias("cf")))
-    best = best_step(log.join(runs.select("run"), "run", "left_semi"), mode="notna")
-    return runs.join(best, "run").select("run", "rj", "cf",
-                                         F.col("best_val_ppl").alias("best_ppl"), "best_step")
+    return cells_of(run_facts(log), experts)
+
+
+def cells_of(facts: DataFrame, experts: int = 8) -> DataFrame:
+    """:func:`grid_cells` from :func:`run_facts`."""
+    p = F.col("_p")
+    d = facts.filter("rows > 0").withColumn("_p", parse_run_name("run")).filter(p["matched"] & (p["experts"] == experts))
+    return d.select("run", p["rj"].alias("rj"), p["cf"].alias("cf"), F.coalesce("kept.v", F.lit(NAN)).alias("best_ppl"),
+                    F.coalesce("kept.s", F.lit(-1)).cast("long").alias("best_step"))
 
 
 def cf_column(cf: float) -> str:

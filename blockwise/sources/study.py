@@ -13,13 +13,14 @@ from blockwise.sources.runs import read_runs, run_inventory, write_grid, write_s
 
 def summarize_root(spark: SparkSession, root: str, experts: int = 8,
                    prefix: str | None = None, write: bool = True) -> dict[str, DataFrame]:
-    """The summary (with baseline) and the grid cells are one row per run:
-    each is computed once from the log scan, kept in the shared folder and
-    read by every report built on it (CSV sinks, pivot, labels)."""
+    """All reports are made of one table with a row per run, computed by one
+    scan of the logs and kept in the shared folder (only the curves read the
+    logs again, when they are asked for)."""
     logs = read_runs(spark, root)
     inv = run_inventory(spark, root)
-    summary = cut(R.vs_baseline(R.summarize_runs(logs, inv))).orderBy("run")
-    cells = cut(R.grid_cells(logs, experts))
+    facts = cut(R.run_facts(logs, inv))
+    summary = R.vs_baseline(R.summary_of(facts)).orderBy("run")
+    cells = R.cells_of(facts, experts)
     out = {"summary": summary, "cells": cells, "curves": R.curves(logs, prefix),
            "labels": R.grid_labels(cells)}
     values = R.cf_values(cells)
