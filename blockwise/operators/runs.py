@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockwise.functions.names import parse_run_name
-from blockwise.functions.numeric import NAN, INF, every_k, is_finite, nan_max, not_missing
+from blockwise.functions.numeric import NAN, every_k, is_finite, nan_max, not_missing
 from blockwise.operators.prefix import LAST, ordered_scan
 from blockwise.session import cut
 from blockwise.sources.runs import CONFIG_DEFAULTS, CONFIG_SCHEMA
