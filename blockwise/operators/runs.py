@@ -110,7 +110,8 @@ def vs_baseline(summary: DataFrame, marker: str = "baseline") -> DataFrame:
 def grid_cells(log: DataFrame, experts: int = 8) -> DataFrame:
     """Sweep grid cells (G10, G22, B7, B8): runs named
     [all_]moe_e<E>_rj<RJ>_cf<CF>_s<S> with E = ``experts``; best ppl and
-    step by the not-missing rule (G4). Runs without rows are absent."""
+    step by the not-missing rule (G4). Runs without rows are absent; a log
+    with a header only has a cell of (NaN, -1) if the reader keeps it."""
     return cells_of(run_facts(log), experts)
 
 
@@ -167,15 +168,14 @@ def curves(log: DataFrame, prefix: str | None = None, every: int | None = None)
 
 
 # ---------------------------------------------------------------- sweep
+# The study's sweep.
 SWEEP_EXPERTS = (4, 8, 16)
 SWEEP_RJ = ("0.0", "0.01", "0.05")
 SWEEP_CF = ("1.0", "1.25", "1.5")
 
 
-def sweep(spark: SparkSession, steps: int = 10000, quick: bool = False) -> DataFrame:
-    """The study's run table (G20): baseline, all-layer MoE for each expert
-    count, and the RJ x CF grid at E = 8 (13 runs); quick mode has 3 runs
-    (E = 8, RJ 0.0, CF 1.5, 1500 steps)."""
+def sweep_rows(steps: int = 10000, quick: bool = False) -> list[tuple]:
+    """The runs of :func:`sweep` in launch order."""
     if quick:
         steps, experts, rjs, cfs = 1500, (8,), ("0.0",), ("1.5",)
     else:
@@ -185,11 +185,17 @@ def sweep(spark: SparkSession, steps: int = 10000, quick: bool = False) -> DataF
              for e in experts]
     rows += [(f"all_moe_e8_rj{rj}_cf{cf}_s{steps}", "grid", 8, float(rj), float(cf), steps,
               False, True) for rj in rjs for cf in cfs]
-    rows = [(i,) + r for i, r in enumerate(rows)]
+    return [(i,) + r for i, r in enumerate(rows)]
+
+
+def sweep(spark: SparkSession, steps: int = 10000, quick: bool = False) -> DataFrame:
+    """The study's run table (G20): baseline, all-layer MoE for each expert
+    count, and the RJ x CF grid at E = 8 (13 runs); quick mode has 3 runs
+    (E = 8, RJ 0.0, CF 1.5, 1500 steps)."""
     schema = ("launch int, run string, kind string, moe_num_experts int, "
               "moe_router_jitter double, moe_capacity_factor double, steps int, no_moe boolean, "
               "moe_all_layers boolean")
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(sweep_rows(steps, quick), schema)
 
 
 SETTABLE = [k for k in CONFIG_DEFAULTS if k not in ("vocab_name", "log_csv")]

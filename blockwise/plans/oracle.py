@@ -39,6 +39,8 @@ SELECT split, doc_id, doc_rank FROM r
 WHERE doc_rank < CASE WHEN split = 'train' THEN 200000 ELSE 20000 END
 """
 
+SQL["capped_docs"] = SQL["head_docs"].replace("200000", "300").replace("20000", "40")
+
 VOCAB = TOKENS + """,
 vc AS (SELECT tok, count(*) AS count FROM flat WHERE tok <> '<eos>' GROUP BY tok),
 v AS (SELECT tok, count, row_number() OVER (ORDER BY count DESC, tok) - 1 AS id FROM vc)"""
@@ -261,6 +263,46 @@ SELECT run, NOT no_moe AS moe_enabled, CASE WHEN no_moe THEN 0 ELSE moe_num_expe
 FROM sw WHERE run IN (SELECT run FROM grid_log)
 """
 
+# The quick study's runs and one more, by user_id % 4.
+QUICK_VALUES = """sw(launch, run, kind, moe_num_experts, moe_router_jitter, moe_capacity_factor, steps) AS (
+  VALUES (0, 'baseline_s1500', 'baseline', 0, NULL::DOUBLE, NULL::DOUBLE, 1500),
+         (1, 'all_moe_e8_s1500', 'experts', 8, NULL, NULL, 1500),
+         (2, 'all_moe_e8_rj0.0_cf1.5_s1500', 'grid', 8, 0.0e0, 1.5e0, 1500)),
+n AS (SELECT user_id % 4 AS launch, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS step
+      FROM events)"""
+
+SQL["quick_sweep"] = "WITH " + QUICK_VALUES + """,
+g AS (SELECT launch, count(*) AS n_rows, count(*) FILTER (WHERE step % 20 = 0) AS n_evals FROM n GROUP BY launch)
+SELECT sw.*, coalesce(n_rows, 0) AS n_rows, coalesce(n_evals, 0) AS n_evals FROM sw LEFT JOIN g USING (launch)
+"""
+
+SQL["family_grid"] = "WITH " + CELLS + """
+SELECT CASE WHEN cf = 1.25e0 THEN substr(run, 5) ELSE run END AS run, rj, cf, best_ppl, best_step FROM cells
+"""
+
+SQL["config_precedence"] = """
+WITH c AS (SELECT DISTINCT user_id AS u FROM events),
+f AS (SELECT u, CAST(u % 7 + 2 AS INTEGER) AS n_layer, CAST(u % 3 * 64 + 64 AS INTEGER) AS d_model,
+             u % 11 % 3 = 0 AS no_moe, ([0, 4, 8, 8])[u % 4 + 1] AS experts, u % 5 = 0 AS every_layer,
+             (['', '', ',', '1, 3,,3', '0,9', '2'])[u % 6 + 1] AS listed,
+             CAST(CASE WHEN u % 13 = 0 THEN 3 ELSE u % 8 END AS INTEGER) AS single,
+             CAST(CASE WHEN u % 3 = 2 THEN u % 100 + 100 ELSE 0 END AS INTEGER) AS d_ff FROM c),
+l AS (SELECT *, CASE WHEN every_layer THEN range(n_layer)
+                     WHEN listed <> '' THEN list_transform(
+                       list_filter(list_transform(string_split(listed, ','), lambda s: trim(s)), lambda s: s <> ''),
+                       lambda s: CAST(s AS BIGINT))
+                     ELSE [CAST(single AS BIGINT)] END AS chosen FROM f)
+SELECT 'user_' || u AS run, NOT (no_moe OR experts = 0) AS moe_enabled,
+       CASE WHEN no_moe OR experts = 0 THEN 0 ELSE experts END AS n_experts,
+       CASE WHEN no_moe OR experts = 0 THEN ''
+            ELSE coalesce(array_to_string(list_sort(list_distinct(list_filter(chosen, lambda i: i >= 0 AND i < n_layer))), ','), '')
+            END AS moe_layers,
+       CASE WHEN d_ff = 0 THEN 4 * d_model ELSE d_ff END AS d_ff_eff, 4 AS n_head, 50 AS eval_every,
+       CAST(CASE WHEN u % 2 = 0 THEN u % 900 ELSE 1500 END AS INTEGER) AS steps, 42 AS seed, 3e-4 AS lr,
+       'gpt2' AS vocab_name
+FROM l
+"""
+
 SQL["run_meta"] = "WITH " + GRID_LOG + ",\n" + SWEEP_VALUES + ",\n" + _summary("gf") + """,
 nb AS (SELECT run, min(val_ppl) FILTER (WHERE NOT isnan(val_ppl)) AS bv FROM gf GROUP BY run),
 nbs AS (SELECT run, coalesce((SELECT min(step) FROM gf WHERE gf.run = nb.run AND gf.val_ppl = nb.bv), -1)

@@ -52,6 +52,16 @@ def head_docs(spark, sf_dir):
     return tr.unionByName(va).select("split", "doc_id", "doc_rank")
 
 
+@query
+def capped_docs(spark, sf_dir):
+    """The same caps where they bind: 300 train documents, min(20000, 40)
+    validation documents."""
+    c = V.corpus(spark, sf_dir).select("split", "doc_id")
+    tr = C.head_docs(c.filter(F.col("split") == "train"), 300, partition_cols=["split"])
+    va = C.head_docs(c.filter(F.col("split") == "validation"), C.validation_cap(40), partition_cols=["split"])
+    return tr.unionByName(va).select("split", "doc_id", "doc_rank")
+
+
 def word_vocab(spark, sf_dir):
     # a typed end marker would be taken for an appended one
     docs = C.check_special(V.corpus(spark, sf_dir), [C.EOS_TOKEN], mode="error", whole=True)
@@ -245,6 +255,28 @@ def sweep(spark, sf_dir):
         F.coalesce("n_evals", F.lit(0)).alias("n_evals"))
 
 
+@query
+def quick_sweep(spark, sf_dir):
+    """The 3-run quick study table with the rows and evaluations of its
+    runs' logs (a fourth run logged beside it is not in the study)."""
+    from blockwise.operators.runs import sweep as sw, sweep_rows
+    names = [r[1] for r in sweep_rows(quick=True)] + ["moe_e8_s1500"]
+    g = V.grid_log(spark, sf_dir, names).groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("val_ppl").alias("n_evals"))
+    return sw(spark, quick=True).join(g, "run", "left").select(
+        "launch", "run", "kind", "moe_num_experts", "moe_router_jitter", "moe_capacity_factor", "steps",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_evals", F.lit(0)).alias("n_evals"))
+
+
+@query
+def family_grid(spark, sf_dir):
+    """Cells at E = 8 of logs with names of both families: the runs of
+    capacity factor 1.25 are named moe_*, the others all_moe_*."""
+    from blockwise.operators.runs import grid_cells as gc
+    short = F.when(F.col("run").contains("_cf1.25_"), F.regexp_replace("run", "^all_", "")).otherwise(F.col("run"))
+    return gc(grid_filled(spark, sf_dir).withColumn("run", short), experts=8)
+
+
 @query
 def run_throughput(spark, sf_dir):
     """Cumulative tokens per second of every logged step (16 x 256 tokens
@@ -323,6 +355,35 @@ def normalized_configs(spark, sf_dir):
                       "d_ff_eff", "moe_capacity_factor", "moe_router_jitter", "steps")
 
 
+def user_configs(spark, sf_dir):
+    """A run config for every user of the event log, its fields from the
+    user's number; NULL is an unset field."""
+    u = F.col("u")
+    one_of = lambda values, n, kind: F.element_at(
+        F.array(*[F.lit(v).cast(kind) for v in values]), (n % len(values) + 1).cast("int"))
+    return V.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("u")).distinct().select(
+        F.concat(F.lit("user_"), u.cast("string")).alias("run"),
+        (u % 7 + 2).cast("int").alias("n_layer"), (u % 3 * 64 + 64).cast("int").alias("d_model"),
+        one_of([True, None, False], u % 11, "boolean").alias("no_moe"),
+        one_of([0, 4, 8, None], u, "int").alias("moe_num_experts"), (u % 5 == 0).alias("moe_all_layers"),
+        one_of([None, "", ",", "1, 3,,3", "0,9", "2"], u, "string").alias("moe_layers"),
+        F.when(u % 13 != 0, u % 8).cast("int").alias("moe_layer_index"),
+        F.when(u % 3 == 1, F.lit(0)).when(u % 3 == 2, u % 100 + 100).cast("int").alias("d_ff"),
+        F.when(u % 2 == 0, u % 900).cast("int").alias("steps"))
+
+
+@query
+def config_precedence(spark, sf_dir):
+    """Defaults for unset fields, overrides of two fields, then the layer,
+    expert and d_ff rules, on configs that take every branch of them."""
+    from blockwise.operators import runs as R
+    cfg = R.apply_overrides(R.config_defaults(user_configs(spark, sf_dir)), {"n_head": 4, "eval_every": 50})
+    return R.normalize_configs(cfg).select(
+        "run", "moe_enabled", "n_experts",
+        F.concat_ws(",", F.transform("moe_layer_list", lambda i: i.cast("string"))).alias("moe_layers"),
+        "d_ff_eff", "n_head", "eval_every", "steps", "seed", "lr", "vocab_name")
+
+
 @query
 def run_meta(spark, sf_dir):
     """Config, log summary and saved best step of every run: configs and

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockwise.functions.numeric import INF, NAN
+from blockwise.functions.numeric import INF, NAN, every_k
 from blockwise.operators.corpus import EOS_TOKEN, check_special, tokenize_words
 from blockwise.operators.prefix import ranged_rank
+from blockwise.operators.runs import sweep_rows
 from blockwise.sources.corpus import spread
 
 # Fixed values of the study layout.
@@ -65,24 +66,22 @@ def _metrics(ev: DataFrame) -> DataFrame:
 
 
 def sweep_names() -> list[str]:
-    """The 13 run names of the full sweep, in launch order (fixed values)."""
-    s = SWEEP_STEPS
-    names = [f"baseline_s{s}"] + [f"all_moe_e{e}_s{s}" for e in (4, 8, 16)]
-    names += [f"all_moe_e8_rj{rj}_cf{cf}_s{s}"
-              for rj in ("0.0", "0.01", "0.05") for cf in ("1.0", "1.25", "1.5")]
-    return names
-
-
-def grid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as the logs of the 13 sweep runs (run = name number user_id %
-    13), steps numbered per run by (ts, event_id); validation columns only
-    at evaluation steps (step % 20 = 0), NULL elsewhere."""
+    """The 13 run names of the full sweep, in launch order."""
+    return [r[1] for r in sweep_rows(SWEEP_STEPS)]
+
+
+def grid_log(spark: SparkSession, sf_dir: str, run_names: list[str] | None = None) -> DataFrame:
+    """events as the logs of the 13 sweep runs, or of ``run_names`` (run =
+    name number user_id % their count), steps numbered per run by (ts,
+    event_id); validation columns only at evaluation steps (step % 20 = 0),
+    NULL elsewhere."""
+    run_names = run_names or sweep_names()
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    names = F.array(*[F.lit(n) for n in sweep_names()])
-    ev = ev.withColumn("run", F.element_at(names, (F.col("user_id") % 13).cast("int") + 1))
+    names = F.array(*[F.lit(n) for n in run_names])
+    ev = ev.withColumn("run", F.element_at(names, (F.col("user_id") % len(run_names)).cast("int") + 1))
     ranked = ranged_rank(ev, ["ts", "event_id"], ["run"], out="_r")
     m = _metrics(ranked.withColumn("step", F.col("_r") + 1).drop("_r"))
-    is_eval = (F.col("step") % EVAL_EVERY) == 0
+    is_eval = every_k("step", EVAL_EVERY)
     return (m.withColumn("val_loss", F.when(is_eval, F.col("val_loss")))
              .withColumn("val_ppl", F.when(is_eval, F.col("val_ppl"))))
 

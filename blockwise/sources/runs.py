@@ -112,18 +112,19 @@ def run_inventory(spark: SparkSession, root: str) -> DataFrame:
 LOG_GLOB = "{*/metrics.csv,run=*/*.csv}"
 
 
-def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB) -> DataFrame:
+def read_runs(spark: SparkSession, root: str, pattern: str = LOG_GLOB, keep_empty: bool = False) -> DataFrame:
     """All metric logs under ``root`` in one table (A4), tagged with the run.
     Columns are taken by each file's own header: a column that a log lacks is
     NaN (a lacking step is NULL), one that is not a metric is not read. The
     header of a file is the line that names metric columns (a data line holds
     numbers only). Numbers are coerced (B10): 'nan'/'inf' parse, unparsable
-    text becomes NaN. Zero-byte and header-only files give no rows (see
-    run_inventory)."""
-    return parse_log_lines(spark.read.text(f"{root.rstrip('/')}/{pattern}"))
+    text becomes NaN. Zero-byte files give no rows (see run_inventory); a file
+    with a header only gives none either, or with ``keep_empty`` one row with
+    a NULL step and NaN metrics, so that its run is known to have a log."""
+    return parse_log_lines(spark.read.text(f"{root.rstrip('/')}/{pattern}"), keep_empty)
 
 
-def parse_log_lines(text: DataFrame) -> DataFrame:
+def parse_log_lines(text: DataFrame, keep_empty: bool = False) -> DataFrame:
     """The metric rows of whole log files read as text lines (see
     :func:`read_runs`); works on a table of files and on the new files of a
     stream's batch."""
@@ -132,8 +133,12 @@ def parse_log_lines(text: DataFrame) -> DataFrame:
         F.transform(F.split(F.regexp_replace("value", "[\"\\r]", ""), ","), lambda x: F.trim(x)).alias("cells"))
     is_header = F.arrays_overlap("cells", F.array(*[F.lit(c) for c in METRIC_COLUMNS]))
     # one row per file
-    headers = lines.filter(is_header).groupBy("path").agg(F.min("cells").alias("names"))
-    data = lines.filter(~is_header & (F.col("cells") != F.array(F.lit("")))).join(headers, "path")
+    is_data = ~is_header & (F.col("cells") != F.array(F.lit("")))
+    headers = lines.groupBy("path").agg(F.min(F.when(is_header, F.col("cells"))).alias("names"), F.count_if(is_data).alias("n"))
+    headers = headers.filter("names is not null")
+    data = lines.filter(is_data).join(headers.select("path", "names"), "path")
+    if keep_empty:
+        data = data.unionByName(headers.filter("n = 0").select("path", "names"), allowMissingColumns=True)
     cell = lambda c: F.get("cells", F.array_position("names", c).cast("int") - 1)
     raw = data.select(_run_from_path(F.col("path")).alias("run"), *[
         F.when(F.array_contains("names", c), cell(c)).alias(c) for c in METRIC_COLUMNS])

@@ -16,7 +16,7 @@ def summarize_root(spark: SparkSession, root: str, experts: int = 8,
     """All reports are made of one table with a row per run, computed by one
     scan of the logs and kept in the shared folder (only the curves read the
     logs again, when they are asked for)."""
-    logs = read_runs(spark, root)
+    logs = read_runs(spark, root, keep_empty=True)
     inv = run_inventory(spark, root)
     facts = cut(R.run_facts(logs, inv))
     summary = R.vs_baseline(R.summary_of(facts)).orderBy("run")

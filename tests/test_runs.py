@@ -99,6 +99,19 @@ def test_grid_edges(spark, tmpdir_path):
     assert any(r.val_ppl == float("inf") for r in cur)
 
 
+def test_header_only_log_has_a_cell(spark, tmpdir_path):
+    study(tmpdir_path)
+    log(tmpdir_path, "moe_e8_rj0.05_cf1.25_s100", [])                           # a log without rows, older name
+    os.makedirs(os.path.join(tmpdir_path, "all_moe_e8_rj0.05_cf1.5_s100"))      # no log
+    out = summarize_root(spark, tmpdir_path)
+    cells = {(r.rj, r.cf): (r.best_ppl, r.best_step) for r in out["cells"].collect()}
+    assert math.isnan(cells[(0.05, 1.25)][0]) and cells[(0.05, 1.25)][1] == -1 and len(cells) == 4
+    got = {r.run: r.final_val_ppl for r in out["summary"].collect()}
+    assert math.isnan(got["moe_e8_rj0.05_cf1.25_s100"]) and math.isnan(got["all_moe_e8_rj0.05_cf1.5_s100"])
+    assert [r.cf_1_25 for r in out["grid"].orderBy("rj").collect()][:2] == [None, None]
+    assert S.read_runs(spark, tmpdir_path).filter("run = 'moe_e8_rj0.05_cf1.25_s100'").count() == 0
+
+
 def test_duplicate_cell_fails(spark, tmpdir_path):
     log(tmpdir_path, "all_moe_e8_rj0.0_cf1.0_s100", [(1, 3.0, 1.0, 1.6, 5.0, 5.0, 1.0)])
     log(tmpdir_path, "all_moe_e8_rj0.0_cf1.0_s200", [(1, 3.0, 1.0, 1.6, 6.0, 5.0, 1.0)])
