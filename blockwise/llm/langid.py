@@ -41,10 +41,11 @@ def gram_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(x), SLICE):
         y = x[at:at + SLICE + 2]
-        own = y[:SLICE]
+        own, middle = y[:SLICE], y[1:-1] > 0
+        y = np.maximum(y, 1)        # a word's end; as 0 it would vanish at the front of a gram
         two = (y[:-1] << 21) | y[1:]
         three = (two[:-1] << 21) | y[2:]
-        three = three[:SLICE][(y[1:-1] > 0)[:SLICE]]
+        three = three[:SLICE][middle[:SLICE]]
         g = np.sort(np.concatenate([own[own > 0], two[:SLICE], three]))
         edge = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
         g, n = g[edge], np.diff(np.append(edge, len(g)))
