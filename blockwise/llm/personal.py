@@ -28,9 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockwise.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20000          # spans of each label that the trees are fitted on, at most
-CUES = 500                  # words before a span whose odds are learned, at most
 PRECISION = 0.9
+PARTS = 5                   # parts of the base spans, by hash: 0 calibrates, the others train
 CONTEXT = 24
 
 # fixed values: the base patterns, written so that they never backtrack
@@ -167,35 +166,39 @@ def _thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
     return {k: out.get(k, max(out.values(), default=2.0)) for k in KINDS}
 
 
-def score_spans(spans: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECISION, trees: int = 20,
-                depth: int = 4) -> DataFrame:
+def _cue_odds(train: DataFrame, share: float) -> DataFrame:
+    """(kind, cue, odds) of every word before a span of ``train``: its log odds
+    over all of them, in odds[0], and over those outside part i, in odds[i]."""
+    n, y = F.count(F.lit(1)), F.sum("y")
+    own = [(F.count_if(F.col("part") == i), F.sum(F.when(F.col("part") == i, F.col("y")).otherwise(0))) for i in range(1, PARTS)]
+    odds = [F.log((y - oy + share) / (n - on - (y - oy) + 1 - share)) for on, oy in [(F.lit(0), F.lit(0)), *own]]
+    return train.groupBy("kind", "cue").agg(F.array(*odds).alias("odds"))
+
+
+def score_spans(spans: DataFrame, precision: float = PRECISION, trees: int = 20, depth: int = 4) -> DataFrame:
     """(rid, k, kind, start, stop, base, p, accepted) of the loose spans. The
-    trees are fitted on at most ``train_rows`` base spans of each label, the
-    first by a hash of the span and its context, a fifth of them (by hash)
-    kept for calibration. Without spans of both labels p is the share of
-    valid ones (0 when there are none)."""
-    order = F.xxhash64("x", "before", "after")
+    trees are fitted on all base spans but a fifth (by a hash of the span),
+    which is kept for calibration. A training span's odds of the word before
+    it come from the other parts, so that no label tells of itself. Without
+    spans of both labels p is the share of valid ones (0 when there are
+    none)."""
     known = spans.filter("base").withColumn("y", F.col("valid").cast("int")).select("kind", "x", "before", "after", "y")
-    picked = [known.filter(f"y = {y}").orderBy(order, "kind", "x", "before", "after").limit(train_rows) for y in (0, 1)]
-    sample = cut(_features(picked[0].union(picked[1])).withColumn("part", F.pmod(F.xxhash64("x"), F.lit(5))))
-    seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    known = cut(_features(known).select("kind", "cue", "f", "y", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int").alias("part")))
+    seen = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     loose = spans.filter("not base and valid").select("rid", "k", "kind", "start", "stop", "base", "x", "before", "after")
     share = seen.get(1, 0) / max(1, sum(seen.values()))
-    train = sample.filter("part > 0")
+    train = known.filter("part > 0")
     if len(seen) < 2 or {r["y"] for r in train.select("y").distinct().collect()} != {0, 1}:
         return loose.select("rid", "k", "kind", "start", "stop", "base", F.lit(float(share)).alias("p"),
                             F.lit(share >= precision).alias("accepted"))
-    # odds of the word before, from the rows that the trees are fitted on
-    odds = F.log((F.sum("y") + share) / (F.count(F.lit(1)) - F.sum("y") + 1 - share))
-    cues = train.groupBy("kind", "cue").agg(F.count(F.lit(1)).alias("n"), odds.alias("odds"))
-    cues = cut(cues.orderBy(F.desc("n"), "kind", "cue").limit(CUES).select("kind", "cue", "odds"))
+    cues = cut(_cue_odds(train, share))
 
-    def vectors(frame):
-        d = frame.join(F.broadcast(cues), ["kind", "cue"], "left")      # CUES rows at most
-        return d.withColumn("features", array_to_vector(F.concat("f", F.array(F.coalesce("odds", F.lit(0.0)))))).drop("f", "cue", "odds")
+    def vectors(frame, part):
+        d = frame.join(cues, ["kind", "cue"], "left").withColumn("odds", F.coalesce(F.get("odds", part), F.lit(0.0)))
+        return d.withColumn("features", array_to_vector(F.concat("f", F.array("odds")))).drop("f", "cue", "odds")
 
     weight = F.when(F.col("y") == 1, F.lit(0.5 / seen[1])).otherwise(F.lit(0.5 / seen[0])) * sum(seen.values())
-    train = cut(vectors(sample).withColumn("weight", weight))
+    train = cut(vectors(known, F.col("part")).withColumn("weight", weight))
     gbt = GBTClassifier(labelCol="y", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth,
                         stepSize=0.2, minInstancesPerNode=5, seed=42).fit(train.filter("part > 0"))
 
@@ -203,12 +206,14 @@ def score_spans(spans: DataFrame, train_rows: int = TRAIN_ROWS, precision: float
         return gbt.transform(frame).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction")
 
     held = train.filter("part = 0")
-    held = cut(margin(train if held.isEmpty() else held).select("kind", "margin", "y", F.lit(1.0).alias("one")))
-    iso = IsotonicRegression(featuresCol="margin", labelCol="y", weightCol="one").fit(held)
+    held = cut(margin(train if held.isEmpty() else held).select("kind", "margin", "y"))
+    # equal margins are one weighted point
+    points = held.groupBy("margin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    iso = IsotonicRegression(featuresCol="margin", labelCol="y", weightCol="n").fit(points)
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("p")
     limit = _thresholds(iso.transform(held).select("kind", p, "y"), precision)
     least = F.element_at(F.array(*[F.lit(limit[k]) for k in KINDS]), F.col("k").cast("int") + 1)
-    scored = iso.transform(margin(vectors(_features(loose)))).select("rid", "k", "kind", "start", "stop", "base", "x", p)
+    scored = iso.transform(margin(vectors(_features(loose), F.lit(0)))).select("rid", "k", "kind", "start", "stop", "base", "x", p)
     # a loose span that passes the check after all; one number in ten does by chance
     passes = F.when((F.col("kind") == "card") & F.char_length(digits(F.col("x"))).between(12, 19), luhn(digits(F.col("x"))))
     scored = scored.withColumn("p", F.when(passes, F.col("p") / (F.col("p") + (1 - F.col("p")) / 10)).otherwise(F.col("p"))).drop("x")

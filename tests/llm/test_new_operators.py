@@ -105,6 +105,32 @@ def test_personal_candidates(spark):
     assert got[2004]["spans"] == "" and sum(got[i]["n_added"] for i, _ in rows) < 12
 
 
+def test_personal_learns_from_every_span(spark, monkeypatch):
+    """No base span outside the calibration part is left out of the trees, and
+    no word before a span out of the odds, however rare."""
+    n = 48000
+    i = F.col("id")
+    base = spark.range(n).select(
+        i.alias("rid"), F.lit(1).alias("k"), F.lit("ip").alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("stop"),
+        F.concat(F.lit("1.2.3."), i.cast("string")).alias("x"),
+        F.concat(F.translate((i % 3000).cast("string"), "0123456789", "abcdefghij"), F.lit(" ")).alias("before"),
+        F.lit("").alias("after"), F.lit(True).alias("base"), (i % 2 == 0).alias("valid"))
+    loose = base.limit(5).withColumns({"base": F.lit(False), "valid": F.lit(True)})
+    seen, fit = [], personal.GBTClassifier.fit
+    monkeypatch.setattr(personal.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    assert personal.score_spans(base.union(loose), trees=1, depth=1).count() == 5
+    held = base.filter(F.pmod(F.xxhash64("x"), F.lit(5)) == 0).count()
+    assert seen == [n - held]
+    train = personal._features(base).withColumns({"y": F.col("valid").cast("int"), "part": F.col("rid") % 4 + 1})
+    odds = {r["cue"]: r["odds"] for r in personal._cue_odds(train, 0.5).collect()}
+    assert len(odds) == 3000
+    own = range(1, n, 3000)
+    for part, got in enumerate(odds["b"]):
+        rest = [r for r in own if part == 0 or r % 4 + 1 != part]
+        valid = sum(r % 2 == 0 for r in rest)
+        assert abs(got - math.log((valid + 0.5) / (len(rest) - valid + 0.5))) < 1e-9
+
+
 # ---- spelling variants
 
 def near(a, b):
