@@ -8,8 +8,10 @@ worker. With only the 256 single-byte ranks the ids are the UTF-8 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -32,6 +34,8 @@ def byte_level_spec() -> BpeSpec:
     return BpeSpec("bytes256", {bytes([i]): i for i in range(256)}, {END_OF_TEXT: 256})
 
 
+SLICE_CHARS = 1 << 20       # characters of the texts encoded at once
+
 _CACHE: dict = {}
 
 
@@ -53,20 +57,34 @@ def eos_id(spec: BpeSpec, newline_id: int | None = None) -> int:
     return int(_encoding(spec).encode_ordinary("\n")[0]) if newline_id is None else newline_id
 
 
+def slices(texts: pd.Series, size: int = SLICE_CHARS) -> Iterator[pd.Series]:
+    """Neighbouring rows of a batch of texts without nulls, a new slice at
+    each multiple of ``size`` characters; at least one slice."""
+    at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // size
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(at[1:] != at[:-1]) + 1):
+        yield texts.iloc[part]
+
+
+def encode_slices(texts: pd.Series, spec: BpeSpec, end: int | None) -> Iterator[pd.Series]:
+    """4-byte ids of a batch's texts, slice by slice; ``end`` is appended."""
+    enc, last = _encoding(spec), np.array([] if end is None else [end], np.int32)
+    for rows in slices(texts.fillna("")):
+        ids = (enc.encode_to_numpy(t, disallowed_special="all", allowed_special=set()) for t in rows)
+        yield pd.Series([np.append(i.astype(np.int32), last) for i in ids], dtype=object)
+
+
 def bpe_encode(text: Column, spec: BpeSpec | None = None, add_eos: bool = True) -> Column:
     """ARRAY<INT> of ids for each text (whole text), end id appended.
     Texts holding the end-of-text marker make the task fail, as the codec
-    refuses them; guard first with ``check_special``."""
+    refuses them; guard first with ``check_special``. Ids are 4-byte arrays
+    and leave the worker in slices of ``SLICE_CHARS`` characters, so it holds
+    a batch of texts and the ids of one slice or one text."""
     spec = spec or byte_level_spec()
     end = eos_id(spec)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _enc(s: pd.Series) -> pd.Series:
-        enc = _encoding(spec)
-        out = enc.encode_batch(s.fillna("").tolist(), disallowed_special="all",
-                               allowed_special=set())
-        if add_eos:
-            out = [ids + [end] for ids in out]
-        return pd.Series(out)
+    def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield from encode_slices(s, spec, end if add_eos else None)
 
     return _enc(text)

@@ -98,6 +98,27 @@ def test_bpe_matches_tiktoken(spark):
         assert got[r.doc_id] == enc.encode_ordinary(r.text or "") + [eos_id(spec)]
 
 
+def test_bpe_holds_the_ids_of_one_slice(spark):
+    import tracemalloc
+
+    import pandas as pd
+    from blockwise.operators.bpe import SLICE_CHARS, bpe_encode, byte_level_spec, encode_slices
+    texts = pd.Series(["ab " * 40000, None, "", "x" * 10] * 100)
+    list(encode_slices(texts[:2], byte_level_spec(), 256))
+    tracemalloc.start()
+    n = [[len(i) for i in ids] for ids in encode_slices(texts, byte_level_spec(), 256)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n, []) == [120001, 1, 1, 11] * 100 and len(n) == 12 and all(sum(x) <= 2 * SLICE_CHARS for x in n)
+    assert peak < 16 * SLICE_CHARS      # all ids at once are 48 MB as arrays, 96 MB as lists
+    rows = [(i, "é😀 b" * (i * 40000)) for i in range(9)] + [(9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = bpe_encode(F.col("text"))
+    d = d.select("doc_id", F.size(ids).alias("n"), F.element_at(ids, -1).alias("last"))
+    got = {r.doc_id: (r.n, r.last) for r in d.collect()}
+    assert got == {i: (len((t or "").encode()) + 1, 256) for i, t in rows}
+
+
 def test_vocab_refuses_a_typed_end_marker(spark, tmpdir_path):
     from blockwise.plans.queries import word_vocab
     for name, text in (("typed", "a\t<eos> b"), ("inside", "a<eos> <eos>b")):
