@@ -15,8 +15,9 @@ merged, and two maps compose into one.
 * :func:`stretch_map` makes the map of each (run, range) of the log, which is
   dealt into sampled ranges of (run, step), so a run with any share of the
   rows is many ranges;
-* the maps are composed ``fan`` at a time, level by level, and the incoming
-  state of every range comes down the same levels;
+* the maps of the runs that reach more than one range, two a range at most,
+  are composed ``fan`` at a time, level by level, and the incoming state of
+  their ranges comes down the same levels; other runs start from no best;
 * one more pass over the ranges writes the state after every row.
 """
 
@@ -169,9 +170,9 @@ def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
     ``best_step`` (-1 before any), ``eval_idx`` (0-based) and ``no_improve``
     after the row (G14). ``evals`` holds only evaluation rows (run, step,
     value, ...), a step of a run once. NaN, null and inf never improve. A
-    task holds one range of the log, or the maps of ``fan`` ranges; a map has
-    at most as many breakpoints as the range has candidates with different
-    outcomes."""
+    task holds one range of the log, or ``fan`` ranges' maps of the runs that
+    reach several; a map has at most as many breakpoints as the range has
+    candidates with different outcomes."""
     if min_delta < 0:
         raise ValueError("min_delta is at least 0")
     delta, kind = float(min_delta), dict(evals.dtypes)["run"]
@@ -184,19 +185,25 @@ def track_best(evals: DataFrame, min_delta: float = 0.0, value: str = "val_ppl",
     here = F.col("run").eqNullSafe(F.col("_k")) & (F.col(_R) == F.col("_kr"))
     maps = cut(maps.join(offset, here).select(
         "run", _R, "w", "v", "step", F.transform("idx", lambda i: i + F.col("off")).alias("idx"), "off"))
-    states = _incoming(maps.drop("off"), n_ranges(evals), fan, kind)
-    states = states.join(maps.select(F.col("run").alias("_k"), F.col(_R).alias("_kr"), "off"), here).drop("_k", "_kr")
+    # a range shares at most its first and its last run with others: only their maps meet
+    shared = n.groupBy(F.col("run").alias("_k")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    meet = maps.drop("off").join(shared, F.col("run").eqNullSafe(F.col("_k")), "left_semi")
+    states = _incoming(meet, n_ranges(evals), fan, kind)
+    none = dict(zip(("v", "step", "idx"), map(F.lit, _NONE)))
+    states = maps.select(F.col("run").alias("_k"), F.col(_R).alias("_kr"), "off").join(states, here, "left").select(
+        F.col("_k").alias("run"), F.col("_kr").alias(_R), *[F.coalesce(c, x).alias(c) for c, x in none.items()], "off")
     added = T._parse_datatype_string("improved boolean, best_val double, best_step long, eval_idx long, no_improve long")
     schema = T.StructType([f for f in d.schema.fields if f.name not in (_R, *added.names)] + added.fields)
 
     def fill(table: pa.Table, states: pa.Table) -> pa.Table:
         table = table.sort_by([("run", "ascending"), ("step", "ascending")])
-        first = {r["run"]: r for r in states.to_pylist()}
+        states = states.sort_by([("run", "ascending")])      # one for each stretch, in the same order
+        came = [states.column(c).to_numpy() for c in ("v", "step", "idx", "off")]
         v = table.column(value).cast(pa.float64()).fill_null(float("nan")).to_numpy().astype(float)
         step = table.column("step").to_numpy()
         improved, best, at, idx, no = (np.zeros(len(v), t) for t in (bool, float, np.int64, np.int64, np.int64))
-        for run, a, b in _stretches(table):
-            s = first[run]
+        for (_, a, b), *state in zip(_stretches(table), *came, strict=True):
+            s = dict(zip(("v", "step", "idx", "off"), state))
             cand, w, following = candidates(v[a:b], delta)
             taken, k = [], int(np.searchsorted(-w, -s["v"], side="right"))
             while k < len(cand):

@@ -145,3 +145,19 @@ def test_stretch_maps_compose():
                 if v + delta < state[0]:
                     state = (float(v), i, i)
             assert whole.apply((float(b), -1, -1)) == state == both.apply((float(b), -1, -1))
+
+
+def test_runs_within_one_range_are_not_composed(spark, monkeypatch):
+    """The composed maps follow the ranges, not the runs; a null run is a run."""
+    rng, seen, whole = random.Random(7), [], St._incoming
+    monkeypatch.setattr(St, "_incoming", lambda maps, *a: seen.append(maps.count()) or whole(maps, *a))
+    runs = {None if k == 9 else f"r{k:03d}": [(i + 1, float(rng.randint(0, 50))) for i in range(6)] for k in range(400)}
+    df = spark.createDataFrame([(r, s, v) for r, vals in runs.items() for s, v in vals], "run string, step long, val_ppl double")
+    got = {(r.run, r.step): (r.improved, r.best_val, r.best_step, r.eval_idx, r.no_improve) for r in St.track_best(df, 1.0).collect()}
+    assert seen[0] <= 2 * St.n_ranges(df) and len(got) == 2400
+    for run, vals in runs.items():
+        best, at, no = INF, -1, 0
+        for i, (s, v) in enumerate(vals):
+            better = v + 1.0 < best
+            best, at, no = (v, s, 0) if better else (best, at, no + 1)
+            assert got[run, s] == (better, best, at, i, no)
