@@ -124,7 +124,7 @@ def encode_ids(tokens: DataFrame, vocab: DataFrame, key: str = "doc_id", tok_col
     then each document's ids are regrouped in position order."""
     ex = tokens.select(key, F.posexplode(tok_col).alias("pos", "tok"))
     j = _hot_cold_join(ex, vocab, "tok", hot, always_hot)
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         "pos", F.coalesce(F.col("id"), F.lit(unknown)).alias("id")))).alias("_p"))
     return g.select(key, F.transform("_p", lambda s: s["id"]).alias(out))
 
@@ -135,7 +135,7 @@ def decode_ids(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", ids_col: s
     """Map id arrays back to token arrays (hot/cold join on id, regroup)."""
     ex = ids.select(key, F.posexplode(ids_col).alias("pos", "id"))
     j = _hot_cold_join(ex, vocab, "id", hot, always_hot)
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_p"))
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_p"))
     return g.select(key, F.transform("_p", lambda s: s["tok"]).alias(out))
 
 
