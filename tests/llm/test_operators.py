@@ -200,6 +200,16 @@ def test_templated_lines_make_a_star(spark):
     assert len(set(linked(got, name.values()).values())) == 1 and 79 <= len(got) <= lines.HOT * 80
 
 
+def test_keys_of_lines_are_shuffled_once(spark):
+    """Both readers of the keys share one exchange: the lines are exploded into keys once."""
+    df, _ = named_lines(spark, [f"line {i % 7} of a text that has {i} lines in all" for i in range(40)])
+    own = F.col("spot").isin([k for k, (delta, _, move) in enumerate(lines._spots(2)) if delta == move == 0])
+    met = lines._met(lines._keys(df, 2), own)
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("Generate") == 1
+
+
 def test_long_and_short_lines(spark):
     long = "".join(random.Random(1).choice("abcdefghij ") for _ in range(60_000))
     df, name = named_lines(spark, [long, long[:30_000] + "x" + long[30_000:], long[:-1] + "yy", "abc", "abd", "abcde", "xyz"])
