@@ -9,9 +9,9 @@ balance statistics are array expressions; nothing is exploded per element.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockwise.functions.arrays import add_arrays, dot, softmax, top1, top1_prob
 from blockwise.functions.hashing import gaussian
@@ -184,10 +184,23 @@ def table_bytes(df: DataFrame, vec: str = "vec") -> int:
     return int(r["n"] or 0) * int(r["w"] or 0) * 8
 
 
+def _position_table(pos_emb: DataFrame, seq_len: int, pos_col: str) -> tuple[Column, list[int]] | None:
+    """The vectors of positions 0 to seq_len - 1 as one array (evaluated once)
+    and the positions that have none; None when a position has several."""
+    rows = pos_emb.filter(F.col(pos_col).between(0, seq_len - 1))
+    n = {r[0]: r[1] for r in rows.groupBy(pos_col).count().collect()}     # at most seq_len
+    if any(k > 1 for k in n.values()):
+        return None
+    every = pos_emb.sparkSession.range(seq_len).select(F.col("id").alias(pos_col)).join(rows, pos_col, "left")
+    one = every.agg(F.array_sort(F.collect_list(F.struct(pos_col, F.col("pvec").alias("vec")))).alias("p"))
+    return one.scalar(), [p for p in range(seq_len) if p not in n]
+
+
 def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len: int,
                  id_col: str = "emb_id", pos_col: str = "pos", out: str = "x",
                  hot_rows: int = HOT_EMB_ROWS,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+                 value: Callable[[Column], Column] | None = None) -> DataFrame:
     """Token vector + position vector (D1, D2). ``pos_emb`` (pos, pvec) has
     at most ``seq_len`` rows and is broadcast; positions >= seq_len fail the
     job. ``emb`` (emb_id, vec) grows with the vocabulary: its size is
@@ -196,18 +209,36 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     names their ``hot_rows`` most frequent ids, the end marker's included,
     whose rows are broadcast; the other tokens, none of which is hot, are
     joined with a shuffle. A token whose id or position has no row fails
-    the job."""
-    def found(row, what):
-        return F.when(F.col(row).isNotNull(), F.col(row)["vec"]).otherwise(
-            F.raise_error(F.lit(f"{what} without a vector")).cast("array<double>"))
+    the job.
+
+    With ``value``, ``out`` is that function (one number) of the vector sum.
+    It depends on the id and the position alone, so the vectors are added
+    once for every row of ``emb`` and each position, and a token takes the
+    number of its id and position instead of 2 vectors."""
+    def found(c, there, what):
+        return F.when(there, c).otherwise(F.raise_error(F.lit(f"{what} without a vector")))
 
     t = tokens.withColumn(pos_col, F.when(F.col(pos_col) < seq_len, F.col(pos_col)).otherwise(
         F.raise_error(F.lit("position beyond seq_len")).cast("long")))
-    e = emb.select(F.col(id_col), F.struct("vec").alias("_tv"))
-    if table_bytes(emb) <= max_broadcast_bytes:
+    table = _position_table(pos_emb, seq_len, pos_col) if value else None
+    if table:
+        positions, missing = table
+        e = emb.withColumn("_p", positions)
+        e = cut(e.select(id_col, F.transform("_p", lambda p: value(add_arrays(F.col("vec"), p["vec"]))).alias("vec")))
+        size = table_bytes(e)
+    else:
+        e, size = emb, table_bytes(emb)
+    e = e.select(F.col(id_col), F.struct("vec").alias("_tv"))
+    if size <= max_broadcast_bytes:
         j = t.join(F.broadcast(e), id_col, "left")
     else:
         j = hot_cold_join(t, e, id_col, "_tv", hot_rows)
+    tv = found(F.col("_tv")["vec"], F.col("_tv").isNotNull(), "token id")
+    if table:
+        at = F.get(tv, F.col(pos_col).cast("int"))
+        there = F.col(pos_col) >= 0
+        return j.withColumn(out, found(at, there & ~F.col(pos_col).isin(missing) if missing else there, "position")).drop("_tv")
     j = j.join(F.broadcast(pos_emb.select(pos_col, F.struct(F.col("pvec").alias("vec")).alias("_pv"))), pos_col, "left")
-    j = j.withColumns({"_tv": found("_tv", "token id"), "_pv": found("_pv", "position")})
-    return j.withColumn(out, add_arrays("_tv", "_pv")).drop("_tv", "_pv")
+    pv = found(F.col("_pv")["vec"], F.col("_pv").isNotNull(), "position")
+    x = add_arrays(tv, pv)
+    return j.withColumn(out, value(x) if value else x).drop("_tv", "_pv")

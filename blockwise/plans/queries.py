@@ -644,8 +644,9 @@ def embed_tokens(spark, sf_dir):
     from blockwise.functions.arrays import array_sum
     from blockwise.operators import corpus as Cc
     from blockwise.operators.routing import embed_tokens as et
+    from blockwise.session import cut
     d = Cc.token_offsets(V.tokens(spark, sf_dir))
-    ve = Cc.with_eos(word_vocab(spark, sf_dir))
+    ve = cut(Cc.with_eos(word_vocab(spark, sf_dir)))          # read by both sides of the join
     t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
           .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
     t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
@@ -656,9 +657,8 @@ def embed_tokens(spark, sf_dir):
     emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
     pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
                                                       F.col("vec").alias("pvec"))
-    x = et(t, emb, pos, EMB_SEQ)
-    return x.select("split", "doc_id", "gpos", "emb_id", "pos",
-                    F.round(array_sum("x"), 6).alias("emb_sum"))
+    x = et(t, emb, pos, EMB_SEQ, out="emb_sum", value=lambda x: F.round(array_sum(x), 6))
+    return x.select("split", "doc_id", "gpos", "emb_id", "pos", "emb_sum")
 
 
 # ------------------------------------------------------------ scoring

@@ -168,3 +168,23 @@ def test_embed_tokens_raises_on_a_miss(spark, emb_id, at, whole):
     kw = {} if whole else {"hot_rows": 3, "max_broadcast_bytes": 0}
     with pytest.raises(Exception, match="without a vector"):
         embed_tokens(toks, emb, pos, 4, **kw).collect()
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("twice", [False, True])
+def test_embed_tokens_value_equals_the_value_of_the_vector(spark, whole, twice):
+    """The number for each id and position is that of the summed vectors;
+    repeated ids and positions give as many rows, a null vector null."""
+    from blockwise.functions.arrays import array_sum
+    from blockwise.operators.routing import embed_tokens
+    toks = spark.createDataFrame([(g, g % 5, g % 3) for g in range(40)], "gpos long, emb_id long, pos long")
+    emb = spark.createDataFrame([(i, [i + 0.1, 2.0 * i]) for i in range(4)] + [(4, None), (1, [9.0, 9.5])], "emb_id long, vec array<double>")
+    pos = spark.createDataFrame([(p, [0.3 * p, 1.0]) for p in range(3)] + [(2, [5.0, 5.0])] * twice, "pos long, pvec array<double>")
+    kw = {} if whole else {"hot_rows": 2, "max_broadcast_bytes": 0}
+    plain = embed_tokens(toks, emb, pos, 4, **kw).withColumn("x", array_sum("x"))
+    got = embed_tokens(toks, emb, pos, 4, out="s", value=array_sum, **kw)
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert key(got.select("gpos", "emb_id", "pos", "s").collect()) == key(plain.select("gpos", "emb_id", "pos", "x").collect())
+    for e, p in ((7, 0), (1, 3)):
+        with pytest.raises(Exception, match="without a vector"):
+            embed_tokens(spark.createDataFrame([(0, e, p)], "gpos long, emb_id long, pos long"), emb, pos, 4, out="s", value=array_sum, **kw).collect()
