@@ -9,11 +9,13 @@ back the same way.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blockwise.functions.numeric import INF, NAN, to_double
+from blockwise.session import cut
 
 # The metric log header and its decimals per column.
 METRIC_COLUMNS = ["step", "train_loss", "aux", "val_loss", "val_ppl", "tokens_per_sec",
@@ -130,18 +132,22 @@ def parse_log_lines(text: DataFrame, keep_empty: bool = False) -> DataFrame:
     stream's batch."""
     lines = text.select(
         F.col("_metadata.file_path").alias("path") if "path" not in text.columns else F.col("path"),
-        F.transform(F.split(F.regexp_replace("value", "[\"\\r]", ""), ","), lambda x: F.trim(x)).alias("cells"))
-    is_header = F.arrays_overlap("cells", F.array(*[F.lit(c) for c in METRIC_COLUMNS]))
-    # one row per file
-    is_data = ~is_header & (F.col("cells") != F.array(F.lit("")))
-    headers = lines.groupBy("path").agg(F.min(F.when(is_header, F.col("cells"))).alias("names"), F.count_if(is_data).alias("n"))
-    headers = headers.filter("names is not null")
-    data = lines.filter(is_data).join(headers.select("path", "names"), "path")
+        F.translate("value", '"\r', "").alias("line"))
+    # only a line that holds the text of a name is split to be looked at
+    names = F.transform(F.split("line", ","), lambda x: F.trim(x))
+    may_name = reduce(lambda a, b: a | b, [F.col("line").contains(c) for c in METRIC_COLUMNS])
+    is_header = may_name & F.arrays_overlap(names, F.array(*[F.lit(c) for c in METRIC_COLUMNS]))
+    # one row per file: the place of every column, -1 where the log lacks it
+    headers = lines.filter(is_header).groupBy("path").agg(F.min(names).alias("names"))
+    headers = cut(headers.select("path", _run_from_path(F.col("path")).alias("run"), *[(F.array_position("names", c).cast("int") - 1).alias(f"_at_{c}") for c in METRIC_COLUMNS]))
+    data = lines.filter(~is_header & (F.trim("line") != ""))
+    rows = data.join(headers, "path")
     if keep_empty:
-        data = data.unionByName(headers.filter("n = 0").select("path", "names"), allowMissingColumns=True)
-    cell = lambda c: F.get("cells", F.array_position("names", c).cast("int") - 1)
-    raw = data.select(_run_from_path(F.col("path")).alias("run"), *[
-        F.when(F.array_contains("names", c), cell(c)).alias(c) for c in METRIC_COLUMNS])
+        rows = rows.unionByName(headers.join(data.select("path").distinct(), "path", "left_anti"), allowMissingColumns=True)
+    # split once for all columns; a cell that the log or the line lacks is null
+    cells = rows.select("run", F.split("line", ",").alias("cells"), *[f"_at_{c}" for c in METRIC_COLUMNS])
+    raw = cells.select("run", *[
+        F.trim(F.get("cells", F.col(f"_at_{c}"))).alias(c) for c in METRIC_COLUMNS])
     cols = [F.col("step").try_cast("long").alias("step")]
     cols += [F.coalesce(to_double(c), F.lit(NAN)).alias(c) for c in METRIC_COLUMNS[1:]]
     return raw.select("run", *cols)

@@ -289,3 +289,22 @@ def test_packing_refuses_a_typed_marker(spark, tmpdir_path):
     d.write.parquet(f"{tmpdir_path}/documents.parquet")
     with pytest.raises(Exception, match="end-of-text marker"):
         Q.QUERIES["packed_blocks"](spark, tmpdir_path).collect()
+
+
+def test_a_log_line_is_split_once_and_run_names_are_read_once_a_file(spark, tmpdir_path):
+    """Run names and headers cost a row per file, not per line; a data line
+    may hold a column's name inside a cell, a header may be quoted or repeated."""
+    import os
+
+    from blockwise.sources.runs import read_runs
+    logs = {"run=a+b%20c/part-0.csv": 'step,"val_ppl"\n1,2.5\nstep9,3.5\n', "d/metrics.csv": "val_ppl, step \r\n4.5,2\r\n\r\nval_ppl, step \r\n",
+            "e/metrics.csv": "step,train_loss\n", "f/metrics.csv": "step,aux\n7\n"}
+    for name, text in logs.items():
+        os.makedirs(os.path.dirname(f"{tmpdir_path}/{name}"))
+        open(f"{tmpdir_path}/{name}", "w").write(text)
+    df = read_runs(spark, tmpdir_path, keep_empty=True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "url_decode" not in plan and plan.count("split(line") <= 1
+    got = sorted((r.run, r.step, str(r.val_ppl)) for r in df.filter("step is not null").collect())
+    assert got == [("a+b c", 1, "2.5"), ("d", 2, "4.5"), ("f", 7, "nan")]
+    assert sorted((r.run, str(r.val_ppl)) for r in df.filter("step is null").collect()) == [("a+b c", "3.5"), ("e", "nan")]
