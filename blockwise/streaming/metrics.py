@@ -61,6 +61,18 @@ def stream_metrics(spark: SparkSession, path: str, fmt: str = "parquet",
                         for f in schema.fields])
 
 
+def by_step(pdfs, *columns: str) -> list[tuple]:
+    """The rows (step, *columns) of a run's frames as plain values in the order
+    of steps, rows of one step as they came; times as microseconds. A frame
+    holds few rows of many runs, so none is joined, sorted or cast as a frame."""
+    rows = []
+    for pdf in pdfs:
+        taken = [pdf[c].to_numpy() for c in ("step", *columns)]
+        rows += zip(*[(x.astype("datetime64[us]").astype("int64") if x.dtype.kind == "M" else x).tolist() for x in taken])
+    rows.sort(key=lambda r: (r[0] is None or r[0] != r[0], r[0]))       # a row without a step comes last
+    return rows
+
+
 def plateau_step(patience: int, min_delta: float, warmup: int):
     """The per-run state step: a pure function (key, frames, state)."""
     def step(key, pdfs, state):
@@ -69,8 +81,7 @@ def plateau_step(patience: int, min_delta: float, warmup: int):
         else:
             best, best_step, no_imp, stop_step, last_step, late = math.inf, -1, 0, None, 0, 0
         out = []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("step", kind="stable")
-        for s, v in zip(pdf["step"].tolist(), pdf["val_ppl"].tolist()):
+        for s, v in by_step(pdfs, "val_ppl"):
             if s <= last_step:
                 late += 1
                 continue
@@ -146,10 +157,8 @@ def end_step(patience: int, min_delta: float, warmup: int, max_minutes: float |
     """The per-run state step of :func:`stream_run_end`."""
     def step(key, pdfs, state):
         best, no_imp, last_step, t0, ended = state.get if state.exists else (math.inf, 0, 0, None, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("step", kind="stable")
-        micros = pdf["ts"].astype("datetime64[us]").astype("int64")
         out = []
-        for s, v, t in zip(pdf["step"].tolist(), pdf["val_ppl"].tolist(), micros.tolist()):
+        for s, v, t in by_step(pdfs, "val_ppl", "ts"):
             if s <= last_step or ended:
                 continue
             last_step, t0 = s, t if t0 is None else min(t0, t)

@@ -75,3 +75,14 @@ def test_live_log_survives_a_restart(spark, tmpdir_path):
     key = lambda rows: sorted(str(tuple(r)) for r in rows)
     want = read_runs(spark, f"{tmpdir_path}/logs").collect()
     assert key(read_runs(spark, f"{tmpdir_path}/live", S.LIVE_GLOB).collect()) == key(want) and len(want) == 5
+
+
+def test_rows_of_a_state_step_come_in_the_order_of_steps():
+    """As a stable sort of the joined frames gives them, without joining them."""
+    import pandas as pd
+    frames = [pd.DataFrame({"step": [3, 1], "val_ppl": [5.0, float("nan")], "ts": pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.0"])}),
+              pd.DataFrame({"step": [1, 2], "val_ppl": [7.0, 8.0], "ts": pd.to_datetime(["2024-01-02 00:00:00", "1969-12-31 23:59:59"])})]
+    got = S.by_step(iter(frames), "val_ppl", "ts")
+    assert [(s, str(v), t) for s, v, t in got] == [
+        (1, "nan", 1704067200000000), (1, "7.0", 1704153600000000), (2, "8.0", -1000000), (3, "5.0", 1704067201500000)]
+    assert S.by_step(iter(frames), "val_ppl")[2] == (2, 8.0) and S.by_step(iter([]), "val_ppl") == []
