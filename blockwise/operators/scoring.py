@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from blockwise.functions.arrays import cross_entropy, draw, softmax, temper
 from blockwise.functions.hashing import hash_uniform
 from blockwise.functions.numeric import NAN, perplexity
-from blockwise.operators.hotkeys import keep_possible
+from blockwise.operators.prefix import _join_on
 from blockwise.operators.routing import SLOT_ROWS, dispatch, plan_dispatch
 from blockwise.session import cut
 
@@ -64,23 +64,26 @@ def score_heldout(tokens: DataFrame, bigrams: DataFrame, smoothing: float = 1.0,
     p = (c(tok, nxt) + k) / (c(tok) + k * V), V = ``n_vocab``, the number of
     tokens that may follow, so p(. | tok) sums to 1 over the vocabulary (by
     default the distinct tokens of the fitted pairs, on either side). Returns
-    (keep..., tok, nxt, nll); aggregate with :func:`heldout_loss`. Both joins
-    are equi-joins; AQE splits hot tokens. A Bloom filter of the held-out
-    pairs keeps the pairs that nobody asks for out of the shuffle."""
-    bigrams = cut(bigrams)                # read three times below
-    uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
+    (keep..., tok, nxt, nll); aggregate with :func:`heldout_loss`. Each
+    different pair is looked up and scored once: it meets the bigrams where
+    their counting left them, so the model is neither written nor shuffled
+    again, and the held-out pairs are shuffled once, to their scores. A null
+    is no word: a pair with one is scored, but not counted. All joins are
+    equi-joins; AQE splits hot pairs."""
     V = n_vocab
     if V is None:
+        bigrams = cut(bigrams)
         V = bigrams.select("tok").union(bigrams.select("nxt")).distinct().count()       # a count
-    p = bigram_pairs(tokens, tok_col, keep)
-    asked = keep_possible(bigrams, bigram_pairs(tokens, tok_col, ()), ["tok", "nxt"])
-    j = (p.join(asked.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left")
-          .join(uni, "tok", "left")
-          .withColumn("_V", F.lit(V)))
+    # the same filter on both readers, so that they share the shuffle of the counting
+    bigrams = bigrams.filter("tok is not null and nxt is not null")
+    uni = bigrams.groupBy("tok").agg(F.sum("count").alias("_ct"))
+    # hashed, not sorted: one row per different held-out pair, the model streams by
+    asked = bigram_pairs(tokens, tok_col, ()).distinct().hint("shuffle_hash")
+    j = asked.join(bigrams.withColumnRenamed("count", "_cb"), ["tok", "nxt"], "left").join(uni, "tok", "left")
     k = F.lit(float(smoothing))
-    prob = (F.coalesce(F.col("_cb"), F.lit(0)) + k) / (F.coalesce(F.col("_ct"), F.lit(0))
-                                                         + k * F.col("_V"))
-    return j.select(*keep, "tok", "nxt", (-F.log(prob)).alias("nll"))
+    prob = (F.coalesce(F.col("_cb"), F.lit(0)) + k) / (F.coalesce(F.col("_ct"), F.lit(0)) + k * F.lit(V))
+    scores = j.select("tok", "nxt", (-F.log(prob)).alias("nll"))
+    return _join_on(bigram_pairs(tokens, tok_col, keep), scores, ["tok", "nxt"]).select(*keep, "tok", "nxt", "nll")
 
 
 def heldout_loss(nll: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:

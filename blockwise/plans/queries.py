@@ -687,22 +687,24 @@ def capped_eval_loss(spark, sf_dir):
                     F.round("val_ppl", 3).alias("val_ppl"), "n_batches")
 
 
-def _bigrams(spark, sf_dir):
+def _bigrams(toks):
     from blockwise.operators.scoring import fit_bigrams
-    return fit_bigrams(V.tokens(spark, sf_dir, eos=False).filter(F.col("split") == "train"))
+    return fit_bigrams(toks.filter(F.col("split") == "train"))
 
 
 @query
 def bigram_fit(spark, sf_dir):
     """Bigram counts over the train documents (no end markers)."""
-    return _bigrams(spark, sf_dir)
+    return _bigrams(V.tokens(spark, sf_dir, eos=False))
 
 
 def _nll(spark, sf_dir):
     from blockwise.operators.scoring import score_heldout
-    toks = V.tokens(spark, sf_dir, eos=False)
+    from blockwise.session import cut
+    # the words feed the vocabulary's size, the model and both sides of the scoring
+    toks = cut(V.tokens(spark, sf_dir, eos=False).select("doc_id", "split", "lang", "source", "toks"), "zstd")
     n_vocab = toks.select(F.explode("toks")).distinct().count()         # the corpus vocabulary's size
-    return score_heldout(toks.filter(F.col("split") == "validation"), _bigrams(spark, sf_dir), 1.0,
+    return score_heldout(toks.filter(F.col("split") == "validation"), _bigrams(toks), 1.0,
                          keep=("doc_id", "lang", "source"), n_vocab=n_vocab)
 
 

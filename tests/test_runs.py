@@ -308,3 +308,20 @@ def test_a_log_line_is_split_once_and_run_names_are_read_once_a_file(spark, tmpd
     got = sorted((r.run, r.step, str(r.val_ppl)) for r in df.filter("step is not null").collect())
     assert got == [("a+b c", 1, "2.5"), ("d", 2, "4.5"), ("f", 7, "nan")]
     assert sorted((r.run, str(r.val_ppl)) for r in df.filter("step is null").collect()) == [("a+b c", "3.5"), ("e", "nan")]
+
+
+def test_heldout_scores_reuse_the_counting_of_the_bigrams(spark):
+    """The model is looked up where it was counted; pairs come once for each
+    time they stand in a text, and an unseen pair has its token's count."""
+    import math
+
+    from blockwise.operators.scoring import fit_bigrams, score_heldout
+    train = spark.createDataFrame([(1, ["a", "b", "a", "b", "c"])], "doc_id long, toks array<string>")
+    held = spark.createDataFrame([(2, ["a", "b", "a", "b"]), (3, ["a", "c"]), (3, ["z", "a"]), (4, ["a"])], "doc_id long, toks array<string>")
+    df = score_heldout(held, fit_bigrams(train), 1.0, n_vocab=3)
+    p = {("a", "b"): 3 / 5, ("b", "a"): 2 / 5, ("a", "c"): 1 / 5, ("z", "a"): 1 / 3}
+    want = [(2, "a", "b"), (2, "a", "b"), (2, "b", "a"), (3, "a", "c"), (3, "z", "a")]
+    got = df.collect()
+    assert sorted((r.doc_id, r.tok, r.nxt) for r in got) == want
+    assert all(math.isclose(r.nll, -math.log(p[r.tok, r.nxt])) for r in got)
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
