@@ -293,3 +293,16 @@ def test_quality(spark, docs, rows):
     same([(*r[:6], r["base_failed"]) for r in got], [(r[0], *brute.quality_base(r[1])) for r in rows])
     assert not any(r["kept"] and r["base_failed"] for r in got)
     assert quality.keep_quality(docs, labels).count() == sum(r["kept"] for r in got)
+
+
+def test_near_copies_with_many_edits_do_not_meet(spark):
+    """Lines that share long segments and differ by many characters are not
+    paired; pairs within the edits are, whatever the characters."""
+    rng = random.Random(5)
+    base = "the quick brown fox jumps over the lazy dog near the river bank"
+    far = [(k, base[:20] + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) + base[34:]) for k in range(12)]
+    near = [(20, "être à l'été où naïve señor 漢字漢字 zz"), (21, "être à l'été où naïve señor 漢字字漢 zz")]
+    texts = spark.createDataFrame(far + near, "lid long, line string").withColumn("bag", lines._bag(F.col("line")))
+    rows = texts.selectExpr("case when lid < 20 then 1 else 2 end as key", "lid", "0 as delta", "true as own", "false as star")
+    got = [(r.a, r.b) for r in lines._pairs(lines._met_lines(rows.union(rows), texts), 2).collect()]
+    assert (20, 21) in got and len(got) < 12
