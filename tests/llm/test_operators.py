@@ -306,3 +306,13 @@ def test_near_copies_with_many_edits_do_not_meet(spark):
     rows = texts.selectExpr("case when lid < 20 then 1 else 2 end as key", "lid", "0 as delta", "true as own", "false as star")
     got = [(r.a, r.b) for r in lines._pairs(lines._met_lines(rows.union(rows), texts), 2).collect()]
     assert (20, 21) in got and len(got) < 12
+
+
+def test_a_line_is_split_again_only_where_its_length_allows(spark):
+    """The spots of other lengths' partners are not made and dropped again."""
+    rows = spark.createDataFrame([(1, 7, d, False, "abcdefghijkl") for d in range(3)], "key long, lid long, delta int, own boolean, rest string")
+    plan = lines._again(rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    for d in range(3):
+        made = rows.filter(F.col("delta") == d).select(F.explode(F.get(lines._tables(2), F.col("delta"))).alias("s")).select("s.*").collect()
+        assert [tuple(r) for r in made] == [x for x in lines._spots(2) if x[0] == d]
+    assert "= delta" not in plan and lines._again(rows, 2).filter("delta = 0").count() > 0
