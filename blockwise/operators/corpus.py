@@ -167,6 +167,27 @@ def token_offsets(df: DataFrame, tok_col: str = "toks", order_col: str = "doc_id
     return d.withColumns({"start": F.coalesce("start", F.lit(0)).cast("long"), "total": F.col("total").cast("long")})
 
 
+START_BLOCK = 256                # rows of a file whose starts stand in one row
+MAX_STARTS_BYTES = 64 << 20      # starts up to this are broadcast
+
+
+def put_starts(docs: DataFrame, offsets: DataFrame, max_broadcast_bytes: int = MAX_STARTS_BYTES) -> DataFrame:
+    """``docs`` with the ``start`` that ``offsets`` (file, row, start; see
+    :func:`token_offsets`) gives their place (file, row), so the texts need
+    not be put in order to get it. A row's start takes 12 bytes: the starts of
+    ``START_BLOCK`` rows of a file stand in two arrays. Up to
+    ``max_broadcast_bytes`` they are broadcast and the texts stay where they
+    are; beyond it both are shuffled once. A row without a start goes."""
+    block = F.floor(F.col("row") / START_BLOCK).alias("_block")
+    at = (F.col("row") % START_BLOCK).cast("int")
+    packed = offsets.groupBy("file", block).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "start"))).alias("s"))
+    packed = cut(packed.select("file", "_block", F.col("s.at").alias("_at"), F.col("s.start").alias("_start")))
+    few = (packed.agg(F.sum(F.size("_at"))).first()[0] or 0) * 12 <= max_broadcast_bytes
+    j = docs.withColumn("_block", block).join(F.broadcast(packed) if few else packed.hint("merge"), ["file", "_block"])
+    start = F.get("_start", F.array_position("_at", at).cast("int") - 1)
+    return j.withColumn("start", start).filter("start is not null").drop("_block", "_at", "_start")
+
+
 def n_blocks(n_tokens, seq_len: int):
     """Block count ``N div L - 1`` (C4): the remainder and one more full
     block are dropped. Works on ints and Columns; negative means none."""

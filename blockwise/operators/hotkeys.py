@@ -29,7 +29,8 @@ def hot_cold_join(rows: DataFrame, table: DataFrame, key: str, value: str, k: in
     """Left join of ``rows`` with ``table`` (key, value; keys unique): the rows
     of the heavy keys meet a broadcast of at most ``k`` rows of the table,
     found or not, the others are shuffled, none of them hot. ``rows`` is
-    written once, so the sketch and both joins read the same rows."""
+    written once, so the sketch and both joins read the same rows. Where the
+    heavy keys are known from elsewhere, :func:`known_hot_join` writes none."""
     rows = cut(rows)
     hot = cut(heavy_keys(rows, key, k).join(table.select(key, value), key, "left").withColumn("_hot", F.lit(True)))
     j = rows.join(F.broadcast(hot), key, "left")
@@ -37,6 +38,16 @@ def hot_cold_join(rows: DataFrame, table: DataFrame, key: str, value: str, k: in
     return j.filter("_hot").select(*rows.columns, value).unionByName(cold.select(*rows.columns, value))
 
 
+def known_hot_join(rows: DataFrame, table: DataFrame, key: str, value: str, hot: Column) -> DataFrame:
+    """The same where ``hot``, a condition on ``key``, holds for the heavy
+    keys (and for few rows of ``table``): no sketch is taken and ``rows`` is
+    not written, but read by each of the two joins."""
+    hot = F.coalesce(hot, F.lit(False))
+    table = table.select(key, value)
+    j = rows.filter(hot).join(F.broadcast(table.filter(hot)), key, "left")
+    return j.unionByName(rows.filter(~hot).join(table.filter(~hot).hint("merge"), key, "left"))
+
+
 def _places(columns: Sequence[str], bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(i), *columns), F.lit(bits)) for i in range(hashes)]
 

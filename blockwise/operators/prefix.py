@@ -109,7 +109,8 @@ def ordered_scan(df: DataFrame, order_cols: Sequence, values: dict[str, tuple[Op
     if whole:
         sums = totals.groupBy(*part).agg(*[values[c][0].total(F.col(f"_s_{c}"), F.col(_R)).alias(out) for out, c in whole.items()])
         offsets = _join_on(offsets, sums, part)
-    j = _join_on(d, offsets, [*part, _R])
+    # written, so their size is known when the join is planned: where they are few, the rows are not shuffled for it
+    j = _join_on(d, cut(offsets), [*part, _R])
     last = 0 if inclusive else -1
     w = Window.partitionBy(*part, _R).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, last)
     out = {c: op.join(F.col(f"_s_{c}"), op.running(F.col(f"_v_{c}")).over(w)) for c, (op, _) in values.items()}

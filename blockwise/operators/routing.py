@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockwise.functions.arrays import add_arrays, dot, softmax, top1, top1_prob
 from blockwise.functions.hashing import gaussian
-from blockwise.operators.hotkeys import hot_cold_join
+from blockwise.operators.hotkeys import hot_cold_join, known_hot_join
 from blockwise.operators.prefix import ranged_rank
 from blockwise.session import cut
 
@@ -200,7 +200,8 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
                  id_col: str = "emb_id", pos_col: str = "pos", out: str = "x",
                  hot_rows: int = HOT_EMB_ROWS,
                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                 value: Callable[[Column], Column] | None = None) -> DataFrame:
+                 value: Callable[[Column], Column] | None = None,
+                 frequent: Callable[[int], Column] | None = None) -> DataFrame:
     """Token vector + position vector (D1, D2). ``pos_emb`` (pos, pvec) has
     at most ``seq_len`` rows and is broadcast; positions >= seq_len fail the
     job. ``emb`` (emb_id, vec) grows with the vocabulary: its size is
@@ -208,8 +209,12 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     whole (one pass over the tokens). Beyond that a sketch of the tokens
     names their ``hot_rows`` most frequent ids, the end marker's included,
     whose rows are broadcast; the other tokens, none of which is hot, are
-    joined with a shuffle. A token whose id or position has no row fails
-    the job.
+    joined with a shuffle. The tokens are written once for that, one row
+    each; with ``frequent`` they are not: called with the number of vectors
+    that fill ``max_broadcast_bytes`` (``hot_rows`` at least), it gives a
+    condition that at most so many ids meet, the most frequent ones among
+    them, and that takes the sketch's place. A token whose id or position has
+    no row fails the job.
 
     With ``value``, ``out`` is that function (one number) of the vector sum.
     It depends on the id and the position alone, so the vectors are added
@@ -231,6 +236,10 @@ def embed_tokens(tokens: DataFrame, emb: DataFrame, pos_emb: DataFrame, seq_len:
     e = e.select(F.col(id_col), F.struct("vec").alias("_tv"))
     if size <= max_broadcast_bytes:
         j = t.join(F.broadcast(e), id_col, "left")
+    elif frequent:
+        # no id is null from here on, so both branches read the same join of tokens and ids
+        t = t.withColumn(id_col, found(F.col(id_col), F.col(id_col).isNotNull(), "token id"))
+        j = known_hot_join(t, e, id_col, "_tv", frequent(max(hot_rows, max_broadcast_bytes * e.count() // size)))
     else:
         j = hot_cold_join(t, e, id_col, "_tv", hot_rows)
     tv = found(F.col("_tv")["vec"], F.col("_tv").isNotNull(), "token id")

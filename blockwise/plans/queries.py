@@ -645,19 +645,24 @@ def embed_tokens(spark, sf_dir):
     from blockwise.operators import corpus as Cc
     from blockwise.operators.routing import embed_tokens as et
     from blockwise.session import cut
-    d = Cc.token_offsets(V.tokens(spark, sf_dir))
-    ve = cut(Cc.with_eos(word_vocab(spark, sf_dir)))          # read by both sides of the join
+    docs = Cc.check_special(V.corpus(spark, sf_dir, place=True), [Cc.EOS_TOKEN], whole=True)
+    # counts alone are put in order; the texts stay where they are and are split after they got their offset
+    n = cut(Cc.tokenize_words(docs).select("split", "doc_id", "file", "row", "n"))
+    d = Cc.tokenize_words(Cc.put_starts(docs, Cc.token_offsets(n)))
+    v = cut(word_vocab(spark, sf_dir))                            # read by both sides of the join
     t = (d.select("split", "doc_id", "start", F.posexplode("toks").alias("i", "tok"))
           .select("split", "doc_id", (F.col("start") + F.col("i")).alias("gpos"), "tok"))
-    t = Cc._hot_cold_join(t, ve, "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
+    t = Cc._hot_cold_join(t, Cc.with_eos(v), "tok", Cc.HOT_TOKENS, (Cc.EOS_TOKEN,))
     vec = V.vectors(spark, sf_dir)
-    n_emb = vec.count()                                           # a count
+    n_emb, n_tok = vec.count(), v.count()                         # counts
     t = (t.withColumn("emb_id", F.col("id") % F.lit(n_emb))
           .withColumn("pos", F.col("gpos") % EMB_SEQ))
     emb = vec.select(F.col("vec_id").alias("emb_id"), "vec")
     pos = vec.filter(F.col("vec_id") < EMB_SEQ).select(F.col("vec_id").alias("pos"),
                                                       F.col("vec").alias("pvec"))
-    x = et(t, emb, pos, EMB_SEQ, out="emb_sum", value=lambda x: F.round(array_sum(x), 6))
+    # ids are frequency ranks and keep their number below n_emb; the end marker's is the last one
+    x = et(t, emb, pos, EMB_SEQ, out="emb_sum", value=lambda x: F.round(array_sum(x), 6),
+           frequent=lambda k: (F.col("emb_id") < k - 1) | (F.col("emb_id") == (n_tok % n_emb if n_emb else None)))
     return x.select("split", "doc_id", "gpos", "emb_id", "pos", "emb_sum")
 
 

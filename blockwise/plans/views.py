@@ -26,11 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with split = 'validation' when doc_id % 10 = 0, else 'train'."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+def corpus(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    """documents with split = 'validation' when doc_id % 10 = 0, else 'train'.
+    ``place`` adds ``file`` and ``row``, where a row stands in the table's
+    files: they tell rows apart whatever these hold."""
+    d = table(spark, sf_dir, "documents")
+    at = ["file", "row"] if place else []
+    if place:
+        d = d.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    d = spread(d, "doc_id")
     split = F.when(F.col("doc_id") % 10 == 0, F.lit("validation")).otherwise(F.lit("train"))
-    return d.select("doc_id", split.alias("split"), "text", "lang", "source")
+    return d.select("doc_id", split.alias("split"), "text", "lang", "source", *at)
 
 
 def tokens(spark: SparkSession, sf_dir: str, eos: bool = True) -> DataFrame:

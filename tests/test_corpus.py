@@ -158,3 +158,66 @@ def test_ids_are_sorted_without_a_comparator(spark):
     assert "sort_array" in plan and "array_sort" not in plan
     assert {r.doc_id: r.ids for r in enc.collect()} == {1: [0, 1, 0, 2], 2: [2]}
     assert sorted(map(tuple, dec.collect())) == sorted(map(tuple, t.collect()))
+
+
+@pytest.mark.parametrize("limit", [C.MAX_STARTS_BYTES, 0])
+def test_starts_return_to_their_rows_by_place(spark, limit):
+    """Whatever the rows hold: ids repeat and are null, rows are missing."""
+    rows = [(f"f{i % 3}", 7 * i, i // 4 or None, f"t{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "file string, row long, doc_id long, text string").repartition(5)
+    at = spark.createDataFrame([(f, r, r * 10 + int(f[1])) for f, r, _, _ in rows], "file string, row long, start long")
+    got = C.put_starts(docs, at, limit).select("file", "row", "doc_id", "text", "start").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(*r, r[1] * 10 + int(r[0][1])) for r in rows], key=str)
+    assert C.put_starts(docs, at.limit(0), limit).count() == 0
+
+
+def test_even_scans_are_not_dealt_out(spark, tmpdir_path):
+    """As many equal partitions as cores stay; a scan whose rows stand in one of them is dealt out."""
+    from blockwise.sources.corpus import spread
+    n = spark.sparkContext.defaultParallelism
+    shuffles = lambda d: "Exchange" in d._jdf.queryExecution().executedPlan().toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * n))
+        even = spark.range(0, 40 * n, 1, n)
+        one = even.filter(F.col("id") < 40)
+        few = spark.range(0, 40, 1, 1)
+        assert [shuffles(spread(d, "id")) for d in (even, one, few)] == [False, True, True]
+        assert spread(one, "id").count() == 40 and spread(even.filter("id < 0"), "id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+
+
+def test_embed_tokens_orders_counts_alone(spark, tmpdir_path, monkeypatch):
+    """Neither texts nor tokens are written, by the whole and by the large
+    table's join; results as in a plain model (null and repeated ids)."""
+    from blockwise import session
+    from blockwise.operators import hotkeys, prefix, routing
+    from blockwise.plans.queries import embed_tokens
+    texts = ["a b a", None, "c  a\tb", "", "a d", "b b b b", "e"]
+    docs = [(i if i else None, texts[i % 7]) for i in range(90)] + [(20, texts[6])] * 2
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source").repartition(3).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, [i / 8, 1.0], 0) for i in range(66)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    toks = {d: WORD.findall(t or "") for d, t in docs}
+    n = {}
+    for d, _ in docs:
+        for w in toks[d]:
+            n[w] = n.get(w, 0) + 1
+    ids = {w: i for i, w in enumerate(sorted(n, key=lambda w: (-n[w], w)))} | {"<eos>": len(n)}
+    want = []
+    for split in ("train", "validation"):
+        mine = sorted([d for d, _ in docs if (d is not None and d % 10 == 0) == (split == "validation")], key=lambda d: -1 if d is None else d)
+        stream = [(d, w) for d in mine for w in [*toks[d], "<eos>"]]
+        want += [(split, d, g, ids[w], g % 64, round((ids[w] + g % 64) / 8 + 2, 6)) for g, (d, w) in enumerate(stream)]
+    written, real = [], session.cut
+    for m in (session, hotkeys, prefix, routing, C):
+        monkeypatch.setattr(m, "cut", lambda df, *a: (written.append(set(df.columns)), real(df, *a))[1])
+    defaults = routing.embed_tokens.__defaults__
+    try:
+        for limit in (routing.MAX_BROADCAST_BYTES, 3000):
+            routing.embed_tokens.__defaults__ = tuple(limit if x == routing.MAX_BROADCAST_BYTES else 2 if x == routing.HOT_EMB_ROWS else x for x in defaults)
+            got = embed_tokens(spark, tmpdir_path).collect()
+            assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    finally:
+        routing.embed_tokens.__defaults__ = defaults
+    assert not [w for w in written if w & {"text", "toks", "gpos"}]

@@ -32,3 +32,14 @@ def test_bloom_filter_keeps_every_match(spark):
     assert found.exceptAll(kept.select("a", "b", "id")).isEmpty() and found.count() == 1000
     assert kept.count() < 1200          # 19000 others, a few false positives
     assert H.keep_possible(table, rows.limit(0), ["a", "b"], 1 << 16).count() == 0
+
+
+def test_known_heavy_keys_join_without_a_write(spark, monkeypatch):
+    """A null key and a heavy key without a row stay; the rows are not written."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 9 == 1, 2).when(
+        F.col("id") % 9 == 2, None).otherwise(F.col("id") % 100).cast("long").alias("key"))
+    table = spark.range(80).filter("id <> 2").select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
+    monkeypatch.setattr(H, "cut", None)
+    got = H.known_hot_join(rows, table, "key", "v", F.col("key") < 3)
+    want = rows.join(table, "key", "left").select("id", "key", "v")
+    assert got.count() == 3000 and got.select("id", "key", "v").exceptAll(want).isEmpty()
