@@ -316,3 +316,37 @@ def test_a_line_is_split_again_only_where_its_length_allows(spark):
         made = rows.filter(F.col("delta") == d).select(F.explode(F.get(lines._tables(2), F.col("delta"))).alias("s")).select("s.*").collect()
         assert [tuple(r) for r in made] == [x for x in lines._spots(2) if x[0] == d]
     assert "= delta" not in plan and lines._again(rows, 2).filter("delta = 0").count() > 0
+
+
+def test_every_link_of_a_templated_group(spark):
+    """80 lines that differ in two digits, and lines whose class is a chain:
+    every pair within the edits is a link, and links are counted, not classes."""
+    pool = [f"every page of this site ends with the number {i:02d} and a very long common tail" for i in range(80)]
+    pool += ["a chain of lines that change at their end " + x for x in ("one two", "one twoab", "one twoabcd")]
+    df, name = named_lines(spark, pool)
+    want = {tuple(sorted((name[a], name[b]))) for i, a in enumerate(pool) for b in pool[:i] if distance(a, b) <= 2}
+    got = [tuple(r) for r in lines.line_links(df).collect()]
+    assert len(got) == len(set(got)) == 80 * 79 // 2 + 2 and set(got) == want
+    docs = spark.createDataFrame([(1, "\n".join(pool[:80])), (2, "\n".join(pool[80:])), (3, pool[80] + "\nno other line is anything like it")], "doc_id long, text string")
+    same([(r.doc_id, r.n_lines, r.n_linked, r.n_links, len(r.dropped)) for r in lines.dedup_lines(docs).collect()],
+         [(1, 80, 80, 80 * 79, 79), (2, 3, 3, 4, 2), (3, 2, 1, 1, 1)])
+
+
+def test_split_groups_keep_every_link(spark):
+    """Groups that are split down to single characters lose no pair."""
+    rnd = random.Random(8)
+    pool = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(4, 7))) for _ in range(90)})
+    df, name = named_lines(spark, pool)
+    for edits in (1, 2):
+        want = {tuple(sorted((name[a], name[b]))) for i, a in enumerate(pool) for b in pool[:i] if distance(a, b) <= edits}
+        got = [tuple(r) for r in lines.line_links(df, edits=edits, min_chars=4, hot=1).collect()]
+        assert set(got) == want and len(set(got)) == len(got)
+
+
+def test_every_two_lines_of_a_large_group_meet_once(spark, monkeypatch):
+    """Groups of several parts, groups reached by two keys, a group of one."""
+    monkeypatch.setattr(lines, "PART", 7)
+    rows = [(k, i * 1000 - 9000) for k in (1, 2) for i in range(40)] + [(3, i) for i in range(5)] + [(4, 77)]
+    got = [tuple(r) for r in lines._every_two(spark.createDataFrame(rows, "key long, lid long").repartition(6)).collect()]
+    groups = [{i * 1000 - 9000 for i in range(40)}, set(range(5))]
+    assert sorted(got) == sorted((a, b) for g in groups for a in g for b in g if a < b)
